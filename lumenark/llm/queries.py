@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenark.llm import quality_rules, url_filters
 from lumenark.llm.packing import pack
 from lumenark.session import table
 
@@ -21,3 +22,22 @@ def _query(f):
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of at most 2048 tokens."""
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge every document by its own figures and its host's shrunk failure rate."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return quality_rules.judge(docs, keep_text=False).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+ORACLES["op4_quality_rules"] = quality_rules.ORACLE_SQL
+
+
+@_query
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge every page's URL."""
+    return url_filters.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
+ORACLES["op6_url_filters"] = url_filters.ORACLE_SQL
