@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumenark.llm import quality_rules, url_filters
+from lumenark.llm import html_extract, language_id, line_dedup, quality_rules, url_filters
 from lumenark.llm.packing import pack
 from lumenark.session import table
 
@@ -41,3 +42,29 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op6_url_filters"] = url_filters.ORACLE_SQL
+
+
+@_query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Take lines found in three documents or more out of all but one."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs, digest=True).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
+ORACLES["op7_line_dedup"] = line_dedup.ORACLE_SQL
+
+
+@_query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predict every document's language from two thirds of the labelled rows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs)
+    out = language_id.identify(docs.select("doc_id", "text"), model)
+    held_out = F.coalesce(language_id.fold_of("doc_id", 3) == 1, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@_query
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
