@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenark.llm import html_extract, language_id, line_dedup, quality_rules, url_filters
+from lumenark.llm import embedding_dedup, html_extract, language_id, line_dedup, quality_rules, url_filters
 from lumenark.llm.packing import pack
 from lumenark.session import table
 
@@ -68,3 +68,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@_query
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Link all embeddings of a label with cosine 0.93 or more."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op10_embedding_dedup"] = embedding_dedup.ORACLE_SQL
