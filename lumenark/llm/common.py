@@ -89,18 +89,25 @@ def utf8(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if text else b""
 
 
-def word_hashes(parts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+#: Bytes between words where only letters, digits and non-ASCII characters are kept.
+_PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def word_hashes(parts: list[bytes], lower: bool = True, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the maximal runs of non-space bytes of all parts, in order,
-    and for each part the number of its words. A polynomial over random odd byte
+    and for each part the number of its words. ``plain``: all ASCII but letters and
+    digits counts as space. A polynomial over random odd byte
     values, differenced from one prefix sum, so that all words of a batch cost a
     few passes over its bytes whatever their lengths."""
     if not parts:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     blob = b"\n".join(parts) + b"\n"
     a = np.frombuffer(blob, dtype=np.uint8)
-    space = _CLASS[a]
+    space = (_PUNCTUATION if plain else _CLASS)[a]
     edge = np.flatnonzero(np.diff(space.view(np.int8), prepend=np.int8(1)))
     start, end = edge[0::2], edge[1::2]
+    if not len(start):
+        return np.zeros(0, np.uint64), np.zeros(len(parts), np.int64)
     ends = np.cumsum([len(p) + 1 for p in parts])
     count = np.diff(np.searchsorted(start, ends, side="left"), prepend=0)
     values = _BYTE[_LOWER[a]] if lower else _BYTE[a]

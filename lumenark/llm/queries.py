@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenark.llm import embedding_dedup, html_extract, language_id, line_dedup, pieces, quality_rules, url_filters
+from lumenark.llm import embedding_dedup, html_extract, language_id, line_dedup, minhash_dedup, pieces, quality_rules, url_filters
 from lumenark.llm.packing import pack
 from lumenark.session import table
 
@@ -85,3 +85,9 @@ def op9_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     coded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids_crc32", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
+
+
+@_query
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near-duplicates among all documents."""
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
