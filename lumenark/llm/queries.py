@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenark.llm import embedding_dedup, html_extract, language_id, line_dedup, minhash_dedup, pieces, quality_rules, url_filters
+from lumenark.llm import embedding_dedup, html_extract, katz, language_id, line_dedup, minhash_dedup, pieces, quality_rules, url_filters
 from lumenark.llm.packing import pack
 from lumenark.session import table
 
@@ -91,3 +91,9 @@ def op9_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of near-duplicates among all documents."""
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document by a Katz model of nine tenths of them."""
+    return katz.score(table(spark, sf_dir, "documents"))
