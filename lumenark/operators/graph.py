@@ -140,7 +140,7 @@ def resolve_tags(proposed: DataFrame, tags: DataFrame) -> DataFrame:
     prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(F.split("low", "/")) - 1, F.lit(1))), lambda i: F.array_join(F.slice(F.split("low", "/"), F.lit(1), i), "/"))
     extend = p.where(F.instr("low", "/") > 0).select("proposed", F.explode(prefixes).alias("tag")).join(known, "tag").select("proposed", "tag", F.lit(2).alias("way"), (-F.char_length("tag")).alias("far"))
     best = exact.unionByName(sibling).unionByName(extend).withColumn("_r", F.row_number().over(W.partitionBy("proposed").orderBy("way", "far", "tag"))).where("_r = 1")
-    how = F.coalesce(F.element_at(F.array(F.lit("exact"), F.lit("similar"), F.lit("extends")), F.col("way") + 1), F.lit("new"))
+    how = F.when(F.col("way") == 0, "exact").when(F.col("way") == 1, "similar").when(F.col("way") == 2, "extends").otherwise("new")
     return p.select("proposed", "low").join(best, "proposed", "left").select("proposed", F.when(how.isin("exact", "similar"), F.col("tag")).otherwise(F.col("low")).alias("resolved"), how.alias("how"))
 
 

@@ -1 +1,195 @@
-"""Queries."""
+"""Links, health and incremental maintenance."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lumenark.operators import graph as G
+from lumenark.operators import links as K
+from lumenark.operators import store as S
+from lumenark.plans.registry import query
+from lumenark.plans.text_queries import _markdown
+
+
+@query("SELECT DISTINCT from_file AS file_id, to_file AS neighbour FROM edges")
+def outgoing(v):
+    """G4."""
+    return G.neighbours(v.edges)
+
+
+@query("SELECT DISTINCT to_file AS file_id, from_file AS neighbour FROM edges WHERE to_file < 1000000200")
+def incoming(v):
+    """G4."""
+    return G.neighbours(v.edges, incoming=True).where("file_id < 1000000200")
+
+
+@query("SELECT DISTINCT from_file, to_file FROM edges")
+def link_pairs(v):
+    """G5."""
+    return v.edges.select("from_file", "to_file").distinct()
+
+
+@query("SELECT file_id, count(*) AS n FROM (SELECT from_file AS file_id FROM edges UNION ALL SELECT to_file FROM edges) GROUP BY file_id")
+def incident_edges(v):
+    """Both directions, reciprocal edges twice."""
+    return G.both_ways(v.edges).groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT c_custkey AS file_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%') AND c_nationkey <> 3")
+def orphans(v):
+    """Customers without an order, outside one folder."""
+    notes = v.table("customer").select(F.col("c_custkey").alias("file_id"), F.concat(F.lit("n"), "c_nationkey", F.lit("/x.md")).alias("path"))
+    edges = v.table("orders").where(F.col("o_orderpriority").like("1%")).select(F.col("o_custkey").alias("from_file"), F.col("o_orderkey").alias("to_file")).withColumn("to_file", -F.col("to_file"))
+    return G.orphans(notes, edges, ("n3",)).select("file_id")
+
+
+_TARGETS = ", tg AS (SELECT DISTINCT 'doc-' || (doc_id * 3) AS target FROM documents WHERE doc_id % 5 = 0)"
+
+
+def _targets(v):
+    return v.table("documents").where("doc_id % 5 = 0").select(F.concat(F.lit("doc-"), F.col("doc_id") * 3).alias("target"))
+
+
+@query(_TARGETS + " SELECT target, file_id, path FROM tg JOIN notes ON split_part(path, '/', -1) = target || '.md'")
+def resolve_targets(v):
+    """Link targets by path suffix."""
+    return G.resolve(_targets(v), v.notes)
+
+
+@query(_TARGETS + " SELECT target FROM tg WHERE target || '.md' NOT IN (SELECT split_part(path, '/', -1) FROM notes)")
+def broken_links(v):
+    """Targets that resolve to nothing."""
+    t = _targets(v).distinct()
+    return t.join(G.resolve(t, v.notes).select("target"), "target", "left_anti")
+
+
+@query(", l AS (SELECT doc_id AS f, doc_id * 3 AS t FROM documents WHERE doc_id % 5 = 0) SELECT f AS from_file, 0::BIGINT AS from_chunk_seq, t AS to_file, (-1)::BIGINT AS to_chunk_seq FROM l WHERE t IN (SELECT doc_id FROM documents) AND t <> f")
+def derive_edges(v):
+    """Edges from the links in texts."""
+    text = F.concat(F.lit("go to [[doc-"), F.col("file_id") * 3, F.lit("|there]]"))
+    chunks = v.notes.where("file_id % 5 = 0").select("file_id", F.lit(0).cast("long").alias("seq"), text.alias("text"))
+    return G.derive_edges(chunks, v.notes)[0].drop("edge_type")
+
+
+@query(", l AS (SELECT doc_id AS f, doc_id * 3 AS t FROM documents WHERE doc_id % 5 = 0) SELECT f AS file_id, 'doc-' || t AS target FROM l WHERE t NOT IN (SELECT doc_id FROM documents)")
+def unresolved_links(v):
+    """G1: links that lead nowhere."""
+    text = F.concat(F.lit("go to [[doc-"), F.col("file_id") * 3, F.lit("]]"))
+    chunks = v.notes.where("file_id % 5 = 0").select("file_id", F.lit(0).cast("long").alias("seq"), text.alias("text"))
+    return G.derive_edges(chunks, v.notes)[1]
+
+
+@query("SELECT DISTINCT doc_id AS file_id FROM documents WHERE doc_id % 7 = 0 AND doc_id + 1 IN (SELECT doc_id FROM documents)")
+def reconcile_links(v):
+    """Notes whose unresolved links resolve now."""
+    unresolved = v.notes.where("file_id % 7 = 0").select("file_id", F.concat(F.lit("doc-"), F.col("file_id") + 1).alias("target"))
+    return G.reconcile(unresolved, v.notes)
+
+
+@query(", l AS (SELECT doc_id AS f, doc_id - doc_id % 2 AS t, 'Part ' || (doc_id % 3) AS h FROM documents WHERE doc_id < 300) SELECT f AS file_id, 'doc-' || t AS target, h AS heading FROM l WHERE h <> 'Part 0'")
+def stale_headings(v):
+    """Deep links to headings that are not there."""
+    text = F.concat(F.lit("[[doc-"), F.col("file_id") - F.col("file_id") % 2, F.lit("#Part "), F.col("file_id") % 3, F.lit("]]"))
+    chunks = v.notes.where("file_id < 300").select("file_id", text.alias("text"))
+    return G.stale_headings(chunks, v.notes, v.notes.select("file_id", F.lit("## part 0 (cont.)").alias("heading")))
+
+
+@query(""", p AS (SELECT unnest(['lang/en', 'lang/xx', 'lang/frr', 'lang/deutsch', 'src/src1/new', 'fresh']) AS proposed)
+SELECT proposed, CASE proposed WHEN 'lang/en' THEN 'lang/en' WHEN 'lang/xx' THEN (SELECT min(tag) FROM note_tags WHERE starts_with(tag, 'lang/') AND levenshtein(split_part(tag, '/', 2), 'xx') = (SELECT min(levenshtein(split_part(tag, '/', 2), 'xx')) FROM note_tags WHERE starts_with(tag, 'lang/')))
+WHEN 'lang/frr' THEN 'lang/fr' ELSE proposed END AS resolved, CASE proposed WHEN 'lang/en' THEN 'exact' WHEN 'lang/xx' THEN 'similar' WHEN 'lang/frr' THEN 'similar' WHEN 'src/src1/new' THEN 'extends' ELSE 'new' END AS how FROM p""")
+def resolve_tags(v):
+    """G13."""
+    proposed = v.spark.range(1).select(F.explode(F.array(*map(F.lit, ("lang/en", "lang/xx", "lang/frr", "lang/deutsch", "src/src1/new", "fresh")))).alias("proposed"))
+    return G.resolve_tags(proposed, v.note_tags)
+
+
+@query("SELECT DISTINCT tag FROM note_tags WHERE file_id % 10 = 3")
+def prune_tags(v):
+    """The vocabulary that is still used."""
+    return G.prune_tags(v.note_tags.select("tag").distinct(), v.note_tags.where("file_id % 10 = 3"))
+
+
+_SNAP = ", st AS (SELECT doc_id AS file_id, source AS created_by, 'n' || doc_id AS path, sha256(text) AS content_hash FROM documents WHERE doc_id % 3 > 0), fd AS (SELECT 'n' || doc_id AS path, CASE WHEN doc_id % 4 = 0 THEN sha256(text || '!') ELSE sha256(text) END AS content_hash, doc_id FROM documents WHERE doc_id % 5 > 0)"
+
+
+def _snapshots(v):
+    d = v.table("documents").select("doc_id", F.concat(F.lit("n"), "doc_id").alias("path"), "text", "source")
+    stored = d.where("doc_id % 3 > 0").select(F.col("doc_id").alias("file_id"), F.col("source").alias("created_by"), "path", F.sha2("text", 256).alias("content_hash"))
+    found = d.where("doc_id % 5 > 0").select("path", F.sha2(F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("content_hash"), "doc_id")
+    return stored, found
+
+
+@query(_SNAP + " SELECT coalesce(f.path, s.path) AS path, CASE WHEN s.path IS NULL THEN 'new' WHEN f.path IS NULL THEN 'deleted' ELSE 'changed' END AS change FROM fd f FULL JOIN st s ON f.path = s.path WHERE s.path IS NULL OR f.path IS NULL OR f.content_hash <> s.content_hash")
+def snapshot_diff(v):
+    """What changed between two snapshots."""
+    stored, found = _snapshots(v)
+    return S.diff(found, stored)
+
+
+@query(_SNAP + " SELECT coalesce(f.doc_id, s.file_id) AS file_id, coalesce(s.created_by, CASE WHEN f.path IS NOT NULL THEN 'me' END) AS created_by, coalesce(f.path, s.path) AS path, coalesce(f.content_hash, s.content_hash) AS content_hash FROM st s FULL JOIN fd f ON f.path = s.path".replace("coalesce(s.created_by, CASE WHEN f.path IS NOT NULL THEN 'me' END)", "CASE WHEN f.doc_id % 2 = 0 THEN 'me' ELSE s.created_by END"))
+def upsert_files(v):
+    """New rows win, but an author that is not given stays."""
+    stored, found = _snapshots(v)
+    rows = found.select(F.col("doc_id").alias("file_id"), F.when(F.col("doc_id") % 2 == 0, "me").alias("created_by"), "path", "content_hash")
+    return S.upsert(stored, rows)
+
+
+@query("SELECT 'chunks' AS name, count(*) AS n FROM chunks WHERE file_id % 4 > 0 UNION ALL SELECT 'tags', count(*) FROM note_tags WHERE file_id % 4 > 0 UNION ALL SELECT 'props', count(*) FROM props WHERE file_id % 4 > 0 UNION ALL SELECT 'targets', count(*) FROM props WHERE file_id % 4 > 0 AND (file_id + 1) % 4 > 0")
+def delete_cascade(v):
+    """Rows of deleted notes go, references to them are emptied."""
+    gone = v.spark.range(0, 200_000, 4).select(F.col("id").alias("file_id"))
+    props = v.props.withColumn("target_file", F.col("file_id") + 1)
+    out = S.remove(gone, {"chunks": v.chunks, "tags": v.note_tags, "props": props}, {"props": "target_file"})
+    n = lambda name, df: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+    return n("chunks", out["chunks"]).union(n("tags", out["tags"])).union(n("props", out["props"])).union(n("targets", out["props"].where("target_file IS NOT NULL")))
+
+
+@query("SELECT count(*) AS n FROM edges WHERE from_file % 2 = 0 AND to_file % 5 > 0")
+def delete_edges(v):
+    """Edges of deleted notes, at either end."""
+    gone = v.edges.select(F.col("from_file").alias("file_id")).where("file_id % 2 = 1").union(v.edges.select(F.col("to_file").alias("file_id")).where("file_id % 5 = 0")).distinct()
+    left = S.delete_edges(v.edges, gone.where("file_id < 1000000000"), outgoing_only=True)
+    return S.delete_edges(left, gone.where("file_id >= 1000000000")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT file_id, CASE WHEN file_id = 7 THEN 'moved/seven.md' ELSE path END AS path, CASE WHEN file_id = 7 THEN substr(sha256('moved/seven.md'), 1, 6) ELSE docid END AS docid FROM notes")
+def rename_file(v):
+    """Another path, and the short id that follows."""
+    old = v.notes.where("file_id = 7").select("path").first()[0]
+    return S.rename(v.notes, old, "moved/seven.md").select("file_id", "path", "docid")
+
+
+@query("SELECT file_id, CASE WHEN starts_with(path, 'src2/') THEN '04-Archive/' || substr(path, 6) ELSE path END AS path FROM notes")
+def archive_folder(v):
+    """A folder into the archive."""
+    return S.move_folder(v.notes, "src2", "04-Archive").select("file_id", "path")
+
+
+@query("SELECT file_id, tag FROM note_tags WHERE file_id % 3 > 0 UNION ALL SELECT DISTINCT doc_id, 'fresh/' || lang FROM documents WHERE doc_id % 3 = 0")
+def replace_derived_rows(v):
+    """Derived rows of some notes replaced, repeats dropped."""
+    fresh = v.notes.where("file_id % 3 = 0").join(v.table("documents").select(F.col("doc_id").alias("file_id"), "lang"), "file_id").select("file_id", F.concat(F.lit("fresh/"), "lang").alias("tag"))
+    return S.replace_rows(v.note_tags, fresh.union(fresh))
+
+
+@query("SELECT file_id, seq FROM chunks WHERE file_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)")
+def orphan_rows(v):
+    """Rows without a note."""
+    return S.orphan_rows(v.chunks, v.notes.where("file_id % 2 = 0")).select("file_id", "seq")
+
+
+@query("SELECT 'people/' || c_name || '.md' AS path, 9::BIGINT AS start, n_name AS text, 'places/' || n_name || '.md' AS target, 'exact' AS kind FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def discover_links(v):
+    """Mentions of notes in prose."""
+    names = v.table("nation").select(F.concat(F.lit("places/"), "n_name", F.lit(".md")).alias("path"), F.lit("").alias("content"))
+    prose = v.table("customer").join(v.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    prose = prose.select(F.concat(F.lit("people/"), "c_name", F.lit(".md")).alias("path"), F.concat(F.lit("Lives in "), F.col("n_name"), F.lit(" now.")).alias("content"))
+    return K.discover_links(names.unionByName(prose))
+
+
+@query()
+def structure_edges(v):
+    """Properties of structured notes with their link targets."""
+    from lumenark.operators import markdown
+
+    return markdown.parse(_markdown(v)).select("file_id", F.inline("properties")).groupBy("name", "kind").agg(F.count(F.lit(1)).alias("n"))
