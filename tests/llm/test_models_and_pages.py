@@ -166,7 +166,7 @@ def test_pipeline(spark, tmp_path):
     for i in range(150):
         k = rng.choice(list(SPEECH))
         rows.append((i, "\n".join([talk(k, 40), common, talk(k, 40)] if i % 3 == 0 else [talk(k, 60)]), k, f"src{i % 4}"))
-    rows += [(200 + i, rows[i][1], rows[i][2], "src0") for i in range(20)] + [(300, "too short", "en", "src1"), (301, None, None, "src1"), (302, "1 2 3 " * 30, None, None), (303, "the same words over " * 20, "en", "src2")]
+    rows += [(200 + i, rows[i][1], rows[i][2], "src0") for i in range(20)] + [(300, "too short", "en", "src1"), (301, None, None, "src1"), (302, " ".join(map(str, range(100))), None, None), (303, "the same words over " * 20, "en", "src2")]
     docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     read = spark.read.parquet(str(tmp_path / "documents.parquet"))
