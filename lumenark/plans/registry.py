@@ -30,4 +30,4 @@ def query(oracle: str | None = None):
     return add
 
 
-from lumenark.plans import catalog_queries, graph_queries, lint_queries, ranked_queries, stream_queries, text_queries  # noqa: E402, F401
+from lumenark.plans import catalog_queries, edit_queries, graph_queries, lint_queries, ranked_queries, stream_queries, text_queries  # noqa: E402, F401
