@@ -34,8 +34,10 @@ BLOCK = set(
 DROPPED = set("head nav footer aside form menu dialog script style title textarea noscript iframe template button select svg canvas object audio video map".split())
 DROPPED_ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form toolbar".split())
 DROPPED_WORDS = set(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription sidebar menu nav navbar navigation navi breadcrumb breadcrumbs footer masthead comment comments commentlist disqus reply replies respond related recommended recommendations share sharing social toolbar widget login signin signup search copyright pagination pager toc skip".split()
+    "ad ads adbox adsense adslot adunit adv advert adverts advertisement advertising announcement sponsor sponsored promo promotion banner cookie cookies consent disclaimer gdpr notice notices alert popup modal overlay newsletter subscribe subscription sidebar menu nav navbar navigation navi breadcrumb breadcrumbs footer masthead comment comments commentlist disqus reply replies respond related recommended recommendations share sharing social toolbar widget login signin signup search copyright pagination pager paywall toc topbar skip".split()
 )
+#: What a header may be of, and then is none of the page's.
+OWN_HEADER = set("article entry post story content".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 STOP_WORDS = set(
     """a an and are as at be but by for from had has have he her his i in is it its not of on or she that the they this to was were which will with you
@@ -91,7 +93,8 @@ def _hidden(name: str, attributes: str, article: bool) -> bool:
         return False
     if name == "header" and not article:
         return True
-    return bool(DROPPED_WORDS.intersection(re.split(r"[^a-z0-9]+", f"{hints.get('class', '')} {hints.get('id', '')}")))
+    words = set(re.split(r"[^a-z0-9]+", f"{hints.get('class', '')} {hints.get('id', '')}"))
+    return bool(words & DROPPED_WORDS) or not article and "header" in words and not words & OWN_HEADER
 
 
 def blocks(page: str) -> list[Block]:
