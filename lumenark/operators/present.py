@@ -80,3 +80,9 @@ def pack_budget(results: DataFrame, budget: int = 8192, full: bool = False) -> D
 def envelope(results: DataFrame) -> DataFrame:
     """One JSON line per result."""
     return results.select(F.to_json(F.struct(*sorted(results.columns))).alias("json"))
+
+
+def render_text(results: DataFrame) -> DataFrame:
+    """(rank, line): each result as it is read: place, score and text."""
+    score = F.when(F.col("score").isNull(), "").otherwise(F.concat(F.lit(" ("), F.format_number("score", 3), F.lit(")")))
+    return results.select("rank", F.concat(F.col("rank"), F.lit(". "), F.col("file_id"), F.lit("#"), F.col("seq"), score, F.lit("\n"), T.render_wikilinks(F.coalesce("text", F.lit("")))).alias("line"))

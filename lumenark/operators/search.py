@@ -3,13 +3,15 @@
 One lazy plan per question. Scope filters come below every limit; texts and
 properties join only after the shortlist is cut."""
 
-from __future__ import annotations
-
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import Protocol
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenark.functions import text as T
 from lumenark.operators import fusion, lexical, present, vector
 from lumenark.operators import graph as G
 
@@ -81,3 +83,53 @@ def ranked_search(chunks: DataFrame, vectors: DataFrame | None, query: str, quer
         shown = shown.withColumns({"n_chunks": F.lit(1).cast("long"), "tokens": present.T.packaging_tokens(F.col("text"))})
     top = shown.orderBy("rank", "file_id", "seq").limit(o.top_n)
     return present.pack_budget(top, o.budget_tokens)
+
+
+class RerankModel(Protocol):
+    """A scorer plug-in: how well each text answers the question, 0 to 1."""
+
+    def score(self, question: str, texts: list[str]) -> list[float]: ...
+
+
+def rerank(pool: DataFrame, question: str, model: RerankModel | None = None, text_col: str = "text", chars: int | None = None) -> DataFrame:
+    """``pool`` with ``rerank``: the model's score in Arrow batches, or, without a
+    model, the shared four-character shingles of question and text. ``chars`` caps what
+    the model reads (0 or None: all)."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    if chars:
+        text = F.substring(text, 1, chars)
+    if model is None:
+        return pool.withColumn("rerank", T.shingle_jaccard(T.shingles(text), T.shingles(F.lit(question))))
+
+    @F.pandas_udf("double")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(model.score(question, list(texts)), dtype="float64")
+
+    return pool.withColumn("rerank", scored(text))
+
+
+def legacy_search(found: dict[str, DataFrame], chunks: DataFrame, question: str, model: RerankModel | None = None, depth: int = 30, weights: dict[str, float] | None = None) -> DataFrame:
+    """The older ranking: fuse the lanes, rerank the first ``depth``, and fuse again
+    with the reranked ones as a lane of their own."""
+    w = {"semantic": 1.0, "fts": 1.0, "graph": 0.8, "rerank": 1.0, "temporal": 0.0} | (weights or {})
+    lanes_ = {n: (f.select("file_id", "seq", "score"), w[n]) for n, f in found.items()}
+    top = fusion.rrf(lanes_).where(F.col("rrf_rank") <= depth).select("file_id", "seq")
+    texts = top.join(chunks.select("file_id", "seq", "text"), ["file_id", "seq"], "left")
+    lane = rerank(texts, question, model).select("file_id", "seq", F.col("rerank").alias("score"))
+    return fusion.rrf(lanes_ | {"rerank": (lane, w["rerank"])})
+
+
+def explain(fused: DataFrame) -> DataFrame:
+    """A line per result that says which lanes found it and how well."""
+    return fused.withColumn("explain", F.concat(F.format_number("rrf", 6), F.lit(" from "), F.array_join("lanes", " + "), F.lit(", best rank "), F.col("best_rank")))
+
+
+#: What is put before a question or a document, by embedding family: (question, document).
+PROMPTS = {"plain": ("", ""), "query-passage": ("query: ", "passage: "), "search": ("search_query: ", "search_document: ")}
+
+
+def prompted(text: Column, family: str, question: bool, title: Column | None = None) -> Column:
+    lead = PROMPTS[family][0 if question else 1]
+    body = text if title is None else F.concat_ws("\n", title, text)
+    return F.concat(F.lit(lead), body)

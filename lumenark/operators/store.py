@@ -98,3 +98,29 @@ def fingerprints(config: dict) -> dict[str, str]:
 def stale(recorded: dict[str, str], now: dict[str, str]) -> dict[str, str]:
     """The keys that differ, each with its action; unrecorded keys are adopted."""
     return {k: ACTIONS[k] for k, v in now.items() if k in recorded and recorded[k] != v}
+
+
+TRASH = ".trash"
+
+
+def soft_delete(notes: DataFrame, path: str) -> DataFrame:
+    """A deleted note lies under the trash until it is restored or removed."""
+    return rename(notes, path, f"{TRASH}/{path}")
+
+
+def undelete(notes: DataFrame, name: str) -> DataFrame:
+    """Restore by path, old path, file name or short id; several hits are a conflict."""
+    trash = notes.where(F.col("path").startswith(TRASH + "/"))
+    old = F.substr("path", F.lit(len(TRASH) + 2))
+    hits = [r["path"] for r in trash.where((F.col("path") == name) | (old == name) | (F.substring_index("path", "/", -1) == name) | (F.col("docid") == name.lstrip("#"))).select("path").limit(3).collect()]
+    if not hits:
+        raise LookupError(f"nothing deleted is called {name!r}")
+    if len(hits) > 1:
+        raise Conflict(f"several deleted notes are called {name!r}: {', '.join(sorted(hits))}")
+    return rename(notes, hits[0], hits[0].removeprefix(TRASH + "/"))
+
+
+def declared_types(config: DataFrame, column: str = "json") -> DataFrame:
+    """(name, declared) from JSON of the form {"types": {name: type}}."""
+    types = F.from_json(F.get_json_object(column, "$.types"), "map<string,string>")
+    return config.select(F.explode(types).alias("name", "declared"))

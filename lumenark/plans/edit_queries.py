@@ -3,8 +3,8 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
-from lumenark.operators import calibrate, edits, lexical, links, present, resolve, store, vector
-from lumenark.plans.ranked_queries import _Q, COLUMNS, _words
+from lumenark.operators import calibrate, edits, fusion, lexical, links, present, resolve, search, store, vector
+from lumenark.plans.ranked_queries import _Q, _RRF, COLUMNS, _two_lanes, _words
 from lumenark.plans.registry import query
 
 
@@ -127,3 +127,49 @@ def fingerprint_keys(v):
 def folder_statistics(v):
     """Figures per folder."""
     return v.table("documents").groupBy(F.concat(F.lit("lang/"), "lang").alias("tag")).agg(F.count(F.lit(1)).alias("notes"), F.round(F.avg("n_chars"), 4).alias("chars"), F.min("n_chars").alias("shortest"), F.max("n_chars").alias("longest"))
+
+
+@query(_Q + _RRF + r""", qs AS (SELECT array_to_string(([x FOR x IN string_split_regex(text, '\s+') IF x <> ''])[1:4], ' ') AS q FROM qt),
+t30 AS (SELECT file_id, seq FROM rf ORDER BY rrf DESC, file_id, seq LIMIT 30), tx AS (SELECT file_id, seq, lower(coalesce(c.text, '')) AS t, lower(q) AS q FROM t30 LEFT JOIN chunks c USING (file_id, seq), qs),
+sh AS (SELECT file_id, seq, list_distinct([substr(t, i, 4) FOR i IN range(1, greatest(length(t) - 2, 1))]) AS a, list_distinct([substr(q, i, 4) FOR i IN range(1, greatest(length(q) - 2, 1))]) AS b FROM tx),
+sc AS (SELECT file_id, seq, CASE WHEN len(list_distinct(a || b)) = 0 THEN 0.5 ELSE len(list_intersect(a, b)) / len(list_distinct(a || b)) END AS s FROM sh),
+al AS (SELECT file_id, seq, r FROM ra UNION ALL SELECT file_id, seq, row_number() OVER (ORDER BY s DESC, file_id, seq) FROM sc)
+SELECT file_id, seq, round(sum(1.0 / (60 + r)), 8) AS rrf FROM al GROUP BY file_id, seq""")
+def legacy_ranking(v):
+    """Fused, reranked and fused again."""
+    a, b = _two_lanes(v)
+    return search.legacy_search({"semantic": a, "fts": b}, v.chunks, _words(v)).select("file_id", "seq", F.round("rrf", 8).alias("rrf"))
+
+
+@query(_Q + _RRF + "SELECT file_id, seq, 'best rank ' || min(best_rank) || ' in ' || any_value(lanes) AS explain FROM rf GROUP BY file_id, seq")
+def explain_results(v):
+    """Where each result comes from."""
+    a, b = _two_lanes(v)
+    f = search.explain(fusion.rrf({"semantic": (a, 1.0), "fts": (b, 1.0)}))
+    return f.select("file_id", "seq", F.concat(F.lit("best rank "), F.col("best_rank"), F.lit(" in "), F.array_join("lanes", ",")).alias("explain"))
+
+
+@query("SELECT file_id AS rank, file_id || '. ' || file_id || '#0 (0.500)' || chr(10) || text AS line FROM notes WHERE file_id < 100")
+def render_results(v):
+    """Results as text."""
+    return present.render_text(v.notes.where("file_id < 100").select("file_id", F.lit(0).alias("seq"), F.col("file_id").alias("rank"), F.lit(0.5).alias("score"), "text")).where("line is not null")
+
+
+@query("SELECT file_id, 'search_document: ' || path || chr(10) || text AS input FROM notes")
+def prompt_templates(v):
+    """Document inputs with a title."""
+    return v.notes.select("file_id", search.prompted(F.col("text"), "search", False, F.col("path")).alias("input"))
+
+
+@query("SELECT unnest(['due', 'rating']) AS name, unnest(['date', 'number']) AS declared")
+def declared_types(v):
+    """Property types from JSON."""
+    return store.declared_types(v.spark.range(1).select(F.lit('{"types": {"due": "date", "rating": "number"}}').alias("json")))
+
+
+@query("SELECT file_id, path FROM notes WHERE file_id < 50")
+def delete_and_restore(v):
+    """Into the trash and back."""
+    notes = v.notes.where("file_id < 50").select("file_id", "path", "docid")
+    name = notes.where("file_id = 7").first()["path"]
+    return store.undelete(store.soft_delete(notes, name), name).select("file_id", "path")

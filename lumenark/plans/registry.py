@@ -10,7 +10,7 @@ from lumenark.sources.views import PRELUDE, Views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = "ranked_search"
+FLAGSHIP = "search_shortlist"
 
 
 def query(oracle: str | None = None):

@@ -54,4 +54,5 @@ def test_runs(spark, name):
 def test_entry(spark):
     import __spark_entry__
 
-    assert __spark_entry__.entry(spark).columns == ["file_id", "seq", "score", "tokens"]
+    df = __spark_entry__.entry(spark)
+    assert df.columns == ["file_id", "seq", "rrf", "score"] and df.count() > 0
