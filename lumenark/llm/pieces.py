@@ -42,8 +42,9 @@ _SPANS = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
 class PieceModel:
-    #: Spans remembered before the memory is emptied, and the longest remembered.
-    REMEMBER, LONG = 300_000, 64
+    #: Spans remembered since the last turnover (those asked for since the one before
+    #: stay for another), and the longest remembered.
+    REMEMBER, LONG = 250_000, 64
 
     def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2
@@ -60,11 +61,19 @@ class PieceModel:
         if len(self.bytes) != 256:
             raise ValueError("the model has no byte pieces")
         self.longest = max(map(len, self.pieces))
-        self.prefixes = {p[:n] for p in self.pieces for n in range(1, len(p) + 1)}
+        #: The pieces as a tree: next characters, id (-1: only a prefix), score.
+        self.tree: list = [{}, -1, 0.0]
+        for p, (k, score) in self.pieces.items():
+            node = self.tree
+            for c in p:
+                node = node[0].setdefault(c, [{}, -1, 0.0])
+            node[1], node[2] = k, score
+        self.written = [bytes([self.byte_of[k]]) if k in self.byte_of else None if k in self.special else p.replace(SPACE, " ").encode("utf-8") for k, p in enumerate(self.texts)]
         self.unknown = min(s for _, s in self.pieces.values() if s > _FLOOR) - UNKNOWN_PENALTY
         #: Whether paths always converge before U+2581 after another character.
         self.closed = all(set(p) == {SPACE} for p in self.pieces if SPACE in p[1:])
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def span(self, text: str) -> bytes:
         """The ids of an escaped span, little-endian unsigned 32-bit."""
@@ -85,27 +94,28 @@ class PieceModel:
             spans = [SPACE + w for w in text.split(" ")]
         known = self.known
         if len(known) > self.REMEMBER:
-            known.clear()
+            self.older, self.known = known, {}
+            known = self.known
         out = []
         for s in spans:
             ids = known.get(s)
             if ids is None:
-                ids = self.span(s)
+                ids = self.older.get(s)
+                if ids is None:
+                    ids = self.span(s)
                 if len(s) <= self.LONG:
                     known[s] = ids
             out.append(ids)
         return b"".join(out)
 
     def decode(self, ids) -> str:
-        out, texts, byte_of = bytearray(), self.texts, self.byte_of
-        for i in ids:
-            if i in byte_of:
-                out.append(byte_of[i])
-            elif not 0 <= i < len(texts) or i in self.special:
-                raise ValueError(f"no text has the id {i}")
-            else:
-                out += texts[i].replace(SPACE, " ").encode("utf-8")
-        return out.decode("utf-8", "surrogatepass")[1:]
+        if len(ids) and min(ids) < 0:
+            raise ValueError("no text has such an id")
+        try:
+            # joining fails on the id of a control or unknown piece (None)
+            return b"".join(map(self.written.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
+        except (IndexError, TypeError):
+            raise ValueError("no text has such an id") from None
 
 
 class StreamingViterbi:
@@ -134,28 +144,28 @@ class StreamingViterbi:
         return out
 
     def _advance(self, to: int) -> None:
-        s, best, back, pieces, prefixes = self.text, self.best, self.back, self.model.pieces, self.model.prefixes
-        n, lowest, longest = len(s), float("-inf"), self.model.longest
-        need = min(n, to + longest) + 1
+        s, best, back, tree = self.text, self.best, self.back, self.model.tree[0]
+        n, lowest, unknown = len(s), float("-inf"), self.model.unknown
+        need = min(n, to + self.model.longest) + 1
         best.extend([lowest] * (need - len(best)))
         back.extend([(0, -1)] * (need - len(back)))
         for i in range(self.at, to):
             score = best[i]
             if score == lowest:
                 continue
-            if s[i] not in pieces:
-                x = score + self.model.unknown
+            j, node = i, tree.get(s[i])
+            if node is None or node[1] < 0:
+                x = score + unknown
                 if x > best[i + 1]:
                     best[i + 1], back[i + 1] = x, (i, -1)
-            for j in range(i + 1, min(n, i + longest) + 1):
-                p = s[i:j]
-                if p not in prefixes:
-                    break
-                hit = pieces.get(p)
-                if hit:
-                    x = score + hit[1]
+            while node is not None:
+                j += 1
+                following, k, gain = node
+                if k >= 0:
+                    x = score + gain
                     if x > best[j]:
-                        best[j], back[j] = x, (i, hit[0])
+                        best[j], back[j] = x, (i, k)
+                node = following.get(s[j]) if j < n else None
         self.at = to
 
     def _commit(self) -> list[int]:
@@ -226,7 +236,9 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model_of(model)
         for batch in batches:
-            texts = [m.decode(x or ()) for x in batch.column(ids_col).to_pylist()]
+            column = batch.column(ids_col)
+            ends, flat = column.offsets.to_pylist(), column.values.to_numpy().tolist()
+            texts = [m.decode(flat[a:b]) for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string())], names=[*names, "decoded"])
 
     return encoded.select(*names).mapInArrow(run, fields)
