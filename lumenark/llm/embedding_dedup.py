@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenark.llm.common import cut
-from lumenark.llm.components import components
+from lumenark.llm.components import components, lowest
 
 TILE = 2048
 ROWS = 256
@@ -77,20 +77,6 @@ def linked_pairs(a: np.ndarray, b: np.ndarray, threshold: float, same: bool) ->
     return np.concatenate(found_i), np.concatenate(found_j)
 
 
-def _lowest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest index that each of n vertices reaches over edges (i, j)."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def compare(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """One pair of tiles: rep, links and the smallest rep reached, of linked rows."""
     pdf = pdf.sort_values("rep")
@@ -105,7 +91,7 @@ def compare(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     links = np.zeros(len(x), np.int64)
     np.add.at(links, i, copies[j])
     np.add.at(links, j, copies[i])
-    low = _lowest(len(x), i, j)
+    low = lowest(len(x), i, j)
     some = links > 0
     return pd.DataFrame({"rep": rep[some], "links": links[some], "low": rep[low[some]]})
 

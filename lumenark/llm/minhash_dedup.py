@@ -14,9 +14,10 @@ component with the probability Jaccard similarity of the weighted shingles.
 3. Candidates are verified: the exact probability Jaccard similarity of the whole
    texts decides (0.8 or more). Links make components.
 4. Buckets that still hold several components have the members outside the pivot's
-   component compared with all members, by signature sketches in blocks; only pairs
-   of different components whose sketches could reach the threshold are emitted, and
-   these are verified too. So no candidate of a bucket is left out.
+   component compared with all members, in blocks of bounded size that hold whole
+   texts: pairs of different components whose signature sketches could reach the
+   threshold are verified on the spot, each in the first bucket that it shares, and
+   only links that join components are emitted. So no candidate is left out.
 
 With the default 24 bands of 6, a pair at 0.8 shares a band with probability 0.999.
 
@@ -30,7 +31,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -168,10 +168,15 @@ def sign(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, k1 long, k2 long, bands array<long>, sketch binary")
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """One text for each of ``ids``, however often its row repeats."""
+    return docs.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+
+
 def verify(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of ids whose texts in ``docs`` (id, text) are similar enough."""
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.join(needed, "id", "left_semi")
+    texts = _texts(docs, needed)
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,44 +196,128 @@ def verify(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def _close(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Pairs of different components with close sketches: ``near`` rows against all
-    (kind 0), or the near rows of two blocks against each other (kind 1)."""
-    kind, i, j = int(pdf["kind"].iloc[0]), int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-    pdf = pdf.drop_duplicates(["rep", "block"])
-    one, two = (pdf[pdf["near"]], pdf[~pdf["near"]]) if kind == 0 else (pdf[pdf["block"] == i], pdf[pdf["block"] == j])
-    out_a, out_b = [], []
-    if len(one) and len(two):
-        x, y = (np.frombuffer(b"".join(t["sketch"]), np.uint8).reshape(-1, SIZE) for t in (one, two))
-        cx, cy, rx, ry = one["comp"].to_numpy(), two["comp"].to_numpy(), one["rep"].to_numpy(), two["rep"].to_numpy()
-        for k in range(len(x)):
-            same = (y == x[k]).sum(1) >= least
-            same &= cy != cx[k]
-            if kind == 1:
-                same &= ry != rx[k]
-            hit = ry[same]
-            out_a += [rx[k]] * len(hit)
-            out_b += hit.tolist()
-    a, b = np.array(out_a, np.int64), np.array(out_b, np.int64)
-    return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)}).drop_duplicates()
-
-
-def _rest(members: DataFrame, pivots: DataFrame, classes: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    """Candidates (a, b) that the pivots left between components."""
+class _Block:
+    """Members of one bucket that are compared together."""
+
+    def __init__(self, rows: pa.Table):
+        rep = rows["rep"].to_numpy()
+        _, first = np.unique(rep, return_index=True)  # an id may have several rows
+        rows = rows.take(pa.array(first))
+        self.rep, self.comp = rep[first], rows["comp"].to_numpy()
+        self.near, self.block = rows["near"].to_numpy(zero_copy_only=False), rows["block"].to_numpy()
+        self.sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(-1, SIZE)
+        self.bands = np.array(rows["bands"].to_pylist(), np.int64).reshape(-1, BANDS)
+        self.key, self.kind, self.i, self.j = (rows[c][0].as_py() for c in ("key", "kind", "i", "j"))
+        self.rows = rows
+
+    def candidates(self, least: float) -> Iterator[tuple[int, np.ndarray]]:
+        """Pairs of different components whose sketches could reach the threshold and
+        for which this is the first bucket that they share."""
+        if self.kind == 0:
+            one, two = np.flatnonzero(self.near), np.flatnonzero(~self.near)
+        else:
+            one, two = np.flatnonzero(self.block == self.i), np.flatnonzero(self.block == self.j)
+        if not len(one) or not len(two):
+            return
+        nth = int(np.flatnonzero(self.bands[one[0]] == self.key)[0])
+        for x in one:
+            ok = (self.sketch[two] == self.sketch[x]).sum(1) >= least
+            ok &= self.comp[two] != self.comp[x]
+            if self.kind == 1 and self.i == self.j:
+                ok &= two > x
+            hit = two[ok]
+            if len(hit) and nth:
+                hit = hit[~(self.bands[hit, :nth] == self.bands[x, :nth]).any(1)]
+            if len(hit):
+                yield int(x), hit
+
+    def links(self, least: float, threshold: float) -> list[tuple[int, int]]:
+        """Verified links that join components, one for each two that they join."""
+        found = list(self.candidates(least))
+        if not found:
+            return []
+        used = np.unique(np.concatenate([np.append(hit, x) for x, hit in found]))
+        place = {int(u): k for k, u in enumerate(used)}
+        values, counts, _ = shingles(self.rows["text"].take(pa.array(used)).to_pylist())
+        sizes = np.array([len(v) for v in values])
+        plain = np.array([bool((c == 1).all()) for c in counts])
+        _, flat = np.unique(np.concatenate(values), return_inverse=True)
+        ids = np.split(flat, np.cumsum(sizes)[:-1])
+        mark = np.zeros(int(flat.max(initial=0)) + 1, bool)
+        up: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while up.get(c, c) != c:
+                c = up[c]
+            return c
+
+        out = []
+        for x, hit in found:
+            k = place[x]
+            others = [h for h in hit.tolist() if top(int(self.comp[h])) != top(int(self.comp[x]))]
+            if not others:
+                continue
+            at = [place[h] for h in others]
+            near = np.zeros(len(others))
+            quick = [n for n, a in enumerate(at) if plain[k] and plain[a] and sizes[a]]
+            if quick:  # plain sets: shared shingles over all
+                mark[ids[k]] = True
+                lengths = sizes[[at[n] for n in quick]]
+                shared = np.add.reduceat(mark[np.concatenate([ids[at[n]] for n in quick])].astype(np.int64), np.cumsum(lengths) - lengths)
+                mark[ids[k]] = False
+                near[quick] = shared / (sizes[k] + lengths - shared)
+            for n in set(range(len(at))).difference(quick):
+                near[n] = probability_jaccard(values[k], counts[k], values[at[n]], counts[at[n]])
+            for n in np.flatnonzero(near >= threshold):
+                a, b = top(int(self.comp[x])), top(int(self.comp[others[n]]))
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+                    out.append((int(self.rep[x]), int(self.rep[others[n]])))
+        return out
+
+
+def _rest(members: DataFrame, pivots: DataFrame, classes: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """Verified links (a, b) that the pivots left between components. Blocks hold whole
+    texts, so pairs are verified where they meet and only links are emitted."""
     where = members.join(classes, F.col("rep") == F.col("id"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
     pivot_comp = pivots.join(classes, F.col("pivot") == F.col("id"), "left").select("key", F.coalesce("component", "pivot").alias("base"))
     own = where.join(pivot_comp, "key").withColumn("near", F.col("comp") != F.col("base"))
+    blocks = lambda c: F.greatest(F.ceil(c / BLOCK), F.lit(1)).cast("int")
     mixed = own.groupBy("key").agg(F.sum(F.col("near").cast("long")).alias("n_near"), F.count(F.lit(1)).alias("n")).where("n_near > 0")
-    rows = own.join(mixed, "key").join(sketches, "rep")
-    blocks = lambda c: F.greatest(F.ceil(F.col(c) / BLOCK), F.lit(1)).cast("int")
-    rows = rows.withColumn("n_base", F.col("n") - F.col("n_near")).withColumns({"base_blocks": blocks("n_base"), "near_blocks": blocks("n_near")})
-    block = F.pmod(F.xxhash64("rep"), F.when(F.col("near"), F.col("near_blocks")).otherwise(F.col("base_blocks"))).cast("int")
-    rows = rows.withColumn("block", block)
+    mixed = mixed.select("key", blocks(F.col("n") - F.col("n_near")).alias("base_blocks"), blocks(F.col("n_near")).alias("near_blocks"))
+    rows = own.join(mixed, "key")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("near"), F.col("near_blocks")).otherwise(F.col("base_blocks"))).cast("int"))
     to_base = rows.withColumn("i", F.explode(F.when(F.col("near"), F.sequence(F.lit(0), F.col("base_blocks") - 1)).otherwise(F.array("block")))).withColumns({"j": F.col("i"), "kind": F.lit(0)})
     among = rows.where("near").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("near_blocks") - 1))).withColumns({"i": F.least("block", "o"), "j": F.greatest("block", "o"), "kind": F.lit(1)})
-    columns = ["key", "kind", "i", "j", "rep", "comp", "near", "block", "sketch"]
+    group = ["key", "kind", "i", "j"]
+    columns = [*group, "rep", "comp", "near", "block"]
+    both = to_base.select(columns).union(among.select(columns))
+    texts = _texts(docs, rows.select(F.col("rep").alias("id")).distinct()).withColumnRenamed("id", "rep")
+    full = both.join(reps.select("rep", "bands", "sketch").join(texts, "rep"), "rep")
     least = SIZE * (threshold - SLACK * (threshold * (1 - threshold) / SIZE) ** 0.5)
-    return to_base.select(columns).union(among.select(columns)).groupBy("key", "kind", "i", "j").applyInPandas(lambda pdf: _close(pdf, least), "a long, b long").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, parts = None, []
+
+        def done() -> pa.RecordBatch:
+            found = _Block(pa.Table.from_batches(parts)).links(least, threshold) if parts and sum(p.num_rows for p in parts) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([max(f) for f in found], pa.int64()), pa.array([min(f) for f in found], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            marks = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in group], 1)
+            edges = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1).tolist(), len(marks)]
+            for lo, hi in zip(edges, edges[1:]):
+                if hi == lo:
+                    continue
+                this = tuple(marks[lo])
+                if this != last:
+                    yield done()
+                    last, parts = this, []
+                parts.append(batch.slice(lo, hi - lo))
+        yield done()
+
+    dealt = full.select(*columns, "bands", "sketch", "text").repartition(*group).sortWithinPartitions(*group)
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -245,14 +334,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pivots = cut(members.join(central, "rep").groupBy("key").agg(F.max(F.struct("c", (-F.col("rep")).alias("r"))).alias("m")).select("key", (-F.col("m.r")).alias("pivot")), "pivots")
     pairs = cut(members.join(pivots, "key").where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
     links = cut(verify(pairs, source, threshold), "links")
-    classes = components(links)
-    sketches = reps.select("rep", "sketch")
-    rest = cut(_rest(members, pivots, classes, sketches, threshold), "rest")
-    fresh = rest.join(pairs, ["a", "b"], "left_anti").join(pairs.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    if fresh.limit(1).count():
-        more = cut(verify(fresh, source, threshold), "links")
-        classes = components(links.union(more))
+    classes = cut(components(links), "classes")
+    more = cut(_rest(members, pivots, classes, reps, source, threshold), "links")
+    # components of components
+    joined = more
+    for end in ("a", "b"):
+        of = classes.select(F.col("id").alias(end), F.col("component").alias("_c"))
+        joined = joined.join(of, end, "left").withColumn(end, F.coalesce("_c", end)).drop("_c")
+    merged = components(joined.select("a", "b")).select(F.col("id").alias("first"), F.col("component").alias("top"))
     found = signed.select("id", "k1", "k2").join(reps.select("k1", "k2", "rep"), ["k1", "k2"], "left").join(classes.withColumnRenamed("id", "rep"), "rep", "left")
-    found = found.select("id", F.coalesce("component", "rep", "id").alias("class_id")).groupBy("id").agg(F.min("class_id").alias("class_id"))
+    found = found.withColumn("first", F.coalesce("component", "rep", "id")).join(merged, "first", "left")
+    found = found.select("id", F.coalesce("top", "first").alias("class_id")).groupBy("id").agg(F.min("class_id").alias("class_id"))
     empty = source.where(F.col("id").isNull()).select("id", F.lit(None).cast("long").alias("class_id"))
     return found.union(empty).select(F.col("id").alias(id_col), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
