@@ -6,9 +6,11 @@ comments: by element, role, class and id words) are left out with all they hold.
 Pass one classifies each block by length, link density and stop-word density as
 good, bad or undecided. Pass two lets each undecided block take the label of its
 nearest decided neighbours: good if both agree or the nearer one is good.
-If the page marks its article (``article`` or ``main``), only blocks within it are
-judged and the undecided ones among them start out as good, for the page itself has
-decided; they are bad only where almost all of them is link text.
+Both passes run on all blocks of every page, within a marked article (``article`` or
+``main``) or not. The mark is a prior only: within it, few stop words or some link text
+leave a block undecided, and bad is only what is almost all link text. Undecided blocks
+look at neighbours on their own side of the mark; without a decided one, those within
+are good and the others bad.
 
 Rows are independent: nothing is shuffled, and a page is read whole. Defined results:
 null or empty html gives an empty text; unclosed and stray tags are tolerated;
@@ -176,36 +178,37 @@ def blocks(page: str) -> list[Block]:
 
 def classify(found: list[Block], rules: Rules = Rules()) -> list[bool]:
     """Whether each block is main text."""
-    marked = any(b.article for b in found)
     first: list[bool | None] = []
     for b in found:
-        if marked:
-            first.append(b.article and b.link_density <= rules.article_link_density)
-            continue
         words = [w.lower() for w in _WORD.findall(b.text)]
         stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        if b.link_density > rules.max_link_density:
+        if b.link_density > (rules.article_link_density if b.article else rules.max_link_density):
             first.append(False)
+        elif b.link_density > rules.max_link_density:
+            first.append(None)
         elif b.heading or len(b.text) < rules.short_chars:
             first.append(None)
         elif stops >= rules.good_stop_density:
             first.append(True if len(b.text) >= rules.long_chars or b.text[-1:] in ".!?…»”\"" else None)
         elif stops < rules.bad_stop_density and len(b.text) < rules.long_chars:
-            first.append(False)
+            first.append(None if b.article else False)
         else:
             first.append(True if len(b.text) >= rules.long_chars else None)
     before, after = [(None, 0)] * len(first), [(None, 0)] * len(first)
     for order, near in ((range(len(first)), before), (range(len(first) - 1, -1, -1), after)):
-        last: tuple[bool | None, int] = (None, 0)
+        last: dict[bool, tuple[bool | None, int]] = {True: (None, 0), False: (None, 0)}  # by side of the mark
         for i in order:
-            near[i] = (last[0], abs(i - last[1]) if last[0] is not None else len(first) + 1)
+            label, at = last[found[i].article]
+            near[i] = (label, abs(i - at) if label is not None else len(first) + 1)
             if first[i] is not None:
-                last = (first[i], i)
+                last[found[i].article] = (first[i], i)
     out = []
     for i, label in enumerate(first):
         if label is None:
             (b, db), (a, da) = before[i], after[i]
-            if found[i].heading:  # a heading belongs to what follows it
+            if a is None and b is None:
+                label = found[i].article
+            elif found[i].heading and not (a is None and found[i].article):  # a heading belongs to what follows it
                 label = bool(a)
             elif a == b:
                 label = bool(a)

@@ -157,6 +157,15 @@ def test_blocks_without_an_article():
     assert html_extract.main_text(page).split("\n")[:4] == ["A heading", PROSE, "Short one.", PROSE] and "Section" not in html_extract.main_text(page) and "Legal" not in html_extract.main_text(page)
 
 
+def test_blocks_beside_an_article():
+    cards = "".join(f'<article class="teaser"><h3><a href="/{i}">Another story {i}</a></h3><p>Short card.</p></article>' for i in range(4))
+    page = f"<body><div><h2>A heading</h2><p>{PROSE}</p><p>Short one.</p></div>{cards}<div><p>{PROSE}</p></div><ul><li><a href='/'>Home</a></li></ul></body>"
+    assert html_extract.main_text(page).split("\n") == ["A heading", PROSE, "Short one.", PROSE]
+    page = f"<body><article><h1>Title</h1><p>{PROSE}</p><p>Xyzzy plugh, foo bar: quux corge grault garply waldo fred xyzzy plugh thud</p><h2>End</h2></article><div><p>{PROSE} More.</p><p><a href='/'>Home</a></p></div></body>"
+    assert html_extract.main_text(page).split("\n") == ["Title", PROSE, "Xyzzy plugh, foo bar: quux corge grault garply waldo fred xyzzy plugh thud", "End", f"{PROSE} More."]
+    assert html_extract.main_text("<article><h1>Title</h1><p>Tiny.</p></article><p>Legal</p>") == "Title\nTiny."
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage against a brute-force version of it."""
     rng = random.Random(11)
