@@ -119,9 +119,9 @@ def match_frontmatter(v):
 
 
 def _markdown(v):
-    """Notes made of conversations: a title, a section per turn."""
+    """Notes made of conversations: a title, a section per turn, of all turns."""
     turn = F.concat(F.lit("## "), "role", F.lit(" "), "turn", F.lit("\n\n"), F.coalesce("text", F.lit("")), F.lit("\n\n"))
-    rows = v.table("conversations").where("turn < 3").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", turn.alias("t")))).alias("ts"))
+    rows = v.table("conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", turn.alias("t")))).alias("ts"))
     body = F.concat(F.lit("---\ntags: [chat/log]\nrating: 5\n---\n# Conversation "), "conv_id", F.lit("\n\n"), F.array_join(F.transform("ts", lambda x: x["t"]), ""))
     return rows.select(F.col("conv_id").alias("file_id"), F.concat(F.lit("chat/"), "conv_id", F.lit(".md")).alias("path"), body.alias("content"))
 

@@ -238,3 +238,25 @@ def test_stream(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         watch.follow(spark.readStream.schema(fields).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out/v1")).collect()] == [("b.md", "h3", 3)]
+
+
+def test_notes_of_conversations_hold_every_turn(spark, tmp_path):
+    """The queries over notes made of conversations against a brute-force version."""
+    from collections import Counter
+
+    from lumenark.plans import registry
+
+    said = "words that are long enough to be a section of their own, for they are many and go on and on and on, as they do in every turn of this talk"
+    odd = {(1, 5): f"see [[never closed {said}", (1, 6): "```\nan open fence", (2, 4): f"mood:: calm\n\n{said}", (2, 7): None}
+    rows = [(c, t, "user" if t % 2 else "bot", odd.get((c, t), f"{t} {said}")) for c in (1, 2) for t in range(8)] + [(3, 6, "user", said)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    run = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
+    notes = {c: f"---\ntags: [chat/log]\nrating: 5\n---\n# Conversation {c}\n\n" + "".join(f"## {r} {t}\n\n{x or ''}\n\n" for i, t, r, x in rows if i == c) for c in (1, 2, 3)}
+    o = M.ChunkOptions()
+    chunks = [(c, k["seq"], " > ".join(k["heading_path"]), M.tokens(k["text"])) for c, x in notes.items() for k in M.split_oversized(M.chunk_note(x), M.tokens, o.target_tokens, o.overlap_tokens)]
+    assert sorted(map(tuple, run("chunk_notes"))) == sorted(chunks) and (2, "Conversation 2 > user 5") in {(c[0], c[2]) for c in chunks}
+    found = Counter((r, "error" if r in lint.ERRORS else "warning") for x in notes.values() for _, r, _ in lint.note_findings(x))
+    assert {(r.rule, r.severity): r.n for r in run("lint_all")} == found and found["malformed-wikilink", "error"] == found["unterminated-fence", "error"] == 1
+    props = Counter((n, k) for x in notes.values() for n, _, k in [*M.properties(x), *M.inline_fields(M.split_frontmatter(x)[1])])
+    assert {(r.name, r.kind): r.n for r in run("structure_edges")} == props and props["mood", "text"] == 1
+    assert sorted(r.file_id for r in run("parse_notes")) == [1, 2, 3]
