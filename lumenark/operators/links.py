@@ -1,8 +1,10 @@
 """Discovery of link opportunities in prose, and writing them in.
 
 The index of names (paths' stems and aliases) is small text per note; it is broadcast
-while it is within ``BROADCAST_NAMES`` names. Beyond it, candidates come from an equi
-join on the first word of each name instead."""
+while it is within ``BROADCAST_NAMES`` names. Beyond it, each note gets by equi joins the
+names that one of its windows equals or resembles, and the first names that it has; the
+result is the same. Resemblance is found exactly: a name that k edits can reach is cut into
+k + 1 segments, one of which a window within k edits holds near its place."""
 
 from __future__ import annotations
 
@@ -48,6 +50,10 @@ def fold(name: str) -> str:
     return re.sub(r"[\s_-]+", " ", name).strip().lower()
 
 
+def is_name(name: str) -> bool:
+    return len(name.strip()) >= 3 and not re.fullmatch(r"\d{4} \d{2} \d{2}", fold(name))
+
+
 class NameIndex:
     """Names by fold, and by word count for fuzzy windows."""
 
@@ -55,7 +61,7 @@ class NameIndex:
         """(name, target path, kind: exact or alias)."""
         self.by_fold: dict[str, tuple[str, str]] = {}
         for name, target, kind in sorted(names, key=lambda n: (n[2] != "exact", n[1])):
-            if len(name.strip()) >= 3 and not re.fullmatch(r"\d{4} \d{2} \d{2}", fold(name)):
+            if is_name(name):
                 self.by_fold.setdefault(fold(name), (target, kind))
         self.by_words: dict[int, list[str]] = {}
         firsts: dict[str, set[str]] = {}
@@ -67,6 +73,15 @@ class NameIndex:
         self.firsts = {w: next(iter(t)) for w, t in firsts.items() if len(t) == 1 and len(w) >= 3}
         self.longest = max(self.by_words, default=0)
 
+    @classmethod
+    def part(cls, folds: dict[str, tuple[str, str]], firsts: dict[str, str], longest: int) -> NameIndex:
+        """What one note needs of an index of many names."""
+        index = cls([])
+        index.by_fold, index.firsts, index.longest = folds, firsts, longest
+        for key in folds:
+            index.by_words.setdefault(len(key.split()), []).append(key)
+        return index
+
 
 def free_spans(content: str) -> list[tuple[int, int]]:
     """Stretches outside frontmatter, fences, code, links and addresses."""
@@ -83,6 +98,15 @@ def free_spans(content: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out if b > a]
 
 
+def windows_of(content: str, longest: int) -> list[tuple[int, int, int]]:
+    """(start, end, words) of all runs of up to ``longest`` words."""
+    windows = []
+    for lo, hi in free_spans(content):
+        words = [(lo + m.start(), lo + m.end()) for m in _WORD.finditer(content[lo:hi])]
+        windows += [(words[i][0], words[i + n - 1][1], n) for n in range(1, longest + 1) for i in range(len(words) - n + 1)]
+    return windows
+
+
 def discover(content: str, own: str, index: NameIndex) -> list[Found]:
     """Mentions of other notes: exact names and aliases, longest first; then similar
     windows of as many words; then first names that only one note has. No two overlap,
@@ -90,10 +114,7 @@ def discover(content: str, own: str, index: NameIndex) -> list[Found]:
     found: list[Found] = []
     taken: list[tuple[int, int]] = []
     free = lambda a, b: all(b <= x or a >= y for x, y in taken)
-    windows = []
-    for lo, hi in free_spans(content):
-        words = [(lo + m.start(), lo + m.end()) for m in _WORD.finditer(content[lo:hi])]
-        windows += [(words[i][0], words[i + n - 1][1], n) for n in range(1, index.longest + 1) for i in range(len(words) - n + 1)]
+    windows = windows_of(content, index.longest)
     windows.sort(key=lambda w: (-(w[1] - w[0]), w[0]))
 
     def claim(a: int, b: int, target: str, kind: str) -> None:
@@ -150,13 +171,75 @@ def discover_links(notes: DataFrame, aliases: DataFrame | None = None) -> DataFr
                 yield rows(b, lambda _: index)
 
         return notes.select("path", "content").mapInArrow(run, fields)
-    # too many names: only those whose first word the note has, by an equi join
-    words = notes.select("path", F.explode(F.array_distinct(F.split(F.lower("content"), r"[^\p{L}\p{N}]+"))).alias("w"))
-    near = words.join(names.withColumn("w", F.element_at(F.split(F.lower("name"), r"[^\p{L}\p{N}]+"), 1)), "w").groupBy("path").agg(F.collect_set(F.struct("name", "target", "kind")).alias("names"))
+    keyed = names.mapInArrow(_keyed, "key string, words int, target string, kind string")
+    best = keyed.groupBy("key", "words").agg(F.min(F.struct((F.col("kind") != "exact").alias("o"), "target", "kind")).alias("m")).select("key", "words", "m.target", "m.kind")
+    longest = best.agg(F.max("words")).first()[0] or 0
+    two = best.where("kind = 'exact' AND words = 2").groupBy(F.split("key", " ")[0].alias("text")).agg(F.min("target").alias("first"), F.count_distinct("target").alias("n"))
+    firsts = two.where("n = 1 AND length(text) >= 3").drop("n")
+
+    def spoken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                found = list({(fold(c[x:y]), n) for x, y, n in windows_of(c or "", longest)})
+                yield pa.RecordBatch.from_arrays([pa.array([p] * len(found), pa.string()), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int32())], names=["path", "text", "words"])
+
+    windows = notes.select("path", "content").mapInArrow(spoken, "path string, text string, words int")
+    texts = windows.where(F.length("text") >= 6).select("text", "words").distinct().mapInArrow(_pieces(False), "text string, words int, size int, i int, piece string")
+    cuts = best.select("key", "words").mapInArrow(_pieces(True), "key string, words int, size int, i int, piece string")
+    longer = F.greatest(F.length("key"), F.length("text"))
+    alike = texts.join(cuts, ["words", "size", "i", "piece"]).where((F.abs(F.length("key") - F.length("text")) <= 0.08 * longer) & (1 - F.levenshtein("key", "text") / longer >= FUZZY)).select("text", "words", "key").distinct()
+    near = windows.join(alike, ["text", "words"]).select("path", "key").union(windows.select("path", F.col("text").alias("key"))).distinct()
+    near = near.join(best, "key").groupBy("path").agg(F.collect_set(F.struct("key", "target", "kind")).alias("names"))
+    named = windows.where("words = 1").join(firsts, "text").groupBy("path").agg(F.collect_set(F.struct("text", "first")).alias("firsts"))
 
     def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = b.column(2).to_pylist()
-            yield rows(b, lambda k: NameIndex([(n["name"], n["target"], n["kind"]) for n in own[k] or []]))
+            own, first = b.column(2).to_pylist(), b.column(3).to_pylist()
+            yield rows(b, lambda k: NameIndex.part({n["key"]: (n["target"], n["kind"]) for n in own[k] or []}, {f["text"]: f["first"] for f in first[k] or []}, longest))
+
+    return notes.join(near, "path", "left").join(named, "path", "left").select("path", "content", "names", "firsts").mapInArrow(few, fields)
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, words, target, kind) of (name, target, kind)."""
+    for b in batches:
+        kept = b.filter(pa.array([is_name(n) for n in b.column(0).to_pylist()], pa.bool_()))
+        keys = [fold(n) for n in kept.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([len(k.split()) for k in keys], pa.int32()), kept.column(1), kept.column(2)], names=["key", "words", "target", "kind"])
+
+
+def edits_of(size: int) -> int:
+    """Edits within which a text can resemble a name of ``size`` characters: the longer
+    of the two has at most size / FUZZY."""
+    return int((1 - FUZZY) * size / FUZZY + 1e-6)
+
+
+def segments(size: int) -> list[tuple[int, int]]:
+    """(start, end) of the edits + 1 even segments of a name."""
+    k = edits_of(size) + 1
+    return [(i * size // k, (i + 1) * size // k) for i in range(k)]
+
+
+def probes(text: str) -> Iterator[tuple[int, int, str]]:
+    """(size, i, piece): what segment i of a name of that size is if the name resembles
+    ``text``. Segment i moves by at most i before it, and what follows it by at most the
+    edits that are left."""
+    n = len(text)
+    for size in range(int(n * FUZZY), int(n / FUZZY) + 2):
+        k, more = edits_of(size), n - size
+        if k and abs(more) <= k:
+            for i, (lo, hi) in enumerate(segments(size)):
+                for move in range(max(-i, more - (k - i), -lo), min(i, more + (k - i), n - hi) + 1):
+                    yield size, i, text[lo + move : hi + move]
+
+
+def _pieces(of_names: bool):
+    """Segments of names, or the probes for them, of (text, words)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                found = [(len(t), i, t[x:y]) for i, (x, y) in enumerate(segments(len(t)))] if of_names else list(dict.fromkeys(probes(t)))
+                yield pa.RecordBatch.from_arrays([pa.array([t] * len(found), pa.string()), pa.array([w] * len(found), pa.int32()), *(pa.array([f[k] for f in found], t_) for k, t_ in enumerate((pa.int32(), pa.int32(), pa.string())))], names=["key" if of_names else "text", "words", "size", "i", "piece"])
 
-    return notes.join(near, "path", "left").select("path", "content", "names").mapInArrow(few, fields)
+    return run

@@ -260,3 +260,40 @@ def test_notes_of_conversations_hold_every_turn(spark, tmp_path):
     props = Counter((n, k) for x in notes.values() for n, _, k in [*M.properties(x), *M.inline_fields(M.split_frontmatter(x)[1])])
     assert {(r.name, r.kind): r.n for r in run("structure_edges")} == props and props["mood", "text"] == 1
     assert sorted(r.file_id for r in run("parse_notes")) == [1, 2, 3]
+
+
+def test_discovery_beyond_the_broadcast_is_the_same(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    slip = lambda w: (lambda i: rng.choice([w[:i] + "q" + w[i + 1 :], w[:i] + w[i + 1 :], w[:i] + "q" + w[i:]]))(rng.randrange(len(w)))
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(3, 14)))
+    names = [" ".join(word() for _ in range(rng.randint(1, 5))) for _ in range(60)] + ["internationalisation", "Jonathan Smithson Alexander", "(draft) plan of the year", "v1.2 notes of release", "Ada Lovelace", "Ada Byronson", "Grace Hopper", "2026-01-02", "ab"]
+    said = [f"we met {slip(n)} and {slip(slip(n))} or {n.title()}" for n in names]
+    said += ["internationalization is long", "Jonathon Smithson Alexander came", "the draft) plan of the year", "see v1.2 notes of release", "Ada and Grace, Grace-like", None, "nothing"]
+    rows = [(f"n/{n}.md", f"{a}. {b}") for n, a, b in zip(names, said, reversed(said[: len(names)]))] + [(f"p/x{i}.md", c) for i, c in enumerate(said[len(names) :])] + [("m/Grace Hopper.md", "Hopper")]
+    notes = spark.createDataFrame(rows, "path string, content string").repartition(3)
+    aliases = spark.createDataFrame([("n/Grace Hopper.md", "Amazing Grace of the Navy"), ("p/x1.md", "Ada Lovelace")], "path string, alias string")
+    found = lambda: sorted(map(tuple, links.discover_links(notes, aliases).collect()))
+    whole = found()
+    monkeypatch.setattr(links, "BROADCAST_NAMES", 5)
+    assert found() == whole
+    kinds = [(t, k) for *_, t, k in whole]
+    assert ("n/internationalisation.md", "fuzzy") in kinds and ("n/Jonathan Smithson Alexander.md", "fuzzy") in kinds and any(k == "first-name" for _, k in kinds)
+    assert sum(k == "fuzzy" for _, k in kinds) > 30
+
+
+def test_probes_reach_every_name_that_is_near():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(3000):
+        name = "".join(rng.choices("abc ", k=rng.randint(6, 70)))
+        text = list(name)
+        for _ in range(rng.randint(0, links.edits_of(len(name)) + 1)):
+            i = rng.randrange(len(text))
+            text[i : i + rng.randint(0, 1)] = rng.choices("abcx", k=rng.randint(0, 1))
+        text = "".join(text)
+        if text != name and links.similarity(name, text) >= links.FUZZY:
+            own = {(len(name), i, name[a:b]) for i, (a, b) in enumerate(links.segments(len(name)))}
+            assert own & set(links.probes(text)), (name, text)
