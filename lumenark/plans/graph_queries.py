@@ -137,8 +137,9 @@ def upsert_files(v):
 @query("SELECT 'chunks' AS name, count(*) AS n FROM chunks WHERE file_id % 4 > 0 UNION ALL SELECT 'tags', count(*) FROM note_tags WHERE file_id % 4 > 0 UNION ALL SELECT 'props', count(*) FROM props WHERE file_id % 4 > 0 UNION ALL SELECT 'targets', count(*) FROM props WHERE file_id % 4 > 0 AND (file_id + 1) % 4 > 0")
 def delete_cascade(v):
     """Rows of deleted notes go, references to them are emptied."""
-    gone = v.spark.range(0, 200_000, 4).select(F.col("id").alias("file_id"))
     props = v.props.withColumn("target_file", F.col("file_id") + 1)
+    ids = v.chunks.select("file_id").union(v.note_tags.select("file_id")).union(props.select("file_id")).union(props.select("target_file"))
+    gone = ids.where("file_id % 4 = 0").distinct()
     out = S.remove(gone, {"chunks": v.chunks, "tags": v.note_tags, "props": props}, {"props": "target_file"})
     n = lambda name, df: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
     return n("chunks", out["chunks"]).union(n("tags", out["tags"])).union(n("props", out["props"])).union(n("targets", out["props"].where("target_file IS NOT NULL")))

@@ -62,3 +62,19 @@ def test_derive_edges(spark):
     e, u = G.derive_edges(c, notes, h)
     assert sorted((r.from_file, r.from_chunk_seq, r.to_file, r.to_chunk_seq) for r in e.collect()) == [(1, 0, 2, -1), (1, 0, 2, 5)]
     assert [r.target for r in u.collect()] == ["gone"]
+
+
+def test_cascade_reaches_all_ids(spark, tmp_path):
+    """Deleted notes are those of the tables, however high their ids go."""
+    from lumenark.plans import registry
+
+    top = 200_000
+    orders = [(top + i, "O", "1-URGENT", 10.5) for i in range(12)] + [(3, "F", "2-HIGH", 1.0), (4, "F", "2-HIGH", 1.0)]
+    docs = [(top + i, "en", "src1") for i in range(8)]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderstatus string, o_orderpriority string, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame(docs, "doc_id long, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(top + 4, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(top + i, 0, "user", "x") for i in range(6)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    keys = [o[0] for o in orders]
+    left = {"chunks": sum(i % 4 > 0 for i in range(6)), "tags": 2 * sum(d[0] % 4 > 0 for d in docs), "props": 4 * sum(k % 4 > 0 for k in keys), "targets": 4 * sum(k % 4 > 0 and (k + 1) % 4 > 0 for k in keys)}
+    assert {r.name: r.n for r in registry.QUERIES["delete_cascade"](spark, str(tmp_path)).collect()} == left
