@@ -148,3 +148,11 @@ def test_error_bounds_hold():
     q, s, g, e = embedding_dedup.quantise(x)
     est = (q.astype(int) @ q.astype(int).T) * s[:, None] * s[None, :]
     assert (np.abs(est - x @ x.T) <= e[:, None] + g[:, None] * e[None, :] + 1e-12).all()
+
+
+def test_sketches_lose_little_next_to_the_bands():
+    from math import comb
+
+    size, t = minhash_dedup.SIZE, 0.8
+    lost = sum(comb(size, k) * t**k * (1 - t) ** (size - k) for k in range(size + 1) if k < minhash_dedup.least_places(t))
+    assert lost < 0.001 * (1 - t**minhash_dedup.PER_BAND) ** minhash_dedup.BANDS
