@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space of the contracts: space, \t \n \v \f \r.
 SPACES = " \t\n\x0b\x0c\r"
@@ -39,6 +41,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Ids (8 bytes each) up to which a counted set of them is broadcast.
+BROADCAST_IDS = 2_000_000
+
+
+def few(ids: DataFrame, bound: int = BROADCAST_IDS) -> DataFrame:
+    """``ids``, a stored table, marked for broadcast if it has at most ``bound`` rows;
+    beyond that Spark joins it by shuffle."""
+    return F.broadcast(ids) if ids.limit(bound + 1).count() <= bound else ids
+
+
 def remove_shared(spark: SparkSession, path: str) -> None:
     """Delete a table of ``write_shared`` that nothing reads any more."""
     jvm = spark.sparkContext._jvm
@@ -46,6 +58,18 @@ def remove_shared(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def parts(texts: list, rows: int, characters: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of at most ``rows`` texts that end once they hold ``characters``."""
+    lo = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if i + 1 - lo >= rows or size >= characters:
+            yield lo, i + 1
+            lo, size = i + 1, 0
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
 # --- vectorised word hashing -------------------------------------------------
 
 _RNG = np.random.default_rng(20240917)

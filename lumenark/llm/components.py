@@ -51,7 +51,7 @@ def _minimum(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m"))
 
 
-def components(edges: DataFrame, max_rounds: int = 60, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(id, component) of all vertices of ``edges`` (a, b: long), component being
     the smallest id of each component. No edges: no rows."""
     spark = edges.sparkSession
@@ -62,7 +62,7 @@ def components(edges: DataFrame, max_rounds: int = 60, local_edges: int = LOCAL_
     mark = None
     if now.limit(local_edges + 1).count() <= local_edges:
         return now.coalesce(1).mapInArrow(_in_one_task, "id long, component long")
-    for _ in range(max_rounds):
+    while True:  # ends when a round changes nothing
         found = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if found["n"] == 0 or tuple(found) == mark:
             break

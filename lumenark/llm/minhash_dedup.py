@@ -11,13 +11,19 @@ component with the probability Jaccard similarity of the weighted shingles.
 2. Signatures are cut into bands; documents that share a band are candidates. In each
    band's bucket every member is compared with one pivot, the member that shares most
    buckets with others, so a group of n near copies costs n pairs.
-3. Candidates are verified: the exact probability Jaccard similarity of the whole
+3. Candidates whose sketches could reach the threshold are verified: the exact probability Jaccard similarity of the whole
    texts decides (0.8 or more). Links make components.
 4. Buckets that still hold several components have the members outside the pivot's
-   component compared with all members, in blocks of bounded size that hold whole
-   texts: pairs of different components whose signature sketches could reach the
-   threshold are verified on the spot, each in the first bucket that it shares, and
-   only links that join components are emitted.
+   component compared with all members, in pairs of blocks of bounded size, by their
+   signature sketches: pairs of different components that could reach the threshold,
+   each in the first bucket that it shares, are verified like those of step 3. Only a
+   pair of blocks with very many such pairs gets whole texts, verifies on the spot and
+   emits only links that join components, so no task or table grows with the square
+   of a group.
+
+Texts are read twice, to sign and to verify, and only those of candidates travel: the
+ids of candidates are broadcast while at most ``common.BROADCAST_IDS``, and beyond that docs are
+joined with them by id.
 
 With the default 24 bands of 6, a pair at 0.8 shares a band with probability 0.9993 (1 -
 6.8e-04), and its sketches agree too seldom for step 4 with probability 2e-08 at most, so what
@@ -37,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenark.llm.common import cut, mix64, utf8, word_hashes
+from lumenark.llm.common import cut, few, mix64, parts, utf8, word_hashes
 from lumenark.llm.components import components
 
 WORDS = 5
@@ -46,6 +52,10 @@ SIZE = BANDS * PER_BAND
 #: Documents and bytes that are signed at once.
 BATCH_DOCS, BATCH_BYTES = 1000, 4 << 20
 BLOCK = 1024
+#: Pairs of one pivot that one task verifies.
+PIVOT_PAIRS = 64
+#: Pairs for each row of a block above which the block gets texts instead of emitting them.
+DENSE = 4
 #: Deviations of a sketch's estimate below the threshold that still count.
 SLACK = 6
 _PLACE = mix64(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -119,10 +129,12 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
-    """Exact: over common d the sum of 1 / sum over d' of max(x'/x, y'/y)."""
+    """Exact up to 12 places: over common d the sum of 1 / sum over d' of max(x'/x, y'/y)."""
     both, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
     if not len(both):
         return 0.0
+    if x.max() == 1 and y.max() == 1:  # plain sets: the ratio of two whole numbers
+        return len(both) / (len(a) + len(b) - len(both))
     x, y = x.astype(float), y.astype(float)
     cx, cy = x[i], y[j]
     order = np.argsort(cx / cy, kind="stable")
@@ -135,18 +147,7 @@ def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarr
     only_x, only_y = x.sum() - cx.sum(), y.sum() - cy.sum()
     above = (sum_x[-1] - sum_x[from_here] + only_x) / cx
     below = (sum_y[from_here] + only_y) / cy
-    return float((1 / (above + below)).sum())
-
-
-def _parts(texts: list) -> Iterator[tuple[int, int]]:
-    lo = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if i + 1 - lo >= BATCH_DOCS or size >= BATCH_BYTES:
-            yield lo, i + 1
-            lo, size = i + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
+    return round(float((1 / (above + below)).sum()), 12)
 
 
 def sign(docs: DataFrame) -> DataFrame:
@@ -155,7 +156,7 @@ def sign(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for lo, hi in _parts(texts):
+            for lo, hi in parts(texts, BATCH_DOCS, BATCH_BYTES):
                 values, counts, keys = shingles(texts[lo:hi])
                 s = signatures(values, counts)
                 bands = band_keys(s).view(np.int64)
@@ -170,32 +171,56 @@ def sign(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, k1 long, k2 long, bands array<long>, sketch binary")
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """One text for each of ``ids``, however often its row repeats."""
-    return docs.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+def ids_and_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """One text for each of ``ids`` (id), however often its row repeats."""
+    return docs.join(few(ids), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+
+
+def alike(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose sketches agree often enough to be verified."""
+    both = pairs
+    for end in ("a", "b"):
+        both = both.join(reps.groupBy(F.col("rep").alias(end)).agg(F.min("sketch").alias(f"sketch_{end}")), end)
+    least = least_places(threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SIZE) for c in ("sketch_a", "sketch_b"))
+            yield batch.select(["a", "b"]).filter(pa.array((one == two).sum(1) >= least))
+
+    return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of ids whose texts in ``docs`` (id, text) are similar enough."""
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = _texts(docs, needed)
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    """The pairs (a, b) of ids whose texts in ``docs`` (id, text) are similar enough.
+
+    ``pairs`` is a table. The pairs of a pivot b are dealt to groups of about
+    ``PIVOT_PAIRS``; each group gets b's text once and that of each a, so one pivot's
+    pairs spread over tasks and no text travels twice to a group."""
+    per = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PIVOT_PAIRS).cast("int").alias("groups"))
+    dealt = pairs.join(per, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("groups")).cast("int").alias("nth"))
+    places = dealt.select("b", "nth", F.lit(1).alias("kind"), F.col("a").alias("id")).union(dealt.select("b", "nth", F.lit(0), "b").distinct())
+    placed = places.join(ids_and_texts(docs, places.select("id").distinct()), "id")
+    # the key is hashed, so that consecutive ids and numbers spread
+    placed = placed.repartition(F.xxhash64("b", "nth")).sortWithinPartitions("b", "nth", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot = None
         for batch in batches:
-            texts_a, texts_b, b = (batch.column(c).to_pylist() for c in ("text_a", "text_b", "b"))
+            b, nth, kind, ids, texts = (batch.column(c).to_pylist() for c in ("b", "nth", "kind", "id", "text"))
             good = np.zeros(batch.num_rows, bool)
-            for lo, hi in _parts(texts_a):
-                va, ca, _ = shingles(texts_a[lo:hi])
-                pivots = list(dict.fromkeys(zip(b[lo:hi], texts_b[lo:hi])))
-                vb, cb, _ = shingles([t for _, t in pivots])
-                at = {p: k for k, p in enumerate(pivots)}
+            for lo, hi in parts(texts, BATCH_DOCS, BATCH_BYTES):
+                values, counts, _ = shingles(texts[lo:hi])
                 for i in range(lo, hi):
-                    k = at[b[i], texts_b[i]]
-                    good[i] = probability_jaccard(va[i - lo], ca[i - lo], vb[k], cb[k]) >= threshold
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good)), batch.column("b").filter(pa.array(good))], names=["a", "b"])
+                    own = (b[i], nth[i]), values[i - lo], counts[i - lo]
+                    if kind[i] == 0:
+                        pivot = own
+                    elif pivot is not None and pivot[0] == own[0]:
+                        good[i] = probability_jaccard(*own[1:], *pivot[1:]) >= threshold
+            mask = pa.array(good)
+            yield pa.RecordBatch.from_arrays([batch.column("id").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+    return placed.select("b", "nth", "kind", "id", "text").mapInArrow(run, "a long, b long")
 
 
 def least_places(threshold: float) -> float:
@@ -220,7 +245,7 @@ class _Block:
     def candidates(self, least: float) -> Iterator[tuple[int, np.ndarray]]:
         """Pairs of different components whose sketches could reach the threshold and
         for which this is the first bucket that they share."""
-        if self.kind == 0:
+        if self.kind == 0:  # the group holds one block of either side
             one, two = np.flatnonzero(self.near), np.flatnonzero(~self.near)
         else:
             one, two = np.flatnonzero(self.block == self.i), np.flatnonzero(self.block == self.j)
@@ -283,9 +308,32 @@ class _Block:
         return out
 
 
-def _rest(members: DataFrame, pivots: DataFrame, classes: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Verified links (a, b) that the pivots left between components. Blocks hold whole
-    texts, so pairs are verified where they meet and only links are emitted."""
+def _runs(batches: Iterator[pa.RecordBatch], group: list[str]) -> Iterator[pa.Table]:
+    """The consecutive rows of each group, of sorted batches."""
+    last, held = None, []
+    for batch in batches:
+        marks = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in group], 1)
+        edges = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1).tolist(), len(marks)]
+        for lo, hi in zip(edges, edges[1:]):
+            if hi == lo:
+                continue
+            this = tuple(marks[lo])
+            if this != last and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = this
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+_GROUP = ["key", "kind", "i", "j"]
+
+
+def _blocks(members: DataFrame, pivots: DataFrame, classes: DataFrame) -> DataFrame:
+    """Buckets that still hold several components as pairs of blocks: kind 0 has the
+    members outside the pivot's component (near) against those within, kind 1 the
+    former among themselves. No block holds more than about twice ``BLOCK`` rows."""
     where = members.join(classes, F.col("rep") == F.col("id"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
     pivot_comp = pivots.join(classes, F.col("pivot") == F.col("id"), "left").select("key", F.coalesce("component", "pivot").alias("base"))
     own = where.join(pivot_comp, "key").withColumn("near", F.col("comp") != F.col("base"))
@@ -294,37 +342,53 @@ def _rest(members: DataFrame, pivots: DataFrame, classes: DataFrame, reps: DataF
     mixed = mixed.select("key", blocks(F.col("n") - F.col("n_near")).alias("base_blocks"), blocks(F.col("n_near")).alias("near_blocks"))
     rows = own.join(mixed, "key")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("near"), F.col("near_blocks")).otherwise(F.col("base_blocks"))).cast("int"))
-    to_base = rows.withColumn("i", F.explode(F.when(F.col("near"), F.sequence(F.lit(0), F.col("base_blocks") - 1)).otherwise(F.array("block")))).withColumns({"j": F.col("i"), "kind": F.lit(0)})
-    among = rows.where("near").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("near_blocks") - 1))).withColumns({"i": F.least("block", "o"), "j": F.greatest("block", "o"), "kind": F.lit(1)})
-    group = ["key", "kind", "i", "j"]
-    columns = [*group, "rep", "comp", "near", "block"]
-    both = to_base.select(columns).union(among.select(columns))
-    texts = _texts(docs, rows.select(F.col("rep").alias("id")).distinct()).withColumnRenamed("id", "rep")
-    full = both.join(reps.select("rep", "bands", "sketch").join(texts, "rep"), "rep")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    to_base = rows.withColumn("o", F.explode(F.when(F.col("near"), upto("base_blocks")).otherwise(upto("near_blocks"))))
+    to_base = to_base.withColumns({"kind": F.lit(0), "i": F.when(F.col("near"), F.col("block")).otherwise(F.col("o")), "j": F.when(F.col("near"), F.col("o")).otherwise(F.col("block"))})
+    among = rows.where("near").withColumn("o", F.explode(upto("near_blocks"))).withColumns({"kind": F.lit(1), "i": F.least("block", "o"), "j": F.greatest("block", "o")})
+    columns = [*_GROUP, "rep", "comp", "near", "block"]
+    return to_base.select(columns).union(among.select(columns))
+
+
+def _rest(members: DataFrame, pivots: DataFrame, classes: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """Verified links (a, b) that the pivots left between components.
+
+    Blocks compare sketches first, without texts, and emit the pairs to verify. A
+    block with more than ``DENSE`` of them for each of its rows emits none but its
+    number; only such blocks get the texts of their rows, and verify on the spot."""
+    rows = cut(_blocks(members, pivots, classes), "blocks")
+    full = rows.join(reps.select("rep", "bands", "sketch"), "rep")
+    columns = [*_GROUP, "rep", "comp", "near", "block", "bands", "sketch"]
     least = least_places(threshold)
+    deal = lambda df: df.repartition(F.xxhash64(*_GROUP)).sortWithinPartitions(*_GROUP)
+    found_schema = "a long, b long, key long, kind int, i int, j int"
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches, _GROUP):
+            block = _Block(table)
+            pairs = [(int(block.rep[x]), int(block.rep[h])) for x, hit in block.candidates(least) for h in hit]
+            if len(pairs) > DENSE * table.num_rows:
+                out = [(None, None, block.key, block.kind, block.i, block.j)]
+            else:
+                out = [(max(p), min(p), None, None, None, None) for p in pairs]
+            types = [pa.int64()] * 3 + [pa.int32()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, types)], names=["a", "b", *_GROUP])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, parts = None, []
+    found = cut(deal(full.select(columns)).mapInArrow(search, found_schema), "candidates")
+    thin = cut(found.where(F.col("a").isNotNull()).select("a", "b").distinct(), "candidate-pairs")
+    links = verify(thin, docs, threshold)
+    dense = found.where(F.col("a").isNull()).select(_GROUP)
+    if dense.limit(1).count() == 0:
+        return links
+    held = cut(full.join(dense, _GROUP, "left_semi").select(columns), "dense")
+    texts = ids_and_texts(docs, held.select(F.col("rep").alias("id")).distinct()).withColumnRenamed("id", "rep")
 
-        def done() -> pa.RecordBatch:
-            found = _Block(pa.Table.from_batches(parts)).links(least, threshold) if parts and sum(p.num_rows for p in parts) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([max(f) for f in found], pa.int64()), pa.array([min(f) for f in found], pa.int64())], names=["a", "b"])
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches, _GROUP):
+            found = _Block(table).links(least, threshold)
+            yield pa.RecordBatch.from_arrays([pa.array([max(f) for f in found], pa.int64()), pa.array([min(f) for f in found], pa.int64())], names=["a", "b"])
 
-        for batch in batches:
-            marks = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in group], 1)
-            edges = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1).tolist(), len(marks)]
-            for lo, hi in zip(edges, edges[1:]):
-                if hi == lo:
-                    continue
-                this = tuple(marks[lo])
-                if this != last:
-                    yield done()
-                    last, parts = this, []
-                parts.append(batch.slice(lo, hi - lo))
-        yield done()
-
-    dealt = full.select(*columns, "bands", "sketch", "text").repartition(*group).sortWithinPartitions(*group)
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return links.union(deal(held.join(texts, "rep").select(*columns, "text")).mapInArrow(settle, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -339,8 +403,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = cut(banded.join(shared, "key"), "members")
     central = members.groupBy("rep").agg(F.sum("n").alias("c"))
     pivots = cut(members.join(central, "rep").groupBy("key").agg(F.max(F.struct("c", (-F.col("rep")).alias("r"))).alias("m")).select("key", (-F.col("m.r")).alias("pivot")), "pivots")
-    pairs = cut(members.join(pivots, "key").where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
-    links = cut(verify(pairs, source, threshold), "links")
+    pairs = members.join(pivots, "key").where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+    links = cut(verify(cut(alike(pairs, reps, threshold), "pairs"), source, threshold), "links")
     classes = cut(components(links), "classes")
     more = cut(_rest(members, pivots, classes, reps, source, threshold), "links")
     # components of components
@@ -349,8 +413,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         of = classes.select(F.col("id").alias(end), F.col("component").alias("_c"))
         joined = joined.join(of, end, "left").withColumn(end, F.coalesce("_c", end)).drop("_c")
     merged = components(joined.select("a", "b")).select(F.col("id").alias("first"), F.col("component").alias("top"))
-    found = signed.select("id", "k1", "k2").join(reps.select("k1", "k2", "rep"), ["k1", "k2"], "left").join(classes.withColumnRenamed("id", "rep"), "rep", "left")
-    found = found.withColumn("first", F.coalesce("component", "rep", "id")).join(merged, "first", "left")
-    found = found.select("id", F.coalesce("top", "first").alias("class_id")).groupBy("id").agg(F.min("class_id").alias("class_id"))
+    of = reps.select("k1", "k2", "rep").join(classes.withColumnRenamed("id", "rep"), "rep", "left").withColumn("first", F.coalesce("component", "rep"))
+    of = of.join(merged, "first", "left").select("k1", "k2", F.coalesce("top", "first").alias("class_id"))
+    found = signed.where(F.col("k1").isNotNull()).select("id", "k1", "k2").join(of, ["k1", "k2"]).select("id", "class_id")
+    found = found.union(signed.where(F.col("k1").isNull()).select("id", F.col("id").alias("class_id"))).groupBy("id").agg(F.min("class_id").alias("class_id"))
     empty = source.where(F.col("id").isNull()).select("id", F.lit(None).cast("long").alias("class_id"))
     return found.union(empty).select(F.col("id").alias(id_col), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))

@@ -1,4 +1,7 @@
+import collections
 import random
+import re
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -31,11 +34,32 @@ def test_components(spark, local):
     assert components.components(spark.createDataFrame([], "a long, b long"), local_edges=local).count() == 0
 
 
-def brute(texts, threshold=0.8):
-    v, c, k = minhash_dedup.shingles(texts)
-    n = len(texts)
-    pairs = [(i, j) for i in range(n) for j in range(i) if k[i] and k[j] and (k[i] == k[j] or minhash_dedup.probability_jaccard(v[i], c[i], v[j], c[j]) >= threshold)]
-    return union(n, pairs)
+def weighted_shingles(text):
+    """Five-word shingles and their counts, by the docstring's rule and nothing of the module."""
+    w = tuple(re.findall(r"[0-9A-Za-z\u0080-\U0010ffff]+", (text or "").lower()))
+    return w, collections.Counter(w[i : i + 5] for i in range(len(w) - 4)) if len(w) >= 5 else collections.Counter([w] if w else [])
+
+
+def similarity(x, y):
+    """Probability Jaccard by its definition, in fractions."""
+    both = x.keys() & y.keys()
+    if not both:
+        return Fraction(0)
+    if max(*x.values(), *y.values()) == 1:
+        return Fraction(len(both), len(x.keys() | y.keys()))
+    every = x.keys() | y.keys()
+    return sum(1 / sum(max(Fraction(x[e], x[d]), Fraction(y[e], y[d])) for e in every) for d in both)
+
+
+def brute(texts, threshold=Fraction(4, 5)):
+    own = [weighted_shingles(t) for t in texts]
+    pairs = []
+    for i, (w, x) in enumerate(own):
+        for j, (v, y) in enumerate(own[:i]):
+            # no more than the common share of the larger one can be similar
+            if w and v and (w == v or len(x.keys() & y.keys()) >= 0.8 * max(len(x), len(y)) * 0.99 and similarity(x, y) >= threshold or max(*x.values(), *y.values()) > 1 and x.keys() & y.keys() and similarity(x, y) >= threshold):
+                pairs.append((i, j))
+    return union(len(texts), pairs)
 
 
 def words(rng, n):
@@ -67,9 +91,12 @@ def test_near_duplicates(spark):
     assert [got[i] for i in range(len(texts))] == brute(texts)
 
 
-def test_bridges_are_found(spark, monkeypatch):
-    """A chain whose ends are apart is one class, in blocks of any size."""
+@pytest.mark.parametrize("dense", [0, 4])
+def test_bridges_are_found(spark, monkeypatch, dense):
+    """A chain whose ends are apart is one class, in blocks of any size and density."""
     monkeypatch.setattr(minhash_dedup, "BLOCK", 4)
+    monkeypatch.setattr(minhash_dedup, "DENSE", dense)
+    monkeypatch.setattr(minhash_dedup, "PIVOT_PAIRS", 3)
     rng = random.Random(9)
     base, texts = words(rng, 200), []
     for i in range(25):
@@ -87,6 +114,21 @@ def test_near_duplicates_of_odd_tables(spark):
     assert minhash_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_pairs_at_the_threshold_link(spark):
+    """8 of 10 shingles in common: 0.8 without rounding below it."""
+    a = [f"w{i}" for i in range(13)]
+    rows = [(1, " ".join(a)), (2, " ".join(a[:-1] + ["other"])), (3, " ".join(["x", *a])), (4, " ".join(a[:12]))]
+    got = {r.doc_id: r.class_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] - 1 for i in range(1, 5)] == brute([t for _, t in rows])
+
+
+def test_repeated_ids_and_hot_texts(spark):
+    """Rows of one id are one document; a text that most rows share is one class."""
+    rows = [(i % 40, "the very same text of more than five words") for i in range(400)] + [(500 + i, None) for i in range(50)]
+    got = {r.doc_id: (r.class_id, r.kept) for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {i: (0, i == 0) for i in range(40)} | {500 + i: (500 + i, True) for i in range(50)}
+
+
 def test_probability_jaccard_by_definition():
     rng = np.random.default_rng(1)
     for _ in range(50):
