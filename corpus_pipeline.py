@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenark.llm import language_id, line_dedup, minhash_dedup, packing, quality_rules
-from lumenark.llm.common import cut
+from lumenark.llm.common import cut, few
 from lumenark.session import prepare, table
 
 ORACLE_SQL = None
@@ -39,8 +39,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one of the smallest id."""
-    gone = minhash_dedup.near_duplicates(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = cut(minhash_dedup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "gone")
+    return docs.join(few(gone), "doc_id", "left_anti").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
