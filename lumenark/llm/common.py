@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,16 +17,29 @@ SPACES = " \t\n\x0b\x0c\r"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the
-    session. Only where that is unset (tests, one machine) a temporary one is made."""
+    session. Only on one machine (a local master, as in tests) a temporary one may be
+    made; on a cluster an unset folder is an error."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not at:
-        at = sc.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='lumenark-')}"
+        at = sc.getCheckpointDir()
+    if not at:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        at = f"file://{tempfile.mkdtemp(prefix='lumenark-')}"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(at)
     return at.rstrip("/")
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, or that with underscores before it, that is none of ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def write_shared(df: DataFrame, name: str, partition_by: str | None = None) -> str:
     """Write ``df`` as a Parquet table in the shared folder; returns its path.
     Cuts lineage: a lost executor costs only the tasks that read the table."""
