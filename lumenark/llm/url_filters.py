@@ -6,24 +6,33 @@ over all URLs; the tokens of a URL fetch candidate rules from the index, and onl
 those run their expressions. A rule without a sure literal is indexed under the
 empty token, which every URL has.
 
-Matches are reduced to one number per URL before they are shuffled, and joined back
-by URL, so a URL with a third of all rows is one row per task until then; Spark's
-skew join splits the rest. The rule index is broadcast while the rules, which the
-caller passes as a list, are at most ``BROADCAST_RULES``.
+A verdict depends on its row alone, so no row is shuffled: one pass counts the rules'
+literals over all URLs (counts combine in the tasks; at most one row for each literal
+comes back), then the index, an array of hash buckets, is one constant of the plan and
+each row looks its tokens up in it. That constant grows with the rule list, which the
+caller holds in memory; more than ``MOST_RULES`` rules are an error.
 
 Defined results: a null URL or one without ``://`` has an empty host and path,
-matches nothing and is allowed; repeated rows stay; an empty table gives no rows.
+matches nothing and is allowed; of the listed rules that match the longest wins (of
+equal length the one later in the list), then of the others likewise; very long URLs are
+read whole; repeated rows stay; columns named as an added one are replaced, all others
+pass through; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_RULES = 100_000
+from lumenark.llm.common import unused
+
+#: About 20 MB of constants.
+MOST_RULES = 100_000
 
 
 @dataclass(frozen=True)
@@ -67,35 +76,57 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def rule_table(spark, rules: tuple[Rule, ...]) -> DataFrame:
-    """The rules by rank: unlisted ones first, then by length; the largest wins."""
+_BUCKET = "array<struct<token:string,rank:bigint,pattern:string,rule:string,verdict:string>>"
+
+
+def _tokens(target: str) -> str:
+    """SQL for the distinct alphanumeric runs of a target, and the empty token."""
+    return f"array_distinct(concat(split(lower({target}), '[^a-z0-9]+'), array('')))"
+
+
+def _constant(value: object, kind: str) -> str:
+    """SQL for a constant of the given type; Spark folds it to one literal."""
+    text = json.dumps(value).replace("\\", "\\\\").replace("'", "\\'")
+    return f"from_json('{text}', '{kind}')"
+
+
+def literal_counts(urls: DataFrame, literals: list[str]) -> dict[str, int]:
+    """In how many rows of ``urls`` (target) each literal stands as a token."""
+    tokens = F.explode(F.expr(f"array_intersect({_tokens('target')}, {_constant(literals, 'array<string>')})"))
+    return {r["token"]: r["count"] for r in urls.select(tokens.alias("token")).groupBy("token").count().collect()}
+
+
+def rule_index(rules: tuple[Rule, ...], counts: dict[str, int]) -> list[list[dict]]:
+    """The rules under their rarest literals, in buckets by the literal's crc32. A
+    literal that no URL holds is the rarest of all. Unlisted rules rank below listed
+    ones, shorter below longer."""
+    buckets: list[list[dict]] = [[] for _ in range(max(1, len(rules)))]
     order = sorted(rules, key=lambda r: (r.listed, len(r.name)))
-    rows = [
-        F.struct(
-            F.lit(i).cast("long").alias("rank"), F.lit(r.name if r.listed else None).cast("string").alias("rule"), F.lit(r.verdict).alias("verdict"),
-            F.lit(r.pattern).alias("pattern"), F.array(*map(F.lit, dict.fromkeys(r.literals or ("",)))).alias("literals"),
-        )
-        for i, r in enumerate(order, 1)
-    ]
-    return spark.range(1).select(F.inline(F.array(*rows)))
+    for rank, r in enumerate(order, 1):
+        token = min(r.literals or ("",), key=lambda t: (counts.get(t, 0), t))
+        entry = {"token": token, "rank": rank, "pattern": r.pattern, "rule": r.name if r.listed else None, "verdict": r.verdict}
+        buckets[zlib.crc32(token.encode()) % len(buckets)].append(entry)
+    return buckets
 
 
 def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url_col: str = "url") -> DataFrame:
     """``pages`` with host, path, rule and verdict."""
-    small = F.broadcast if len(rules) <= BROADCAST_RULES else (lambda x: x)
-    rows = rule_table(pages.sparkSession, rules)
-    seen = pages.select(F.col(url_col).alias("_u")).where(F.col("_u").contains("://"))
-    target = F.concat(host_of(F.col("_u")), path_of(F.col("_u")))
-    tokens = seen.select("_u", target.alias("target")).select("_u", "target", F.explode(F.array_distinct(F.concat(F.split(F.lower("target"), "[^a-z0-9]+"), F.array(F.lit(""))))).alias("token"))
-    literals = rows.select("rank", F.explode("literals").alias("token"))
-    counts = tokens.join(small(literals.select("token").distinct()), "token", "left_semi").groupBy("token").count()
-    # the rarest literal of each rule; one that no URL holds is the rarest of all
-    rarest = literals.join(counts, "token", "left").groupBy("rank").agg(F.min_by("token", F.struct(F.coalesce("count", F.lit(0)), "token")).alias("token"))
-    index = rarest.join(rows.select("rank", "pattern"), "rank")
-    hits = tokens.join(small(index), "token").where(F.expr("target rlike pattern")).groupBy("_u").agg(F.max("rank").alias("rank"))
-    best = hits.join(small(rows.select("rank", "rule", F.col("verdict").alias("_verdict"))), "rank").drop("rank")
-    out = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
-    return out.join(best, F.col(url_col) == F.col("_u"), "left").withColumn("verdict", F.coalesce("_verdict", F.lit("allow"))).drop("_u", "_verdict")
+    if len(rules) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    url = F.col(url_col)
+    target = F.when(url.contains("://"), F.concat(host_of(url), path_of(url)))
+    counts = literal_counts(pages.select(target.alias("target")).where("target is not null"), sorted({t for r in rules for t in r.literals}))
+    index = rule_index(rules, counts)
+    held, best = unused(pages.columns, "_target"), unused(pages.columns, "_best")
+    bucket = f"element_at({_constant(index, f'array<{_BUCKET}>')}, int(crc32(t) % {len(index)}) + 1)"
+    candidates = f"flatten(transform({_tokens(f'`{held}`')}, t -> filter({bucket}, e -> e.token = t)))"
+    hits = f"array_max(transform(filter({candidates}, e -> `{held}` rlike e.pattern), e -> struct(e.rank, e.rule, e.verdict)))"
+    out = pages.withColumn(held, target).withColumn(best, F.expr(f"IF(`{held}` is null, null, {hits})"))
+    host, path = host_of(url), path_of(url)
+    if url_col in ("host", "path", "rule", "verdict"):
+        raise ValueError(f"the URLs' column must not be named {url_col}")
+    out = out.withColumns({"host": host, "path": path, "rule": F.col(f"`{best}`.rule"), "verdict": F.coalesce(F.col(f"`{best}`.verdict"), F.lit("allow"))})
+    return out.drop(held, best)
 
 
 ORACLE_SQL = r"""
