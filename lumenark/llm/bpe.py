@@ -5,7 +5,9 @@ two non-space characters, so a text splits there without changing its ids. Each
 distinct chunk is encoded once; a text is then a join of remembered byte strings
 (little-endian unsigned 32-bit ids). ``tokenizers`` reads the file; its vocabulary,
 whose ids are merge ranks, is handed to ``tiktoken``, which gives the same ids in
-half the time for rare chunks (tests compare the two)."""
+half the time for rare chunks (tests compare the two). A text that holds the string of
+a special token goes to ``tokenizers`` whole: with ``specials`` its ids hold the special
+token's, as that library gives them by default; without, the string is ordinary text."""
 
 from __future__ import annotations
 
@@ -31,15 +33,16 @@ class ChunkedBpe:
     #: Longer chunks (no spaces for long) are encoded but not remembered.
     LONG = 200
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, specials: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not specials
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
         byte = {c: b for b, c in enumerate(_byte_characters())}
         ranks = {bytes(byte[c] for c in piece): i for piece, i in self.tokenizer.get_vocab().items() if piece not in special}
         self.encoding = tiktoken.Encoding("chunks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -50,9 +53,11 @@ class ChunkedBpe:
         return [array("I", f(c)).tobytes() for c in chunks]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = []
-        for t in texts:
-            if not t:
+        split, whole = [], {}
+        for i, t in enumerate(texts):
+            if t and self.special and self.special.search(t):
+                whole[i] = array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes()
+            if not t or i in whole:
                 split.append([])
                 continue
             # _CUT's \S next to a space: Python's white space holds all of the library's
@@ -71,4 +76,4 @@ class ChunkedBpe:
             long = dict(zip(rest, self._ids([" " + w for w in rest])))
         first = self._ids([parts[0] if parts else "" for parts in split])
         get = (lambda w: known[w] if w in known else long[w]) if long else known.__getitem__
-        return [a + b"".join(map(get, parts[1:])) for a, parts in zip(first, split)]
+        return [whole[i] if i in whole else a + b"".join(map(get, parts[1:])) for i, (a, parts) in enumerate(zip(first, split))]

@@ -5,24 +5,29 @@ A sequence holds pieces of examples under three limits at once: tokens, segments
 nothing is shuffled: tokens stay where they were read, and a hot source or a very
 long text only means more pieces in the tasks that hold it.
 
-Within a task a window of pieces is kept. A sequence is opened and filled by the
-dot-product heuristic: of the pieces that fit, take the one whose demand vector has
-the largest weighted dot product with what the sequence still has free (weights are
-one over the mean demand of the window). If nothing fits, a piece is cut so that the
-sequence becomes full. What is left at the end of a partition, or where the segment
-limit closed a sequence early, is cut into runs whose lengths are powers of two,
-which need no padding.
+Within a task a window of pieces is kept, by their demands: pieces of the same length,
+loss-bearing tokens and kind of start are one class, so however many short or empty rows
+wait, a placement looks at each demand once. A sequence is opened and filled by the
+dot-product heuristic: of the demands that fit, take the one whose vector has the largest
+weighted dot product with what the sequence still has free (weights are one over the mean
+demand of the window); ties go to the demand that came first, and within it to the piece
+that came last. If nothing fits, a piece is cut so that the sequence becomes full. What is
+left at the end of a partition, or where the segment or loss limit closed a sequence
+early, is cut into runs whose lengths are powers of two, which need no padding.
+
+Loss: the ids of a prompt bear none; with ``bare_ends`` an example's first id, which
+nothing predicts, and its end id bear none either.
 
 Defined results: a null text packs as an empty one (its end id only); a row is
-packed by itself even if its id repeats or is null; an empty table gives no rows;
-columns beyond those named are ignored.
+packed by itself even if its id repeats or is null; very long texts are encoded whole and
+cut into pieces; an empty table gives no rows; columns beyond those named are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenark.llm.bpe import ChunkedBpe
+from lumenark.llm.common import parts
 
 #: Appended to every example.
 END_ID = 1
@@ -48,22 +54,26 @@ class Limits:
 @dataclass
 class Piece:
     ids: np.ndarray  # the whole example's
-    loss: np.ndarray | None  # running number of loss-bearing ids, from 0; None: all bear loss
+    lead: int  # so many ids at the example's start bear no loss
+    tail: int  # and so many at its end
     key: object
     start: int
     length: int
 
-    def losses(self, n: int | None = None) -> int:
-        n = self.length if n is None else n
-        return n if self.loss is None else int(self.loss[self.start + n] - self.loss[self.start])
+    def losses(self) -> int:
+        end = len(self.ids) - self.tail
+        return max(0, min(self.start + self.length, end) - max(self.start, self.lead))
 
     def fitting(self, tokens: int, loss: int) -> int:
         """The longest prefix within both limits."""
-        n = min(self.length, tokens)
-        if self.loss is None:
-            return min(n, loss)
-        run = self.loss[self.start : self.start + n + 1] - self.loss[self.start]
-        return int(np.searchsorted(run, loss, side="right")) - 1
+        end = len(self.ids) - self.tail
+        n = max(self.lead - self.start, 0) + loss
+        if self.start + n >= end:  # all that bears loss fits
+            n = self.length
+        return min(self.length, tokens, n)
+
+    def cut(self, n: int) -> tuple[Piece, Piece]:
+        return replace(self, length=n), replace(self, start=self.start + n, length=self.length - n)
 
 
 class Packer:
@@ -72,102 +82,114 @@ class Packer:
     def __init__(self, limits: Limits):
         if min(limits.tokens, limits.segments, limits.loss_tokens) < 1:
             raise ValueError("every limit must be at least 1")
-        self.limits, self.pool, self.waiting = limits, [], 0
-
-    def add(self, ids: np.ndarray, loss: np.ndarray | None, key: object) -> Iterator[list[Piece]]:
-        at, lim = 0, self.limits
-        while at < len(ids):
-            whole = Piece(ids, loss, key, at, len(ids) - at)
-            n = whole.fitting(lim.tokens, lim.loss_tokens)
-            piece = Piece(ids, loss, key, at, n)
-            at += n
-            if n == lim.tokens:
+        self.limits, self.waiting = limits, 0
+        #: The waiting pieces by (length, loss-bearing ids, ids at the start without loss).
+        self.pool: dict[tuple[int, int, int], list[Piece]] = {}
+
+    def _wait(self, piece: Piece) -> tuple[int, int, int]:
+        demand = piece.length, piece.losses(), min(max(piece.lead - piece.start, 0), piece.length)
+        self.pool.setdefault(demand, []).append(piece)
+        return demand
+
+    def add(self, ids: np.ndarray, lead: int, tail: int, key: object) -> Iterator[list[Piece]]:
+        rest, lim = Piece(ids, lead, tail, key, 0, len(ids)), self.limits
+        while rest.length:
+            piece, rest = rest.cut(rest.fitting(lim.tokens, lim.loss_tokens))
+            if piece.length == lim.tokens:
                 yield [piece]
             else:
-                self.pool.append(piece)
-                self.waiting += n
+                self._wait(piece)
+                self.waiting += piece.length
         if self.waiting > lim.window * lim.tokens:
             yield from self.drain(lim.window * lim.tokens // 2)
 
     def drain(self, keep: int = 0) -> Iterator[list[Piece]]:
         """Fill sequences until at most ``keep`` tokens wait."""
-        pool, lim = self.pool, self.limits
-        tok = np.array([p.length for p in pool], float)
-        loss = np.array([p.losses() for p in pool], float)
+        lim, pool = self.limits, self.pool
+        demands = list(pool)
+        place = {d: k for k, d in enumerate(demands)}
+        many = np.array([len(pool[d]) for d in demands], np.int64)
+        tok, loss = (np.array([d[k] for d in demands], float) for k in (0, 1))
         size = np.array([lim.tokens, lim.segments, lim.loss_tokens], float)
-        mean = np.array([tok.mean(), 1.0, max(loss.mean(), 1e-9)]) if pool else np.ones(3)
-        weight = 1.0 / (mean * size)
-        live = np.ones(len(pool), bool)
+        pieces = max(int(many.sum()), 1)
+        weight = 1.0 / (np.array([max(tok @ many / pieces, 1e-9), 1.0, max(loss @ many / pieces, 1e-9)]) * size)
         while self.waiting > keep:
             free, bin_ = size.copy(), []
-            while free[0] >= 1 and free[1] >= 1 and live.any():
-                fits = live & (tok <= free[0]) & (loss <= free[2])
+            while free[0] >= 1 and free[1] >= 1 and many.any():
+                fits = (many > 0) & (tok <= free[0]) & (loss <= free[2])
                 if fits.any():
                     score = np.where(fits, tok * (weight[0] * free[0]) + weight[1] * free[1] + loss * (weight[2] * free[2]), -1.0)
                     i = int(score.argmax())
-                    piece, live[i] = pool[i], False
+                    piece = pool[demands[i]].pop()
                 else:
-                    # cut the piece of which most fits
+                    # cut the demand of which most fits
                     best, i = 0, -1
-                    for j in np.flatnonzero(live):
-                        n = pool[j].fitting(int(free[0]), int(free[2]))
+                    for j in np.flatnonzero(many):
+                        n = pool[demands[j]][-1].fitting(int(free[0]), int(free[2]))
                         if n > best:
                             best, i = n, int(j)
                         if best == free[0]:
                             break
                     if not best:
                         break
-                    p = pool[i]
-                    piece = Piece(p.ids, p.loss, p.key, p.start, best)
-                    pool[i] = Piece(p.ids, p.loss, p.key, p.start + best, p.length - best)
-                    tok[i], loss[i] = pool[i].length, pool[i].losses()
+                    piece, rest = pool[demands[i]].pop().cut(best)
+                    demand = self._wait(rest)
+                    if demand in place:
+                        many[place[demand]] += 1
+                    else:
+                        place[demand] = len(demands)
+                        demands.append(demand)
+                        many, tok, loss = np.append(many, 1), np.append(tok, float(demand[0])), np.append(loss, float(demand[1]))
+                many[i] -= 1
                 bin_.append(piece)
                 self.waiting -= piece.length
                 free -= (piece.length, 1, piece.losses())
             yield from [bin_] if free[0] < 1 else powers_of_two(bin_)
-        self.pool = [p for p, x in zip(pool, live) if x]
+        self.pool = {d: p for d, p in pool.items() if p}
 
 
 def powers_of_two(pieces: list[Piece]) -> Iterator[list[Piece]]:
     """The same ids as runs whose lengths are powers of two, longest first."""
     left = sum(p.length for p in pieces)
-    todo = list(pieces)
+    todo = pieces[::-1]
     while left:
         want = 1 << (left.bit_length() - 1)
         left -= want
         run = []
         while want:
-            p = todo.pop(0)
+            p = todo.pop()
             n = min(p.length, want)
-            run.append(Piece(p.ids, p.loss, p.key, p.start, n))
-            if n < p.length:
-                todo.insert(0, Piece(p.ids, p.loss, p.key, p.start + n, p.length - n))
+            first, rest = p.cut(n)
+            run.append(first)
+            if rest.length:
+                todo.append(rest)
             want -= n
         yield run
 
 
-_ENCODERS: dict[str, ChunkedBpe] = {}
+_ENCODERS: dict[tuple[str, bool], ChunkedBpe] = {}
 
 
-def _encoder(path: str) -> ChunkedBpe:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkedBpe(path)
-    return _ENCODERS[path]
+def _encoder(path: str, specials: bool) -> ChunkedBpe:
+    if (path, specials) not in _ENCODERS:
+        _ENCODERS[path, specials] = ChunkedBpe(path, specials)
+    return _ENCODERS[path, specials]
 
 
-def pack(examples: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None, limits: Limits = Limits(), keep_ids: bool = False) -> DataFrame:
+def pack(examples: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None, limits: Limits = Limits(), keep_ids: bool = False, bare_ends: bool = False, specials: bool = True) -> DataFrame:
     """One row per piece: id, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``,
     ``sequence_id``, ``offset``, ``loss_tokens`` and, with ``keep_ids``, the ids.
 
     ``prompt_col``: text before ``text_col`` whose tokens bear no loss (instruction
-    data); both null-safe. Sequence ids are unique over the table: the task's
+    data); both null-safe. ``specials``: the tokenizer's special tokens written out in a
+    text are those tokens (the library's default), else ordinary text. Sequence ids are unique over the table: the task's
     partition in the upper bits, a counter in the lower 33."""
     source = examples.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), (F.col(prompt_col) if prompt_col else F.lit(None).cast("string")).alias("prompt"))
     key_type = source.schema["key"].dataType.simpleString()
     fields = f"{id_col} {key_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long" + (", ids array<int>" if keep_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = _encoder(tokenizer), Packer(limits)
+        encoder, packer = _encoder(tokenizer, specials), Packer(limits)
         base, made, key_of = TaskContext.get().partitionId() << 33, 0, None
         out: list[tuple] = []
 
@@ -192,18 +214,13 @@ def pack(examples: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             key_of = batch.column(0).type
-            for lo in range(0, batch.num_rows, 250):
-                part = batch.slice(lo, 250)
-                keys, texts, prompts = (part.column(i).to_pylist() for i in range(3))
-                before = encoder.encode(prompts) if prompt_col else [b""] * len(keys)
-                for key, body, lead in zip(keys, encoder.encode(texts), before):
+            keys, texts, prompts = (batch.column(i).to_pylist() for i in range(3))
+            for lo, hi in parts(texts, 250, 4 << 20):
+                before = encoder.encode(prompts[lo:hi]) if prompt_col else [b""] * (hi - lo)
+                for key, body, lead in zip(keys[lo:hi], encoder.encode(texts[lo:hi]), before):
                     ids = np.frombuffer(lead + body + end, "<u4")
-                    loss = None
-                    if lead:
-                        bears = np.ones(len(ids), np.int64)
-                        bears[: len(lead) // 4] = 0
-                        loss = np.concatenate([[0], np.cumsum(bears)])
-                    emit(packer.add(ids, loss, key))
+                    bare = max(len(lead) // 4, int(bare_ends))
+                    emit(packer.add(ids, min(bare, len(ids)), int(bare_ends and bare < len(ids)), key))
             if len(out) >= 4096:
                 yield flush()
         emit(packer.drain())

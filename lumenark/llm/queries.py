@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenark.llm import embedding_dedup, html_extract, katz, language_id, line_dedup, minhash_dedup, pieces, quality_rules, url_filters
-from lumenark.llm.packing import pack
+from lumenark.llm.packing import Limits, pack
 from lumenark.session import table
 
+DOCUMENTS = Limits(loss_tokens=2047)
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -21,8 +22,10 @@ def _query(f):
 
 @_query
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pack all documents into sequences of at most 2048 tokens."""
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    """Pack all documents into sequences of at most 2048 tokens, 128 segments and 2047
+    loss-bearing tokens: each holds a first or end id, which bear none, so no sequence
+    is the inside of one document alone."""
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limits=DOCUMENTS, bare_ends=True)
 
 
 @_query
