@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,11 +17,34 @@ class NoSuchNote(LookupError):
     pass
 
 
+#: Characters up to which near names meet by deletions.
+SHORT = 24
+
+
+def near_keys(column: str, asking: bool) -> Column:
+    """Keys that two strings within two edits share. Up to ``SHORT`` characters, what is
+    left after up to two deletions; a longer string is cut into three parts, one of
+    which stands unchanged in the other, at most two places off: who is asked gives its
+    parts, who asks all strings that may be parts."""
+    c, n = f"`{column}`", f"char_length(`{column}`)"
+    less = f"concat(substring({c}, 1, i - 1), substring({c}, i + 1))"
+    two = f"concat(substring({c}, 1, i - 1), substring({c}, i + 1, j - i - 1), substring({c}, j + 1))"
+    places = f"filter(sequence(1, greatest({n}, 1)), x -> x <= {n})"
+    deletions = f"array_distinct(concat(array({c}), transform({places}, i -> {less}), flatten(transform({places}, i -> transform(filter({places}, y -> y > i), j -> {two})))))"
+    part = "concat(s, ':', p, ':', substring({c}, 1 + p * s div 3 + d, (p + 1) * s div 3 - p * s div 3))"
+    sizes, moves = (f"sequence({n} - 2, {n} + 2)", "sequence(-2, 2)") if asking else (f"array({n})", "array(0)")
+    parts = f"array_distinct(flatten(flatten(transform({sizes}, s -> transform(sequence(0, 2), p -> transform({moves}, d -> {part.format(c=c)}))))))"
+    short = f"IF({n} <= {SHORT + (2 if asking else 0)}, {deletions}, array())"
+    long = f"IF({n} > {SHORT - (2 if asking else 0)}, {parts}, array())"
+    return F.expr(f"concat({short}, {long})") if asking else F.expr(f"IF({n} <= {SHORT}, {deletions}, {parts})")
+
+
 def candidates(names: DataFrame, notes: DataFrame, aliases: DataFrame | None = None, archive: str = ARCHIVE, fuzzy: bool = True) -> DataFrame:
     """(name, path, step) for each of ``names``: the best match by step (0 short id,
     1 path, 2 file name, 3 alias, 4 up to two edits), live notes before archived ones,
     short paths before long. File names match by any tail of the path in any case, with
-    spaces, hyphens and underscores alike. The fuzzy step meets by equal length bands."""
+    spaces, hyphens and underscores alike. The fuzzy step is an equi join on what up to
+    two deletions leave of either name, or, for long names, on one of three parts."""
     names = names.select("name").distinct()
     n = notes.select("path", "docid")
     key = lambda c: F.regexp_replace(F.regexp_replace(F.lower(c), r"\.md$", ""), "[-_ ]", " ")
@@ -35,10 +58,10 @@ def candidates(names: DataFrame, notes: DataFrame, aliases: DataFrame | None = N
         found = found.unionByName(names.withColumn("folded", F.lower(F.trim("name"))).join(aliases.select("folded", "path"), "folded").select("name", "path", F.lit(3).alias("step"), F.lit(0).alias("far")))
     if fuzzy:
         stem = key(F.substring_index("path", "/", -1))
-        near = lambda c: F.sequence(F.char_length(c) - 2, F.char_length(c) + 2)
-        a = names.withColumn("k", key(F.substring_index("name", "/", -1))).withColumn("size", F.explode(near("k")))
-        b = n.select("path", stem.alias("stem")).withColumn("size", F.char_length("stem"))
-        found = found.unionByName(a.join(b, "size").withColumn("far", F.levenshtein("k", "stem", 2)).where("far >= 1").select("name", "path", F.lit(4).alias("step"), "far"))
+        a = names.withColumn("k", key(F.substring_index("name", "/", -1))).withColumn("probe", F.explode(near_keys("k", True)))
+        b = n.select("path", stem.alias("stem")).withColumn("probe", F.explode(near_keys("stem", False)))
+        alike = a.join(b, "probe").where(F.levenshtein("k", "stem", 2) >= 1).select("name", "path", "k", "stem").distinct()
+        found = found.unionByName(alike.select("name", "path", F.lit(4).alias("step"), F.levenshtein("k", "stem", 2).alias("far")))
     order = W.partitionBy("name").orderBy("step", "far", F.col("path").startswith(archive + "/").cast("int"), F.char_length("path"), "path")
     same = F.count(F.lit(1)).over(W.partitionBy("name", "step", "far"))
     return found.withColumns({"_r": F.row_number().over(order), "alike": same}).where("_r = 1").select("name", "path", "step", ((F.col("step") == 4) & (F.col("alike") > 1)).alias("ambiguous"))

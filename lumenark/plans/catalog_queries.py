@@ -158,10 +158,10 @@ def file_tags(v):
     return C.file_tags(v.note_tags)
 
 
-@query("SELECT file_id, name, value, kind FROM props WHERE file_id <= 100 AND name = 'priority'")
+@query("SELECT file_id, name, value, kind FROM props WHERE name = 'priority'")
 def properties_of_files(v):
-    """A property of some notes."""
-    return v.props.where("file_id <= 100 AND name = 'priority'").select("file_id", "name", "value", "kind")
+    """A property of all notes."""
+    return v.props.where("name = 'priority'").select("file_id", "name", "value", "kind")
 
 
 @query("SELECT file_id, count(*) AS n_names, string_agg(name || '=' || value, ';' ORDER BY name) AS flat FROM props WHERE value IS NOT NULL GROUP BY file_id")

@@ -8,26 +8,26 @@ from lumenark.plans.ranked_queries import _Q, _RRF, COLUMNS, _two_lanes, _words
 from lumenark.plans.registry import query
 
 
-def _names(v, prefix, low, high):
-    return v.spark.range(low, high).select(F.concat(F.lit(prefix), F.col("id")).alias("name"))
+def _names(v, prefix):
+    return v.notes.select(F.concat(F.lit(prefix), "file_id").alias("name"))
 
 
-@query("SELECT 'DOC_' || k AS name, path, 2 AS step, false AS ambiguous FROM range(0, 60) t(k) JOIN notes ON file_id = k")
+@query("SELECT 'DOC_' || file_id AS name, path, 2 AS step, false AS ambiguous FROM notes WHERE path IS NOT NULL")
 def resolve_names(v):
     """File names in another case and with other separators."""
-    return resolve.candidates(_names(v, "DOC_", 0, 60), v.notes, fuzzy=False)
+    return resolve.candidates(_names(v, "DOC_"), v.notes, fuzzy=False)
 
 
-@query("SELECT 'dok-' || k AS name, path, 4 AS step, false AS ambiguous FROM range(100, 130) t(k) JOIN notes ON file_id = k")
+@query("SELECT 'dok-' || file_id AS name, path, 4 AS step, false AS ambiguous FROM notes WHERE path IS NOT NULL")
 def resolve_near_names(v):
     """A slip of the pen is forgiven if one note alone is that near."""
-    return resolve.candidates(_names(v, "dok-", 100, 130), v.notes)
+    return resolve.candidates(_names(v, "dok-"), v.notes)
 
 
-@query("SELECT '#' || docid AS name, path, 0 AS step, false AS ambiguous FROM notes WHERE file_id < 50")
+@query("SELECT '#' || docid AS name, path, 0 AS step, false AS ambiguous FROM notes")
 def resolve_docids(v):
     """Short ids."""
-    return resolve.candidates(v.notes.where("file_id < 50").select(F.concat(F.lit("#"), "docid").alias("name")), v.notes, fuzzy=False)
+    return resolve.candidates(v.notes.select(F.concat(F.lit("#"), "docid").alias("name")), v.notes, fuzzy=False)
 
 
 @query("""SELECT '{"file_id":' || file_id || ',"path":"' || path || '"}' AS json FROM notes""")
@@ -36,8 +36,18 @@ def json_envelope(v):
     return present.envelope(v.notes.select("path", "file_id"))
 
 
+def _content(v):
+    """Every note's whole text under a title."""
+    return F.concat(F.lit("# T\n\n"), F.coalesce("text", F.lit("")), F.lit("\n"))
+
+
+#: The same in SQL.
+_TEXT = "coalesce(text, '')"
+_CONTENT = f"'# T' || chr(10) || chr(10) || {_TEXT} || chr(10)"
+
+
 def _edited(v, what, how, **more):
-    notes = v.notes.where("file_id < 200").select("path", F.concat(F.lit("# T\n\nold "), "file_id", F.lit("\n")).alias("content"), "mtime")
+    notes = v.notes.select("path", _content(v).alias("content"), "mtime")
     names = {"heading": None, "text": None, "key": None, "value": None, **more}
     todo = notes.select(
         "path", F.lit(0).alias("n"), F.lit(what).alias("what"), F.lit(names["heading"]).cast("string").alias("heading"), F.lit(how).alias("how"), F.lit(names["text"]).cast("string").alias("text"),
@@ -46,25 +56,25 @@ def _edited(v, what, how, **more):
     return edits.apply(notes, todo).select("path", "content", "fault")
 
 
-_FAULT = "CASE WHEN file_id % 10 = 0 THEN 'conflict: the note has changed' END AS fault FROM notes WHERE file_id < 200"
+_FAULT = "CASE WHEN file_id % 10 = 0 THEN 'conflict: the note has changed' END AS fault FROM notes"
 
 
-@query("SELECT path, CASE WHEN file_id % 10 = 0 THEN '' ELSE '---' || chr(10) || 'state: done' || chr(10) || '---' || chr(10) END || '# T' || chr(10) || chr(10) || 'old ' || file_id || chr(10) AS content, " + _FAULT)
+@query("SELECT path, CASE WHEN file_id % 10 = 0 THEN '' ELSE '---' || chr(10) || 'state: done' || chr(10) || '---' || chr(10) END || " + _CONTENT + " AS content, " + _FAULT)
 def edit_properties(v):
     """A property set on many notes; notes changed meanwhile are conflicts."""
     return _edited(v, "property", "set", key="state", value="done")
 
 
-@query("SELECT path, '# T' || chr(10) || chr(10) || 'old ' || file_id || CASE WHEN file_id % 10 = 0 THEN '' ELSE chr(10) || chr(10) || 'new' END || chr(10) AS content, " + _FAULT)
+@query("SELECT path, CASE WHEN file_id % 10 = 0 THEN " + _CONTENT + " ELSE '# T' || chr(10) || chr(10) || CASE WHEN trim(" + _TEXT + ", chr(10)) = '' THEN '' ELSE trim(" + _TEXT + ", chr(10)) || chr(10) || chr(10) END || 'new' || chr(10) END AS content, " + _FAULT)
 def edit_sections(v):
     """Text appended to a section."""
     return _edited(v, "section", "append", heading="T", text="new")
 
 
-@query("SELECT path, CASE WHEN file_id % 10 = 0 THEN '# T' ELSE '# New' END || chr(10) || chr(10) || 'old ' || file_id || chr(10) AS content, " + _FAULT)
+@query("SELECT path, CASE WHEN file_id % 10 = 0 THEN '# T' ELSE '# New' END || chr(10) || chr(10) || " + _TEXT + " || chr(10) AS content, " + _FAULT)
 def edit_renames(v):
     """A section under another name."""
-    notes = v.notes.where("file_id < 200").select("path", "file_id", F.concat(F.lit("# T\n\nold "), "file_id", F.lit("\n")).alias("content"))
+    notes = v.notes.select("path", "file_id", _content(v).alias("content"))
 
     @F.pandas_udf("string")
     def rename(contents: pd.Series) -> pd.Series:
@@ -102,10 +112,10 @@ def embed_chunks(v):
     return e.select("file_id", "seq", F.size("vector").alias("width"), F.round(F.sqrt(vector.dot(F.col("vector"), F.col("vector"))), 4).alias("norm"))
 
 
-@query("SELECT file_id, seq, len(vector)::INT AS width FROM vectors WHERE file_id < 3")
+@query("SELECT file_id, seq, len(vector)::INT AS width FROM vectors")
 def vectors_of_files(v):
-    """Vectors of some notes, of the width expected."""
-    return store.vectors_of(v.vectors.where("file_id < 3"), 64).select("file_id", "seq", F.size("vector").alias("width"))
+    """The vectors of all notes, of the width expected."""
+    return store.vectors_of(v.vectors, 64).select("file_id", "seq", F.size("vector").alias("width"))
 
 
 @query()
@@ -149,10 +159,10 @@ def explain_results(v):
     return f.select("file_id", "seq", F.concat(F.lit("best rank "), F.col("best_rank"), F.lit(" in "), F.array_join("lanes", ",")).alias("explain"))
 
 
-@query("SELECT file_id AS rank, file_id || '. ' || file_id || '#0 (0.500)' || chr(10) || text AS line FROM notes WHERE file_id < 100")
+@query("SELECT file_id AS rank, file_id || '. ' || file_id || '#0 (0.500)' || chr(10) || text AS line FROM notes WHERE text IS NOT NULL")
 def render_results(v):
     """Results as text."""
-    return present.render_text(v.notes.where("file_id < 100").select("file_id", F.lit(0).alias("seq"), F.col("file_id").alias("rank"), F.lit(0.5).alias("score"), "text")).where("line is not null")
+    return present.render_text(v.notes.select("file_id", F.lit(0).alias("seq"), F.col("file_id").alias("rank"), F.lit(0.5).alias("score"), "text")).where("line is not null")
 
 
 @query("SELECT file_id, 'search_document: ' || path || chr(10) || text AS input FROM notes")
@@ -167,9 +177,9 @@ def declared_types(v):
     return store.declared_types(v.spark.range(1).select(F.lit('{"types": {"due": "date", "rating": "number"}}').alias("json")))
 
 
-@query("SELECT file_id, path FROM notes WHERE file_id < 50")
+@query("SELECT file_id, path FROM notes")
 def delete_and_restore(v):
     """Into the trash and back."""
-    notes = v.notes.where("file_id < 50").select("file_id", "path", "docid")
+    notes = v.notes.select("file_id", "path", "docid")
     name = notes.where("file_id = 7").first()["path"]
     return store.undelete(store.soft_delete(notes, name), name).select("file_id", "path")

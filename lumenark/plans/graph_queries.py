@@ -17,10 +17,10 @@ def outgoing(v):
     return G.neighbours(v.edges)
 
 
-@query("SELECT DISTINCT to_file AS file_id, from_file AS neighbour FROM edges WHERE to_file < 1000000200")
+@query("SELECT DISTINCT to_file AS file_id, from_file AS neighbour FROM edges")
 def incoming(v):
     """G4."""
-    return G.neighbours(v.edges, incoming=True).where("file_id < 1000000200")
+    return G.neighbours(v.edges, incoming=True)
 
 
 @query("SELECT DISTINCT from_file, to_file FROM edges")
@@ -43,11 +43,11 @@ def orphans(v):
     return G.orphans(notes, edges, ("n3",)).select("file_id")
 
 
-_TARGETS = ", tg AS (SELECT DISTINCT 'doc-' || (doc_id * 3) AS target FROM documents WHERE doc_id % 5 = 0)"
+_TARGETS = ", tg AS (SELECT DISTINCT 'doc-' || (doc_id * 3) AS target FROM documents)"
 
 
 def _targets(v):
-    return v.table("documents").where("doc_id % 5 = 0").select(F.concat(F.lit("doc-"), F.col("doc_id") * 3).alias("target"))
+    return v.table("documents").select(F.concat(F.lit("doc-"), F.col("doc_id") * 3).alias("target"))
 
 
 @query(_TARGETS + " SELECT target, file_id, path FROM tg JOIN notes ON split_part(path, '/', -1) = target || '.md'")
@@ -63,34 +63,34 @@ def broken_links(v):
     return t.join(G.resolve(t, v.notes).select("target"), "target", "left_anti")
 
 
-@query(", l AS (SELECT doc_id AS f, doc_id * 3 AS t FROM documents WHERE doc_id % 5 = 0) SELECT f AS from_file, 0::BIGINT AS from_chunk_seq, t AS to_file, (-1)::BIGINT AS to_chunk_seq FROM l WHERE t IN (SELECT doc_id FROM documents) AND t <> f")
+@query(", l AS (SELECT doc_id AS f, doc_id * 3 AS t FROM documents) SELECT f AS from_file, 0::BIGINT AS from_chunk_seq, t AS to_file, (-1)::BIGINT AS to_chunk_seq FROM l WHERE t IN (SELECT doc_id FROM documents) AND t <> f")
 def derive_edges(v):
     """Edges from the links in texts."""
     text = F.concat(F.lit("go to [[doc-"), F.col("file_id") * 3, F.lit("|there]]"))
-    chunks = v.notes.where("file_id % 5 = 0").select("file_id", F.lit(0).cast("long").alias("seq"), text.alias("text"))
+    chunks = v.notes.select("file_id", F.lit(0).cast("long").alias("seq"), text.alias("text"))
     return G.derive_edges(chunks, v.notes)[0].drop("edge_type")
 
 
-@query(", l AS (SELECT doc_id AS f, doc_id * 3 AS t FROM documents WHERE doc_id % 5 = 0) SELECT f AS file_id, 'doc-' || t AS target FROM l WHERE t NOT IN (SELECT doc_id FROM documents)")
+@query(", l AS (SELECT doc_id AS f, doc_id * 3 AS t FROM documents) SELECT f AS file_id, 'doc-' || t AS target FROM l WHERE t NOT IN (SELECT doc_id FROM documents)")
 def unresolved_links(v):
     """G1: links that lead nowhere."""
     text = F.concat(F.lit("go to [[doc-"), F.col("file_id") * 3, F.lit("]]"))
-    chunks = v.notes.where("file_id % 5 = 0").select("file_id", F.lit(0).cast("long").alias("seq"), text.alias("text"))
+    chunks = v.notes.select("file_id", F.lit(0).cast("long").alias("seq"), text.alias("text"))
     return G.derive_edges(chunks, v.notes)[1]
 
 
-@query("SELECT DISTINCT doc_id AS file_id FROM documents WHERE doc_id % 7 = 0 AND doc_id + 1 IN (SELECT doc_id FROM documents)")
+@query("SELECT DISTINCT doc_id AS file_id FROM documents WHERE doc_id + 1 IN (SELECT doc_id FROM documents)")
 def reconcile_links(v):
     """Notes whose unresolved links resolve now."""
-    unresolved = v.notes.where("file_id % 7 = 0").select("file_id", F.concat(F.lit("doc-"), F.col("file_id") + 1).alias("target"))
+    unresolved = v.notes.select("file_id", F.concat(F.lit("doc-"), F.col("file_id") + 1).alias("target"))
     return G.reconcile(unresolved, v.notes)
 
 
-@query(", l AS (SELECT doc_id AS f, doc_id - doc_id % 2 AS t, 'Part ' || (doc_id % 3) AS h FROM documents WHERE doc_id < 300) SELECT f AS file_id, 'doc-' || t AS target, h AS heading FROM l WHERE h <> 'Part 0'")
+@query(", l AS (SELECT doc_id AS f, doc_id - doc_id % 2 AS t, 'Part ' || (doc_id % 3) AS h FROM documents) SELECT f AS file_id, 'doc-' || t AS target, h AS heading FROM l WHERE h <> 'Part 0'")
 def stale_headings(v):
     """Deep links to headings that are not there."""
     text = F.concat(F.lit("[[doc-"), F.col("file_id") - F.col("file_id") % 2, F.lit("#Part "), F.col("file_id") % 3, F.lit("]]"))
-    chunks = v.notes.where("file_id < 300").select("file_id", text.alias("text"))
+    chunks = v.notes.select("file_id", text.alias("text"))
     return G.stale_headings(chunks, v.notes, v.notes.select("file_id", F.lit("## part 0 (cont.)").alias("heading")))
 
 
