@@ -28,6 +28,7 @@ class Vault:
     options: markdown.ChunkOptions = markdown.ChunkOptions()
     model: vector.EmbedModel | None = None
     archive: str = "04-Archive"
+    people: str | None = links.PEOPLE
     read_only: bool = False
 
     @staticmethod
@@ -124,7 +125,7 @@ class Vault:
         return own.unionByName(lint.unresolvable(broken, self.notes.select("file_id", "path")))
 
     def discover(self) -> DataFrame:
-        return links.discover_links(self.notes, self.aliases.select(F.col("display").alias("alias"), "path"))
+        return links.discover_links(self.notes, self.aliases.select(F.col("display").alias("alias"), "path"), self.people)
 
     def status(self) -> DataFrame:
         return catalog.totals(self.notes, self.chunks, self.edges)

@@ -3,8 +3,12 @@
 The index of names (paths' stems and aliases) is small text per note; it is broadcast
 while it is within ``BROADCAST_NAMES`` names. Beyond it, each note gets by equi joins the
 names that one of its windows equals or resembles, and the first names that it has; the
-result is the same. Resemblance is found exactly: a name that k edits can reach is cut into
-k + 1 segments, one of which a window within k edits holds near its place."""
+result is the same. Resemblance is found exactly, either way: a name that k edits can reach
+is cut into k + 1 segments, one of which a window within k edits holds near its place, so
+a window meets only names that share a segment with it.
+
+Names of one word resemble nothing unless they are of the people's folder, and first names
+are those of its notes only; each name is found by resemblance once in a note."""
 
 from __future__ import annotations
 
@@ -20,6 +24,8 @@ from lumenark.operators.markdown import prose_lines, split_frontmatter
 
 BROADCAST_NAMES = 200_000
 FUZZY = 0.92
+#: The folder of notes on people.
+PEOPLE = "People"
 _PROTECTED = re.compile(r"`[^`\n]*`|!?\[\[(?:(?!\]\])[^\n])+\]\]|\[[^\]\n]*\]\([^)\n]*\)|https?://\S+")
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 
@@ -54,34 +60,51 @@ def is_name(name: str) -> bool:
     return len(name.strip()) >= 3 and not re.fullmatch(r"\d{4} \d{2} \d{2}", fold(name))
 
 
+def of_people(target: str, people: str | None) -> bool:
+    return people is not None and target.startswith(people.rstrip("/") + "/")
+
+
 class NameIndex:
-    """Names by fold, and by word count for fuzzy windows."""
+    """Names by fold, and by segments for windows that resemble them."""
 
-    def __init__(self, names: list[tuple[str, str, str]]):
+    def __init__(self, names: list[tuple[str, str, str]], people: str | None = PEOPLE):
         """(name, target path, kind: exact or alias)."""
         self.by_fold: dict[str, tuple[str, str]] = {}
+        self.people = people
         for name, target, kind in sorted(names, key=lambda n: (n[2] != "exact", n[1])):
             if is_name(name):
                 self.by_fold.setdefault(fold(name), (target, kind))
-        self.by_words: dict[int, list[str]] = {}
-        firsts: dict[str, set[str]] = {}
-        for key, (target, kind) in self.by_fold.items():
+        firsts: dict[str, list[str]] = {}
+        self.longest = 0
+        for key, (target, _) in self.by_fold.items():
             words = key.split()
-            self.by_words.setdefault(len(words), []).append(key)
-            if kind == "exact" and len(words) == 2:
-                firsts.setdefault(words[0], set()).add(target)
-        self.firsts = {w: next(iter(t)) for w, t in firsts.items() if len(t) == 1 and len(w) >= 3}
-        self.longest = max(self.by_words, default=0)
+            self.longest = max(self.longest, len(words))
+            if len(words) > 1 and of_people(target, people):
+                firsts.setdefault(words[0], []).append(target)
+        self.firsts = {w: t[0] for w, t in firsts.items() if len(t) == 1}
+        self._cut()
+
+    def _cut(self) -> None:
+        self.by_segment: dict[tuple[int, int, int, str], list[str]] = {}
+        for key, (target, _) in self.by_fold.items():
+            words = len(key.split())
+            if words > 1 or of_people(target, self.people):
+                for i, (lo, hi) in enumerate(segments(len(key))):
+                    self.by_segment.setdefault((words, len(key), i, key[lo:hi]), []).append(key)
 
     @classmethod
-    def part(cls, folds: dict[str, tuple[str, str]], firsts: dict[str, str], longest: int) -> NameIndex:
+    def part(cls, folds: dict[str, tuple[str, str]], firsts: dict[str, str], longest: int, people: str | None) -> NameIndex:
         """What one note needs of an index of many names."""
-        index = cls([])
+        index = cls([], people)
         index.by_fold, index.firsts, index.longest = folds, firsts, longest
-        for key in folds:
-            index.by_words.setdefault(len(key.split()), []).append(key)
+        index._cut()
         return index
 
+    def near(self, text: str, words: int) -> set[str]:
+        """The names of as many words that resemble a folded window."""
+        met = {key for probe in probes(text) for key in self.by_segment.get((words, *probe), ())}
+        return {key for key in met if similarity(key, text) >= FUZZY}
+
 
 def free_spans(content: str) -> list[tuple[int, int]]:
     """Stretches outside frontmatter, fences, code, links and addresses."""
@@ -102,15 +125,16 @@ def windows_of(content: str, longest: int) -> list[tuple[int, int, int]]:
     """(start, end, words) of all runs of up to ``longest`` words."""
     windows = []
     for lo, hi in free_spans(content):
-        words = [(lo + m.start(), lo + m.end()) for m in _WORD.finditer(content[lo:hi])]
+        # a possessive's ending is not of the word
+        words = [(lo + m.start(), lo + m.end() - 2 * (m[0][-2:-1] in ("'", "’") and m[0][-1:] in "sS")) for m in _WORD.finditer(content[lo:hi])]
         windows += [(words[i][0], words[i + n - 1][1], n) for n in range(1, longest + 1) for i in range(len(words) - n + 1)]
     return windows
 
 
 def discover(content: str, own: str, index: NameIndex) -> list[Found]:
     """Mentions of other notes: exact names and aliases, longest first; then similar
-    windows of as many words; then first names that only one note has. No two overlap,
-    a note is never its own target, nor is a name before a file ending."""
+    windows of as many words, each name once; then first names that only one person has.
+    No two overlap, a note is never its own target, nor is a name before a file ending."""
     found: list[Found] = []
     taken: list[tuple[int, int]] = []
     free = lambda a, b: all(b <= x or a >= y for x, y in taken)
@@ -126,15 +150,20 @@ def discover(content: str, own: str, index: NameIndex) -> list[Found]:
         hit = index.by_fold.get(fold(content[a:b]))
         if hit:
             claim(a, b, *hit)
+    known: dict[tuple[str, int], set[str]] = {}
+    alike: dict[str, list[tuple[int, int]]] = {}
     for a, b, n in windows:
         text = fold(content[a:b])
-        if len(text) < 6 or not free(a, b):
-            continue
-        near = [(s, f) for f in index.by_words.get(n, []) if abs(len(f) - len(text)) <= 0.08 * max(len(f), len(text)) and (s := similarity(f, text)) >= FUZZY]
-        if near:
-            claim(a, b, index.by_fold[max(near)[1]][0], "fuzzy")
+        if (text, n) not in known:
+            known[text, n] = index.near(text, n)
+        for key in known[text, n]:
+            alike.setdefault(key, []).append((a, b))
+    for key in sorted(alike, key=lambda k: (-len(k), k)):
+        where = next(((a, b) for a, b in sorted(alike[key]) if free(a, b)), None)
+        if where:
+            claim(*where, index.by_fold[key][0], "fuzzy")
     for a, b, n in windows:
-        if n == 1 and content[a:b].lower() in index.firsts and content[a : a + 1].isupper():
+        if n == 1 and content[a:b].lower() in index.firsts:
             claim(a, b, index.firsts[content[a:b].lower()], "first-name")
     return sorted(found, key=lambda f: f.start)
 
@@ -151,8 +180,9 @@ def apply_links(content: str, found: list[Found]) -> str:
     return content
 
 
-def discover_links(notes: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """(path, start, text, target, kind) over notes (path, content)."""
+def discover_links(notes: DataFrame, aliases: DataFrame | None = None, people: str | None = PEOPLE) -> DataFrame:
+    """(path, start, text, target, kind) over notes (path, content); ``people``: the
+    folder of notes on people."""
     stems = notes.select(F.regexp_replace(F.substring_index("path", "/", -1), r"\.md$", "").alias("name"), F.col("path").alias("target"), F.lit("exact").alias("kind"))
     names = stems if aliases is None else stems.unionByName(aliases.select(F.col("alias").alias("name"), F.col("path").alias("target"), F.lit("alias").alias("kind")))
     fields = "path string, start long, text string, target string, kind string"
@@ -166,7 +196,7 @@ def discover_links(notes: DataFrame, aliases: DataFrame | None = None) -> DataFr
         sent = notes.sparkSession.sparkContext.broadcast([tuple(r) for r in names.collect()])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = NameIndex(sent.value)
+            index = NameIndex(sent.value, people)
             for b in batches:
                 yield rows(b, lambda _: index)
 
@@ -174,8 +204,9 @@ def discover_links(notes: DataFrame, aliases: DataFrame | None = None) -> DataFr
     keyed = names.mapInArrow(_keyed, "key string, words int, target string, kind string")
     best = keyed.groupBy("key", "words").agg(F.min(F.struct((F.col("kind") != "exact").alias("o"), "target", "kind")).alias("m")).select("key", "words", "m.target", "m.kind")
     longest = best.agg(F.max("words")).first()[0] or 0
-    two = best.where("kind = 'exact' AND words = 2").groupBy(F.split("key", " ")[0].alias("text")).agg(F.min("target").alias("first"), F.count_distinct("target").alias("n"))
-    firsts = two.where("n = 1 AND length(text) >= 3").drop("n")
+    person = F.lit(False) if people is None else F.col("target").startswith(people.rstrip("/") + "/")
+    two = best.where((F.col("words") > 1) & person).groupBy(F.split("key", " ")[0].alias("text")).agg(F.min("target").alias("first"), F.count(F.lit(1)).alias("n"))
+    firsts = two.where("n = 1").drop("n")
 
     def spoken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -184,8 +215,8 @@ def discover_links(notes: DataFrame, aliases: DataFrame | None = None) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array([p] * len(found), pa.string()), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int32())], names=["path", "text", "words"])
 
     windows = notes.select("path", "content").mapInArrow(spoken, "path string, text string, words int")
-    texts = windows.where(F.length("text") >= 6).select("text", "words").distinct().mapInArrow(_pieces(False), "text string, words int, size int, i int, piece string")
-    cuts = best.select("key", "words").mapInArrow(_pieces(True), "key string, words int, size int, i int, piece string")
+    texts = windows.select("text", "words").distinct().mapInArrow(_pieces(False), "text string, words int, size int, i int, piece string")
+    cuts = best.where((F.col("words") > 1) | person).select("key", "words").mapInArrow(_pieces(True), "key string, words int, size int, i int, piece string")
     longer = F.greatest(F.length("key"), F.length("text"))
     alike = texts.join(cuts, ["words", "size", "i", "piece"]).where((F.abs(F.length("key") - F.length("text")) <= 0.08 * longer) & (1 - F.levenshtein("key", "text") / longer >= FUZZY)).select("text", "words", "key").distinct()
     near = windows.join(alike, ["text", "words"]).select("path", "key").union(windows.select("path", F.col("text").alias("key"))).distinct()
@@ -195,7 +226,7 @@ def discover_links(notes: DataFrame, aliases: DataFrame | None = None) -> DataFr
     def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own, first = b.column(2).to_pylist(), b.column(3).to_pylist()
-            yield rows(b, lambda k: NameIndex.part({n["key"]: (n["target"], n["kind"]) for n in own[k] or []}, {f["text"]: f["first"] for f in first[k] or []}, longest))
+            yield rows(b, lambda k: NameIndex.part({n["key"]: (n["target"], n["kind"]) for n in own[k] or []}, {f["text"]: f["first"] for f in first[k] or []}, longest, people))
 
     return notes.join(near, "path", "left").join(named, "path", "left").select("path", "content", "names", "firsts").mapInArrow(few, fields)
 
@@ -227,7 +258,7 @@ def probes(text: str) -> Iterator[tuple[int, int, str]]:
     n = len(text)
     for size in range(int(n * FUZZY), int(n / FUZZY) + 2):
         k, more = edits_of(size), n - size
-        if k and abs(more) <= k:
+        if abs(more) <= k:
             for i, (lo, hi) in enumerate(segments(size)):
                 for move in range(max(-i, more - (k - i), -lo), min(i, more + (k - i), n - hi) + 1):
                     yield size, i, text[lo + move : hi + move]
