@@ -29,11 +29,13 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return near.unionByName(far)
 
 
-def hop(frontier: DataFrame, edges: DataFrame, chunks: DataFrame, w: Walk = Walk()) -> DataFrame:
-    """Mass (file_id, seq, mass) that one hop sends on. The frontier is a shortlist, so
-    only edges that touch its files take part; a whole-note end spreads over all of
-    the note's chunks."""
-    touching = both_ways(edges).join(frontier, "file_id").where("far_file <> file_id")
+def hop(frontier: DataFrame, edges: DataFrame, chunks: DataFrame, w: Walk = Walk(), first: bool = False) -> DataFrame:
+    """Mass (file_id, seq, mass) that one hop sends on. The frontier is a shortlist (the
+    seeds of a search: at most the lanes' widths, and in later hops what they reach), so
+    only edges that touch its files take part: a first hop's is broadcast and the edges
+    are filtered where they are read. A whole-note end spreads over all of the note's
+    chunks."""
+    touching = both_ways(edges).join(F.broadcast(frontier) if first else frontier, "file_id").where("far_file <> file_id")
     weight = F.when((F.col("near_seq") == F.col("seq")) | (F.col("near_seq") == -1), 1.0).otherwise(w.off_chunk)
     touching = touching.withColumn("weight", weight)
     degree = touching.groupBy("file_id", "seq").agg(F.sum("weight").alias("degree"))
@@ -46,13 +48,13 @@ def hop(frontier: DataFrame, edges: DataFrame, chunks: DataFrame, w: Walk = Walk
     return exact.unionByName(spread).groupBy("file_id", "seq").agg(F.sum("sent").alias("mass"))
 
 
-def expand(seeds: DataFrame, edges: DataFrame, chunks: DataFrame, w: Walk = Walk(), scoped: DataFrame | None = None) -> DataFrame:
-    """The walk's ranking (file_id, seq, score): masses of all hops, damped, then
+def expand(seeds: DataFrame, edges: DataFrame, chunks: DataFrame, w: Walk = Walk(), scoped: DataFrame | None = None, few: bool = False) -> DataFrame:
+    """``few``: the seeds come from lanes of bounded width. The walk's ranking (file_id, seq, score): masses of all hops, damped, then
     scope (admission, not traversal), cap per file and limit."""
     frontier = seeds.groupBy("file_id", "seq").agg(F.sum("score").alias("mass"))
     out = None
     for i in range(w.iterations):
-        frontier = hop(frontier, edges, chunks, w)
+        frontier = hop(frontier, edges, chunks, w, i == 0 and few)
         x = frontier.select("file_id", "seq", (F.col("mass") * w.alpha ** (i + 1)).alias("mass"))
         out = x if out is None else out.unionByName(x)
     total = out.groupBy("file_id", "seq").agg(F.sum("mass").alias("score"))

@@ -3,6 +3,8 @@
 One lazy plan per question. Scope filters come below every limit; texts and
 properties join only after the shortlist is cut."""
 
+from __future__ import annotations
+
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -30,35 +32,65 @@ class Options:
     columns: dict = field(default_factory=lambda: {"text": 1.0, "heading_path": 1.0})
     weights: dict = field(default_factory=lambda: {"semantic": 1.0, "fts": 1.0})
     calibration: fusion.Calibration = fusion.Calibration()
+    #: What scores the shortlist: "calibrated", "rerank" (a model reads the texts), or
+    #: "degraded" (nothing: content and reserves interleave, scores are null).
+    scorer: str = "calibrated"
+    rerank_chars: int = 0
     walk: G.Walk = G.Walk()
 
 
-def lanes(chunks: DataFrame, vectors: DataFrame | None, query: str, query_vector: list[float] | None, o: Options, corpus: DataFrame | None = None) -> dict[str, DataFrame]:
+def lanes(chunks: DataFrame, vectors: DataFrame | None, query: str, query_vector: list[float] | None, o: Options, corpus: DataFrame | None = None, known: lexical.Statistics | None = None) -> dict[str, DataFrame]:
     """The content lanes, each at most ``width`` rows."""
-    found = lexical.bm25(chunks, query, o.columns, corpus).withColumn("score", F.col("bm25"))
+    found = lexical.bm25(chunks, query, o.columns, corpus, known=known).withColumn("score", F.col("bm25"))
     out = {"fts": found.select("file_id", "seq", "score", lexical.normalized(F.col("bm25"), F.col("bound")).alias("bm25n")).orderBy(*fusion.by_score()).limit(o.width)}
     if vectors is not None and query_vector is not None:
         out["semantic"] = vector.knn(vectors, query_vector, o.width).select("file_id", "seq", "score")
     return out
 
 
-def shortlist(chunks: DataFrame, vectors: DataFrame | None, query: str, query_vector: list[float] | None, o: Options = Options(), edges: DataFrame | None = None, corpus: DataFrame | None = None) -> DataFrame:
-    """(file_id, seq, rrf, confidence, cosine, bm25n, score): pooled and scored by
-    calibrated probability, best first by (score, rrf rank, file, seq)."""
-    found = lanes(chunks, vectors, query, query_vector, o, corpus)
+@dataclass(frozen=True)
+class Dated:
+    """A date range of the question: the notes of the scope with their dates, and the
+    range in epoch seconds."""
+
+    notes: DataFrame  # file_id, note_date
+    start: int
+    end: int
+
+    def seeds(self) -> DataFrame:
+        return self.notes.where(F.col("note_date").between(self.start, self.end))
+
+    def promotions(self, candidates: DataFrame) -> DataFrame:
+        """(file_id, seq, rank) of the candidates (a shortlist) whose note has a date,
+        those in or near the range first."""
+        near = self.notes.where(F.col("note_date").isNotNull()).join(F.broadcast(candidates.select("file_id", "seq").distinct()), "file_id")
+        order = fusion.W.partitionBy(F.lit(0)).orderBy(F.desc(T.temporal_score(F.col("note_date"), self.start, self.end)), "file_id", "seq")
+        return near.select("file_id", "seq", F.row_number().over(order).alias("rank"))
+
+
+def shortlist(chunks: DataFrame, vectors: DataFrame | None, query: str, query_vector: list[float] | None, o: Options = Options(), edges: DataFrame | None = None, corpus: DataFrame | None = None, dated: Dated | None = None) -> DataFrame:
+    """(file_id, seq, src, slot, rrf, confidence, cosine, bm25n, score): pooled and scored
+    by calibrated probability, best first by (score, rrf rank, file, seq)."""
+    known = lexical.statistics(corpus if corpus is not None else chunks, query, o.columns) if lexical.query_terms(query) else None
+    found = lanes(chunks, vectors, query, query_vector, o, corpus, known)
     content = {n: fusion.collapse(f.select("file_id", "seq", "score"), o.shortlist_cap) for n, f in found.items()}
     fused = fusion.rrf({n: (f, o.weights[n]) for n, f in content.items()})
     ranked = fused.select("file_id", "seq", F.col("rrf_rank").alias("rank"))
     none = ranked.limit(0)
     graph = none
     if edges is not None:
-        walked = G.expand(fusion.seeds(list(content.values())), edges, chunks, o.walk)
+        seeds = fusion.seeds(list(content.values()))
+        if dated is not None:
+            seeds = fusion.with_temporal_seeds(seeds, dated.seeds())
+        # the date range's notes are not bounded, the lanes are
+        walked = G.expand(seeds, edges, chunks, o.walk, few=dated is None)
         w = fusion.W.partitionBy(F.lit(0)).orderBy(*fusion.by_score())
         graph = walked.withColumn("rank", F.row_number().over(w)).select("file_id", "seq", "rank")
-    pool = fusion.build_pool(ranked, graph, none, o.candidates, o.graph_reserve if edges is not None else 0, o.temporal_reserve)
+    temporal = none if dated is None else dated.promotions(ranked.select("file_id", "seq").union(graph.select("file_id", "seq")))
+    pool = fusion.build_pool(ranked, graph, temporal, o.candidates, o.graph_reserve if edges is not None else 0, o.temporal_reserve)
     # features that a lane did not bring are looked up for the pool's chunks only
-    features = lexical.bm25(chunks.join(F.broadcast(pool.select("file_id", "seq")), ["file_id", "seq"], "left_semi"), query, o.columns, corpus if corpus is not None else chunks)
-    out = pool.join(features.select("file_id", "seq", lexical.normalized(F.col("bm25"), F.col("bound")).alias("bm25n")), ["file_id", "seq"], "left")
+    features = lexical.bm25(chunks.join(F.broadcast(pool.select("file_id", "seq")), ["file_id", "seq"], "left_semi"), query, o.columns, corpus if corpus is not None else chunks, known=known)
+    out = pool.drop("tier").join(features.select("file_id", "seq", lexical.normalized(F.col("bm25"), F.col("bound")).alias("bm25n")), ["file_id", "seq"], "left")
     if vectors is not None and query_vector is not None:
         q = F.array(*(F.lit(float(x)) for x in query_vector))
         near = vectors.join(F.broadcast(pool.select("file_id", "seq")), ["file_id", "seq"], "left_semi").select("file_id", "seq", vector.cosine(F.col("vector"), q).alias("cosine"))
@@ -69,11 +101,17 @@ def shortlist(chunks: DataFrame, vectors: DataFrame | None, query: str, query_ve
     return out.withColumn("score", fusion.probability(F.col("cosine"), F.col("bm25n"), o.calibration))
 
 
-def ranked_search(chunks: DataFrame, vectors: DataFrame | None, query: str, query_vector: list[float] | None = None, o: Options = Options(), edges: DataFrame | None = None, corpus: DataFrame | None = None) -> DataFrame:
+def ranked_search(chunks: DataFrame, vectors: DataFrame | None, query: str, query_vector: list[float] | None = None, o: Options = Options(), edges: DataFrame | None = None, corpus: DataFrame | None = None, dated: Dated | None = None, model: RerankModel | None = None) -> DataFrame:
     """The answers as blocks with ``admitted`` by the token budget; none if nothing
     reaches the floor."""
-    scored = shortlist(chunks, vectors, query, query_vector, o, edges, corpus)
-    order = fusion.W.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last("score"), F.asc_nulls_last("rrf_rank"), "file_id", "seq")
+    scored = shortlist(chunks, vectors, query, query_vector, o, edges, corpus, dated)
+    if o.scorer == "rerank":
+        read = scored.join(chunks.select("file_id", "seq", "text"), ["file_id", "seq"], "left")
+        scored = rerank(read, query, model, chars=o.rerank_chars).drop("text").withColumn("score", F.col("rerank"))
+    elif o.scorer == "degraded":
+        scored = degraded(scored)
+    by = ("position",) if o.scorer == "degraded" else (F.desc_nulls_last("score"), F.asc_nulls_last("rrf_rank"))
+    order = fusion.W.partitionBy(F.lit(0)).orderBy(*by, "file_id", "seq")
     answers, _ = fusion.split_at_floor(scored, o.calibration.floor)
     answers = fusion.cap_per_file(answers, o.per_note_cap, [F.desc("score"), F.asc("seq")]).withColumn("rank", F.row_number().over(order))
     shown = answers.join(chunks.select("file_id", "seq", "heading_path", "text"), ["file_id", "seq"], "left")
@@ -85,6 +123,14 @@ def ranked_search(chunks: DataFrame, vectors: DataFrame | None, query: str, quer
     return present.pack_budget(top, o.budget_tokens)
 
 
+def degraded(pool: DataFrame) -> DataFrame:
+    """The pool without a scorer: three of content, then one of the reserves; scores are
+    null and ``confidence`` follows the position."""
+    nth = F.row_number().over(fusion.W.partitionBy(F.col("src") == 0).orderBy("slot"))
+    rows = pool.drop("confidence").withColumns({"rank": nth, "score": F.lit(None).cast("double")})
+    return fusion.interleave(rows.where("src = 0"), rows.where("src <> 0")).drop("rank")
+
+
 class RerankModel(Protocol):
     """A scorer plug-in: how well each text answers the question, 0 to 1."""
 
