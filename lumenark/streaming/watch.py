@@ -1,14 +1,17 @@
-"""The change stream: classify, detect moves, drop echoes, apply once.
+"""The change stream: classify, drop echoes, detect moves, rescan, apply once.
 
 Events are (event_id, ts, kind, path, content_hash, mtime). A batch is applied by
-``foreachBatch`` to Parquet snapshots, keyed by batch number, so a batch that runs
-again after a failure changes nothing: exactly once, where arrival order decides."""
+``foreachBatch`` to a store of notes that is partitioned by a hash of the path: only the
+partitions that a batch touches are written anew, under the batch's number, and a small
+manifest says which version of each partition is the present one. A batch that runs again
+after a failure writes the same: exactly once, where arrival order decides."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -49,10 +52,17 @@ def drop_echoes(ops: DataFrame, own_writes: DataFrame) -> DataFrame:
 
 
 def apply_batch(stored: DataFrame, ops: DataFrame) -> DataFrame:
-    """(path, content_hash, mtime) after a batch: deletions, then the last versions."""
-    last = latest(ops)
+    """``stored`` (path, content_hash, mtime and more) after a batch: deletions, then the
+    last versions. A moved note keeps its other columns under its new path. Rows that ask
+    for a rescan change nothing here: a diff answers them (see ``settle``)."""
+    last = latest(ops.where("op <> 'rescan'"))
+    more = [c for c in stored.columns if c not in ("path", "content_hash", "mtime")]
+    moves = detect_moves(last, stored)
     kept = stored.join(last.select("path"), "path", "left_anti")
-    return kept.unionByName(last.where("op = 'upsert'").select("path", "content_hash", "mtime"))
+    fresh = last.where("op = 'upsert'").select("path", "content_hash", "mtime")
+    # what a moved or rewritten note keeps, under the path that it has now
+    old = stored.select("path", *more).join(moves.select(F.col("from_path").alias("path"), "to_path"), "path", "left").withColumn("path", F.coalesce("to_path", "path")).drop("to_path")
+    return kept.unionByName(fresh.join(old, "path", "left").select(stored.columns))
 
 
 def rescan(found: DataFrame, stored: DataFrame) -> DataFrame:
@@ -63,20 +73,118 @@ def rescan(found: DataFrame, stored: DataFrame) -> DataFrame:
     return diff(found, stored).select("path", op.alias("op"))
 
 
-def follow(events: DataFrame, root: str, checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None, once: bool = True):
-    """Run the stream into snapshots ``root/v<batch + 1>``; returns the query. ``once``
-    takes all that is there and stops (start-up); else every two seconds."""
-    fields = "path string, content_hash string, mtime long"
+def settle(ops: DataFrame, scan: Callable[[], DataFrame] | None, stored: DataFrame) -> DataFrame:
+    """The operations of a batch: if any asks for a rescan, those of a full diff with
+    ``scan()`` (path, content_hash, mtime) instead. Without a scan, what cannot be told
+    is left for the next one."""
+    if scan is None or not ops.where("op = 'rescan'").limit(1).count():
+        return ops.where("op <> 'rescan'")
+    found = scan()
+    todo = rescan(found, stored).join(found.select("path", "content_hash", "mtime"), "path", "left")
+    return todo.withColumn("event_id", F.lit(0).cast("long"))
+
+
+BUCKETS = 64
+
+
+@dataclass
+class Store:
+    """Notes under ``root``, partitioned by a hash of the path, versioned by batch."""
+
+    spark: SparkSession
+    root: str
+    fields: str = "path string, content_hash string, mtime long"
+    buckets: int = BUCKETS
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64("path"), F.lit(self.buckets)).cast("int")
+
+    def manifest(self, version: int) -> dict[int, int]:
+        """The version of each partition: at most ``buckets`` rows."""
+        if version <= 0:
+            return {}
+        rows = self.spark.read.schema("bucket int, version long").parquet(f"{self.root}/manifest/v{version}").collect()
+        return {r["bucket"]: r["version"] for r in rows}
+
+    def read(self, version: int, only: set[int] | None = None) -> DataFrame:
+        paths = [f"{self.root}/notes/v{v}/bucket={b}" for b, v in sorted(self.manifest(version).items()) if only is None or b in only]
+        return self.spark.read.schema(self.fields).parquet(*paths) if paths else self.spark.createDataFrame([], self.fields)
+
+    def write(self, notes: DataFrame, version: int, touched: set[int]) -> None:
+        """``notes`` are all notes of the touched partitions."""
+        out = notes.withColumn("bucket", self.bucket()).repartition("bucket")
+        out.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/notes/v{version}")
+        # partitions that hold nothing any more have no folder
+        now = {r["bucket"] for r in self.spark.read.parquet(f"{self.root}/notes/v{version}").select("bucket").distinct().collect()} if touched else set()
+        present = {b: v for b, v in self.manifest(version - 1).items() if b not in touched} | {b: version for b in touched & now}
+        rows = self.spark.createDataFrame(list(present.items()), "bucket int, version long")
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/v{version}")
+        self.forget(version)
+
+    def forget(self, version: int) -> None:
+        """Delete versions of notes that neither this manifest nor the one before needs."""
+        needed = {*self.manifest(version).values(), *self.manifest(version - 1).values(), version}
+        jvm = self.spark.sparkContext._jvm
+        top = jvm.org.apache.hadoop.fs.Path(f"{self.root}/notes")
+        fs = top.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for status in fs.listStatus(top):
+            name = status.getPath().getName()
+            if name.startswith("v") and name[1:].isdigit() and int(name[1:]) not in needed and int(name[1:]) < version:
+                fs.delete(status.getPath(), True)
+        for old in range(max(1, version - 3), version - 1):
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest/v{old}"), True)
+
+
+@dataclass
+class Follower:
+    """One batch after another into a store. ``scan`` lists all files, ``own_writes``
+    (path, mtime) gives the changes that were our own, ``on_change`` is told once per
+    batch which paths changed and what was there before and after: the place to
+    reconcile links (``graph.reconcile``)."""
+
+    store: Store
+    scan: Callable[[], DataFrame] | None = None
+    own_writes: Callable[[], DataFrame] | None = None
+    exclude: str | None = None
+    on_change: Callable[[DataFrame, DataFrame, DataFrame], None] | None = None
+    done: list[int] = field(default_factory=list)
+
+    def step(self, events: DataFrame, number: int) -> None:
+        store, version = self.store, number + 1
+        events = events.persist()
+        try:
+            ops = classify(events, self.exclude)
+            if self.own_writes is not None:
+                ops = drop_echoes(ops, self.own_writes())
+            whole = store.read(number)
+            ops = settle(ops, self.scan, whole).withColumn("_bucket", store.bucket())
+            touched = {r["_bucket"] for r in ops.select("_bucket").distinct().collect()}  # at most ``buckets``
+            ops = ops.drop("_bucket")
+            before = store.read(number, touched)
+            store.write(apply_batch(before, ops), version, touched)
+            if self.on_change is not None:
+                self.on_change(latest(ops).select("path", "op"), before, store.read(version, touched))
+            self.done.append(number)
+        finally:
+            events.unpersist()
+
+
+def follow(events: DataFrame, root: str, checkpoint: str, once: bool = True, **more):
+    """Run the stream into the store under ``root``, version batch + 1; returns the query.
+    ``once`` takes all that is there and stops (start-up); else every two seconds."""
+    fields = more.pop("fields", "path string, content_hash string, mtime long")
+    follower = Follower(Store(events.sparkSession, root, fields), **more)
+    writer = events.writeStream.foreachBatch(follower.step).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="2 seconds")).start()
 
-    def step(batch: DataFrame, number: int) -> None:
-        spark: SparkSession = batch.sparkSession
-        before = spark.read.schema(fields).parquet(f"{root}/v{number}") if number else spark.createDataFrame([], fields)
-        apply_batch(before, classify(batch)).write.mode("overwrite").parquet(f"{root}/v{number + 1}")
-        if on_batch:
-            on_batch(batch, number)
 
-    writer = events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="2 seconds")).start()
+def start_up(store: Store, scan: Callable[[], DataFrame], version: int) -> DataFrame:
+    """What changed while nothing followed: the diff of a scan, as version + 1."""
+    stored = store.read(version)
+    found = scan()
+    ops = rescan(found, stored).join(found.select("path", "content_hash", "mtime"), "path", "left").withColumn("event_id", F.lit(0).cast("long"))
+    store.write(apply_batch(stored, ops), version + 1, set(range(store.buckets)))
+    return store.read(version + 1)
 
 
 def pending(ops: DataFrame) -> DataFrame:

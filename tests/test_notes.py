@@ -237,7 +237,35 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame(rows, fields).write.parquet(str(tmp_path / "in"))
     for _ in range(2):  # the second run finds nothing new
         watch.follow(spark.readStream.schema(fields).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out/v1")).collect()] == [("b.md", "h3", 3)]
+    assert [tuple(r) for r in watch.Store(spark, str(tmp_path / "out")).read(1).collect()] == [("b.md", "h3", 3)]
+
+
+def test_stream_life_cycle(spark, tmp_path):
+    """A move, an echo and an event that cannot be told, over several batches; only the
+    touched partitions are written."""
+    from lumenark.streaming import watch
+
+    fields = "path string, content_hash string, mtime long, created_by string"
+    events = "event_id long, kind string, path string, content_hash string, mtime long"
+    store_ = watch.Store(spark, str(tmp_path / "store"), fields)
+    told = []
+    own = lambda: spark.createDataFrame([("own.md", 9)], "path string, mtime long")
+    listed = [("kept.md", "k", 1), ("odd.md", "o2", 5), ("fresh.md", "f", 6), ("new/a.md", "ha", 3)]
+    f = watch.Follower(store_, scan=lambda: spark.createDataFrame(listed, "path string, content_hash string, mtime long"), own_writes=own, on_change=lambda ops, before, after: told.append(ops.count()))
+    store_.write(spark.createDataFrame([("a.md", "ha", 1, "me"), ("kept.md", "k", 1, "you"), ("odd.md", "o", 1, "she"), ("own.md", "w", 1, "me")], fields), 1, set(range(watch.BUCKETS)))
+    f.step(spark.createDataFrame([(1, "deleted", "a.md", None, None), (2, "created", "new/a.md", "ha", 3), (3, "changed", "own.md", "w2", 9)], events), 1)
+    now = {r.path: (r.content_hash, r.created_by) for r in store_.read(2).collect()}
+    assert now == {"new/a.md": ("ha", "me"), "kept.md": ("k", "you"), "odd.md": ("o", "she"), "own.md": ("w", "me")}
+    assert 1 in store_.manifest(2).values() and told == [2]
+    f.step(spark.createDataFrame([(4, "renamed-somehow", "kept.md", None, None), (5, "changed", "odd.md", "o2", 5)], events), 2)
+    now = {r.path: (r.content_hash, r.created_by) for r in store_.read(3).collect()}
+    assert now == {"kept.md": ("k", "you"), "odd.md": ("o2", "she"), "fresh.md": ("f", None), "new/a.md": ("ha", "me")}
+    again = sorted(map(tuple, store_.read(3).collect()))
+    f.step(spark.createDataFrame([(4, "renamed-somehow", "kept.md", None, None)], events), 2)  # runs twice
+    assert sorted(map(tuple, store_.read(3).collect())) == again
+    no_scan = watch.apply_batch(store_.read(3), watch.classify(spark.createDataFrame([(9, "renamed-somehow", "kept.md", None, None)], events)))
+    assert no_scan.where("path = 'kept.md'").count() == 1
+    assert sorted(r.path for r in watch.start_up(store_, lambda: spark.createDataFrame(listed[:1], "path string, content_hash string, mtime long"), 3).collect()) == ["kept.md"]
 
 
 def test_notes_of_conversations_hold_every_turn(spark, tmp_path):
