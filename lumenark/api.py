@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from lumenark.functions import dates
 from lumenark.functions import text as T
-from lumenark.operators import catalog, edits, graph, lint, links, markdown, match, resolve, search, store, vector
+from lumenark.operators import catalog, edits, graph, lexical, lint, links, markdown, match, resolve, search, store, vector
+from lumenark.operators import index as stored
 from lumenark.operators.scope import Scope
 from lumenark.sources.vault import read_vault
 
@@ -30,19 +31,47 @@ class Vault:
     archive: str = "04-Archive"
     people: str | None = links.PEOPLE
     read_only: bool = False
+    #: Where the index is stored, its version and its tables; without a store all that is
+    #: derived is lazy.
+    store: str | None = None
+    version: int = 0
+    tables: dict[str, DataFrame] | None = None
 
     @staticmethod
-    def index(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), **more) -> Vault:
-        return Vault(read_vault(spark, root, exclude), **more)
+    def index(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), store: str | None = None, **more) -> Vault:
+        """The vault of the files below ``root``; with ``store`` (a folder) as a stored
+        index, which a later ``index`` or ``reindex`` brings up to date."""
+        found = read_vault(spark, root, exclude)
+        if store is None:
+            return Vault(found, **more)
+        if stored.latest(spark, store):
+            return Vault.open(spark, store, **more).reindex(found)
+        stored.build(found, store, 1, more.get("options", markdown.ChunkOptions()), more.get("model"))
+        return Vault.open(spark, store, **more)
 
-    # derived tables; each is lazy and may be written with sources.vault.write_snapshot
+    @staticmethod
+    def open(spark: SparkSession, store: str, **more) -> Vault:
+        """The last version of a stored index, what was made otherwise made anew."""
+        version = stored.latest(spark, store)
+        if not version:
+            raise FileNotFoundError(f"no index in {store}")
+        version = stored.adopt(spark, store, version, more.get("options", markdown.ChunkOptions()), more.get("model"))
+        tables = stored.read(spark, store, version, more.get("model"))
+        return Vault(tables["notes"], store=store, version=version, tables=tables, **more)
+
+    def _stored(self, name: str) -> DataFrame | None:
+        return (self.tables or {}).get(name)
+
+    # derived tables: stored ones, else lazy
     @cached_property
     def parsed(self) -> DataFrame:
-        return markdown.parse(self.notes)
+        found = self._stored("parsed")
+        return markdown.parse(self.notes) if found is None else found
 
     @cached_property
     def chunks(self) -> DataFrame:
-        return markdown.chunk(self.notes, self.options)
+        found = self._stored("chunks")
+        return markdown.chunk(self.notes, self.options) if found is None else found
 
     @cached_property
     def tag_rows(self) -> DataFrame:
@@ -58,30 +87,38 @@ class Vault:
 
     @cached_property
     def edges(self) -> DataFrame:
+        if self._stored("edges") is not None:
+            return self._stored("edges")
         return graph.derive_edges(self.chunks, self.notes.select("file_id", "path"), self.chunks.select("file_id", "seq", "heading"))[0]
 
     @cached_property
     def unresolved(self) -> DataFrame:
+        if self._stored("unresolved") is not None:
+            return self._stored("unresolved")
         return graph.derive_edges(self.chunks, self.notes.select("file_id", "path"))[1]
 
     def scoped(self, **scope) -> DataFrame:
         return Scope.parse(archive=self.archive, **scope).apply(self.notes, self.tag_rows, self.props, self.edges)
 
     # reading
-    def search(self, question: str, o: search.Options = search.Options(), now: dt.datetime | None = None, **scope) -> DataFrame:
+    def search(self, question: str, o: search.Options = search.Options(), now: dt.datetime | None = None, reranker: search.RerankModel | None = None, **scope) -> DataFrame:
+        """Blocks that answer the question. A date phrase in it (with ``now``) promotes
+        notes of that time and hides none; postings and vectors are the stored ones."""
         notes = self.scoped(**scope)
         when = dates.parse_range(question, now) if now else None
-        if when:
-            dated = notes.where(F.col("note_date").between(*when))
-            notes = dated if dated.limit(1).count() else notes
+        dated = search.Dated(notes.select("file_id", "note_date"), *when) if when else None
         if not notes.limit(1).count():
             return search.ranked_search(self.chunks.limit(0), None, question, None, o)
         mine = self.chunks.join(notes.select("file_id"), "file_id", "left_semi")
         vectors, query = None, None
         if self.model:
-            vectors = vector.embed(mine.select("file_id", "seq", "text"), self.model).select("file_id", "seq", "vector")
+            held = self._stored("vectors")
+            vectors = held.join(notes.select("file_id"), "file_id", "left_semi") if held is not None else vector.embed(mine.select("file_id", "seq", "text"), self.model).select("file_id", "seq", "vector")
             query = self.model.embed([question])[0]
-        return search.ranked_search(mine, vectors, question, query, o, self.edges, self.chunks)
+        keyword = None
+        if self._stored("postings") is not None and lexical.query_terms(question) and lexical.one_word(question):
+            keyword = lexical.bm25_stored(self._stored("postings"), self.chunks, question, o.columns).join(notes.select("file_id"), "file_id", "left_semi")
+        return search.ranked_search(mine, vectors, question, query, o, self.edges, self.chunks, dated, reranker, keyword)
 
     def match(self, pattern: str, limit: int = 50, case_sensitive: bool = False, word: bool = False, part: str = "all", **scope) -> tuple[DataFrame, DataFrame]:
         """(counts, first lines)."""
@@ -101,8 +138,17 @@ class Vault:
             raise LookupError(f"no section {section!r} in {path}")
         return "\n".join(body.split("\n")[at[0] : at[1]])
 
-    def list(self, order: str = "path", after: str | None = None, limit: int = 100, **scope) -> DataFrame:
-        return catalog.listing(self.scoped(**scope), self.chunks, self.edges, order, after, limit)
+    def list(self, order: str = "path", after: str | None = None, limit: int = 100, outline: bool = False, **scope) -> DataFrame:
+        """A page of notes with their aliases and properties and, with ``outline``, the
+        headings; these are joined to the page's rows only."""
+        page = catalog.listing(self.scoped(**scope), self.chunks, self.edges, order, after, limit)
+        some = F.broadcast(page.select("path"))  # at most ``limit`` rows
+        more = self.parsed.join(some, "path", "left_semi").select("path", F.transform("aliases", lambda a: a["display"]).alias("aliases"), "properties")
+        page = page.join(F.broadcast(more), "path", "left")
+        if outline:
+            heads = self.chunks.join(some, "path", "left_semi").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("seq", "heading_path"))).alias("outline"))
+            page = page.join(heads.withColumn("outline", F.transform("outline", lambda h: h["heading_path"])), "path", "left")
+        return page.orderBy(*catalog.listing_order(order))
 
     def tags(self, prefix: str | None = None) -> DataFrame:
         return catalog.tags_under(self.tag_rows, prefix)
@@ -135,19 +181,31 @@ class Vault:
 
     # writing: each gives a new vault
     def _with(self, notes: DataFrame) -> Vault:
+        """Another state of the notes; what is derived from them is lazy again."""
         if self.read_only:
             raise ReadOnly("the vault is open for reading only")
-        return replace(self, notes=notes)
+        return replace(self, notes=notes, tables=None)
 
-    def create(self, path: str, title: str, body: str, tags: list[str] | None = None, mtime: int = 0) -> Vault:
+    def create(self, path: str, title: str, body: str, tags: list[str] | None = None, mtime: int = 0, link: bool = False) -> Vault:
+        """A new note. Its tags are taken as the vault has them (a near sibling's, or the
+        one that a tag extends); ``link`` turns mentions of other notes into links."""
         if ".." in path.split("/") or path.startswith("/"):
             raise ValueError("a path lies within the vault")
         spark = self.notes.sparkSession
         if self.notes.where(F.col("path") == path).limit(1).count():
             raise store.Conflict(f"{path!r} is taken")
+        if tags:
+            asked = spark.createDataFrame([(t,) for t in tags], "proposed string")
+            known = {r["proposed"]: r["resolved"] for r in graph.resolve_tags(asked, self.tag_rows).collect()}
+            tags = list(dict.fromkeys(known.get(t, t) for t in tags))
         content = edits.create(title, body, tags)
+        if link:
+            names = self.notes.select("path", F.lit("").alias("content")).unionByName(spark.createDataFrame([(path, content)], "path string, content string"))
+            aliases = self.aliases.select(F.col("display").alias("alias"), "path")
+            found = links.discover_links(names, aliases, self.people).where(F.col("path") == path).orderBy("start").collect()
+            content = links.apply_links(content, [links.Found(f["start"], f["start"] + len(f["text"]), f["text"], f["target"], f["kind"]) for f in found])
         row = spark.createDataFrame([(path, content, mtime)], "path string, content string, mtime long")
-        row = row.withColumns({"content_hash": F.sha2("content", 256), "docid": T.docid(F.col("path")), "file_id": F.xxhash64("path"), "note_date": T.iso_date_seconds(F.col("path"))})
+        row = row.withColumns({"content_hash": F.sha2("content", 256), "docid": T.docid(F.col("path")), "file_id": F.xxhash64("path"), "note_date": T.note_date(F.lit(None).cast("string"), F.col("path"))})
         return self._with(self.notes.unionByName(row, allowMissingColumns=True))
 
     def update(self, todo: DataFrame) -> Vault:
@@ -167,8 +225,13 @@ class Vault:
         return self._with(self.notes.where(F.col("path") != path))
 
     def reindex(self, found: DataFrame) -> Vault:
-        """Changes of a later scan taken over; unchanged notes stay as they are."""
-        change = store.diff(found, self.notes)
-        kept = self.notes.join(change.select("path"), "path", "left_anti")
-        fresh = found.join(change.where("change <> 'deleted'").select("path"), "path", "left_semi")
-        return self._with(kept.unionByName(fresh, allowMissingColumns=True))
+        """The stored index with the changes of a later scan: only what changed notes
+        reach is made anew."""
+        if self.read_only:
+            raise ReadOnly("the vault is open for reading only")
+        if self.store is None or self.tables is None:
+            raise ValueError("only a stored index can take over changes: give index() a store")
+        spark = self.notes.sparkSession
+        version = stored.refresh(spark, self.store, self.version, found, self.options, self.model)
+        tables = stored.read(spark, self.store, version, self.model)
+        return replace(self, notes=tables["notes"], version=version, tables=tables)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenark.functions import text as T
@@ -36,8 +36,12 @@ def listing(notes: DataFrame, chunks: DataFrame, edges: DataFrame, order: str =
             raise InvalidInput(f"no note {after!r} to continue after")
         n = F.col("links_in")
         rows = rows.where(((n < at[0]) if down else (n > at[0])) | ((n == at[0]) & (F.col("path") > after)))
-    keys = [F.col("path")] if order == "path" else [F.col("links_in").desc() if down else F.col("links_in").asc(), F.col("path")]
-    return rows.orderBy(*keys).limit(limit)
+    return rows.orderBy(*listing_order(order)).limit(limit)
+
+
+def listing_order(order: str) -> list[Column]:
+    n = F.col("links_in")
+    return [F.col("path")] if order == "path" else [n.desc() if order == "links" else n.asc(), F.col("path")]
 
 
 def recent(notes: DataFrame, limit: int = 10) -> DataFrame:

@@ -88,12 +88,21 @@ def resolve(targets: DataFrame, notes: DataFrame, archive: str = "04-Archive") -
     return hit.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("target", "file_id", "path")
 
 
+def link_rows(chunks: DataFrame) -> DataFrame:
+    """(file_id, seq, target, heading): the distinct links of each chunk."""
+    links = chunks.select("file_id", "seq", F.explode(T.wikilinks(F.col("text"))).alias("link")).select("file_id", "seq", T.link_note(F.col("link")).alias("target"), T.link_heading(F.col("link")).alias("heading"))
+    return links.where("target <> ''").distinct()
+
+
 def derive_edges(chunks: DataFrame, notes: DataFrame, headings: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Edges and unresolved links of all ``chunks`` (file_id, seq, text). A link with a
     heading leads to the chunks under it (``headings``: file_id, seq, heading), else to
     the whole note."""
-    links = chunks.select("file_id", "seq", F.explode(T.wikilinks(F.col("text"))).alias("link")).select("file_id", "seq", T.link_note(F.col("link")).alias("target"), T.link_heading(F.col("link")).alias("heading"))
-    links = links.where("target <> ''").distinct()
+    return edges_of(link_rows(chunks), notes, headings)
+
+
+def edges_of(links: DataFrame, notes: DataFrame, headings: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Edges and unresolved links of rows of ``link_rows``."""
     found = resolve(links, notes).select("target", F.col("file_id").alias("to_file"))
     joined = links.join(found, "target", "left")
     unresolved = joined.where(F.col("to_file").isNull()).select("file_id", "target").distinct()

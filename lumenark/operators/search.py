@@ -39,9 +39,10 @@ class Options:
     walk: G.Walk = G.Walk()
 
 
-def lanes(chunks: DataFrame, vectors: DataFrame | None, query: str, query_vector: list[float] | None, o: Options, corpus: DataFrame | None = None, known: lexical.Statistics | None = None) -> dict[str, DataFrame]:
-    """The content lanes, each at most ``width`` rows."""
-    found = lexical.bm25(chunks, query, o.columns, corpus, known=known).withColumn("score", F.col("bm25"))
+def lanes(chunks: DataFrame, vectors: DataFrame | None, query: str, query_vector: list[float] | None, o: Options, corpus: DataFrame | None = None, known: lexical.Statistics | None = None, keyword: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The content lanes, each at most ``width`` rows. ``keyword``: the keyword scores, if
+    a stored index has given them."""
+    found = (lexical.bm25(chunks, query, o.columns, corpus, known=known) if keyword is None else keyword).withColumn("score", F.col("bm25"))
     out = {"fts": found.select("file_id", "seq", "score", lexical.normalized(F.col("bm25"), F.col("bound")).alias("bm25n")).orderBy(*fusion.by_score()).limit(o.width)}
     if vectors is not None and query_vector is not None:
         out["semantic"] = vector.knn(vectors, query_vector, o.width).select("file_id", "seq", "score")
@@ -68,11 +69,11 @@ class Dated:
         return near.select("file_id", "seq", F.row_number().over(order).alias("rank"))
 
 
-def shortlist(chunks: DataFrame, vectors: DataFrame | None, query: str, query_vector: list[float] | None, o: Options = Options(), edges: DataFrame | None = None, corpus: DataFrame | None = None, dated: Dated | None = None) -> DataFrame:
+def shortlist(chunks: DataFrame, vectors: DataFrame | None, query: str, query_vector: list[float] | None, o: Options = Options(), edges: DataFrame | None = None, corpus: DataFrame | None = None, dated: Dated | None = None, keyword: DataFrame | None = None) -> DataFrame:
     """(file_id, seq, src, slot, rrf, confidence, cosine, bm25n, score): pooled and scored
     by calibrated probability, best first by (score, rrf rank, file, seq)."""
-    known = lexical.statistics(corpus if corpus is not None else chunks, query, o.columns) if lexical.query_terms(query) else None
-    found = lanes(chunks, vectors, query, query_vector, o, corpus, known)
+    known = lexical.statistics(corpus if corpus is not None else chunks, query, o.columns) if keyword is None and lexical.query_terms(query) else None
+    found = lanes(chunks, vectors, query, query_vector, o, corpus, known, keyword)
     content = {n: fusion.collapse(f.select("file_id", "seq", "score"), o.shortlist_cap) for n, f in found.items()}
     fused = fusion.rrf({n: (f, o.weights[n]) for n, f in content.items()})
     ranked = fused.select("file_id", "seq", F.col("rrf_rank").alias("rank"))
@@ -89,7 +90,7 @@ def shortlist(chunks: DataFrame, vectors: DataFrame | None, query: str, query_ve
     temporal = none if dated is None else dated.promotions(ranked.select("file_id", "seq").union(graph.select("file_id", "seq")))
     pool = fusion.build_pool(ranked, graph, temporal, o.candidates, o.graph_reserve if edges is not None else 0, o.temporal_reserve)
     # features that a lane did not bring are looked up for the pool's chunks only
-    features = lexical.bm25(chunks.join(F.broadcast(pool.select("file_id", "seq")), ["file_id", "seq"], "left_semi"), query, o.columns, corpus if corpus is not None else chunks, known=known)
+    features = keyword if keyword is not None else lexical.bm25(chunks.join(F.broadcast(pool.select("file_id", "seq")), ["file_id", "seq"], "left_semi"), query, o.columns, corpus if corpus is not None else chunks, known=known)
     out = pool.drop("tier").join(features.select("file_id", "seq", lexical.normalized(F.col("bm25"), F.col("bound")).alias("bm25n")), ["file_id", "seq"], "left")
     if vectors is not None and query_vector is not None:
         q = F.array(*(F.lit(float(x)) for x in query_vector))
@@ -101,10 +102,10 @@ def shortlist(chunks: DataFrame, vectors: DataFrame | None, query: str, query_ve
     return out.withColumn("score", fusion.probability(F.col("cosine"), F.col("bm25n"), o.calibration))
 
 
-def ranked_search(chunks: DataFrame, vectors: DataFrame | None, query: str, query_vector: list[float] | None = None, o: Options = Options(), edges: DataFrame | None = None, corpus: DataFrame | None = None, dated: Dated | None = None, model: RerankModel | None = None) -> DataFrame:
+def ranked_search(chunks: DataFrame, vectors: DataFrame | None, query: str, query_vector: list[float] | None = None, o: Options = Options(), edges: DataFrame | None = None, corpus: DataFrame | None = None, dated: Dated | None = None, model: RerankModel | None = None, keyword: DataFrame | None = None) -> DataFrame:
     """The answers as blocks with ``admitted`` by the token budget; none if nothing
     reaches the floor."""
-    scored = shortlist(chunks, vectors, query, query_vector, o, edges, corpus, dated)
+    scored = shortlist(chunks, vectors, query, query_vector, o, edges, corpus, dated, keyword)
     if o.scorer == "rerank":
         read = scored.join(chunks.select("file_id", "seq", "text"), ["file_id", "seq"], "left")
         scored = rerank(read, query, model, chars=o.rerank_chars).drop("text").withColumn("score", F.col("rerank"))

@@ -23,9 +23,45 @@ def glob_regex(pattern: str) -> str:
     return lead + out + ("/.*$" if folder else "(?:/.*)?$")
 
 
-def read_vault(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), hidden: bool = False) -> DataFrame:
+def ignore_rules(text: str, folder: str = "") -> list[tuple[str, bool]]:
+    """The lines of a ``.gitignore`` in ``folder`` as (regular expression on the relative
+    path, ignored), in order; the last that matches decides."""
+    out = []
+    for line in text.splitlines():
+        line = line.strip()
+        if not line or line.startswith("#") or not line.strip("/!* "):
+            continue
+        ignored, line = not line.startswith("!"), line.removeprefix("!")
+        inner = glob_regex(line.lstrip("/"))
+        if line.startswith("/"):
+            inner = "^" + inner.removeprefix("(?:^|.*/)").removeprefix("^")
+        under = re.escape(folder.strip("/")) + "/" if folder.strip("/") else ""
+        out.append(("^" + under + (inner[1:] if inner.startswith("^") else inner.replace("(?:^|.*/)", "(?:.*/)?", 1)), ignored))
+    return out
+
+
+def ignore_files(spark: SparkSession, root: str) -> list[tuple[str, str]]:
+    """(folder, text) of the ``.gitignore`` files below ``root``, upper ones first. Spark's
+    own listing passes over names with a dot, so folders are globbed level by level."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base, out, level = fs.makeQualified(top).toUri().getPath().rstrip("/"), [], ""
+    while fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}{level or '/'}")):
+        for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}{level}/.gitignore")) or ():
+            stream = fs.open(status.getPath())
+            text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            stream.close()
+            out.append((status.getPath().getParent().toUri().getPath()[len(base) :].strip("/"), text))
+        level += "/*"
+    return out
+
+
+def read_vault(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), hidden: bool = False, ignore: bool = True) -> DataFrame:
     """One row per ``*.md`` file below ``root``: path, content, content_hash, mtime,
-    docid, note_date and file_id (from the path's hash). Unreadable bytes are replaced."""
+    docid, note_date (of the frontmatter's ``date``, else of the path) and file_id (from
+    the path's hash). Unreadable bytes are replaced. ``ignore``: leave out what
+    ``.gitignore`` files name (they are few and read by the driver)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
     base = F.lit(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/") + "/")
     whole = F.regexp_replace("path", "^[a-zA-Z]+:(//[^/]*)?", "")
@@ -35,7 +71,16 @@ def read_vault(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), hi
         out = out.where(~F.col("path").rlike(r"(^|/)\."))
     for p in exclude:
         out = out.where(~F.col("path").rlike(glob_regex(p)))
-    return out.withColumns({"docid": T.docid(F.col("path")), "file_id": F.xxhash64("path"), "note_date": T.iso_date_seconds(F.col("path"))})
+    if ignore:
+        gone = F.lit(False)
+        for folder, text in ignore_files(spark, root):
+            for pattern, ignored in ignore_rules(text, folder):
+                gone = F.when(F.col("path").rlike(pattern), ignored).otherwise(gone)
+        out = out.where(~gone)
+    head = F.regexp_extract("content", r"(?s)\A---\r?\n(.*?)\r?\n---", 1)
+    dated = F.nullif(F.regexp_extract(head, r"(?m)^date:\s*[\"']?([^\s\"']+)", 1), F.lit(""))
+    out = out.withColumn("note_date", T.note_date(dated, F.col("path")))
+    return out.withColumns({"docid": T.docid(F.col("path")), "file_id": F.xxhash64("path")})
 
 
 def write_snapshot(tables: dict[str, DataFrame], root: str, version: int) -> None:

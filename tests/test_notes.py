@@ -185,18 +185,71 @@ def test_vault(spark, vault, tmp_path):
 
 
 def test_incremental_is_full(spark, vault, tmp_path):
-    """Taking over changes gives what a fresh index gives."""
-    root = tmp_path / "v"
-    write_snapshot({"notes": vault.notes}, str(tmp_path / "store"), 1)
-    kept = Vault(read_snapshot(spark, str(tmp_path / "store"), ("notes",), 1)["notes"])
+    """Taking over changes gives what a fresh index gives, table by table."""
+    from lumenark.operators.markdown import ChunkOptions
+    from lumenark.operators.vector import HashEmbedder
+
+    root, model = tmp_path / "v", HashEmbedder()
+    (root / "other.md").write_text("# Other\n\nSee [[silence#Silence]] and [[old]] and [[nowhere]].\n")
+    kept = Vault.index(spark, str(root), ("skip/",), store=str(tmp_path / "store"), model=model)
     (root / "silence.md").write_text("# Silence\n\nNow [[dragon]] is loud.\n")
     (root / "04-Archive/old.md").unlink()
     (root / "nowhere.md").write_text("# Nowhere\n\nHere.\n")
-    fresh = read_vault(spark, str(root), ("skip/",))
-    kept = Vault(vault.notes.localCheckpoint() if False else vault.notes)
-    got, want = kept.reindex(fresh), Vault(fresh)
-    key = lambda v: sorted(map(tuple, v.edges.collect()))
-    assert key(got) == key(want) and got.notes.count() == 3
+    got = kept.reindex(read_vault(spark, str(root), ("skip/",)))
+    want = Vault.index(spark, str(root), ("skip/",), store=str(tmp_path / "other"), model=model)
+    for name in ("notes", "parsed", "chunks", "links", "edges", "unresolved", "postings", "vectors"):
+        rows = lambda v: sorted(repr(tuple(r[c] for c in sorted(v.tables[name].columns))) for r in v.tables[name].collect())
+        assert rows(got) == rows(want) and rows(got), name
+    assert got.notes.count() == 4 and got.version == 2 and [r.target for r in got.unresolved.collect()] == ["old"]
+    assert sorted(map(tuple, Vault(read_vault(spark, str(root), ("skip/",))).edges.collect())) == sorted(map(tuple, got.edges.collect()))
+    # the same answers from postings as from texts
+    from lumenark.operators.search import Options, fusion
+
+    o = Options(calibration=fusion.Calibration(floor=0.0))
+    lazy = Vault(got.notes, model=model)
+    answers = lambda v: [(r.file_id, r.seq, round(r.score, 9)) for r in v.search("dragon loud", o).orderBy("rank").collect()]
+    assert answers(got) == answers(lazy) and answers(got)
+    # another chunker makes the chunks anew, nothing else reads the files
+    (root / "silence.md").unlink()
+    again = Vault.open(spark, str(tmp_path / "store"), options=ChunkOptions(target_tokens=20), model=model)
+    assert again.version == 3 and again.notes.count() == 4
+    with pytest.raises(ValueError):
+        Vault(got.notes).reindex(got.notes)
+
+
+def test_dates_and_ignored_files(spark, tmp_path):
+    root = tmp_path / "v"
+    for p, t in {"a.md": "---\ndate: 2024-02-03\n---\nx", "2024-05-06 b.md": "x", "c.md": "---\nx: 1\n---\ndate: 2024-01-01", "build/d.md": "x", "deep/build/e.md": "x", "deep/tmp.md": "x", "deep/keep.md": "x", "top.md": "x", "deep/top.md": "x"}.items():
+        (root / p).parent.mkdir(parents=True, exist_ok=True)
+        (root / p).write_text(t)
+    (root / ".gitignore").write_text("# made\nbuild/\n/top.md\n*.tmp\n")
+    (root / "deep/.gitignore").write_text("*.md\n!keep.md\n!top.md\n")
+    found = {r.path: r.note_date for r in read_vault(spark, str(root)).collect()}
+    assert sorted(found) == ["2024-05-06 b.md", "a.md", "c.md", "deep/keep.md", "deep/top.md"]
+    assert found["a.md"] == 1706918400 and found["2024-05-06 b.md"] == 1714953600 and found["c.md"] is None
+
+
+def test_dates_promote_and_hide_nothing(spark):
+    import datetime as dt
+
+    from lumenark.operators.search import Options, fusion
+
+    rows = [(i, f"n{i}.md", f"# N{i}\n\nthe dragon sleeps {'dragon ' * (i % 3)}\n", 1711411200 if i == 5 else None) for i in range(8)]
+    v = Vault(spark.createDataFrame(rows, "file_id long, path string, content string, note_date long"))
+    o = Options(top_n=40, calibration=fusion.Calibration(floor=0.0))
+    found = lambda o: {r.file_id for r in v.search("dragon today", o, now=dt.datetime(2024, 3, 26, 12)).collect()}
+    assert found(o) == set(range(8))
+    degraded = Options(top_n=40, scorer="degraded", candidates=4, graph_reserve=0, temporal_reserve=1, calibration=fusion.Calibration(floor=0.0))
+    assert 5 in found(degraded) and len(found(degraded)) == 4
+    read = [r.file_id for r in v.search("dragon", Options(top_n=3, scorer="rerank", calibration=fusion.Calibration(floor=0.0))).collect()]
+    assert len(read) == 3
+
+
+def test_create_takes_the_vaults_tags_and_links(spark, vault):
+    new = vault.create("new/b.md", "B", "The dragon came. So did the Wyrm.", ["type/beasts"], link=True)
+    assert "[[dragon]]" in new.read("new/b.md") and "type/beast\n" in new.read("new/b.md") + "\n"
+    item = next(r for r in vault.list(outline=True).collect() if r.path == "lore/dragon.md")
+    assert item.aliases == ["Wyrm"] and item.outline and {p["name"] for p in item.properties} == {"rating"}
 
 
 def test_pages_make_the_listing(vault):
