@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenark.plans.registry import query
+from lumenark.session import shared_dir
 from lumenark.streaming import watch as W
 
 _OPS = ", op AS (SELECT event_id, path, CASE WHEN kind = 'deleted' THEN 'delete' ELSE 'upsert' END AS op FROM events_v)"
@@ -57,15 +58,35 @@ def watch_rescan(v):
     return W.rescan(d.where("doc_id % 2 = 0"), d.where("doc_id % 3 = 0"))
 
 
+@query("SELECT CASE WHEN doc_id % 5 = 1 THEN 'm/n' ELSE 'n' END || doc_id AS path, 'h' || doc_id AS content_hash, CASE WHEN doc_id % 3 > 0 THEN source END AS created_by FROM documents WHERE doc_id % 5 <> 2")
+def watch_settle(v):
+    """A batch with an event that cannot be told. The diff that answers it finds
+    notes that moved (and keep their author), went, came and stayed."""
+    d = v.table("documents").select("doc_id", F.concat(F.lit("n"), "doc_id").alias("path"), F.concat(F.lit("h"), "doc_id").alias("content_hash"), F.lit(1).cast("long").alias("mtime"), F.col("source").alias("created_by"))
+    stored = d.where("doc_id % 3 > 0").drop("doc_id")
+    found = d.where("doc_id % 5 <> 2").select(F.when(F.col("doc_id") % 5 == 1, F.concat(F.lit("m/"), "path")).otherwise(F.col("path")).alias("path"), "content_hash", "mtime")
+    events = v.spark.range(1).select(F.lit(1).cast("long").alias("event_id"), F.lit("overflow").alias("kind"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("content_hash"), F.lit(None).cast("long").alias("mtime"))
+    ops = W.settle(W.classify(events), lambda: found, stored)
+    return W.apply_batch(stored, ops).select("path", "content_hash", "created_by")
+
+
 @query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_event_windows(v):
-    """The events read as a stream into daily windows, run to its end."""
+    """The events read as a stream into daily windows, run to its end. Each trigger
+    writes the windows to the shared folder; nothing comes to the driver."""
     import uuid
 
     schema = v.table("events").schema
     stream = v.spark.readStream.schema(schema).parquet(f"{v.sf_dir}/event*.parquet")
     counts = stream.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    name = f"events_{uuid.uuid4().hex}"
-    q = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    top = f"{shared_dir(v.spark)}/lumenark/events-{uuid.uuid4().hex}"
+    last = []
+
+    def step(batch, number):
+        batch.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n").write.mode("overwrite").parquet(f"{top}/v{number}")
+        last[:] = [number]
+
+    q = counts.writeStream.outputMode("complete").foreachBatch(step).option("checkpointLocation", f"{top}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return v.spark.table(name).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
+    fields = "day timestamp_ntz, event_type string, n long"
+    return v.spark.read.schema(fields).parquet(f"{top}/v{last[0]}") if last else v.spark.createDataFrame([], fields)
