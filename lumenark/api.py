@@ -159,11 +159,11 @@ class Vault:
     def vault_map(self) -> DataFrame:
         return catalog.vault_map(self.notes, self.tag_rows, self.edges)
 
-    def health(self, outside: tuple[str, ...] = ()) -> DataFrame:
+    def health(self, outside: tuple[str, ...] = (), inbox: str | None = None) -> DataFrame:
         row = lambda df, kind, detail: df.select(F.lit(kind).alias("finding"), F.col("file_id"), detail.alias("detail"))
-        lonely = graph.orphans(self.notes, self.edges, (*outside, self.archive))
+        lonely = graph.orphans(self.notes, self.edges, (*outside, *((inbox.rstrip("/"),) if inbox else ()), self.archive))
         stale = graph.stale_headings(self.chunks, self.notes.select("file_id", "path"), self.chunks.select("file_id", "heading"))
-        return row(lonely, "orphan", F.col("path")).unionByName(row(self.unresolved, "broken-link", F.col("target"))).unionByName(row(stale, "stale-heading", F.concat("target", F.lit("#"), "heading")))
+        return row(lonely, "orphan", F.col("path")).unionByName(row(self.unresolved, "broken-link", F.col("target"))).unionByName(row(stale, "stale-heading", F.concat("target", F.lit("#"), "heading"))).unionByName(catalog.hygiene(self.notes, self.tag_rows, inbox, self.archive))
 
     def validate(self, declared: dict[str, str] | None = None, **scope) -> DataFrame:
         own = lint.lint(self.scoped(**scope), self.options.min_chars, declared)
@@ -174,7 +174,17 @@ class Vault:
         return links.discover_links(self.notes, self.aliases.select(F.col("display").alias("alias"), "path"), self.people)
 
     def status(self) -> DataFrame:
-        return catalog.totals(self.notes, self.chunks, self.edges)
+        """One row: totals, tags, the last change, and of a stored index its version and
+        whether it has postings and vectors."""
+        more = self.notes.agg(F.max("mtime").alias("last_change"))
+        tags = self.tag_rows.agg(F.count_distinct("tag").alias("tags"))
+        row = catalog.totals(self.notes, self.chunks, self.edges).join(F.broadcast(more)).join(F.broadcast(tags))  # three rows of one
+        return row.withColumns({"version": F.lit(self.version), "postings": F.lit(self._stored("postings") is not None), "vectors": F.lit(self._stored("vectors") is not None)})
+
+    def profile(self) -> DataFrame:
+        """The vault's folders by role: where daily notes, people and the archive are."""
+        people = self.tag_rows.where(F.lower("tag").isin("person", "people")).select("file_id").union(self.props.where("name = 'role'").select("file_id"))
+        return catalog.profile(self.notes, people)
 
     def structure(self) -> DataFrame:
         return catalog.structure(self.notes)
@@ -221,8 +231,12 @@ class Vault:
     def unarchive_note(self, path: str) -> Vault:
         return self.move(path, path.removeprefix(f"{self.archive}/"))
 
-    def delete(self, path: str) -> Vault:
-        return self._with(self.notes.where(F.col("path") != path))
+    def delete(self, path: str, hard: bool = True) -> Vault:
+        """``hard``: for good; else into the trash, from where ``undelete`` brings it."""
+        return self._with(self.notes.where(F.col("path") != path) if hard else store.soft_delete(self.notes, path))
+
+    def undelete(self, name: str) -> Vault:
+        return self._with(store.undelete(self.notes, name))
 
     def reindex(self, found: DataFrame) -> Vault:
         """The stored index with the changes of a later scan: only what changed notes

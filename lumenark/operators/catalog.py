@@ -138,6 +138,47 @@ def structure(notes: DataFrame) -> DataFrame:
     return notes.groupBy(folder.alias("folder")).agg(F.count(F.lit(1)).alias("notes"), F.sum(daily).alias("daily"), F.max(F.size(F.split("path", "/")) - 1).cast("long").alias("depth")).withColumn("is_daily", F.floor(F.col("daily") * 100 / F.col("notes")) >= 60)
 
 
+# The roles that a top folder's name may tell, after leading digits and one
+# run of separators, and how many of the first four make the numbered method.
+ROLES = ("inbox", "projects", "areas", "resources", "archive", "templates", "daily", "people")
+METHOD_ROLES = ("inbox", "projects", "areas", "resources")
+METHOD_LEAST = 3
+FOLDER_PERCENT = 60
+
+
+def profile(notes: DataFrame, people: DataFrame) -> DataFrame:
+    """(role, folder, found_by, notes): the folders of a vault by role, from their names,
+    and for daily notes and people, where no name tells, from their notes' names or from
+    ``people`` (file_id of notes on people), if that holds for 60 in 100 of a top folder's
+    own notes; the first such folder by name. The row ``method`` has para, folders or flat."""
+    parts = F.split("path", "/")
+    inside = notes.where(F.instr("path", "/") > 0).select("file_id", F.col("path"), parts[0].alias("folder"), (F.size(parts) == 2).alias("own"))
+    person = inside.join(people.select("file_id").distinct().withColumn("person", F.lit(1)), "file_id", "left")
+    dated = F.substring_index("path", "/", -1).rlike(r"^\d{4}-\d{2}-\d{2}").cast("int")
+    own = lambda c: F.sum(F.when(F.col("own"), c).otherwise(0))
+    folders = person.groupBy("folder").agg(F.count(F.lit(1)).alias("notes"), own(F.lit(1)).alias("own"), own(dated).alias("daily"), own(F.coalesce("person", F.lit(0))).alias("people"))
+    folders = folders.withColumn("role", F.lower(F.regexp_replace("folder", r"^\d*[-_ ]*", "")))
+    named = folders.where(F.col("role").isin(*ROLES)).groupBy("role").agg(F.min_by(F.struct("folder", "notes"), "folder").alias("f")).select("role", "f.folder", F.lit("name").alias("found_by"), "f.notes")
+    shape = folders.agg(F.count_distinct(F.when(F.col("role").isin(*METHOD_ROLES), F.col("role"))).alias("hits"), F.count(F.lit(1)).alias("n"))
+    method = F.when(F.col("hits") >= METHOD_LEAST, "para").when(F.col("n") > 0, "folders").otherwise("flat")
+    out = named.unionByName(shape.select(F.lit("method").alias("role"), method.alias("folder"), F.lit("shape").alias("found_by"), F.lit(0).cast("long").alias("notes")))
+    loose = shape.where(F.col("hits") < METHOD_LEAST).select(F.lit(1).alias("_one"))
+    for role in ("people", "daily"):
+        share = folders.where((F.col("own") > 0) & (F.floor(F.col(role) * 100 / F.col("own")) >= FOLDER_PERCENT))
+        first = share.agg(F.min_by(F.struct("folder", "notes"), "folder").alias("f")).where("f is not null").select(F.lit(role).alias("role"), "f.folder", F.lit("notes").alias("found_by"), "f.notes", F.lit(1).alias("_one"))
+        out = out.unionByName(first.join(named.select("role"), "role", "left_anti").join(loose, "_one", "left_semi").drop("_one"))
+    return out
+
+
+def hygiene(notes: DataFrame, tags: DataFrame, inbox: str | None = None, archive: str = "04-Archive", work: str = "Work/", tag: str = "work") -> DataFrame:
+    """(finding, file_id, detail): notes waiting in the inbox folder, and live notes under
+    ``work`` without its tag."""
+    row = lambda df, kind: df.select(F.lit(kind).alias("finding"), "file_id", F.col("path").alias("detail"))
+    at_work = notes.where(F.col("path").contains(work) & ~F.col("path").startswith(archive + "/"))
+    out = row(at_work.join(tags.where(F.lower("tag") == tag).select("file_id"), "file_id", "left_anti"), "work-tag-missing")
+    return out if inbox is None else out.unionByName(row(notes.where(F.col("path").startswith(inbox)), "inbox-pending"))
+
+
 def vault_map(notes: DataFrame, tags: DataFrame, edges: DataFrame) -> DataFrame:
     """One table of sections: folders, tags, axes, linked and recent notes."""
     row = lambda df, section, name, n: df.select(F.lit(section).alias("section"), F.col(name).cast("string").alias("name"), F.col(n).cast("long").alias("n"))

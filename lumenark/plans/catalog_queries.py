@@ -158,6 +158,39 @@ def file_tags(v):
     return C.file_tags(v.note_tags)
 
 
+_FOLDERS = ", p AS (SELECT c_custkey AS file_id, (['00-Inbox', '01-Projects', 'Areas', 'misc', 'log', 'folk'])[c_nationkey % 6 + 1] AS folder, c_nationkey % 6 AS k, c_custkey % 10 AS d FROM customer), n AS (SELECT folder, count(*) AS notes FROM p GROUP BY folder)"
+
+
+def _folders(v):
+    k = F.col("c_nationkey") % 6
+    folder = F.element_at(F.array(*map(F.lit, ("00-Inbox", "01-Projects", "Areas", "misc", "log", "folk"))), k.cast("int") + 1)
+    name = F.when((k == 4) & (F.col("c_custkey") % 10 < 7), F.lit("2024-01-02")).otherwise(F.lit("x"))
+    return v.table("customer").select(F.col("c_custkey").alias("file_id"), F.concat(folder, F.lit("/"), name, F.lit(" "), "c_custkey", F.lit(".md")).alias("path"))
+
+
+@query(_FOLDERS + """ SELECT CASE folder WHEN '00-Inbox' THEN 'inbox' WHEN '01-Projects' THEN 'projects' ELSE 'areas' END AS role, folder, 'name' AS found_by, notes FROM n WHERE folder IN ('00-Inbox', '01-Projects', 'Areas')
+UNION ALL SELECT 'method', CASE (SELECT count(*) FROM n WHERE folder IN ('00-Inbox', '01-Projects', 'Areas')) WHEN 3 THEN 'para' ELSE 'folders' END, 'shape', 0""")
+def vault_profile(v):
+    """A vault by numbered folders."""
+    return C.profile(_folders(v), v.spark.createDataFrame([], "file_id long"))
+
+
+@query(_FOLDERS + """ SELECT role, folder, found_by, notes FROM (SELECT 'inbox' AS role, '00-Inbox' AS folder, 'name' AS found_by UNION ALL SELECT 'daily', 'log', 'notes' FROM (SELECT count_if(d < 7) AS a, count(*) AS b FROM p WHERE folder = 'log') WHERE a * 100 // b >= 60
+UNION ALL SELECT 'people', 'folk', 'notes' FROM (SELECT count_if(d < 8) AS a, count(*) AS b FROM p WHERE folder = 'folk') WHERE a * 100 // b >= 60) JOIN n USING (folder) UNION ALL SELECT 'method', 'folders', 'shape', 0""")
+def vault_profile_by_notes(v):
+    """Folders whose notes tell what they are for."""
+    notes = _folders(v).where("path not like '01-%' AND path not like 'Areas/%'")
+    return C.profile(notes, notes.where("file_id % 10 < 8 AND path like 'folk/%'"))
+
+
+@query(_FOLDERS + " SELECT 'inbox-pending' AS finding, file_id FROM p WHERE folder = '00-Inbox' UNION ALL SELECT 'work-tag-missing', file_id FROM p WHERE folder = 'misc' AND d % 2 = 1")
+def health_hygiene(v):
+    """Notes that wait, and notes of work without its tag."""
+    notes = _folders(v).withColumn("path", F.regexp_replace("path", "^misc/", "Work/"))
+    tags = notes.where("file_id % 2 = 0").select("file_id", F.lit("WORK").alias("tag"))
+    return C.hygiene(notes, tags, "00-Inbox/").select("finding", "file_id")
+
+
 @query("SELECT file_id, name, value, kind FROM props WHERE name = 'priority'")
 def properties_of_files(v):
     """A property of all notes."""

@@ -401,3 +401,12 @@ def test_probes_reach_every_name_that_is_near():
         if text != name and links.similarity(name, text) >= links.FUZZY:
             own = {(len(name), i, name[a:b]) for i, (a, b) in enumerate(links.segments(len(name)))}
             assert own & set(links.probes(text)), (name, text)
+
+
+def test_status_profile_and_trash(spark, vault):
+    assert (vault.status().first().files, vault.status().first().version, vault.status().first().postings) == (3, 0, False)
+    roles = {r.role: r.folder for r in vault.profile().collect()}
+    assert roles == {"method": "folders", "archive": "04-Archive"}
+    gone = vault.delete("silence.md", hard=False)
+    assert gone.notes.where("path = '.trash/silence.md'").count() == 1 and gone.undelete("silence.md").notes.where("path = 'silence.md'").count() == 1
+    assert {(r.finding, r.detail) for r in vault.health(inbox="lore/").collect()} == {("broken-link", "nowhere"), ("inbox-pending", "lore/dragon.md")}
