@@ -176,11 +176,12 @@ def ids_and_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(few(ids), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
 
 
-def alike(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose sketches agree often enough to be verified."""
+def alike(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose sketches, in a table (rep, sketch), agree often enough to
+    be verified. Both sides are tables, so that Spark can split a hot end."""
     both = pairs
     for end in ("a", "b"):
-        both = both.join(reps.groupBy(F.col("rep").alias(end)).agg(F.min("sketch").alias(f"sketch_{end}")), end)
+        both = both.join(sketches.select(F.col("rep").alias(end), F.col("sketch").alias(f"sketch_{end}")), end)
     least = least_places(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,7 +405,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     central = members.groupBy("rep").agg(F.sum("n").alias("c"))
     pivots = cut(members.join(central, "rep").groupBy("key").agg(F.max(F.struct("c", (-F.col("rep")).alias("r"))).alias("m")).select("key", (-F.col("m.r")).alias("pivot")), "pivots")
     pairs = members.join(pivots, "key").where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = cut(verify(cut(alike(pairs, reps, threshold), "pairs"), source, threshold), "links")
+    sketches = cut(reps.groupBy("rep").agg(F.min("sketch").alias("sketch")), "sketches")
+    links = cut(verify(cut(alike(cut(pairs, "met"), sketches, threshold), "pairs"), source, threshold), "links")
     classes = cut(components(links), "classes")
     more = cut(_rest(members, pivots, classes, reps, source, threshold), "links")
     # components of components
