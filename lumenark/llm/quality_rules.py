@@ -12,8 +12,8 @@ their counted number is small and joined by Spark's skew-aware join otherwise.
 
 Defined results: a null text has no words (and so fails); a null host has no
 verdict of its own and rejects nothing; an empty table gives no rows; other columns
-pass through, and the added names must not clash with them (clashing columns are
-replaced by the measured ones).
+pass through, but for those that bear the name of an added one, which are replaced; very
+long texts are measured whole; repeated rows count each.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenark.llm.common import cut
+from lumenark.llm.common import cut, unused
 
 #: Hosts up to which the verdicts may be broadcast (a few bytes each).
 BROADCAST_HOSTS = 50_000
@@ -66,8 +66,9 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
           'n_repeat_words', {_repeat_words("ws")})""",
     )
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    out = docs.withColumn("_figures", F.expr(figures))
-    out = out.withColumns({n: F.col(f"_figures.{n}") for n in names}).drop("_figures")
+    held = unused(docs.columns, "_figures")
+    out = docs.withColumn(held, F.expr(figures))
+    out = out.withColumns({n: F.col(f"`{held}`.{n}") for n in names}).drop(held)
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
@@ -97,11 +98,12 @@ def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", hos
     clash = [c for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "shrunk_rate", "kept") if c in docs.columns]
     measured = measure(docs.drop(*clash), text_col)
     measured = cut(measured if keep_text else measured.drop(text_col), "measured")
-    hosts = host_verdicts(measured, host_col, host_limit).select(F.col("host").alias("_host"), "shrunk_rate", "host_failed")
+    host, failed = (unused(measured.columns, n) for n in ("_host", "_host_failed"))
+    hosts = host_verdicts(measured, host_col, host_limit).select(F.col("host").alias(host), "shrunk_rate", F.col("host_failed").alias(failed))
     if hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
         hosts = F.broadcast(hosts)
-    joined = measured.join(hosts, measured[host_col] == F.col("_host"), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("host_failed", F.lit(False))).drop("_host", "host_failed")
+    joined = measured.join(hosts, measured[host_col] == F.col(host), "left")
+    return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(failed, F.lit(False))).drop(host, failed)
 
 
 ORACLE_SQL = r"""
