@@ -7,25 +7,26 @@ loss of the classifiers' margins against its bits, weighted by how well each
 classifier did on that language when it was fitted; the nearest codeword wins, and a
 text whose two nearest codewords are within ``AMBIGUOUS`` is flagged.
 
-The classifiers are fitted on the driver on a bounded sample: at most
-``Fit.rows`` labelled rows over all languages (chosen by hash of the id, as many of
-each language), whose whole texts are reduced to n-gram counts by the executors.
-Prediction reads whole texts, in slices, and needs no shuffle.
+The classifiers are fitted on the driver on a bounded sample: about ``Fit.rows``
+labelled rows over all languages (chosen by hash of the id, as many of each language) and
+never more than ``Fit.most``, whose whole texts are reduced to n-gram counts by the
+executors. Prediction reads whole texts, in slices, and needs no shuffle.
 
 Defined results: null text or one without a letter is ``und`` with score 0; with no
 labelled row every text is ``und``; with one language every text with a letter is in
-it; repeated rows and null ids are predicted like others (a null id is not held out
+it; very long texts are read whole; of languages at the same distance the first in
+alphabetic order is taken, and flagged; repeated rows and null ids are predicted like others (a null id is not held out
 and never learned from); other columns pass through.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,15 +34,17 @@ UNKNOWN = "und"
 DIM = 8192
 SLICE = 1 << 20
 AMBIGUOUS = 0.05
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[:128] = [c if 97 <= c <= 122 else 32 for c in range(128)]
 
 
 @dataclass(frozen=True)
 class Fit:
-    #: Bound on the labelled rows that are sampled, over all languages.
+    #: Labelled rows that are sampled, over all languages: so many are aimed at, and
+    #: the bound (ids that repeat share a hash).
     rows: int = 2400
+    most: int = 4800
     steps: int = 150
     rate: float = 4.0
     decay: float = 1e-4
@@ -143,7 +146,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return model
     each = max(1, how.rows // len(languages))
     shares = F.create_map(*(x for k in languages for x in (F.lit(k), F.lit(int(min(1.0, each / per[k]) * 2**31)))))
-    chosen = labelled.where(F.pmod(F.xxhash64("id"), F.lit(2**31)) < shares[F.col("lang")]).limit(2 * how.rows)
+    chosen = labelled.where(F.pmod(F.xxhash64("id"), F.lit(2**31)) < shares[F.col("lang")]).limit(how.most)
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
