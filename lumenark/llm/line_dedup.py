@@ -5,18 +5,22 @@ lower-cased. Keys of at least ``min_chars`` code points found in at least
 ``min_docs`` documents lose all their lines except in the largest id that holds them.
 
 1. Tasks count the distinct keys of each document (two 64-bit halves of a 128-bit
-   hash) and combine them before one small shuffle; keys that repeat enough are kept.
-2. Keys are split into shards by hash; for each shard a minimal perfect hash is
-   built that indexes compact arrays of fingerprints (the second half of the hash),
-   document counts and largest ids.
-3. Documents probe the arrays. While all shards together are within
-   ``BROADCAST_BYTES`` they are broadcast. Beyond it, the hashes of the documents'
-   lines (not the lines) travel to the shards, salted by document so that no shard's
-   task grows with one frequent line, and the hits travel back by id.
+   hash), combine them in bounded memory and write them once; partial counts are then
+   dealt to shards by hash.
+2. Each shard builds a minimal perfect hash over its distinct line hashes, which indexes
+   compact arrays of fingerprints (the second half), document counts and largest ids.
+   Partial counts are added up through the hash; the count array decides which lines
+   repeat, and the shard keeps its arrays for those only.
+3. Documents probe the arrays. While all shards' arrays together are within
+   ``BROADCAST_BYTES`` they are broadcast. Beyond it, the hashes of the documents' lines
+   (not the lines) travel to the shards, in as many parts as their counted number asks
+   for, so that no task grows with one frequent line, and the hits travel back by
+   document (id and a hash of the text).
 
 Defined results: a null or empty text is one empty line (a null text stays null); a
-row is a document, so repeated rows count each; a null id is smaller than any other;
-an empty table gives no rows; other columns pass through, except that ``n_lines``,
+row is a document, so repeated rows count each, and if they hold the largest id each
+keeps its lines; a null id is smaller than any other; very long texts are read whole; an
+empty table gives no rows; other columns pass through, except that ``n_lines``,
 ``n_dropped`` and, with ``digest``, ``kept_sha256`` are replaced; ``n_chars``, if
 there, is set to the kept text's code points.
 """
@@ -24,6 +28,7 @@ there, is set to the kept text's code points.
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,14 +39,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenark.llm.common import SPACES, cut, mix64, utf8
+from lumenark.llm.common import SPACES, cut, mix64, parts, unused, utf8
 
 BROADCAST_BYTES = 48 << 20
-#: Of an entry: fingerprint, count, largest id, and its bits of the perfect hash.
-ENTRY_BYTES = 24
-SHARD_KEYS = 1 << 16
-SALTS = 16
+#: Partial counts for one shard, and lines for one task that asks a shard.
+SHARD_KEYS = 1 << 18
+ASKING = 1 << 19
+#: Keys that a task combines before it hands them on, and texts (or characters) it hashes at once.
+COMBINED = 200_000
+ROWS, CHARACTERS = 500, 4 << 20
 _STRIP = SPACES.encode()
+#: Stands for a null id; ids of 64 bits are larger.
+_NULL_ID = -(2**63)
 
 
 class PerfectHash:
@@ -84,28 +93,46 @@ class PerfectHash:
 
 
 class Shard:
-    """Perfect hash and the arrays it indexes."""
+    """Perfect hash over distinct line hashes and the arrays it indexes, from partial
+    counts: halves of the hash, documents and largest id."""
 
     def __init__(self, h1: np.ndarray, h2: np.ndarray, docs: np.ndarray, largest: np.ndarray):
-        self.hash = PerfectHash(h1)
-        at = self.hash.index(h1)
-        self.fingerprint = np.zeros(self.hash.size, np.uint64)
-        self.count = np.zeros(self.hash.size, np.uint32)
-        self.largest = np.zeros(self.hash.size, np.int64)
-        self.fingerprint[at], self.count[at], self.largest[at] = h2, np.minimum(docs, 2**32 - 1), largest
-
-    def keepers(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each key is indexed, and the id that keeps its lines."""
-        at = self.hash.index(h1)
+        self.seed = -1
+        while True:  # until the seed tells all distinct pairs of halves apart
+            self.seed += 1
+            keys = self._keys(h1, h2)
+            self.hash = PerfectHash(keys)
+            at = self.hash.index(keys)
+            self.fingerprint = np.zeros(self.hash.size, np.uint64)
+            self.fingerprint[at] = h2
+            first = np.zeros(self.hash.size, np.uint64)
+            first[at] = h1
+            if (self.fingerprint[at] == h2).all() and (first[at] == h1).all():
+                break
+        self.count = np.zeros(self.hash.size, np.int64)
+        np.add.at(self.count, at, docs)
+        self.largest = np.full(self.hash.size, _NULL_ID, np.int64)
+        np.maximum.at(self.largest, at, largest)
+        self._first = first
+
+    def _keys(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        return h1 ^ mix64(h2 + np.uint64(self.seed)) if self.seed else h1
+
+    def repeated(self, min_docs: int) -> Shard:
+        """The arrays of the lines that enough documents hold."""
+        some = self.count >= min_docs
+        out = Shard(self._first[some], self.fingerprint[some], self.count[some], self.largest[some])
+        del out._first  # only the fingerprints are probed
+        return out
+
+    def keepers(self, h1: np.ndarray, h2: np.ndarray, min_docs: int) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each line repeats, and the id that keeps it."""
+        at = self.hash.index(self._keys(h1, h2))
         found = at >= 0
         if not self.hash.size:
             return found, at
         at = np.maximum(at, 0)
-        return found & (self.fingerprint[at] == h2), self.largest[at]
-
-
-#: Stands for a null id; ids of 64 bits are larger.
-_NULL_ID = -(2**63)
+        return found & (self.fingerprint[at] == h2) & (self.count[at] >= min_docs), self.largest[at]
 
 
 def _keys(text: str | None, min_chars: int) -> list[bytes]:
@@ -127,48 +154,64 @@ def _signed(x: list[int]) -> pa.Array:
     return pa.array(np.array(x, np.uint64).view(np.int64))
 
 
-def repeated_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> DataFrame:
-    """(h1, h2, docs, largest) of the keys that lose lines."""
+def partial_counts(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+    """(h1, h2, docs, largest): documents that hold a line, and the largest id, of each
+    task's lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, list[int]] = {}
+
+        def flush() -> pa.RecordBatch:
+            h = np.frombuffer(b"".join(seen), ">u8").astype(np.uint64).reshape(-1, 2)
+            out = [pa.array(h[:, k].view(np.int64)) for k in (0, 1)] + [pa.array([e[k] for e in seen.values()], pa.int64()) for k in (0, 1)]
+            seen.clear()
+            return pa.RecordBatch.from_arrays(out, names=["h1", "h2", "docs", "largest"])
+
         for batch in batches:
-            seen: dict[bytes, list[int]] = {}
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 i = _NULL_ID if i is None else i
                 for key in set(_keys(text, min_chars)):
                     if key:
-                        e = seen.setdefault(key, [0, i])
+                        e = seen.setdefault(xxhash.xxh3_128_digest(key), [0, i])
                         e[0] += 1
                         e[1] = max(e[1], i)
-            h = [_halves(k) for k in seen]
-            yield pa.RecordBatch.from_arrays([_signed([x[0] for x in h]), _signed([x[1] for x in h]), pa.array([e[0] for e in seen.values()], pa.int64()), pa.array([e[1] for e in seen.values()], pa.int64())], names=["h1", "h2", "docs", "largest"])
+                if len(seen) >= COMBINED:
+                    yield flush()
+        if seen:
+            yield flush()
 
-    lines = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "h1 long, h2 long, docs long, largest long")
-    return lines.groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("largest").alias("largest")).where(F.col("docs") >= min_docs)
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "h1 long, h2 long, docs long, largest long")
 
 
-def build_shards(keys: DataFrame, shards: int) -> DataFrame:
-    """One row per shard: its number and the pickled arrays."""
-    import pickle
+def build_shards(counts: DataFrame, shards: int, min_docs: int) -> DataFrame:
+    """One row per shard that holds a repeated line: its number and pickled arrays."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        one = Shard(pdf.h1.to_numpy().view(np.uint64), pdf.h2.to_numpy().view(np.uint64), pdf.docs.to_numpy(), pdf.largest.to_numpy())
-        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "arrays": [pickle.dumps(one)]})
+        one = Shard(pdf.h1.to_numpy().view(np.uint64), pdf.h2.to_numpy().view(np.uint64), pdf.docs.to_numpy(), pdf.largest.to_numpy()).repeated(min_docs)
+        some = [pickle.dumps(one)] if one.hash.size else []
+        return pd.DataFrame({"shard": np.array([pdf["shard"].iloc[0]] * len(some), np.int64), "arrays": some})
+
+    return counts.withColumn("shard", F.pmod("h1", F.lit(shards))).groupBy("shard").applyInPandas(build, "shard long, arrays binary")
+
 
-    return keys.withColumn("shard", F.pmod("h1", F.lit(shards))).groupBy("shard").applyInPandas(build, "shard long, arrays binary")
+def _short(batches: Iterator[pa.RecordBatch], text_col: str | int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of bounded rows and characters."""
+    for batch in batches:
+        for lo, hi in parts(batch.column(text_col).to_pylist(), ROWS, CHARACTERS):
+            yield batch.slice(lo, hi - lo)
 
 
-def _rewrite(docs: DataFrame, id_col: str, text_col: str, digest: bool, dropped, extra: str | None = None) -> DataFrame:
-    """Apply ``dropped(ids, keys of each row, extra of each row) -> flags of each row``."""
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_sha256", extra)]
+def _rewrite(docs: DataFrame, id_col: str, text_col: str, digest: bool, dropped, extra: list[str] = []) -> DataFrame:  # noqa: B006
+    """Apply ``dropped(ids, texts, extra columns) -> flags of each row``."""
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_sha256", *extra)]
     fields = docs.select(*names).schema.add("n_lines", "long").add("n_dropped", "long")
     if digest:
         fields = fields.add("kept_sha256", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _short(batches, text_col):
             texts = batch.column(text_col).to_pylist()
-            flags = dropped(batch.column(id_col), texts, batch.column(extra) if extra else None)
+            flags = dropped(batch.column(id_col), texts, [batch.column(c) for c in extra])
             kept, n_lines, n_dropped, sums = [], [], [], []
             for text, gone in zip(texts, flags):
                 lines = (text or "").split("\n")
@@ -186,19 +229,17 @@ def _rewrite(docs: DataFrame, id_col: str, text_col: str, digest: bool, dropped,
                 columns["kept_sha256"] = pa.array(sums, pa.string())
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return docs.select(*names, *([extra] if extra else [])).mapInArrow(run, fields)
+    return docs.select(*names, *extra).mapInArrow(run, fields)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, digest: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text_col``, and n_lines,
     n_dropped and, with ``digest``, kept_sha256."""
-    import pickle
-
     spark = docs.sparkSession
-    keys = cut(repeated_keys(docs, id_col, text_col, min_chars, min_docs), "line-keys")
-    n = keys.count()
-    shards = max(1, -(-n // SHARD_KEYS))
-    built = build_shards(keys, shards)
+    counts = cut(partial_counts(docs, id_col, text_col, min_chars), "line-counts")
+    shards = max(1, -(-counts.count() // SHARD_KEYS))
+    built = cut(build_shards(counts, shards, min_docs), "line-shards")
+    size = built.agg(F.sum(F.length("arrays"))).first()[0] or 0
 
     def hashes(texts: list) -> tuple[list[int], np.ndarray, np.ndarray]:
         """Lines of each text, and both halves for each line (0 if too short)."""
@@ -220,7 +261,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             at += s
         return out
 
-    if n * ENTRY_BYTES <= broadcast_bytes:
+    if size <= broadcast_bytes:
         arrays = {r["shard"]: bytes(r["arrays"]) for r in built.collect()}
         sent = spark.sparkContext.broadcast(arrays)
         loaded: dict[int, Shard] = {}
@@ -234,48 +275,56 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             shard = h1.view(np.int64) % np.int64(shards)
             for k, s in loaded.items():
                 mine = np.flatnonzero((shard == k) & ((h1 != 0) | (h2 != 0)))
-                found, keeper = s.keepers(h1[mine], h2[mine])
+                found, keeper = s.keepers(h1[mine], h2[mine], min_docs)
                 gone[mine] = found & (keeper != own[mine])
             return slices(gone, sizes)
 
         return _rewrite(docs, id_col, text_col, digest, probe)
 
     # Too large to broadcast: the hashes travel to the shards instead.
+    own, mark, gone, none = (unused(docs.columns, n) for n in ("_own", "_mark", "_gone", "_none"))
+
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, h1, h2 = hashes(batch.column(1).to_pylist())
-            own = np.repeat(ids_of(batch.column(0)), sizes)
+        for batch in _short(batches, 2):
+            sizes, h1, h2 = hashes(batch.column(2).to_pylist())
+            ids, marks = (np.repeat(batch.column(k).to_numpy(), sizes) for k in (0, 1))
             some = (h1 != 0) | (h2 != 0)
-            h1, h2, own = h1[some], h2[some], own[some]
-            yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64) % np.int64(shards)), pa.array((mix64(own.view(np.uint64)) % np.uint64(SALTS)).astype(np.int64)), pa.array(own), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=["shard", "salt", "own", "h1", "h2"])
+            h1, h2 = h1[some].view(np.int64), h2[some].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1 % np.int64(shards), ids[some], marks[some], h1, h2)], names=["shard", "own", "mark", "h1", "h2"])
 
     def answer(asking: pd.DataFrame, arrays: pd.DataFrame) -> pd.DataFrame:
+        columns = ["own", "mark", "h1", "h2"]
         if not len(asking) or not len(arrays):
-            return pd.DataFrame({"own": pd.Series(dtype="int64"), "h1": pd.Series(dtype="int64")})
+            return pd.DataFrame({c: pd.Series(dtype="int64") for c in columns})
         s = pickle.loads(arrays["arrays"].iloc[0])
-        found, keeper = s.keepers(asking.h1.to_numpy().view(np.uint64), asking.h2.to_numpy().view(np.uint64))
-        return asking.loc[found & (keeper != asking.own.to_numpy()), ["own", "h1"]].drop_duplicates()
+        found, keeper = s.keepers(asking.h1.to_numpy().view(np.uint64), asking.h2.to_numpy().view(np.uint64), min_docs)
+        return asking.loc[found & (keeper != asking.own.to_numpy()), columns].drop_duplicates()
 
-    lines = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(asked, "shard long, salt long, own long, h1 long, h2 long")
-    copies = built.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
-    hits = lines.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(answer, "own long, h1 long")
-    hits = hits.groupBy(F.col("own").alias("_own")).agg(F.collect_set("h1").alias("_gone"))
-    joined = docs.join(hits, F.coalesce(docs[id_col].cast("long"), F.lit(_NULL_ID)) == F.col("_own"), "left").drop("_own")
+    marked = docs.withColumns({own: F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)), mark: F.xxhash64(text_col)})
+    lines = cut(marked.select(own, mark, text_col).mapInArrow(asked, "shard long, own long, mark long, h1 long, h2 long"), "line-asked")
+    salts = lines.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / ASKING).cast("long").alias("salts"))
+    copies = built.join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    lines = lines.join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("own", "mark"), F.col("salts"))).drop("salts")
+    hits = lines.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(answer, "own long, mark long, h1 long, h2 long")
+    hits = hits.groupBy(F.col("own").alias(own), F.col("mark").alias(mark)).agg(F.collect_set(F.struct("h1", "h2")).alias(gone))
+    joined = marked.join(hits, [own, mark], "left").select(*docs.columns, F.transform(gone, lambda x: x["h1"]).alias(gone), F.transform(gone, lambda x: x["h2"]).alias(none))
 
-    def told(ids: pa.Array, texts: list, gone: pa.Array) -> list[list[bool]]:
-        sizes, h1, _ = hashes(texts)
-        rows = slices(h1.view(np.int64), sizes)
-        return [[x in g for x in row] for row, g in zip(rows, (set(g or ()) for g in gone.to_pylist()))]
+    def told(ids: pa.Array, texts: list, gone: list[pa.Array]) -> list[list[bool]]:
+        sizes, h1, h2 = hashes(texts)
+        one, two = (slices(h.view(np.int64), sizes) for h in (h1, h2))
+        hit = [set(zip(x or (), y or ())) for x, y in zip(*(g.to_pylist() for g in gone))]
+        return [[pair in g for pair in zip(*rows)] for *rows, g in zip(one, two, hit)]
 
-    return _rewrite(joined, id_col, text_col, digest, told, "_gone")
+    return _rewrite(joined, id_col, text_col, digest, told, [gone, none])
 
 
 ORACLE_SQL = r"""
-WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
-k AS (SELECT doc_id, i, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
-r AS (SELECT key, max(doc_id) AS largest FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
-f AS (SELECT k.doc_id, i, line, r.key IS NOT NULL AND k.doc_id <> r.largest AS gone FROM k LEFT JOIN r USING (key))
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
+k AS (SELECT r, doc_id, i, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+m AS (SELECT key, max(doc_id) AS largest FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT r) >= 3),
+f AS (SELECT k.r, k.doc_id, i, line, m.key IS NOT NULL AND k.doc_id <> m.largest AS gone FROM k LEFT JOIN m USING (key))
 SELECT doc_id, count(*)::BIGINT AS n_lines, count_if(gone)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
-FROM f GROUP BY doc_id
+FROM f GROUP BY r, doc_id
 """
