@@ -115,7 +115,7 @@ class Store:
         out = notes.withColumn("bucket", self.bucket()).repartition("bucket")
         out.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/notes/v{version}")
         # partitions that hold nothing any more have no folder
-        now = {r["bucket"] for r in self.spark.read.parquet(f"{self.root}/notes/v{version}").select("bucket").distinct().collect()} if touched else set()
+        now = {r["bucket"] for r in self.spark.read.schema(f"{self.fields}, bucket int").parquet(f"{self.root}/notes/v{version}").select("bucket").distinct().collect()} if touched else set()
         present = {b: v for b, v in self.manifest(version - 1).items() if b not in touched} | {b: version for b in touched & now}
         rows = self.spark.createDataFrame(list(present.items()), "bucket int, version long")
         rows.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/v{version}")

@@ -319,6 +319,10 @@ def test_stream_life_cycle(spark, tmp_path):
     no_scan = watch.apply_batch(store_.read(3), watch.classify(spark.createDataFrame([(9, "renamed-somehow", "kept.md", None, None)], events)))
     assert no_scan.where("path = 'kept.md'").count() == 1
     assert sorted(r.path for r in watch.start_up(store_, lambda: spark.createDataFrame(listed[:1], "path string, content_hash string, mtime long"), 3).collect()) == ["kept.md"]
+    f.step(spark.createDataFrame([(6, "deleted", "kept.md", None, None)], events), 4)  # the last note
+    assert store_.read(5).count() == 0 and store_.manifest(5) == {}
+    f.step(spark.createDataFrame([(7, "created", "kept.md", "k", 1)], events), 5)
+    assert [r.path for r in store_.read(6).collect()] == ["kept.md"]
 
 
 def test_notes_of_conversations_hold_every_turn(spark, tmp_path):
