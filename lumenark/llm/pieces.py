@@ -9,15 +9,17 @@ file's own scores are used even where its trainer merged pairs instead: such a m
 has merge ranks as scores, and this encoder's paths are the best by those, not a
 replay of the merges.)
 
-``StreamingViterbi`` takes text in parts. It keeps the states of the last
-``longest`` positions (no piece is longer); whenever the paths of all states that a
-later piece can still start from run through one boundary, the ids up to it are
-committed and forgotten. Where no piece can cross a boundary (before U+2581 after
-another character), paths always converge; what lies between two such boundaries is
-encoded once and remembered in a bounded memory, since words repeat.
+``StreamingViterbi`` takes a text in parts, and every ``longest`` characters (no piece is
+longer) looks at the paths of all states that a later piece can still start from: once
+they run through one boundary, the ids up to it are committed and forgotten. All texts
+go through it. Where no piece can cross a boundary (before U+2581 after another
+character), a single state survives and all is committed; what lies between two such
+boundaries depends on nothing before it, so the ids committed for it are remembered, in a
+bounded memory, since words repeat.
 
 Rows are independent: nothing is shuffled. Defined results: null or empty text has
-no ids, which decode to the empty text; unknown ids raise ValueError; repeated rows
+no ids, which decode to the empty text; very long texts without spaces stream through
+the same window; unknown ids raise ValueError; repeated rows
 stay; other columns pass through.
 """
 
@@ -45,6 +47,8 @@ class PieceModel:
     #: Spans remembered since the last turnover (those asked for since the one before
     #: stay for another), and the longest remembered.
     REMEMBER, LONG = 250_000, 64
+    #: Characters that a stream is fed at once.
+    PART = 1024
 
     def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2
@@ -75,19 +79,22 @@ class PieceModel:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def span(self, text: str) -> bytes:
-        """The ids of an escaped span, little-endian unsigned 32-bit."""
-        stream = StreamingViterbi(self)
-        out = array("I", stream.feed(text))
-        out.extend(stream.finish())
+    def span(self, text: str, stream: StreamingViterbi) -> bytes:
+        """The ids of an escaped span between boundaries that no piece crosses,
+        little-endian unsigned 32-bit."""
+        out = array("I")
+        for at in range(0, len(text), self.PART):
+            out.extend(stream.feed(text[at : at + self.PART]))
+        out.extend(stream.settle())
         return out.tobytes()
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         text = text.replace(SPACE, LITERAL)
+        stream = StreamingViterbi(self)
         if not self.closed:
-            return self.span(SPACE + text.replace(" ", SPACE))
+            return self.span(SPACE + text.replace(" ", SPACE), stream)
         if "  " in text or text[0] == " ":
             spans = _SPANS.findall(SPACE + text.replace(" ", SPACE))
         else:
@@ -102,7 +109,7 @@ class PieceModel:
             if ids is None:
                 ids = self.older.get(s)
                 if ids is None:
-                    ids = self.span(s)
+                    ids = self.span(s, stream)
                 if len(s) <= self.LONG:
                     known[s] = ids
             out.append(ids)
@@ -125,23 +132,24 @@ class StreamingViterbi:
         self.best: list[float] = [0.0]  # by position in text
         self.back: list[tuple[int, int]] = [(0, -1)]  # start of the last piece and its id (-1: unknown)
         self.at = 0  # positions before it have sent out all their pieces
+        self.commits = 0
 
     def feed(self, text: str) -> list[int]:
         """Take a part of the text; ids committed so far."""
         self.text += text
         out: list[int] = []
-        step = 64 * self.model.longest
+        step = self.model.longest
         # a start needs the next ``longest`` characters
-        while len(self.text) - self.at > step:
-            self._advance(self.at + step - self.model.longest)
+        while len(self.text) - self.at > 2 * step:
+            self._advance(self.at + step)
             out += self._commit()
         return out
 
-    def finish(self) -> list[int]:
+    def settle(self) -> list[int]:
+        """The rest of the ids of what was fed; no piece may cross its end, so one
+        state survives there."""
         self._advance(len(self.text))
-        out = self._path(len(self.text))
-        self.text, self.best, self.back, self.at = "", [0.0], [(0, -1)], 0
-        return out
+        return self._commit()
 
     def _advance(self, to: int) -> None:
         s, best, back, tree = self.text, self.best, self.back, self.model.tree[0]
@@ -170,6 +178,7 @@ class StreamingViterbi:
 
     def _commit(self) -> list[int]:
         """Ids up to the last boundary that all surviving paths share."""
+        self.commits += 1
         states = {j for j in range(self.at, min(len(self.best), self.at + self.model.longest + 1)) if self.best[j] > float("-inf")}
         while len(states) > 1:
             j = max(states)
