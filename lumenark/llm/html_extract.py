@@ -1,20 +1,29 @@
 """Main-text extraction by two-pass block rules.
 
-A page is cut into blocks at block-level tags; elements that never hold main text
-(menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
-comments: by element, role, class and id words) are left out with all they hold.
-Pass one classifies each block by length, link density and stop-word density as
-good, bad or undecided. Pass two lets each undecided block take the label of its
-nearest decided neighbours: good if both agree or the nearer one is good.
+A page is cut into blocks at block-level tags. Elements that by HTML's own meaning hold
+no main text (menus, headers, footers, sidebars, forms, scripts, styles, hidden ones: by
+element, role or attribute) are left out with all they hold; class and id words only give
+the blocks within a hint.
+Pass one classifies each block by length, link density and stop-word density as good, bad
+or undecided. The hints feed it: a strong one (advert, cookie, breadcrumb ...) is bad,
+a weak one (related, share, notice ..., words that main text uses too) is good only as
+long, dense and unlinked prose in a marked article, else bad; hinted blocks are no one's
+neighbours. Pass two lets each undecided block take the label of its nearest decided
+neighbours: good if both agree or the nearer one is good; at equal distance and different
+labels it is bad.
 Both passes run on all blocks of every page, within a marked article (``article`` or
 ``main``) or not. The mark is a prior only: within it, few stop words or some link text
 leave a block undecided, and bad is only what is almost all link text. Undecided blocks
 look at neighbours on their own side of the mark; without a decided one, those within
-are good and the others bad.
+are good, and of the others those that are unlinked, dense and end as a sentence does. A
+heading takes the label of the block that follows it.
 
-Rows are independent: nothing is shuffled, and a page is read whole. Defined results:
-null or empty html gives an empty text; unclosed and stray tags are tolerated;
-repeated rows stay; other columns pass through.
+Rows are independent: nothing is shuffled. A page is read whole, in time proportional to
+its length, however it is broken (tags are found without backtracking, and each open
+element is looked at a bounded number of times). Defined results: null or empty html
+gives an empty text; unclosed and stray tags are tolerated; a "<" that no ">" follows is
+text; repeated rows stay; other columns pass through, but for those named text and
+n_chars, which are replaced.
 """
 
 from __future__ import annotations
@@ -35,8 +44,12 @@ BLOCK = set(
 )
 DROPPED = set("head nav footer aside form menu dialog script style title textarea noscript iframe template button select svg canvas object audio video map".split())
 DROPPED_ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form toolbar".split())
-DROPPED_WORDS = set(
-    "ad ads adbox adsense adslot adunit adv advert adverts advertisement advertising announcement sponsor sponsored promo promotion banner cookie cookies consent disclaimer gdpr notice notices alert popup modal overlay newsletter subscribe subscription sidebar menu nav navbar navigation navi breadcrumb breadcrumbs footer masthead comment comments commentlist disqus reply replies respond related recommended recommendations share sharing social toolbar widget login signin signup search copyright pagination pager paywall toc topbar skip".split()
+#: Words of class and id that name no main text, and those that main text may bear too.
+STRONG_HINTS = set(
+    "ad ads adbox adsense adslot adunit adv advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr popup modal overlay newsletter sidebar navbar navigation breadcrumb breadcrumbs footer masthead comments commentlist disqus pagination pager paywall topbar".split()
+)
+WEAK_HINTS = set(
+    "announcement promotion disclaimer notice notices alert subscribe subscription menu nav navi comment reply replies respond related recommended recommendations share sharing social toolbar widget login signin signup search copyright toc skip".split()
 )
 #: What a header may be of, and then is none of the page's.
 OWN_HEADER = set("article entry post story content".split())
@@ -48,7 +61,9 @@ STOP_WORDS = set(
     al como con de del el ella en era es esta este fue ha hay la las lo los más me mi muy no o para pero por que se ser si sin sobre son su sus también un una y ya""".split()
 )
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+#: Within a tag: a quoted value opens after "=", or the tag ends.
+_EDGE = re.compile(r"""=\s*(["'])|>""")
 _HINT = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _WORD = re.compile(r"[^\W_]+")
 #: Elements that a new one closes while they are open within the same block.
@@ -61,6 +76,8 @@ class Rules:
     short_chars: int = 70
     max_link_density: float = 0.35
     article_link_density: float = 0.8
+    #: Of weakly hinted blocks, which must be longer and denser than others.
+    hinted_link_density: float = 0.1
     good_stop_density: float = 0.2
     bad_stop_density: float = 0.05
 
@@ -69,6 +86,7 @@ class Rules:
 class Block:
     heading: bool
     article: bool
+    hint: int = 0  # 0 none, 1 weak, 2 strong
     parts: list[str] = field(default_factory=list)
     links: list[str] = field(default_factory=list)
     text: str = ""
@@ -80,31 +98,129 @@ class Block:
         self.link_density = min(1.0, len(linked) / len(self.text)) if self.text else 0.0
 
 
-def _hidden(name: str, attributes: str, article: bool) -> bool:
-    """Whether an element and all it holds is left out."""
+def _judge(name: str, attributes: str, article: bool) -> tuple[bool, int]:
+    """Whether an element and all it holds is left out, and its hint."""
     if name in DROPPED:
-        return True
+        return True, 0
     if not attributes:
-        return name == "header" and not article
+        return name == "header" and not article, 0
     hints = {k.lower(): v.strip("\"'").lower() for k, v in _HINT.findall(attributes)}
     if "hidden" in hints or hints.get("aria-hidden") == "true" or "display:none" in hints.get("style", "").replace(" ", ""):
-        return True
+        return True, 0
     if hints.get("role") in DROPPED_ROLES:
-        return True
+        return True, 0
     if name in ("html", "body", "main") or name == "article" and not article:
-        return False
-    if name == "header" and not article:
-        return True
+        return False, 0
     words = set(re.split(r"[^a-z0-9]+", f"{hints.get('class', '')} {hints.get('id', '')}"))
-    return bool(words & DROPPED_WORDS) or not article and "header" in words and not words & OWN_HEADER
+    if name == "header" and not article or not article and "header" in words and not words & OWN_HEADER:
+        return True, 0
+    return False, 2 if words & STRONG_HINTS else 1 if words & WEAK_HINTS else 0
+
+
+def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """Start, end, closing, lower-case name (empty: a comment or declaration) and
+    attributes of each tag. The end of a scan is never left behind, but once: when a
+    tag's quoted values hide every later ">", quotes count as nothing from there on."""
+    at, n, plain = 0, len(page), False
+    unclosed: set[str] = set()  # quotes that do not occur any more
+    while True:
+        lt = page.find("<", at)
+        if lt < 0:
+            return
+        at = lt + 1
+        if page.startswith("!--", at):
+            end = page.find("-->", at + 3)
+            at = n if end < 0 else end + 3
+            yield lt, at, False, "", ""
+            continue
+        if page[at : at + 1] in ("!", "?"):
+            end = page.find(">", at)
+            at = n if end < 0 else end + 1
+            yield lt, at, False, "", ""
+            continue
+        m = _NAME.match(page, at)
+        if m is None:
+            continue
+        end, look = -1, m.end()
+        while not plain:
+            e = _EDGE.search(page, look)
+            if e is None:
+                plain = True
+            elif e[1] is None:
+                end = e.end() - 1
+                break
+            else:
+                close = -1 if e[1] in unclosed else page.find(e[1], e.end())
+                if close < 0:
+                    unclosed.add(e[1])
+                look = e.end() if close < 0 else close + 1
+        if end < 0:
+            end = page.find(">", m.end())
+            if end < 0:
+                return
+        at = end + 1
+        name = m[2].lower()
+        yield lt, at, bool(m[1]), name, page[m.end() : end]
+        if name in RAW and not m[1]:
+            close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            at = close.end() if close else n
+            yield end + 1, at, False, "", ""
+
+
+class _Open:
+    """The open elements. ``blocks`` are the places of block-level ones; inline ones are
+    counted since the last block, block-level ones over all, so that an end tag without
+    its element costs nothing."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool, bool, bool, int]] = []  # name, dropped, in an article, in a link, hint
+        self.blocks: list[int] = []
+        self.counts: dict[str, int] = {}
+        self.inline: list[dict[str, int]] = [{}]
+
+    @property
+    def top(self) -> tuple[str, bool, bool, bool, int]:
+        return self.stack[-1] if self.stack else ("", False, False, False, 0)
+
+    def last_block(self) -> str:
+        return self.stack[self.blocks[-1]][0] if self.blocks else ""
+
+    def push(self, name: str, dropped: bool, article: bool, link: bool, hint: int) -> None:
+        if name in BLOCK:
+            self.blocks.append(len(self.stack))
+            self.counts[name] = self.counts.get(name, 0) + 1
+            self.inline.append({})
+        else:
+            self.inline[-1][name] = self.inline[-1].get(name, 0) + 1
+        self.stack.append((name, dropped, article, link, hint))
+
+    def pop(self) -> str:
+        name = self.stack.pop()[0]
+        if name in BLOCK:
+            self.blocks.pop(), self.inline.pop()
+            self.counts[name] -= 1
+        else:
+            self.inline[-1][name] -= 1
+        return name
+
+    def pop_block(self) -> None:
+        to = self.blocks[-1]
+        while len(self.stack) > to:
+            self.pop()
+
+    def close(self, name: str) -> bool:
+        """Close the last open ``name``; an inline one only within its block."""
+        if not (self.counts if name in BLOCK else self.inline[-1]).get(name):
+            return False
+        while self.pop() != name:
+            pass
+        return True
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order, without those of dropped elements."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, dropped, in an article, in a link
-    dropped = article = link = False
-    block = Block(False, False)
+    open_, block = _Open(), Block(False, False)
 
     def end(heading: bool = False) -> None:
         nonlocal block
@@ -112,66 +228,50 @@ def blocks(page: str) -> list[Block]:
             block.close()
             if block.text:
                 found.append(block)
-        block = Block(heading, article)
-
-    def pop(to: int) -> None:
-        nonlocal dropped, article, link
-        del stack[to:]
-        _, dropped, article, link = stack[-1] if stack else ("", False, False, False)
+        block = Block(heading, open_.top[2], open_.top[4])
 
     def say(text: str) -> None:
+        _, dropped, _, link, _ = open_.top
         if text and not dropped:
             block.parts.append(text)
             if link:
                 block.links.append(text)
 
-    at, n = 0, len(page)
-    while at < n:
-        m = _TAG.search(page, at)
-        if m is None:
-            say(page[at:])
-            break
-        say(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+    at = 0
+    for start, stop, closing, name, attributes in tags(page):
+        say(page[at:start])
+        at = stop
         if not name:
-            continue  # a comment or declaration
-        closing, attributes = (m[1] or m[4]) == "/", m[3] or m[6] or ""
+            continue
         blocky = name in BLOCK
         if closing:
             if blocky:
                 end()
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), -1)
-            # an inline end tag does not reach out of its block
-            if k >= 0 and (blocky or not any(s[0] in BLOCK for s in stack[k + 1 :])):
-                pop(k)
-                if blocky:
-                    end()
-            continue
-        if name in VOID:
+            if open_.close(name) and blocky:
+                end()
+        elif name in VOID:
             if blocky:
                 end()
             elif name == "br":
                 say(" ")
-            continue
-        if name in RAW:
-            close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = close.end() if close else n
-            continue
-        if blocky:
-            end()
-            p = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCK), -1)
-            if p >= 0 and (stack[p][0] == "p" or stack[p][0] in _ENDS.get(name, ()) or (name in HEADINGS and stack[p][0] in HEADINGS)):
-                pop(p)
-            if name == "tr" and stack and stack[-1][0] == "tr":
-                pop(len(stack) - 1)
-        inside = article or name in ("article", "main")
-        stack.append((name, dropped or _hidden(name, attributes, article), inside, link or name == "a"))
-        _, dropped, article, link = stack[-1]
-        if attributes.endswith("/") and not blocky:
-            pop(len(stack) - 1)  # written as empty
-        elif blocky:
-            end(name in HEADINGS)
+        elif name not in RAW:
+            if blocky:
+                end()
+                last = open_.last_block()
+                if last == "p" or last in _ENDS.get(name, ()) or (name in HEADINGS and last in HEADINGS):
+                    open_.pop_block()
+                if name == "tr" and open_.top[0] == "tr":
+                    open_.pop()
+            _, dropped, article, link, hint = open_.top
+            if not dropped:
+                dropped, own = _judge(name, attributes, article)
+                hint = max(hint, own)
+            open_.push(name, dropped, article or name in ("article", "main"), link or name == "a", hint)
+            if attributes.endswith("/") and not blocky:
+                open_.pop()  # written as empty
+            elif blocky:
+                end(name in HEADINGS)
+    say(page[at:])
     end()
     return found
 
@@ -179,17 +279,23 @@ def blocks(page: str) -> list[Block]:
 def classify(found: list[Block], rules: Rules = Rules()) -> list[bool]:
     """Whether each block is main text."""
     first: list[bool | None] = []
+    sentence: list[bool] = []
     for b in found:
         words = [w.lower() for w in _WORD.findall(b.text)]
         stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        if b.link_density > (rules.article_link_density if b.article else rules.max_link_density):
+        ends = b.text[-1:] in ".!?…»”\""
+        sentence.append(ends and stops >= rules.good_stop_density and not b.link_density)
+        if b.hint:
+            prose = b.article and len(b.text) >= rules.long_chars and stops >= rules.good_stop_density and b.link_density <= rules.hinted_link_density
+            first.append(b.hint == 1 and prose)
+        elif b.link_density > (rules.article_link_density if b.article else rules.max_link_density):
             first.append(False)
         elif b.link_density > rules.max_link_density:
             first.append(None)
         elif b.heading or len(b.text) < rules.short_chars:
             first.append(None)
         elif stops >= rules.good_stop_density:
-            first.append(True if len(b.text) >= rules.long_chars or b.text[-1:] in ".!?…»”\"" else None)
+            first.append(True if len(b.text) >= rules.long_chars or ends else None)
         elif stops < rules.bad_stop_density and len(b.text) < rules.long_chars:
             first.append(None if b.article else False)
         else:
@@ -200,21 +306,24 @@ def classify(found: list[Block], rules: Rules = Rules()) -> list[bool]:
         for i in order:
             label, at = last[found[i].article]
             near[i] = (label, abs(i - at) if label is not None else len(first) + 1)
-            if first[i] is not None:
+            if first[i] is not None and not found[i].hint:
                 last[found[i].article] = (first[i], i)
-    out = []
-    for i, label in enumerate(first):
-        if label is None:
+    out = list(first)
+    following: dict[bool, bool] = {}  # by side of the mark, the label of the next block
+    for i in range(len(first) - 1, -1, -1):
+        side = found[i].article
+        if out[i] is None and found[i].heading:  # belongs to what follows it
+            out[i] = following.get(side, side)
+        elif out[i] is None:
             (b, db), (a, da) = before[i], after[i]
             if a is None and b is None:
-                label = found[i].article
-            elif found[i].heading and not (a is None and found[i].article):  # a heading belongs to what follows it
-                label = bool(a)
+                out[i] = side or sentence[i]
             elif a == b:
-                label = bool(a)
+                out[i] = bool(a)
             else:
-                label = bool(b) if db < da else bool(a) if da < db else False
-        out.append(label)
+                out[i] = bool(b) if db < da else bool(a) if da < db else False
+        if not found[i].hint:
+            following[side] = out[i]
     return out
 
 
