@@ -28,56 +28,83 @@ def test_word_hashes():
     assert len(set(seen.values())) == len(seen) and word_hashes([])[0].size == 0
 
 
-def katz_by_hand(docs):
+def good_turing(counts):
+    """Katz's factors for counts 1 to 5 from a list of counts, and absolute discounting
+    where an estimate is not between 0 and 1."""
+    n = collections.Counter(counts)
+    d = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+    out = {}
+    for r in range(1, 6):
+        out[r] = (r - d) / r
+        if n[1] and n[r] and 6 * n[6] < n[1]:
+            star = (r + 1) * n[r + 1] / n[r]
+            x = (star / r - 6 * n[6] / n[1]) / (1 - 6 * n[6] / n[1])
+            if 0.02 < x < 0.999:
+                out[r] = x
+    return lambda c: out.get(c, 1.0)
+
+
+def katz_by_hand(docs, frequent=100_000):
     tokens = {i: [low(w) for w in WORD.findall(t or "")] + [None] for i, t in docs}
     train = [i for i in tokens if zlib.crc32(str(i).encode()) % 10]
     one = collections.Counter(w for i in train for w in tokens[i])
-    two = collections.defaultdict(collections.Counter)
+    n = sum(one.values())
+    f1 = good_turing(list(one.values()))
+    tables = {}  # context -> continuations
     for i in train:
-        for v, w in zip(["", *tokens[i][:-1]], tokens[i]):
-            two[v][w] += 1
-    times = collections.Counter(c for m in two.values() for c in m.values())
-    uni = katz.Unigrams.fit(sum(one.values()), len(one), [sum(c == r for c in one.values()) for r in range(1, 7)])
-    bi = katz.Discounts.fit([times[r] for r in range(1, 7)])
-    p1 = lambda w: float(uni.probability(np.array([one[w]]))[0])
-    f = lambda c: bi.factors[c - 1] if c <= 5 else 1.0
-
-    def p(w, v):
-        if v not in two:
+        seen = ["", *tokens[i]]
+        for k, w in enumerate(tokens[i]):
+            for context in {tuple(seen[k : k + 1]), tuple(seen[max(k - 1, 0) : k + 1])}:
+                tables.setdefault(context, collections.Counter())[w] += 1
+    f = {m: good_turing([c for k, t in tables.items() if len(k) == m for c in t.values()]) for m in (1, 2)}
+    rest = sum(c * (1 - f1(c)) for c in one.values())
+    rest, size = (rest, n) if rest > 0 else (1, n + 1)  # without a rare word, the unknown one counts once
+    p1 = lambda w: (one[w] * f1(one[w]) if one[w] else rest) / size
+
+    def p(w, *context):
+        if not context:
             return p1(w)
-        c, left = sum(two[v].values()), sum(x * (1 - f(x)) for x in two[v].values())
-        c, left = (c, left) if left > 0 else (c + 1, 1)
-        if two[v][w]:
-            return f(two[v][w]) * two[v][w] / c
-        return left / c / (1 - sum(map(p1, two[v]))) * p1(w)
-
-    return tokens, train, one, p, p1
-
-
-@pytest.mark.parametrize("chunk, entries", [(1 << 20, 1_500_000), (40, 30)])
-def test_katz(spark, monkeypatch, chunk, entries):
+        if context not in tables:
+            return p(w, *context[1:])
+        t, g = tables[context], f[len(context)]
+        c, left = sum(t.values()), sum(x * (1 - g(x)) for x in t.values())
+        last = one[context[-1]] if context[-1] else len(train)
+        if left <= 0 or last >= frequent and c > 5:
+            c, left = c + 1, left + 1
+        if t[w]:
+            return g(t[w]) * t[w] / c
+        return left / c / (1 - sum(p(x, *context[1:]) for x in t)) * p(w, *context[1:])
+
+    return tokens, train, one, p
+
+
+@pytest.mark.parametrize("order, chunk, entries, frequent", [(3, 1 << 20, 1_500_000, 100_000), (3, 40, 30, 8), (2, 40, 30, 8)])
+def test_katz(spark, monkeypatch, order, chunk, entries, frequent):
     monkeypatch.setattr(katz, "CHUNK_TOKENS", chunk)
     monkeypatch.setattr(katz, "BUCKET_ENTRIES", entries)
+    monkeypatch.setattr(katz, "FREQUENT", frequent)
     rng = random.Random(1)
     docs = [(i, " ".join(rng.choices(["the", "The", "cat", "dog", "é", "É", f"w{i}", "sat"], k=rng.randint(0, 40)))) for i in range(120)] + [(500, None), (501, ""), (502, "the " * 3000)]
-    tokens, train, one, p, _ = katz_by_hand(docs)
-    out = katz.score(spark.createDataFrame([(*d, 0.5) for d in docs], "doc_id long, text string, score double").repartition(3)).collect()
+    tokens, train, one, p = katz_by_hand(docs, frequent)
+    out = katz.score(spark.createDataFrame([(*d, 0.5) for d in docs], "doc_id long, text string, score double").repartition(3), order=order).collect()
     assert len(out) == len(docs)
     n = sum(one.values())
     for r in out:
         own = tokens[r.doc_id]
+        seen = ["", *own]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(own), sum(one[w] > 0 for w in own), n, r.doc_id not in train)
         assert math.isclose(r.base_score, sum(math.log10((one[w] + 0.1) / (n + 0.1 * (len(one) + 1))) for w in own), rel_tol=1e-9)
-        assert math.isclose(r.score, sum(math.log10(p(w, v)) for v, w in zip(["", *own[:-1]], own)), rel_tol=1e-9)
+        want = sum(math.log10(p(w, *seen[max(k - 1, k + 2 - order, 0) : k + 1])) for k, w in enumerate(own))
+        assert math.isclose(r.score, want, rel_tol=1e-9)
 
 
-def test_katz_sums_to_one():
+@pytest.mark.parametrize("frequent", [100_000, 20])
+def test_katz_sums_to_one(frequent):
     rng = random.Random(2)
     docs = [(i, " ".join(rng.choices("abcdefgh", weights=[9, 5, 3, 2, 1, 1, 1, 1], k=30))) for i in range(200)]
-    _, _, one, p, p1 = katz_by_hand(docs)
-    assert math.isclose(sum(map(p1, one)) + p1("unseen"), 1, rel_tol=1e-12)
-    for v in ("", "a", "h", "never seen"):
-        assert math.isclose(sum(p(w, v) for w in one) + p("unseen", v), 1, rel_tol=1e-9)
+    _, _, one, p = katz_by_hand(docs, frequent)
+    for context in ((), ("",), ("a",), ("h",), ("never seen",), ("", "a"), ("a", "a"), ("h", "g"), ("a", "never seen"), ("never seen", "a")):
+        assert math.isclose(sum(p(w, *context) for w in one) + p("unseen", *context), 1, rel_tol=1e-9)
 
 
 def test_katz_of_odd_tables(spark):
@@ -207,3 +234,121 @@ def test_pipeline(spark, tmp_path):
         kept.append(len(after))
     assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == kept[-1]
     assert all(hasattr(m, "__doc__") for m in (quality_rules, line_dedup, minhash_dedup))
+
+
+def test_only_letters_make_a_language(spark):
+    df = spark.createDataFrame([(i, " ".join(SPEECH[k]), k) for i, k in enumerate(["en", "de"] * 20)], "doc_id long, text string, lang string")
+    model = language_id.train(df)
+    odd = spark.createDataFrame([(1, "½ ² Ⅷ"), (2, "٣ 12"), (3, "ß")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred == "und" for r in language_id.identify(odd, model).collect()} == {1: True, 2: True, 3: False}
+
+
+def test_language_of_a_text_by_hand():
+    """Counts by plain loops over n-grams, and decoding by its definition."""
+    rng = np.random.default_rng(3)
+    model = language_id.Model(["a", "b", "c"])
+    model.weights = rng.normal(size=model.weights.shape).astype(np.float32)
+    model.bias = rng.normal(size=model.bias.shape).astype(np.float32)
+    model.trust = rng.random(model.trust.shape).astype(np.float32)
+    for text in ("The quick, brown fox!", "Größe", "x", "a1b 梦 \n\t c"):
+        data = [32, *(b if b >= 128 or 97 <= b <= 122 else 32 for b in text.lower().encode()), 32]
+        want = np.zeros(language_id.DIM)
+        half = language_id.DIM // 2
+        for x, y in zip(data, data[1:]):
+            if (x, y) != (32, 32):
+                want[((((x << 8) | y) * 2654435761 % 2**32) >> 15) % half] += 1
+        for x, y, z in zip(data, data[1:], data[2:]):
+            if (x, y, z) != (32, 32, 32):
+                want[half + ((((x << 16) | (y << 8) | z) * 2246822519 % 2**32) >> 13) % half] += 1
+        assert (language_id.counts(text) == want).all()
+        x = np.sqrt(want)
+        x /= math.sqrt(sum(v * v for v in x))
+        far = []
+        for k in range(3):
+            loss = [math.log1p(math.exp(-float(sum(x[i] * float(model.weights[i, b]) for i in np.flatnonzero(x)) + float(model.bias[b])) * float(model.code[k, b]))) for b in range(model.code.shape[1])]
+            far.append(sum(v * float(t) for v, t in zip(loss, model.trust[k])))
+        best, score, close = model.decode(language_id.features(text)[None])
+        assert best[0] == min(range(3), key=far.__getitem__) and 0 <= score[0] <= 1 and close[0] == (sorted(far)[1] - min(far) < language_id.AMBIGUOUS)
+
+
+def test_equal_codewords_are_flagged():
+    model = language_id.Model(["a", "b"])
+    best, score, close = model.decode(np.zeros((1, language_id.DIM), np.float32))
+    assert (best[0], score[0], close[0]) == (0, 0.5, True)
+
+
+def plain_blocks(page):
+    """Blocks of a well-formed page of div, p, h1, nav and a tags, by recursion."""
+    out, stack, text = [], [], ""
+    for tag, body in re.findall(r"<(/?[a-z0-9]+)[^>]*>|([^<]+)", page):
+        name = tag.strip("/")
+        if name in ("div", "p", "h1", "nav"):
+            if text.strip() and "nav" not in stack:
+                out.append(" ".join(text.split()))
+            text = ""
+            stack.pop() if tag[0] == "/" else stack.append(name)
+        text += body
+    return out
+
+
+def test_blocks_by_hand():
+    rng = random.Random(8)
+
+    def make(depth):
+        kind = rng.choice(["div", "p", "nav", "h1"]) if depth else "p"
+        inner = "".join(make(depth - 1) for _ in range(rng.randint(1, 3))) if depth and kind in ("div", "nav") else f"{PROSE[: rng.randint(5, 90)]} <a>link</a> tail"
+        return f"<{kind} data-x='>'>".replace(" data-x='>'", "") + inner + f"</{kind}>"
+
+    for _ in range(60):
+        page = make(4)
+        assert [b.text for b in html_extract.blocks(page)] == plain_blocks(page)
+
+
+def test_second_pass_by_hand():
+    """Labels of undecided blocks by looking at every other block."""
+    rng = random.Random(4)
+    kinds = {"g": PROSE * 2, "b": "<a>" + "link text here " * 4 + "</a>", "u": "Short words."}
+    for _ in range(40):
+        marks = [rng.choice("gbuu") for _ in range(rng.randint(1, 12))]
+        found = html_extract.blocks("".join(f"<p>{kinds[m]}</p>" for m in marks))
+        got = html_extract.classify(found)
+        for i, m in enumerate(marks):
+            if m != "u":
+                assert got[i] == (m == "g")
+                continue
+            near = [(min((abs(i - k) for k in ks if marks[k] != "u"), default=None), next((marks[k] for k in ks if marks[k] != "u"), None)) for ks in (range(i - 1, -1, -1), range(i + 1, len(marks)))]
+            (db, b), (da, a) = near
+            if a is None and b is None:
+                want = None
+            elif a is None or b is None or a == b:
+                # beyond the first or last decided block the only neighbour is the nearer one
+                want = (a or b) == "g"
+            else:
+                want = (b if db < da else a if da < db else "b") == "g"
+            assert want is None or got[i] == want, (marks, i)
+
+
+def test_hints_are_weighed():
+    page = f"<article><h1>Title</h1><div class='related'><p>{PROSE} {PROSE}</p></div><div class='share'>Tell a friend</div><div class='advert'><p>{PROSE} {PROSE}</p></div><p>{PROSE}</p></article>"
+    assert html_extract.main_text(page).split("\n") == ["Title", f"{PROSE} {PROSE}", PROSE]
+
+
+@pytest.mark.parametrize("page", ['<a "' * 250_000, '<a x=" ' * 140_000, '<a x=">" ' * 110_000, "<p" * 500_000, "<b>" * 100 + "<div>" * 90_000 + "</b>" * 90_000, "<b>" * 90_000 + "<div></div>" * 70_000, "</i>" * 250_000, "<!--" * 250_000, "<script>" * 120_000])
+def test_hostile_pages_take_linear_time(page):
+    import time
+
+    begun = time.time()
+    html_extract.main_text(page)
+    assert time.time() - begun < 8
+
+
+def test_pages_without_their_marks():
+    """Real blocks decide where no article is marked."""
+    duckdb = pytest.importorskip("duckdb")
+    import os
+
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no test tables here")
+    pages = [h for (h,) in duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()]
+    same = [html_extract.main_text(h) == html_extract.main_text(re.sub("</?article>", "", h)) for h in pages]
+    assert np.mean(same) > 0.93

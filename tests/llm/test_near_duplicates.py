@@ -198,3 +198,9 @@ def test_sketches_lose_little_next_to_the_bands():
     size, t = minhash_dedup.SIZE, 0.8
     lost = sum(comb(size, k) * t**k * (1 - t) ** (size - k) for k in range(size + 1) if k < minhash_dedup.least_places(t))
     assert lost < 0.001 * (1 - t**minhash_dedup.PER_BAND) ** minhash_dedup.BANDS
+
+
+def test_very_small_and_large_components(spark):
+    rows = [(1, [1e-170, 2e-170], 0), (2, [1e-170, 2e-170], 0), (3, [3e200, 6e200], 0), (4, [2.0, -1.0], 0), (5, [5e-324, 1e-323], 0)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (0, 4), 5: (3, 1)}

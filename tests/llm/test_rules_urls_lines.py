@@ -126,3 +126,54 @@ def test_perfect_hash():
     h = line_dedup.PerfectHash(keys)
     assert h.size == len(np.unique(keys)) and sorted(h.index(np.unique(keys))) == list(range(h.size))
     assert len(line_dedup.PerfectHash(np.zeros(0, np.uint64)).index(keys[:3])) == 3
+
+
+def test_columns_may_clash(spark):
+    """Extra columns named as the operators' own or their inner ones."""
+    good = " ".join(map(str, range(30)))
+    docs = spark.createDataFrame([(1, good, "h", 7, 8, 9, 6)], "doc_id long, text string, source string, host_failed int, _host int, _figures int, n_words int")
+    r = quality_rules.judge(docs).first()
+    assert (r.host_failed, r._host, r._figures, r.n_words, r.kept) == (7, 8, 9, 30, True)
+    pages = spark.createDataFrame([(1, "http://a.net/", "v", "u", "t", "b")], "page_id long, url string, _verdict string, _u string, _target string, _best string")
+    r = url_filters.judge_urls(pages).first()
+    assert (r._verdict, r._u, r._target, r._best, r.rule, r.verdict) == ("v", "u", "t", "b", "net/", "block")
+    line = "a line of more than twenty characters"
+    lines = spark.createDataFrame([(i, line, 1, 2, 3) for i in range(4)], "doc_id long, text string, _own int, _gone int, _mark int")
+    for room in (line_dedup.BROADCAST_BYTES, 0):
+        out = line_dedup.dedup_lines(lines, broadcast_bytes=room).collect()
+        assert sorted((r.doc_id, r.n_dropped, r._own, r._gone, r._mark) for r in out) == [(i, int(i < 3), 1, 2, 3) for i in range(4)]
+
+
+def test_many_rules_and_ties(spark):
+    rules = [url_filters.Rule.prefix(f"site{i}.com/", "block") for i in range(3000)]
+    rules += [url_filters.Rule("aa", r"^tie\.org", ("tie",), "block", True), url_filters.Rule("bb", r"^tie\.o", ("tie",), "allow", True), url_filters.Rule("it's", r"^quote\.org/it's", ("quote",), "block", True)]
+    pages = spark.createDataFrame([(1, "http://www.site2999.com/x"), (2, "http://site3000.com/"), (3, "http://tie.org/"), (4, "http://quote.org/it's")], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filters.judge_urls(pages, tuple(rules)).collect()}
+    assert got == {1: ("site2999.com/", "block"), 2: (None, "allow"), 3: ("bb", "allow"), 4: ("it's", "block")}
+    with pytest.raises(ValueError):
+        url_filters.judge_urls(pages, tuple(rules[:1]) * (url_filters.MOST_RULES + 1))
+
+
+def test_urls_do_not_shuffle(spark):
+    pages = spark.range(10).selectExpr("id page_id", "concat('http://a.net/', id) url")
+    assert "Exchange" not in url_filters.judge_urls(pages)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counts_decide_in_a_shard():
+    """The count array over all distinct lines decides, and equal first halves are told apart."""
+    import numpy as np
+
+    h1, h2 = np.array([5, 5, 9, 5, 9], np.uint64), np.array([1, 2, 3, 1, 3], np.uint64)
+    s = line_dedup.Shard(h1, h2, np.array([2, 1, 1, 1, 1]), np.array([4, 8, 2, 7, 1]))
+    assert s.hash.size == 3 and s.seed > 0
+    for each in (s, s.repeated(3)):
+        found, keeper = each.keepers(np.array([5, 5, 9, 6], np.uint64), np.array([1, 2, 3, 1], np.uint64), 3)
+        assert found.tolist() == [True, False, False, False] and keeper[0] == 7
+    assert s.repeated(3).hash.size == 1
+
+
+def test_a_line_in_most_documents(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "ASKING", 7)
+    docs = [(i, f"the one line that everybody holds\nown line of document {i} here") for i in range(200)] + [(None, "the one line that everybody holds\nx")] * 60
+    out = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), broadcast_bytes=0).collect()
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_dropped) for r in out) == [(-1, 1)] * 60 + [(i, int(i < 199)) for i in range(200)]
