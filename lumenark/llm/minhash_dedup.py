@@ -51,7 +51,7 @@ BANDS, PER_BAND = 24, 6
 SIZE = BANDS * PER_BAND
 #: Documents and bytes that are signed at once.
 BATCH_DOCS, BATCH_BYTES = 1000, 4 << 20
-BLOCK = 1024
+BLOCK = 256
 #: Pairs of one pivot that one task verifies.
 PIVOT_PAIRS = 64
 #: Pairs for each row of a block above which the block gets texts instead of emitting them.
