@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +75,44 @@ def remove_shared(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_KEPT: dict[str, dict] = {}
+
+
+def kept(name: str) -> dict:
+    """What a Python worker keeps from task to task, until another operator's task."""
+    return _KEPT.setdefault(name, {})
+
+
+def drop_kept(but: str | None = None) -> None:
+    for name, what in _KEPT.items():
+        if name != but:
+            what.clear()
+
+
+def give_back() -> None:
+    """Return this process's free memory to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim:
+        trim(0)
+
+
+def returning(run: Callable[[Iterator], Iterator], keeps: str | None = None) -> Callable[[Iterator], Iterator]:
+    """``run``, for mapInArrow, in a worker that first drops what other operators keep
+    there (all but ``keeps``) and at the end of the task gives free memory back. Spark
+    uses a worker again for the next stages; else each adds what it leaves to the last."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator) -> Iterator:
+        drop_kept(keeps)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def parts(texts: list, rows: int, characters: int) -> Iterator[tuple[int, int]]:
     """Bounds of runs of at most ``rows`` texts that end once they hold ``characters``."""
     lo = size = 0

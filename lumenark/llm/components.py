@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenark.llm.common import remove_shared, write_shared
+from lumenark.llm.common import remove_shared, returning, write_shared
 
 #: Counted bound on the edges that one task may join: 16 MB.
 LOCAL_EDGES = 1_000_000
@@ -61,7 +61,7 @@ def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     now = spark.read.schema("u long, v long").parquet(path)
     mark = None
     if now.limit(local_edges + 1).count() <= local_edges:
-        return now.coalesce(1).mapInArrow(_in_one_task, "id long, component long")
+        return now.coalesce(1).mapInArrow(returning(_in_one_task), "id long, component long")
     while True:  # ends when a round changes nothing
         found = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if found["n"] == 0 or tuple(found) == mark:

@@ -30,6 +30,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenark.llm.common import returning
+
 UNKNOWN = "und"
 DIM = 8192
 SLICE = 1 << 20
@@ -156,7 +158,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([a.astype("<u2").tobytes() for a in found], pa.binary()), pa.array([r.astype("<f4").tobytes() for r in rows], pa.binary())], names=["id", "lang", "at", "n"])
 
     id_type = labelled.schema["id"].dataType.simpleString()
-    sample = chosen.mapInArrow(reduce, f"id {id_type}, lang string, at binary, n binary").collect()
+    sample = chosen.mapInArrow(returning(reduce), f"id {id_type}, lang string, at binary, n binary").collect()
     sample.sort(key=lambda r: (r["lang"], str(r["id"]), bytes(r["at"]), bytes(r["n"])))
     x = np.zeros((len(sample), DIM), np.float32)
     for i, r in enumerate(sample):
@@ -185,4 +187,4 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                 score[part], close[part] = s, c
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(lang), pa.array(score), pa.array(close)], names=[*names, "lang_pred", "score", "ambiguous"])
 
-    return docs.select(*names).mapInArrow(run, fields)
+    return docs.select(*names).mapInArrow(returning(run), fields)

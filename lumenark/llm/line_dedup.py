@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenark.llm.common import SPACES, cut, mix64, parts, unused, utf8
+from lumenark.llm.common import SPACES, cut, mix64, parts, returning, unused, utf8
 
 BROADCAST_BYTES = 48 << 20
 #: Partial counts for one shard, and lines for one task that asks a shard.
@@ -180,7 +180,7 @@ def partial_counts(docs: DataFrame, id_col: str, text_col: str, min_chars: int)
         if seen:
             yield flush()
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "h1 long, h2 long, docs long, largest long")
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(returning(run), "h1 long, h2 long, docs long, largest long")
 
 
 def build_shards(counts: DataFrame, shards: int, min_docs: int) -> DataFrame:
@@ -229,7 +229,7 @@ def _rewrite(docs: DataFrame, id_col: str, text_col: str, digest: bool, dropped,
                 columns["kept_sha256"] = pa.array(sums, pa.string())
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return docs.select(*names, *extra).mapInArrow(run, fields)
+    return docs.select(*names, *extra).mapInArrow(returning(run), fields)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, digest: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -301,7 +301,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return asking.loc[found & (keeper != asking.own.to_numpy()), columns].drop_duplicates()
 
     marked = docs.withColumns({own: F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)), mark: F.xxhash64(text_col)})
-    lines = cut(marked.select(own, mark, text_col).mapInArrow(asked, "shard long, own long, mark long, h1 long, h2 long"), "line-asked")
+    lines = cut(marked.select(own, mark, text_col).mapInArrow(returning(asked), "shard long, own long, mark long, h1 long, h2 long"), "line-asked")
     salts = lines.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / ASKING).cast("long").alias("salts"))
     copies = built.join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
     lines = lines.join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("own", "mark"), F.col("salts"))).drop("salts")

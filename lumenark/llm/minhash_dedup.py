@@ -43,14 +43,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenark.llm.common import cut, few, mix64, parts, utf8, word_hashes
+from lumenark.llm.common import cut, few, mix64, parts, returning, utf8, word_hashes
 from lumenark.llm.components import components
 
 WORDS = 5
 BANDS, PER_BAND = 24, 6
 SIZE = BANDS * PER_BAND
 #: Documents and bytes that are signed at once.
-BATCH_DOCS, BATCH_BYTES = 1000, 4 << 20
+BATCH_DOCS, BATCH_BYTES = 250, 1 << 20
 BLOCK = 256
 #: Pairs of one pivot that one task verifies.
 PIVOT_PAIRS = 64
@@ -168,7 +168,7 @@ def sign(docs: DataFrame) -> DataFrame:
                     names=["id", "k1", "k2", "bands", "sketch"],
                 )
 
-    return docs.mapInArrow(run, "id long, k1 long, k2 long, bands array<long>, sketch binary")
+    return docs.mapInArrow(returning(run), "id long, k1 long, k2 long, bands array<long>, sketch binary")
 
 
 def ids_and_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -189,7 +189,7 @@ def alike(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
             one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SIZE) for c in ("sketch_a", "sketch_b"))
             yield batch.select(["a", "b"]).filter(pa.array((one == two).sum(1) >= least))
 
-    return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(returning(run), "a long, b long")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
@@ -221,7 +221,7 @@ def verify(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
             mask = pa.array(good)
             yield pa.RecordBatch.from_arrays([batch.column("id").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
-    return placed.select("b", "nth", "kind", "id", "text").mapInArrow(run, "a long, b long")
+    return placed.select("b", "nth", "kind", "id", "text").mapInArrow(returning(run), "a long, b long")
 
 
 def least_places(threshold: float) -> float:
@@ -375,7 +375,7 @@ def _rest(members: DataFrame, pivots: DataFrame, classes: DataFrame, reps: DataF
             types = [pa.int64()] * 3 + [pa.int32()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, types)], names=["a", "b", *_GROUP])
 
-    found = cut(deal(full.select(columns)).mapInArrow(search, found_schema), "candidates")
+    found = cut(deal(full.select(columns)).mapInArrow(returning(search), found_schema), "candidates")
     thin = cut(found.where(F.col("a").isNotNull()).select("a", "b").distinct(), "candidate-pairs")
     links = verify(thin, docs, threshold)
     dense = found.where(F.col("a").isNull()).select(_GROUP)
@@ -389,7 +389,7 @@ def _rest(members: DataFrame, pivots: DataFrame, classes: DataFrame, reps: DataF
             found = _Block(table).links(least, threshold)
             yield pa.RecordBatch.from_arrays([pa.array([max(f) for f in found], pa.int64()), pa.array([min(f) for f in found], pa.int64())], names=["a", "b"])
 
-    return links.union(deal(held.join(texts, "rep").select(*columns, "text")).mapInArrow(settle, "a long, b long"))
+    return links.union(deal(held.join(texts, "rep").select(*columns, "text")).mapInArrow(returning(settle), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:

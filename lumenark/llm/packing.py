@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenark.llm.bpe import ChunkedBpe
-from lumenark.llm.common import parts
+from lumenark.llm.common import kept, parts, returning
 
 #: Appended to every example.
 END_ID = 1
@@ -167,7 +167,7 @@ def powers_of_two(pieces: list[Piece]) -> Iterator[list[Piece]]:
         yield run
 
 
-_ENCODERS: dict[tuple[str, bool], ChunkedBpe] = {}
+_ENCODERS: dict[tuple[str, bool], ChunkedBpe] = kept("encoders")
 
 
 def _encoder(path: str, specials: bool) -> ChunkedBpe:
@@ -227,4 +227,4 @@ def pack(examples: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
         if out:
             yield flush()
 
-    return source.mapInArrow(run, fields)
+    return source.mapInArrow(returning(run, keeps="encoders"), fields)

@@ -204,3 +204,75 @@ def test_very_small_and_large_components(spark):
     rows = [(1, [1e-170, 2e-170], 0), (2, [1e-170, 2e-170], 0), (3, [3e200, 6e200], 0), (4, [2.0, -1.0], 0), (5, [5e-324, 1e-323], 0)]
     got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
     assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (0, 4), 5: (3, 1)}
+
+
+def test_a_worker_gives_back_what_a_task_took():
+    """Spark's workers outlive tasks: what earlier operators left in them adds up."""
+    import subprocess
+    import sys
+
+    said = """
+import re
+from lumenark.llm import common
+
+stay = []
+
+def anonymous():
+    return int(re.search(r"\\nAnonymous:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()).group(1)) >> 10
+
+common.kept("another's")["x"] = common.kept("own")["x"] = 1
+
+def run(batches):
+    assert "x" not in common.kept("another's") and "x" in common.kept("own")
+    large = []
+    for n in range(2000):
+        large.append(b"x" * (100_000 + n))
+        stay.append(b"x" * (1000 + n))  # so that glibc keeps the pages before it
+    del large
+    yield from batches
+
+before = anonymous()
+assert list(common.returning(run, keeps="own")(iter([1, 2]))) == [1, 2]
+print(anonymous() - before)
+"""
+    if sys.platform != "linux":
+        pytest.skip("reads /proc")
+    left = subprocess.run([sys.executable, "-c", said], capture_output=True, text=True, check=True, timeout=120).stdout
+    assert int(left) < 50
+
+
+def test_the_stages_give_back(spark, monkeypatch):
+    """Every Python function of the pipeline's near-duplicates and packing; packing keeps its encoder."""
+    import public_tokenizers
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from lumenark.llm import packing
+    from lumenark.llm.common import drop_kept
+
+    seen, real = [], DataFrame.mapInArrow
+
+    def spy(self, func, *a, **b):
+        seen.append(func)
+        return real(self, func, *a, **b)
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", spy)
+    docs = spark.createDataFrame([(i, "one two three four five six " + "seven " * (i % 3)) for i in range(9)], "doc_id long, text string")
+    assert minhash_dedup.near_duplicates(docs).where("kept").count() == 3
+    packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    assert len(seen) > 4 and all(hasattr(f, "__wrapped__") for f in seen)
+    packing._ENCODERS["a file", True] = None
+    drop_kept("encoders")
+    assert ("a file", True) in packing._ENCODERS
+    drop_kept()
+    assert not packing._ENCODERS
+
+
+def test_signatures_do_not_depend_on_the_batch():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["a", "bc", "def", "é", "x1"], int(n))) for n in rng.integers(0, 300, 60)] + ["", None]
+    values, counts, keys = minhash_dedup.shingles(texts)
+    whole = minhash_dedup.signatures(values, counts)
+    for at in (1, 7, 25):
+        some = [minhash_dedup.shingles(texts[i : i + at]) for i in range(0, len(texts), at)]
+        assert [k for s in some for k in s[2]] == keys
+        assert (np.concatenate([minhash_dedup.signatures(s[0], s[1]) for s in some]) == whole).all()
