@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenark.llm import embedding_dedup, html_extract, katz, language_id, line_dedup, minhash_dedup, pieces, quality_rules, url_filters
+from lumenark.llm import embedding_dedup, html_extract, katz, language_id, line_dedup, minhash_dedup, pieces, quality_rules, token_files, url_filters
 from lumenark.llm.packing import Limits, pack
 from lumenark.session import table
 
@@ -100,3 +100,10 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score every document by a Katz model of nine tenths of them."""
     return katz.score(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write every document's ids to files of directly addressable codes and read them back."""
+    root = token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.index(spark, root).select("doc_id", "start", "n_tokens", "ids_crc32")
