@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenark.llm import embedding_dedup, html_extract, katz, language_id, line_dedup, minhash_dedup, pieces, quality_rules, token_files, url_filters
+from lumenark.llm import embedding_dedup, html_extract, katz, language_id, line_dedup, minhash_dedup, pieces, quality_rules, spelling, token_files, url_filters
 from lumenark.llm.packing import Limits, pack
 from lumenark.session import table
 
@@ -107,3 +107,9 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every document's ids to files of directly addressable codes and read them back."""
     root = token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return token_files.index(spark, root).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@_query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents, one in 97 of a document's misspelt, with their forms and roots."""
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents"), one_in=97))
