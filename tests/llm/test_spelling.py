@@ -76,6 +76,7 @@ WORDS = {
     "house": 64, "houses": 30, "mouse": 64, "hose": 9, "hous": 3, "housse": 5, "housses": 4, "horse": 64, "horsse": 3,
     "aaaaa": 3, "aaaaaa": 6, "aaaaaaa": 12, "aaaaaaaa": 24, "aaaaaaaaa": 48, "aaaaaaaaaa": 96, "baaaa": 6, "caaaa": 6, "éaaaa": 6, "lonely": 7, "ßßßßß": 3,
     "abcde": 3, "abcdf": 3, "abcdg": 6, "abcdeg": 6, "bcdeg": 6, "x" * 3000: 8, "x" * 2999 + "y": 3, "x" * 2999: 99,
+    "ab" * 32: 4, "ab" * 32 + "c": 9, "cab" + "ab" * 31: 9, "ab" * 31 + "ac": 9, "ab" * 32 + "d": 9, "ab" * 33: 4, "bb" + "ab" * 32: 20, "ab" * 10 + "zb" + "ab" * 22: 20,
 }
 
 
@@ -93,6 +94,21 @@ def test_groups_of_any_words(spark, words):
     assert sorted(map(tuple, spelling.variants(df).select("word", "n", "n_near", "form", "form_n", "root").collect())) == all_pairs(words)
 
 
+@settings(max_examples=6, deadline=None)
+@given(st.dictionaries(st.text(alphabet="aé", min_size=1, max_size=4), st.integers(1, 9), max_size=40))
+def test_digests_say_what_strings_say(spark, words):
+    """Words around the length at which digests stand in."""
+    words = {"ba" * 30 + w + "aé": n for w, n in words.items()} | {"ba" * 30 + w: 10 - n for w, n in words.items()}
+    df = spark.createDataFrame(list(words.items()), "word string, n long")
+    assert sorted(map(tuple, spelling.variants(df).select("word", "n", "n_near", "form", "form_n", "root").collect())) == all_pairs(words)
+
+
+def test_a_very_long_word_has_small_rows(spark):
+    words = spark.createDataFrame([("k" * 150_000, 3), ("k" * 150_001, 9), ("k" * 70_000 + "j" + "k" * 80_000, 40)], "word string, n long")
+    found = {len(r.word): (r.n_near, r.form_n, len(r.root)) for r in spelling.variants(words).where("n <> 9").collect()}
+    assert found == {150_000: (2, 40, 150_001), 150_001: (2, None, 150_001)}
+
+
 def test_vocabulary_of_odd_tables(spark):
     rows = [(1, "Apple apple APPLE Àpple"), (None, "apple plain"), (2, None), (2, ""), (2, "plain,plain"), (2, "plain,plain"), (3, "z" * 100_000), (4, "z" * 100_000), (5, "tiny tiny tiny"), (6, "梦퟿ apples")] * 3
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'w' AS word", "0 AS N")
