@@ -13,17 +13,17 @@ A file (all numbers little-endian):
     documents: present bits (1 bit each, whole bytes), ids i64, ends u64 (ids up to and with it)
     each level: chunks (1 byte each), bitmap (whole blocks of 64 bytes), ranks u32 (one a block)
 
-Writing: texts are encoded where they are read and written once, as ids; those rows are
-dealt by ranges of document id and sorted, and each task writes files of about
-``FILE_IDS`` ids, one row of bytes each, through Spark's text writer. It writes a row's
-bytes as they are (and a last byte, the line's end), to any file system, and its
-committer keeps only what successful tasks wrote, so lost executors leave no half files.
+Writing: texts are dealt by ranges of document id and sorted, and each task encodes its
+own and writes files of about ``FILE_IDS`` ids, one row of bytes each, through Spark's
+text writer. It writes a row's bytes as they are (and a last byte, the line's end), to any
+file system, and its committer keeps only what successful tasks wrote, so lost executors
+leave no half files. Many rows of one id are dealt to several tasks.
 The folder ``index`` beside the files is made by reading them back: for each document its
 file, place, number of ids and checksum; ``files`` has each file's first position. Of
 counts only one a task goes through the driver.
 
 Defined results: a null text is an empty one (its end id only); documents of a null id come
-first; equal ids are ordered by their ids' checksum and number, then as read; one document
+first; equal ids are ordered by their texts' hash (xxhash64), then as read; one document
 is never cut over two files, so a very long one makes a long file; an empty table gives no
 file and an empty index; other columns are ignored.
 """
@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenark.llm.bpe import ChunkedBpe
-from lumenark.llm.common import cut, kept, parts, remove_shared, returning, shared_dir, write_shared
+from lumenark.llm.common import cut, kept, parts, returning, shared_dir
 
 #: Appended to every document.
 END_ID = 2
@@ -149,53 +149,35 @@ def held(content: bytes) -> TokenFile:
 # --- many files, by Spark ----------------------------------------------------
 
 _ENCODERS: dict[str, ChunkedBpe] = kept("token files")
-_CODED = "doc_id long, n long, crc long, ids binary"
 _READ = "file string, task long, nth long, place long, doc_id long, first long, n_tokens long, ids_crc32 long"
 
 
-def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc_id, n, crc, ids): ids as two bytes each where they fit, else four."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _ENCODERS:
-            _ENCODERS[tokenizer] = ChunkedBpe(tokenizer)
-        encoder = _ENCODERS[tokenizer]
-        end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
-            for lo, hi in parts(texts, 250, 4 << 20):
-                whole = [np.frombuffer(x + end, "<u4") for x in encoder.encode(texts[lo:hi])]
-                small = [x.astype("<u2") if int(x.max()) < 1 << 16 else x for x in whole]
-                columns = [keys.slice(lo, hi - lo), pa.array([len(x) for x in whole], pa.int64()), pa.array([zlib.crc32(x) for x in whole], pa.int64()), pa.array([x.tobytes() for x in small], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "crc", "ids"])
-
-    return docs.mapInArrow(returning(run, keeps="token files"), _CODED)
-
-
-def _files(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+def _files(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, most: int) -> Iterator[pa.RecordBatch]:
     """A task's documents, in order, as rows of a file's bytes."""
-    task, nth = TaskContext.get().partitionId(), 0
+    if tokenizer not in _ENCODERS:
+        _ENCODERS[tokenizer] = ChunkedBpe(tokenizer)
+    encoder, end = _ENCODERS[tokenizer], np.array([end_id], "<u4").tobytes()
+    task, nth, size = TaskContext.get().partitionId(), 0, 0
     keys, lengths, ids = [], [], []
 
     def close() -> pa.RecordBatch:
-        nonlocal nth
+        nonlocal nth, size
         row = pack_file(task, nth, keys, lengths, np.concatenate(ids))
-        nth += 1
+        nth, size = nth + 1, 0
         for x in (keys, lengths, ids):
             x.clear()
         return pa.RecordBatch.from_arrays([pa.array([row], pa.binary())], names=["value"])
 
-    size = 0
     for batch in batches:
-        for key, n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            raw = raw.as_buffer()
-            keys.append(key)
-            lengths.append(n)
-            ids.append(np.frombuffer(raw, "<u2" if raw.size == 2 * n else "<u4").copy())
-            size += n
-            if size >= most:
-                yield close()
-                size = 0
+        own, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for lo, hi in parts(texts, 250, 4 << 20):
+            for key, raw in zip(own[lo:hi], encoder.encode(texts[lo:hi])):
+                keys.append(key)
+                ids.append(np.frombuffer(raw + end, "<u4"))
+                lengths.append(len(ids[-1]))
+                size += lengths[-1]
+                if size >= most:
+                    yield close()
     if keys:
         yield close()
 
@@ -223,12 +205,10 @@ def write(docs: DataFrame, tokenizer: str, root: str | None = None, id_col: str
     spark = docs.sparkSession
     root = root or f"{shared_dir(spark)}/lumenark/token-files-{uuid.uuid4().hex}"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    at = write_shared(_encoded(rows, tokenizer, end_id).withColumn("row", F.monotonically_increasing_id()), "token-ids")
-    order = ["doc_id", "crc", "n", "row"]
-    coded = spark.read.parquet(at).repartitionByRange(*order).sortWithinPartitions(*order)
-    files = coded.select("doc_id", "n", "ids").mapInArrow(returning(lambda b: _files(b, file_ids)), "value binary")
+    order = ["doc_id", "tie", "row"]
+    rows = rows.withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()}).repartitionByRange(*order).sortWithinPartitions(*order)
+    files = rows.select("doc_id", "text").mapInArrow(returning(lambda b: _files(b, tokenizer, end_id, file_ids), keeps="token files"), "value binary")
     files.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1).option("compression", "none").text(f"{root}/ids")
-    remove_shared(spark, at)
     back = cut(_contents(spark, root).mapInArrow(returning(_read_back), _READ), "token-places")
     files = cut(back.groupBy("file", "task", "nth").agg(F.sum("n_tokens").alias("ids")), "token-file-sizes")
     first, before = [], 0  # one number for each task that wrote

@@ -49,14 +49,14 @@ def expected(rows):
     tokenizer, at = Tokenizer.from_file(BPE), 0
     coded = [(i, np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4")) for i, t in rows]
     out = []
-    for i, ids in sorted(coded, key=lambda r: (r[0] is not None, r[0] or 0, zlib.crc32(r[1].tobytes()), len(r[1]))):
+    for i, ids in sorted(coded, key=lambda r: (r[0] is not None, r[0] or 0)):
         out.append((i, at, len(ids), zlib.crc32(ids.tobytes()), ids.tolist()))
         at += len(ids)
     return out
 
 
 def test_files_hold_every_token_in_order(spark):
-    rows = [*TEXTS.items(), (None, "no id"), (5, "again"), (5, "the cat"), (None, None)]
+    rows = [*TEXTS.items(), (None, "no id"), (None, "no id"), (5, "the cat")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 AS n", "2 AS ROW", "'x' AS content").repartition(3)
     root = token_files.write(docs, BPE, file_ids=4000)
     want = expected(rows)
@@ -71,6 +71,14 @@ def test_files_hold_every_token_in_order(spark):
         token_files.token(spark, root, len(flat))
 
 
+def test_equal_ids_keep_every_text(spark):
+    texts = ["a", "b b", "a", None, "c c c"] * 20
+    root = token_files.write(spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string").repartition(4), BPE, file_ids=50)
+    rows = token_files.index(spark, root).orderBy("start").collect()
+    assert [r.start for r in rows] == np.cumsum([0, *(r.n_tokens for r in rows)])[:-1].tolist()
+    assert sorted(r.ids_crc32 for r in rows) == sorted(w[3] for w in expected([(1, t) for t in texts]))
+
+
 def test_an_empty_table_gives_no_file(spark):
     root = token_files.write(spark.createDataFrame([], "doc_id long, text string"), BPE)
     assert token_files.index(spark, root).count() == token_files.read(spark, root).count() == 0
