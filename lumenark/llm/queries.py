@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenark.llm import embedding_dedup, html_extract, katz, language_id, line_dedup, minhash_dedup, pieces, quality_rules, spelling, token_files, url_filters
+from lumenark.llm import embedding_dedup, html_extract, katz, language_id, line_dedup, minhash_dedup, pieces, quality_rules, source_audit, spelling, token_files, url_filters
 from lumenark.llm.packing import Limits, pack
 from lumenark.session import table
 
@@ -113,3 +113,12 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of all documents, one in 97 of a document's misspelt, with their forms and roots."""
     return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents"), one_in=97))
+
+
+@_query
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language stand apart, and by which terms."""
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_source_audit"] = source_audit.ORACLE_SQL
