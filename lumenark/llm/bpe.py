@@ -33,7 +33,7 @@ class ChunkedBpe:
     #: Longer chunks (no spaces for long) are encoded but not remembered.
     LONG = 200
 
-    def __init__(self, path: str, specials: bool = True):
+    def __init__(self, path: str, specials: bool = True, remember: int = REMEMBER):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import tiktoken
@@ -47,6 +47,7 @@ class ChunkedBpe:
         ranks = {bytes(byte[c] for c in piece): i for piece, i in self.tokenizer.get_vocab().items() if piece not in special}
         self.encoding = tiktoken.Encoding("chunks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
+        self.remember = remember
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
         f = self.encoding.encode_ordinary
@@ -63,7 +64,7 @@ class ChunkedBpe:
             # _CUT's \S next to a space: Python's white space holds all of the library's
             parts = _CUT.split(t) if _TWO_SPACES.search(t) else t.split(" ")
             split.append(parts)
-        if len(self.known) > self.REMEMBER:
+        if len(self.known) > self.remember:
             self.known.clear()
         known, fresh, long = self.known, set(), {}
         for parts in split:

@@ -47,6 +47,8 @@ from lumenark.llm.common import cut, kept, parts, returning, shared_dir
 END_ID = 2
 #: Ids after which a file is closed.
 FILE_IDS = 1 << 21
+#: Chunks of text that a worker remembers with their ids (about 200 bytes each).
+REMEMBER = 900_000
 MAGIC = b"LDAC"
 BLOCK = 512
 _ONES = np.array([bin(x).count("1") for x in range(256)], np.uint8)
@@ -155,7 +157,7 @@ _READ = "file string, task long, nth long, place long, doc_id long, first long,
 def _files(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, most: int) -> Iterator[pa.RecordBatch]:
     """A task's documents, in order, as rows of a file's bytes."""
     if tokenizer not in _ENCODERS:
-        _ENCODERS[tokenizer] = ChunkedBpe(tokenizer)
+        _ENCODERS[tokenizer] = ChunkedBpe(tokenizer, remember=REMEMBER)
     encoder, end = _ENCODERS[tokenizer], np.array([end_id], "<u4").tobytes()
     task, nth, size = TaskContext.get().partitionId(), 0, 0
     keys, lengths, ids = [], [], []
