@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenark.functions import dates
 from lumenark.functions import text as T
-from lumenark.operators import catalog, edits, graph, lexical, lint, links, markdown, match, resolve, search, store, vector
+from lumenark.operators import catalog, edits, graph, keyword, lint, links, markdown, match, resolve, search, store, vector
 from lumenark.operators import index as stored
 from lumenark.operators.scope import Scope
 from lumenark.sources.vault import read_vault
@@ -31,6 +31,8 @@ class Vault:
     archive: str = "04-Archive"
     people: str | None = links.PEOPLE
     read_only: bool = False
+    #: What the keyword index is declared over.
+    shape: keyword.Shape = keyword.Shape()
     #: Where the index is stored, its version and its tables; without a store all that is
     #: derived is lazy.
     store: str | None = None
@@ -46,7 +48,7 @@ class Vault:
             return Vault(found, **more)
         if stored.latest(spark, store):
             return Vault.open(spark, store, **more).reindex(found)
-        stored.build(found, store, 1, more.get("options", markdown.ChunkOptions()), more.get("model"))
+        stored.build(found, store, more.get("options", markdown.ChunkOptions()), more.get("model"), more.get("shape", keyword.Shape()))
         return Vault.open(spark, store, **more)
 
     @staticmethod
@@ -55,7 +57,7 @@ class Vault:
         version = stored.latest(spark, store)
         if not version:
             raise FileNotFoundError(f"no index in {store}")
-        version = stored.adopt(spark, store, version, more.get("options", markdown.ChunkOptions()), more.get("model"))
+        version = stored.adopt(spark, store, version, more.get("options", markdown.ChunkOptions()), more.get("model"), more.get("shape", keyword.Shape()))
         tables = stored.read(spark, store, version, more.get("model"))
         return Vault(tables["notes"], store=store, version=version, tables=tables, **more)
 
@@ -97,6 +99,18 @@ class Vault:
             return self._stored("unresolved")
         return graph.derive_edges(self.chunks, self.notes.select("file_id", "path"))[1]
 
+    @cached_property
+    def keyword(self) -> keyword.Index | None:
+        """The stored keyword index, if there is one."""
+        if self._stored("postings") is None:
+            return None
+        return keyword.Index(self._stored("postings"), stored.counts(self.notes.sparkSession, self.store, self.version), self.shape)
+
+    @property
+    def faults(self) -> DataFrame:
+        """Notes that the stored index could not take in, with their errors."""
+        return stored.faults(self.notes.sparkSession, self.store, self.version)
+
     def scoped(self, **scope) -> DataFrame:
         return Scope.parse(archive=self.archive, **scope).apply(self.notes, self.tag_rows, self.props, self.edges)
 
@@ -115,10 +129,10 @@ class Vault:
             held = self._stored("vectors")
             vectors = held.join(notes.select("file_id"), "file_id", "left_semi") if held is not None else vector.embed(mine.select("file_id", "seq", "text"), self.model).select("file_id", "seq", "vector")
             query = self.model.embed([question])[0]
-        keyword = None
-        if self._stored("postings") is not None and lexical.query_terms(question) and lexical.one_word(question):
-            keyword = lexical.bm25_stored(self._stored("postings"), self.chunks, question, o.columns).join(notes.select("file_id"), "file_id", "left_semi")
-        return search.ranked_search(mine, vectors, question, query, o, self.edges, self.chunks, dated, reranker, keyword)
+        found, index = None, self.keyword
+        if index is not None and index.shape.covers(o.columns):
+            found = keyword.bm25(index, question, o.columns, notes)
+        return search.ranked_search(mine, vectors, question, query, o, self.edges, self.chunks, dated, reranker, found)
 
     def match(self, pattern: str, limit: int = 50, case_sensitive: bool = False, word: bool = False, part: str = "all", **scope) -> tuple[DataFrame, DataFrame]:
         """(counts, first lines)."""
@@ -215,12 +229,13 @@ class Vault:
             found = links.discover_links(names, aliases, self.people).where(F.col("path") == path).orderBy("start").collect()
             content = links.apply_links(content, [links.Found(f["start"], f["start"] + len(f["text"]), f["text"], f["target"], f["kind"]) for f in found])
         row = spark.createDataFrame([(path, content, mtime)], "path string, content string, mtime long")
-        row = row.withColumns({"content_hash": F.sha2("content", 256), "docid": T.docid(F.col("path")), "file_id": F.xxhash64("path"), "note_date": T.note_date(F.lit(None).cast("string"), F.col("path"))})
+        row = row.withColumns({"content_hash": F.sha2("content", 256), "docid": T.docid(F.col("path")), "file_id": F.xxhash64("path"), "note_date": T.note_date(T.frontmatter_date(F.col("content")), F.col("path"))})
         return self._with(self.notes.unionByName(row, allowMissingColumns=True))
 
     def update(self, todo: DataFrame) -> Vault:
         done = edits.apply(self.notes, todo).drop("fault")
-        return self._with(done.withColumn("content_hash", F.sha2("content", 256)))
+        dated = {"content_hash": F.sha2("content", 256)} | ({"note_date": T.note_date(T.frontmatter_date(F.col("content")), F.col("path"))} if "note_date" in done.columns else {})
+        return self._with(done.withColumns(dated))
 
     def move(self, old: str, new: str) -> Vault:
         return self._with(store.rename(self.notes, old, new))
@@ -241,11 +256,23 @@ class Vault:
     def reindex(self, found: DataFrame) -> Vault:
         """The stored index with the changes of a later scan: only what changed notes
         reach is made anew."""
+        if self.read_only:
+            raise ReadOnly("the vault is open for reading only")
+        if self.store is None or self.tables is None:
+            raise ValueError("only a stored index can take over changes: give index() a store")
+        return self._at(stored.refresh(self.notes.sparkSession, self.store, found, self.options, self.model, self.shape))
+
+    def reindex_path(self, folder: str, path: str) -> Vault:
+        """The stored index with one written note of the vault's folder: only that file is
+        read, and of the index what it reaches."""
         if self.read_only:
             raise ReadOnly("the vault is open for reading only")
         if self.store is None or self.tables is None:
             raise ValueError("only a stored index can take over changes: give index() a store")
         spark = self.notes.sparkSession
-        version = stored.refresh(spark, self.store, self.version, found, self.options, self.model)
-        tables = stored.read(spark, self.store, version, self.model)
+        found = stored.note_at(spark, folder, path)
+        return self._at(stored.refresh(spark, self.store, found, self.options, self.model, self.shape, only=path))
+
+    def _at(self, version: int) -> Vault:
+        tables = stored.read(self.notes.sparkSession, self.store, version, self.model)
         return replace(self, notes=tables["notes"], version=version, tables=tables)

@@ -89,6 +89,12 @@ def iso_date_seconds(text: Column) -> Column:
     return F.unix_timestamp(F.try_to_timestamp(found, F.lit("yyyy-MM-dd")))
 
 
+def frontmatter_date(content: Column) -> Column:
+    """What the frontmatter's ``date`` says, null if it has none."""
+    head = F.regexp_extract(content, r"(?s)\A---\r?\n(.*?)\r?\n---", 1)
+    return F.nullif(F.regexp_extract(head, r"(?m)^date:\s*[\"']?([^\s\"']+)", 1), F.lit(""))
+
+
 def note_date(frontmatter_date: Column, path: Column) -> Column:
     return F.coalesce(iso_date_seconds(F.substring(frontmatter_date, 1, 10)), iso_date_seconds(path))
 

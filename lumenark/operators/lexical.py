@@ -1,8 +1,7 @@
-"""Keyword lane: postings, document frequencies and weighted BM25.
+"""Keyword lane over texts: document frequencies and weighted BM25 without an index.
 
-Postings are rows (file_id, seq, term, weight sum, length); a query's terms are a
-handful of literals, so only postings of those terms are ever made: the tokens of a
-chunk are filtered within the row before anything is exploded or shuffled."""
+A query's terms are a handful of literals: a chunk's tokens are counted within its row, and
+nothing is exploded or shuffled. ``keyword`` has the stored index, with the same scores."""
 
 from __future__ import annotations
 
@@ -114,47 +113,5 @@ def bm25(chunks: DataFrame, query: str, columns: dict[str, float], corpus: DataF
     return mine.withColumns({"bm25": score, "bound": bound}).select(*chunks.columns, "bm25", "bound")
 
 
-#: The columns of a chunk that postings count.
-COLUMNS = ("text", "heading_path")
-
-
-def postings(chunks: DataFrame) -> DataFrame:
-    """(term, file_id, seq, times, length): for each word of a chunk how often each of
-    ``COLUMNS`` holds it, and the chunk's words. Made within rows, without a shuffle."""
-    held = F.array(*(tokens(F.col(c)) for c in COLUMNS))
-    rows = chunks.select("file_id", "seq", held.alias("held")).withColumn("length", F.aggregate("held", F.lit(0), lambda n, t: n + F.size(t)))
-    words = F.explode(F.array_distinct(F.flatten("held")))
-    return rows.select(words.alias("term"), "file_id", "seq", "held", "length").select("term", "file_id", "seq", F.transform("held", lambda t: F.size(F.filter(t, lambda x: x == F.col("term")))).alias("times"), "length")
-
-
-def by_term(rows: DataFrame) -> DataFrame:
-    """Postings laid out so that a reader of a few terms reads a few row groups."""
-    return rows.repartitionByRange("term").sortWithinPartitions("term")
-
-
-def one_word(query: str) -> bool:
-    """Whether every term is a single word, as postings have them."""
-    return all(len(sub_terms(t)) <= 1 for t in query_terms(query))
-
-
-def bm25_stored(stored: DataFrame, chunks: DataFrame, query: str, columns: dict[str, float]) -> DataFrame:
-    """(file_id, seq, bm25, bound) from postings: only those of the query's terms are read
-    (``term`` is pushed down), and of ``chunks`` only lengths."""
-    terms = [s[0] for s in map(sub_terms, query_terms(query)) if s]
-    some = stored.where(F.col("term").isin(terms))
-    size = sum((F.size(tokens(F.col(c))) for c in COLUMNS), F.lit(0))
-    total = chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(size).alias("mean")).first()
-    holding = {r["term"]: r["count"] for r in some.groupBy("term").count().collect()}  # the query's terms
-    known = Statistics(total["n"], total["mean"] or 0.0, tuple(holding.get(t, 0) for t in terms))
-    weights = [float(columns.get(c, 0.0)) for c in COLUMNS]
-    score, bound = F.lit(0.0), F.lit(0.0)
-    f = sum((F.col("times")[j] * w for j, w in enumerate(weights)), F.lit(0.0))
-    for t, held in zip(terms, known.holding):
-        w = idf(F.lit(known.rows), F.lit(held))
-        score = F.when(F.col("term") == t, w * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / known.mean))).otherwise(score)
-        bound += w * (K1 + 1)
-    return some.withColumn("part", score).groupBy("file_id", "seq").agg(F.sum("part").alias("bm25")).withColumn("bound", bound)
-
-
 def normalized(score: Column, bound: Column) -> Column:
     return F.when(bound <= 0, 0.0).otherwise(F.least(F.greatest(score / bound, F.lit(0.0)), F.lit(1.0)))

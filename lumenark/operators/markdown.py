@@ -311,3 +311,36 @@ def chunk(notes: DataFrame, o: ChunkOptions = ChunkOptions()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["file_id", "path", "seq", "heading", "heading_path", "text", "token_count"])
 
     return notes.select("file_id", "path", "content").mapInArrow(run, "file_id long, path string, seq long, heading string, heading_path string, text string, token_count long")
+
+
+def digest(notes: DataFrame, o: ChunkOptions = ChunkOptions()) -> DataFrame:
+    """What ``parse`` and ``chunk`` make of each note (file_id, path, content), in one row,
+    with ``chunks`` and ``error``: a note that cannot be made has the error and nothing
+    else."""
+    pair = pa.list_(pa.struct([("folded", pa.string()), ("display", pa.string())]))
+    prop = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string()), ("kind", pa.string())]))
+    part = pa.list_(pa.struct([("seq", pa.int64()), ("heading", pa.string()), ("heading_path", pa.string()), ("text", pa.string()), ("token_count", pa.int64())]))
+    named = lambda rows, *n: [dict(zip(n, r)) for r in rows]
+
+    def made(t: str) -> dict:
+        block, body = split_frontmatter(t)
+        pieces = split_oversized(chunk_note(t, o), tokens, o.target_tokens, o.overlap_tokens)
+        return {
+            "frontmatter": block or "", "tags": named(tags(t), "folded", "display"), "aliases": named(aliases(t), "folded", "display"), "properties": named([*properties(t), *inline_fields(body)], "name", "value", "kind"),
+            "chunks": [{"seq": c["seq"], "heading": c["heading"], "heading_path": " > ".join(c["heading_path"]), "text": c["text"], "token_count": tokens(c["text"])} for c in pieces], "error": None,
+        }
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for t in b.column(2).to_pylist():
+                try:
+                    rows.append(made(t or ""))
+                except Exception as e:  # whatever one note raises is that note's
+                    rows.append({"error": f"{type(e).__name__}: {e}"})
+            kinds = {"frontmatter": pa.string(), "tags": pair, "aliases": pair, "properties": prop, "chunks": part, "error": pa.string()}
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([r.get(n) for r in rows], k) for n, k in kinds.items())], names=["file_id", "path", *kinds])
+
+    named_pair = "array<struct<folded:string,display:string>>"
+    fields = f"file_id long, path string, frontmatter string, tags {named_pair}, aliases {named_pair}, properties array<struct<name:string,value:string,kind:string>>, chunks array<struct<seq:long,heading:string,heading_path:string,text:string,token_count:long>>, error string"
+    return notes.select("file_id", "path", "content").mapInArrow(run, fields)

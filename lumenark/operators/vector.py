@@ -50,6 +50,28 @@ def embed(df: DataFrame, model: EmbedModel, text_col: str = "text", out_col: str
     return df.withColumn(out_col, run(F.col(text_col)))
 
 
+def embed_each(df: DataFrame, model: EmbedModel, text_col: str = "text") -> DataFrame:
+    """``df`` with ``vector`` and ``error``: a batch that the model refuses is tried row by
+    row, and rows that it refuses then have the error instead."""
+
+    @F.pandas_udf("vector array<float>, error string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            asked = list(texts.fillna(""))
+            try:
+                found = [(v, None) for v in model.embed(asked)]
+            except Exception:
+                found = []
+                for t in asked:
+                    try:
+                        found.append((model.embed([t])[0], None))
+                    except Exception as e:  # whatever one text raises is that text's
+                        found.append((None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(found, columns=["vector", "error"])
+
+    return df.withColumn("_made", run(F.col(text_col))).select(*df.columns, "_made.*")
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -77,9 +77,7 @@ def read_vault(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), hi
             for pattern, ignored in ignore_rules(text, folder):
                 gone = F.when(F.col("path").rlike(pattern), ignored).otherwise(gone)
         out = out.where(~gone)
-    head = F.regexp_extract("content", r"(?s)\A---\r?\n(.*?)\r?\n---", 1)
-    dated = F.nullif(F.regexp_extract(head, r"(?m)^date:\s*[\"']?([^\s\"']+)", 1), F.lit(""))
-    out = out.withColumn("note_date", T.note_date(dated, F.col("path")))
+    out = out.withColumn("note_date", T.note_date(T.frontmatter_date(F.col("content")), F.col("path")))
     return out.withColumns({"docid": T.docid(F.col("path")), "file_id": F.xxhash64("path")})
 
 
