@@ -42,7 +42,7 @@ RAW = set("script style title textarea noscript iframe xmp noembed noframes".spl
 BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-DROPPED = set("head nav footer aside form menu dialog script style title textarea noscript iframe template button select svg canvas object audio video map".split())
+DROPPED = set("head nav footer aside menu dialog script style title textarea noscript iframe template button select svg canvas object audio video map".split())
 DROPPED_ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form toolbar".split())
 #: Words of class and id that name no main text, and those that main text may bear too.
 STRONG_HINTS = set(
@@ -51,6 +51,12 @@ STRONG_HINTS = set(
 WEAK_HINTS = set(
     "announcement promotion disclaimer notice notices alert subscribe subscription menu nav navi comment reply replies respond related recommended recommendations share sharing social toolbar widget login signin signup search copyright toc skip".split()
 )
+#: Of these, the words for what readers write; they hold good whatever they hold.
+COMMENT_HINTS = set("comment comments commentlist disqus reply replies respond".split())
+#: Parts of a class that say what the page has or how it looks: "has-sidebar", "ad-hoc".
+SETTINGS = set("has with without no hide is hoc theme layout free".split())
+#: A heading of readers' comments, as in "3 Comments".
+_COMMENTS = re.compile(r"(?:\d+ )?(?:comments?|reader comments|replies|responses|kommentare?|commentaires?|comentarios?)(?: ?\(?\d+\)?)?:?", re.I)
 #: What a header may be of, and then is none of the page's.
 OWN_HEADER = set("article entry post story content".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
@@ -64,7 +70,7 @@ STOP_WORDS = set(
 _NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 #: Within a tag: a quoted value opens after "=", or the tag ends.
 _EDGE = re.compile(r"""=\s*(["'])|>""")
-_HINT = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _WORD = re.compile(r"[^\W_]+")
 #: Elements that a new one closes while they are open within the same block.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -87,6 +93,7 @@ class Block:
     heading: bool
     article: bool
     hint: int = 0  # 0 none, 1 weak, 2 strong
+    mark: int = -1  # the innermost mark around it
     parts: list[str] = field(default_factory=list)
     links: list[str] = field(default_factory=list)
     text: str = ""
@@ -98,23 +105,82 @@ class Block:
         self.link_density = min(1.0, len(linked) / len(self.text)) if self.text else 0.0
 
 
-def _judge(name: str, attributes: str, article: bool) -> tuple[bool, int]:
-    """Whether an element and all it holds is left out, and its hint."""
+def attributes_of(written: str) -> dict[str, str]:
+    """A tag's attributes by name; of several of one name the first holds."""
+    out: dict[str, str] = {}
+    for k, v in _ATTRIBUTE.findall(written):
+        out.setdefault(k.lower(), v.strip("\"'").lower())
+    return out
+
+
+#: What a mark says of all that an element holds: hints, and what is left out unless the
+#: element holds the page's article or most of its text.
+WEAK, STRONG, LEFT_OUT, COMMENTS = 1, 2, 3, 4
+
+
+def _judge(name: str, written: str, article: bool) -> tuple[bool, int]:
+    """Whether an element and all it holds is left out for good, and its mark (0: none)."""
     if name in DROPPED:
         return True, 0
-    if not attributes:
-        return name == "header" and not article, 0
-    hints = {k.lower(): v.strip("\"'").lower() for k, v in _HINT.findall(attributes)}
-    if "hidden" in hints or hints.get("aria-hidden") == "true" or "display:none" in hints.get("style", "").replace(" ", ""):
+    bare = LEFT_OUT if name == "form" or name == "header" and not article else 0
+    if not written:
+        return False, bare
+    by = attributes_of(written)
+    if "hidden" in by or by.get("aria-hidden") == "true" or re.search(r"(^|[;\s])display\s*:\s*none", by.get("style", "")):
         return True, 0
-    if hints.get("role") in DROPPED_ROLES:
+    if by.get("role") in DROPPED_ROLES:
         return True, 0
     if name in ("html", "body", "main") or name == "article" and not article:
         return False, 0
-    words = set(re.split(r"[^a-z0-9]+", f"{hints.get('class', '')} {hints.get('id', '')}"))
-    if name == "header" and not article or not article and "header" in words and not words & OWN_HEADER:
-        return True, 0
-    return False, 2 if words & STRONG_HINTS else 1 if words & WEAK_HINTS else 0
+    words: set[str] = set()
+    for token in f"{by.get('class', '')} {by.get('id', '')}".split():
+        own = set(re.split(r"[^a-z0-9]+", token))
+        words |= own if not own & SETTINGS else set()
+    if words & COMMENT_HINTS:
+        return False, COMMENTS
+    if bare or not article and "header" in words and not words & OWN_HEADER:
+        return False, LEFT_OUT
+    return False, STRONG if words & STRONG_HINTS else WEAK if words & WEAK_HINTS else 0
+
+
+class _Marks:
+    """The marked elements of a page, and what each holds."""
+
+    def __init__(self) -> None:
+        self.kind: list[int] = []
+        self.above: list[int] = []
+        self.size: list[int] = []
+        self.fields: list[int] = []
+        self.articles: list[list[int]] = []  # (mark, size) of each article or main
+
+    def add(self, kind: int, above: int) -> int:
+        for column, value in ((self.kind, kind), (self.above, above), (self.size, 0), (self.fields, 0)):
+            column.append(value)
+        return len(self.kind) - 1
+
+    def judged(self, total: int) -> list[int]:
+        """What holds good of all within each mark: 0, WEAK, STRONG or LEFT_OUT. Marks are
+        added outermost first, so one pass adds sizes up and one hands verdicts down."""
+        n = len(self.kind)
+        comments = [False] * n
+        for i in range(n):
+            comments[i] = self.kind[i] == COMMENTS or self.above[i] >= 0 and comments[self.above[i]]
+        main = max((a for a in self.articles if a[0] < 0 or not comments[a[0]]), key=lambda a: a[1], default=None)
+        holds = [False] * n
+        if main is not None and main[0] >= 0 and main[1]:
+            holds[main[0]] = True
+        for i in range(n - 1, -1, -1):
+            if self.above[i] >= 0:
+                self.size[self.above[i]] += self.size[i]
+                self.fields[self.above[i]] += self.fields[i]
+                holds[self.above[i]] |= holds[i]
+        out: list[int] = []
+        for i in range(n):
+            kind = STRONG if self.kind[i] == COMMENTS else self.kind[i]
+            most = 2 * self.size[i] > total and self.size[i] >= 200 * max(self.fields[i], 1)
+            void = self.kind[i] != COMMENTS and (holds[i] or most)
+            out.append(max(out[self.above[i]] if self.above[i] >= 0 else 0, 0 if void else kind))
+        return out
 
 
 def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
@@ -173,26 +239,26 @@ class _Open:
     its element costs nothing."""
 
     def __init__(self) -> None:
-        self.stack: list[tuple[str, bool, bool, bool, int]] = []  # name, dropped, in an article, in a link, hint
+        self.stack: list[tuple[str, bool, bool, bool, int]] = []  # name, dropped, in an article, in a link, mark
         self.blocks: list[int] = []
         self.counts: dict[str, int] = {}
         self.inline: list[dict[str, int]] = [{}]
 
     @property
     def top(self) -> tuple[str, bool, bool, bool, int]:
-        return self.stack[-1] if self.stack else ("", False, False, False, 0)
+        return self.stack[-1] if self.stack else ("", False, False, False, -1)
 
     def last_block(self) -> str:
         return self.stack[self.blocks[-1]][0] if self.blocks else ""
 
-    def push(self, name: str, dropped: bool, article: bool, link: bool, hint: int) -> None:
+    def push(self, name: str, dropped: bool, article: bool, link: bool, mark: int) -> None:
         if name in BLOCK:
             self.blocks.append(len(self.stack))
             self.counts[name] = self.counts.get(name, 0) + 1
             self.inline.append({})
         else:
             self.inline[-1][name] = self.inline[-1].get(name, 0) + 1
-        self.stack.append((name, dropped, article, link, hint))
+        self.stack.append((name, dropped, article, link, mark))
 
     def pop(self) -> str:
         name = self.stack.pop()[0]
@@ -220,15 +286,36 @@ class _Open:
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order, without those of dropped elements."""
     found: list[Block] = []
-    open_, block = _Open(), Block(False, False)
+    open_, block, marks, total = _Open(), Block(False, False), _Marks(), 0
+    inside: list[tuple[int, int]] = []  # (depth, its number) of the open articles
 
     def end(heading: bool = False) -> None:
-        nonlocal block
+        nonlocal block, total
         if block.parts:
             block.close()
             if block.text:
                 found.append(block)
-        block = Block(heading, open_.top[2], open_.top[4])
+                size = len(block.text)
+                total += size
+                if block.mark >= 0:
+                    marks.size[block.mark] += size
+                while inside and inside[-1][0] >= len(open_.stack):
+                    inside.pop()
+                if block.article and inside:
+                    marks.articles[inside[-1][1]][1] += size
+                if block.heading and _COMMENTS.fullmatch(block.text):
+                    comments_follow()
+        block = Block(heading, open_.top[2], mark=open_.top[4])
+
+    def comments_follow() -> None:
+        """The rest of a section that a heading calls comments is marked as such."""
+        for at in range(len(open_.stack) - 1, -1, -1):
+            name, dropped, article, link, mark = open_.stack[at]
+            if name in HEADINGS or name not in BLOCK:
+                continue
+            if name in ("section", "div"):
+                open_.stack[at] = (name, dropped, article, link, marks.add(COMMENTS, mark))
+            return
 
     def say(text: str) -> None:
         _, dropped, _, link, _ = open_.top
@@ -254,6 +341,8 @@ def blocks(page: str) -> list[Block]:
                 end()
             elif name == "br":
                 say(" ")
+            elif name == "input" and open_.top[4] >= 0:
+                marks.fields[open_.top[4]] += 1
         elif name not in RAW:
             if blocky:
                 end()
@@ -262,18 +351,30 @@ def blocks(page: str) -> list[Block]:
                     open_.pop_block()
                 if name == "tr" and open_.top[0] == "tr":
                     open_.pop()
-            _, dropped, article, link, hint = open_.top
+            _, dropped, article, link, mark = open_.top
             if not dropped:
                 dropped, own = _judge(name, attributes, article)
-                hint = max(hint, own)
-            open_.push(name, dropped, article or name in ("article", "main"), link or name == "a", hint)
+                if own:
+                    mark = marks.add(own, mark)
+                if name == "button" and mark >= 0:
+                    marks.fields[mark] += 1
+            open_.push(name, dropped, article or name in ("article", "main"), link or name == "a", mark)
+            if name in ("article", "main") and not dropped:
+                inside.append((len(open_.stack) - 1, len(marks.articles)))
+                marks.articles.append([mark, 0])
             if attributes.endswith("/") and not blocky:
                 open_.pop()  # written as empty
             elif blocky:
                 end(name in HEADINGS)
     say(page[at:])
     end()
-    return found
+    verdict = marks.judged(total)
+    kept = []
+    for b in found:
+        b.hint = verdict[b.mark] if b.mark >= 0 else 0
+        if b.hint != LEFT_OUT:
+            kept.append(b)
+    return kept
 
 
 def classify(found: list[Block], rules: Rules = Rules()) -> list[bool]:

@@ -352,3 +352,42 @@ def test_pages_without_their_marks():
     pages = [h for (h,) in duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()]
     same = [html_extract.main_text(h) == html_extract.main_text(re.sub("</?article>", "", h)) for h in pages]
     assert np.mean(same) > 0.93
+
+
+VALLEY = "The valley was quiet that night, and it was not until the morning that she saw what had been done to the house and to all of the trees around it."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f'<article><p>{VALLEY} See <a href="/the-hidden-valley">the valley story</a> now.</p></article>', f"{VALLEY} See the valley story now."),
+        (f'<article title="a hidden gem"><p>{VALLEY}</p></article>', VALLEY),
+        (f'<article><div data-style="display:none"><p>{VALLEY}</p></div></article>', VALLEY),
+        (f'<article><p>{VALLEY}</p><div style="color: red; display: none"><p>{VALLEY} Not.</p></div></article>', VALLEY),
+        (f'<article><p>{VALLEY}</p><div hidden><p>{VALLEY} Not.</p></div></article>', VALLEY),
+        (f'<div class="has-sidebar"><article><p>{VALLEY}</p></article></div>', VALLEY),
+        (f'<div class="sidebar main"><article><p>{VALLEY}</p></article></div>', VALLEY),
+        (f'<div class="layout with-sidebar"><article><p>{VALLEY}</p></article></div>', VALLEY),
+        (f'<article><section id="ad-hoc-methods"><p>{VALLEY}</p></section></article>', VALLEY),
+        (f'<article><div class="page pager-theme"><p>{VALLEY}</p></div></article>', VALLEY),
+        (f'<div class="fixed-header"><article><p>{VALLEY}</p></article></div>', VALLEY),
+        (f'<body><form action="/x"><input name="state"><article><p>{VALLEY}</p></article></form></body>', VALLEY),
+        (f'<body><form action="/x"><input name="state"><div><p>{VALLEY}</p><p>{VALLEY}</p></div></form></body>', f"{VALLEY}\n{VALLEY}"),
+        (f'<article><p>{VALLEY}</p></article><form><p>Write to us about it, and we will be in touch with you.</p><input><input></form>', VALLEY),
+        (f'<article><p>{VALLEY}</p></article><section><h3>Comments</h3><article><p>{VALLEY} I was there.</p></article></section>', VALLEY),
+        (f'<article><p>{VALLEY}</p></article><div class="comments"><article><p>{VALLEY * 3} I was there too.</p></article></div>', VALLEY),
+        (f'<article><p>{VALLEY}</p><div class="ad"><p>{VALLEY} Buy it.</p></div></article>', VALLEY),
+        (f'<header><p>{VALLEY}</p></header><article><p>{VALLEY} So.</p><p>{VALLEY} So it is.</p></article>', f"{VALLEY} So.\n{VALLEY} So it is."),
+    ],
+)
+def test_marks_weigh_and_do_not_decide(page, want):
+    assert html_extract.main_text(page) == want
+
+
+def test_many_marks_take_linear_time():
+    import time
+
+    for open_ in ('<div class="ad">', "<form>", '<div class="comment">', "<article>", "<section><h3>Comments</h3>"):
+        began = time.process_time()
+        html_extract.main_text(open_ * 40_000 + VALLEY)
+        assert time.process_time() - began < 20
