@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenark.functions import text as T
-from lumenark.operators import fusion, lexical, present, vector
+from lumenark.operators import fusion, keyword, lexical, present, vector
 from lumenark.operators import graph as G
 from lumenark.operators import search as S
 from lumenark.operators.search import Options, shortlist
@@ -62,11 +62,59 @@ def document_frequency(v):
 
 @query(_Q + "SELECT file_id, seq, round(bm25, 6) AS bm25, round(bm25n, 6) AS bm25n FROM bl")
 def bm25_lane(v):
-    """Any-term BM25 over text and headings."""
-    found = lexical.bm25(v.chunks, _words(v), COLUMNS).orderBy(F.desc("bm25"), "file_id", "seq").limit(60)
+    """Any-term BM25 over text and headings, from stored postings."""
+    found = keyword.bm25(v.keyword, _words(v), COLUMNS).orderBy(F.desc("bm25"), "file_id", "seq").limit(60)
+    return found.select("file_id", "seq", F.round("bm25", 6).alias("bm25"), F.round(lexical.normalized(F.col("bm25"), F.col("bound")), 6).alias("bm25n"))
+
+
+@query(_Q.replace(r"|| [x FOR x IN string_split_regex(lower(coalesce(heading_path, '')), '[^\p{L}\p{N}]+') IF x <> ''] AS t", "AS t").replace("AS f FROM tk, qw", "* 2.0 AS f FROM tk, qw") + "SELECT file_id, seq, round(bm25, 6) AS bm25, round(bm25n, 6) AS bm25n FROM bl")
+def bm25_one_column(v):
+    """The stored index asked for one of its columns: the other adds neither hits
+    nor length."""
+    found = keyword.bm25(v.keyword, _words(v), {"text": 2.0}).orderBy(F.desc("bm25"), "file_id", "seq").limit(60)
     return found.select("file_id", "seq", F.round("bm25", 6).alias("bm25"), F.round(lexical.normalized(F.col("bm25"), F.col("bound")), 6).alias("bm25n"))
 
 
+@query(r""", tk AS (SELECT file_id, seq, 0 AS field, [x FOR x IN string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+') IF x <> ''] AS t FROM chunks UNION ALL SELECT file_id, seq, 1, [x FOR x IN string_split_regex(lower(coalesce(heading_path, '')), '[^\p{L}\p{N}]+') IF x <> ''] FROM chunks),
+w AS (SELECT file_id, seq, field, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos FROM tk)
+SELECT term, field, count(DISTINCT (file_id, seq))::BIGINT AS chunks, count(*)::BIGINT AS places, sum(pos)::BIGINT AS place_sum, max(pos)::BIGINT AS last_place FROM w GROUP BY term, field""")
+def keyword_postings(v):
+    """The whole stored index, a row for each term and field: the chunks that hold
+    it and the places where it stands."""
+    total = F.aggregate("positions", F.lit(0).cast("long"), lambda a, x: a + x)
+    rows = v.keyword.postings.select("term", F.col("field").cast("int").alias("field"), F.size("positions").alias("n"), total.alias("sum"), F.array_max("positions").cast("long").alias("last"))
+    return rows.groupBy("term", "field").agg(F.count(F.lit(1)).alias("chunks"), F.sum("n").alias("places"), F.sum("sum").alias("place_sum"), F.max("last").alias("last_place"))
+
+
+_PAIR = r""", tk AS (SELECT file_id, seq, [x FOR x IN string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+') IF x <> ''] AS t FROM chunks),
+fw AS (SELECT t[1] AS a, t[2] AS b FROM tk WHERE len(t) > 9 ORDER BY file_id, seq LIMIT 1)"""
+
+
+@query(_PAIR + ", h AS (SELECT file_id, seq, len([i FOR i IN range(1, len(t)) IF t[i] = a AND t[i + 1] = b])::BIGINT AS hits FROM tk, fw) SELECT * FROM h WHERE hits > 0")
+def phrase_stored(v):
+    """A phrase by the positions of its words, no text read."""
+    return keyword.phrase(v.keyword, " ".join(_pair(v)), ("text",)).select("file_id", "seq", F.col("hits").cast("long").alias("hits"))
+
+
+def _pair(v):
+    toks = lexical.tokens(F.col("text"))
+    return v.chunks.where(F.size(toks) > 9).orderBy("file_id", "seq").select(toks.alias("t")).first()["t"][:2]
+
+
+@query(_PAIR + r""", pc AS (SELECT file_id, seq, regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+[^\p{L}\p{N}]*') AS p FROM chunks),
+pl AS (SELECT file_id, seq, p, [regexp_extract(lower(x), '^[\p{L}\p{N}]+') FOR x IN p] AS w FROM pc),
+ht AS (SELECT pl.*, [i FOR i IN range(0, len(w)) IF w[i + 1] = a OR w[i + 1] = b] AS hs FROM pl, fw),
+cd AS (SELECT file_id, seq, first, [i FOR i IN hs IF i >= first AND i < first + 12] AS ins, w FROM (SELECT *, unnest(hs) AS first FROM ht)),
+bs AS (SELECT file_id, seq, first, ins[len(ins)] AS last FROM cd QUALIFY row_number() OVER (PARTITION BY file_id, seq ORDER BY len(list_distinct([w[i + 1] FOR i IN ins])) DESC, len(ins) DESC, first) = 1),
+st AS (SELECT ht.*, greatest(least(first - (12 - (last - first + 1)) // 2, len(p) - 12), 0) AS s FROM ht JOIN bs USING (file_id, seq))
+SELECT file_id, seq, CASE WHEN s > 0 THEN '...' ELSE '' END || array_to_string([CASE WHEN list_contains(hs, i) THEN '<b>' || regexp_extract(p[i + 1], '^[\p{L}\p{N}]+') || '</b>' || substr(p[i + 1], length(regexp_extract(p[i + 1], '^[\p{L}\p{N}]+')) + 1) ELSE p[i + 1] END FOR i IN range(s, least(s + 12, len(p)))], '') || CASE WHEN s + 12 < len(p) THEN '...' ELSE '' END AS snippet FROM st""")
+def search_snippets(v):
+    """Twelve words of each chunk that holds either of two words, around the best hits."""
+    words = " ".join(_pair(v))
+    found = keyword.matches(v.keyword, words, {"text": 1.0})[0].select("file_id", "seq")
+    return v.chunks.join(found, ["file_id", "seq"], "left_semi").select("file_id", "seq", keyword.snippet(F.col("text"), words, size=12).alias("snippet"))
+
+
 @query(_Q + ", ph AS (SELECT string_agg(regexp_replace(lower(w), '[^\\p{L}\\p{N}]', '', 'g'), ' ' ORDER BY i) AS p FROM (SELECT unnest(string_split_regex(text, '\\s+')[1:2]) AS w, unnest([1, 2]) AS i FROM qt)) SELECT file_id, seq FROM tk, ph WHERE contains(' ' || array_to_string(t, ' ') || ' ', ' ' || p || ' ')".replace("\\\\", "\\"))
 def phrase_match(v):
     """Words next to each other."""
@@ -94,7 +142,7 @@ sd AS (SELECT file_id, seq, score, lane FROM (SELECT *, row_number() OVER (PARTI
 
 def _two_lanes(v):
     a = vector.knn(v.vectors, _vector(v)).select("file_id", "seq", "score")
-    b = lexical.bm25(v.chunks, _words(v), COLUMNS).orderBy(F.desc("bm25"), "file_id", "seq").limit(60).select("file_id", "seq", F.col("bm25").alias("score"))
+    b = keyword.bm25(v.keyword, _words(v), COLUMNS).orderBy(F.desc("bm25"), "file_id", "seq").limit(60).select("file_id", "seq", F.col("bm25").alias("score"))
     return a, b
 
 
@@ -261,7 +309,7 @@ def search_shortlist(v):
     """Both lanes fused, pooled and scored by calibrated probability
     (vectors stand for each conversation's first turn)."""
     vectors = v.vectors.select(F.col("seq").alias("file_id"), F.lit(0).cast("long").alias("seq"), "vector")
-    found = shortlist(v.chunks, vectors, _words(v), _vector(v))
+    found = shortlist(v.chunks, vectors, _words(v), _vector(v), keyword=keyword.bm25(v.keyword, _words(v), COLUMNS))
     return found.select("file_id", "seq", F.round("rrf", 8).alias("rrf"), F.round("score", 6).alias("score"))
 
 
@@ -278,5 +326,5 @@ SELECT sc.file_id, sc.seq, round(p, 6) AS score, ceil(length(text) * 100 / 333.0
 def ranked_search(v):
     """The keyword-only search with a floor of 0.5, without joining blocks."""
     o = Options(top_n=10, coalesce=False, weights={"fts": 1.0}, calibration=fusion.Calibration(floor=0.5), budget_tokens=10**9)
-    found = S.ranked_search(v.chunks, None, _words(v), None, o)
+    found = S.ranked_search(v.chunks, None, _words(v), None, o, keyword=keyword.bm25(v.keyword, _words(v), COLUMNS))
     return found.select("file_id", "seq", F.round("score", 6).alias("score"), "tokens")

@@ -6,19 +6,24 @@ edges, props, links and events. ``PRELUDE`` says the same in SQL."""
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenark.functions import text as T
-from lumenark.session import table
+from lumenark.operators import keyword
+from lumenark.session import shared_dir, table
 
 #: Links go from orders to parts, whose keys overlap.
 PART_OFFSET = 1_000_000_000
 EPOCH = 1_704_067_200  # 2024-01-01
 
 
+_INDEXES: dict[tuple[str, str], keyword.Index] = {}
+
+
 class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -50,6 +55,15 @@ class Views:
         c = self.table("conversations")
         return c.select(F.col("conv_id").alias("file_id"), F.col("turn").alias("seq"), F.col("role").alias("heading"), F.col("role").alias("heading_path"), F.col("text"), T.chunk_tokens(F.col("text")).alias("token_count"))
 
+    @cached_property
+    def keyword(self) -> keyword.Index:
+        """The stored keyword index of the chunks: made by the first query that asks for it,
+        read by all later ones of the session."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _INDEXES:
+            _INDEXES[key] = keyword.write(self.chunks, f"{shared_dir(self.spark)}/lumenark/keyword-{uuid.uuid4().hex}")
+        return _INDEXES[key]
+
     @cached_property
     def lines(self) -> DataFrame:
         return self.table("documents").select(F.col("doc_id").alias("file_id"), F.posexplode(F.split("text", "\n", -1)).alias("seq", "text")).withColumn("seq", F.col("seq").cast("long"))
