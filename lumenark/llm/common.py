@@ -43,6 +43,13 @@ def unused(columns: list[str], name: str) -> str:
     return name
 
 
+def others(columns: list[str], *made: str) -> list[str]:
+    """``columns`` without those that bear a name that an operator makes, in any case, as
+    Spark compares names."""
+    taken = {m.lower() for m in made}
+    return [c for c in columns if c.lower() not in taken]
+
+
 def write_shared(df: DataFrame, name: str, partition_by: str | None = None) -> str:
     """Write ``df`` as a Parquet table in the shared folder; returns its path.
     Cuts lineage: a lost executor costs only the tasks that read the table."""

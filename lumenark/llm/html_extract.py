@@ -36,6 +36,8 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lumenark.llm.common import others, returning
+
 # HTML's elements and common stop words.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style title textarea noscript iframe xmp noembed noframes".split())
@@ -435,7 +437,7 @@ def main_text(page: str | None, rules: Rules = Rules()) -> str:
 
 def extract(pages: DataFrame, html_col: str = "html", rules: Rules = Rules()) -> DataFrame:
     """``pages`` without ``html_col``, with text and n_chars."""
-    names = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
+    names = others(pages.columns, html_col, "text", "n_chars")
     fields = pages.select(*names).schema.add("text", "string").add("n_chars", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -443,4 +445,4 @@ def extract(pages: DataFrame, html_col: str = "html", rules: Rules = Rules()) ->
             texts = [main_text(x, rules) for x in batch.column(html_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*names, "text", "n_chars"])
 
-    return pages.select(*names, html_col).mapInArrow(run, fields)
+    return pages.select(*names, html_col).mapInArrow(returning(run), fields)

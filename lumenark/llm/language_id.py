@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenark.llm.common import returning
+from lumenark.llm.common import others, returning
 
 UNKNOWN = "und"
 DIM = 8192
@@ -169,7 +169,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred, score and ambiguous."""
-    names = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
+    names = others(docs.columns, "lang_pred", "score", "ambiguous")
     fields = docs.select(*names).schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

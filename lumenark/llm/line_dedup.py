@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenark.llm.common import SPACES, cut, mix64, parts, returning, unused, utf8
+from lumenark.llm.common import SPACES, cut, mix64, others, parts, returning, unused, utf8
 
 BROADCAST_BYTES = 48 << 20
 #: Partial counts for one shard, and lines for one task that asks a shard.
@@ -203,7 +203,7 @@ def _short(batches: Iterator[pa.RecordBatch], text_col: str | int) -> Iterator[p
 
 def _rewrite(docs: DataFrame, id_col: str, text_col: str, digest: bool, dropped, extra: list[str] = []) -> DataFrame:  # noqa: B006
     """Apply ``dropped(ids, texts, extra columns) -> flags of each row``."""
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_sha256", *extra)]
+    names = others(docs.columns, "n_lines", "n_dropped", "kept_sha256", *extra)
     fields = docs.select(*names).schema.add("n_lines", "long").add("n_dropped", "long")
     if digest:
         fields = fields.add("kept_sha256", "string")

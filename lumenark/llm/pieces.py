@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lumenark.llm.common import others
+
 SPACE = "▁"
 #: Stands for a U+2581 of the text itself: no valid text and no piece holds it.
 LITERAL = "\ud800"
@@ -219,7 +221,7 @@ def model_of(path: str) -> PieceModel:
 def encode(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
     """``docs`` with ids (array of int) and ids_crc32 (of the little-endian unsigned
     32-bit ids)."""
-    names = [c for c in docs.columns if c not in ("ids", "ids_crc32")]
+    names = others(docs.columns, "ids", "ids_crc32")
     fields = docs.select(*names).schema.add("ids", T.ArrayType(T.IntegerType())).add("ids_crc32", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +241,7 @@ def encode(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
 
 def decode(encoded: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
     """``encoded`` with the column decoded."""
-    names = [c for c in encoded.columns if c != "decoded"]
+    names = others(encoded.columns, "decoded")
     fields = encoded.select(*names).schema.add("decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenark.llm.common import cut, unused
+from lumenark.llm.common import cut, others, unused
 
 #: Hosts up to which the verdicts may be broadcast (a few bytes each).
 BROADCAST_HOSTS = 50_000
@@ -95,8 +95,8 @@ def host_verdicts(measured: DataFrame, host_col: str = "source", host_limit: flo
 def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", host_limit: float = 0.5, keep_text: bool = True) -> DataFrame:
     """``docs`` (without the text unless ``keep_text``) with the figures,
     base_failed, shrunk_rate and kept."""
-    clash = [c for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "shrunk_rate", "kept") if c in docs.columns]
-    measured = measure(docs.drop(*clash), text_col)
+    names = others(docs.columns, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "shrunk_rate", "kept")
+    measured = measure(docs.select(*names), text_col)
     measured = cut(measured if keep_text else measured.drop(text_col), "measured")
     host, failed = (unused(measured.columns, n) for n in ("_host", "_host_failed"))
     hosts = host_verdicts(measured, host_col, host_limit).select(F.col("host").alias(host), "shrunk_rate", F.col("host_failed").alias(failed))
