@@ -83,6 +83,11 @@ class Vault:
     def props(self) -> DataFrame:
         return self.parsed.select("file_id", F.lit(-1).cast("long").alias("chunk_seq"), F.inline("properties"))
 
+    @cached_property
+    def linked_props(self) -> DataFrame:
+        """Properties with the note that a link among them names."""
+        return graph.property_targets(self.props, self.notes.select("file_id", "path"))
+
     @cached_property
     def aliases(self) -> DataFrame:
         return self.parsed.select("file_id", "path", F.inline("aliases"))
@@ -112,7 +117,9 @@ class Vault:
         return stored.faults(self.notes.sparkSession, self.store, self.version)
 
     def scoped(self, **scope) -> DataFrame:
-        return Scope.parse(archive=self.archive, **scope).apply(self.notes, self.tag_rows, self.props, self.edges)
+        asked = Scope.parse(archive=self.archive, **scope)
+        named = asked.property and (asked.links_to is not None or asked.linked_from is not None)
+        return asked.apply(self.notes, self.tag_rows, self.linked_props if named else self.props, self.edges)
 
     # reading
     def search(self, question: str, o: search.Options = search.Options(), now: dt.datetime | None = None, reranker: search.RerankModel | None = None, **scope) -> DataFrame:

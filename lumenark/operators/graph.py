@@ -116,6 +116,15 @@ def edges_of(links: DataFrame, notes: DataFrame, headings: DataFrame | None = No
     return edges, unresolved
 
 
+def property_targets(props: DataFrame, notes: DataFrame) -> DataFrame:
+    """``props`` (file_id, name, value, kind) with ``target_file``: the note that a property
+    whose value is a link names, resolved as links in texts are; null for other kinds and
+    for links to no note."""
+    asked = props.withColumn("_target", F.when(F.col("kind") == "link", T.link_note(F.get(T.wikilinks(F.col("value")), F.lit(0)))))
+    found = resolve(asked.where("_target <> ''").select(F.col("_target").alias("target")), notes)
+    return asked.join(found.select(F.col("target").alias("_target"), F.col("file_id").alias("target_file")), "_target", "left").drop("_target")
+
+
 def reconcile(unresolved: DataFrame, notes: DataFrame) -> DataFrame:
     """Notes whose unresolved links resolve now."""
     return unresolved.join(resolve(unresolved, notes).select("target"), "target", "left_semi").select("file_id").distinct()

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenark.operators import graph as G
+from lumenark.operators.scope import Scope
 from lumenark.operators import links as K
 from lumenark.operators import store as S
 from lumenark.plans.registry import query
+from lumenark.sources.views import PART_OFFSET
 from lumenark.plans.text_queries import _markdown
 
 
@@ -195,3 +197,32 @@ def structure_edges(v):
     from lumenark.operators import markdown
 
     return markdown.parse(_markdown(v)).select("file_id", F.inline("properties")).groupBy("name", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _part_props(v):
+    """Orders as notes whose properties link to parts: a line's part under "part", or under
+    "gift" for every second line."""
+    name = F.when(F.col("l_linenumber") % 2 == 1, "part").otherwise("gift")
+    props = v.table("lineitem").select(F.col("l_orderkey").alias("file_id"), F.lit(-1).cast("long").alias("chunk_seq"), name.alias("name"), F.concat(F.lit("[[Part-"), "l_partkey", F.lit("|a part]]")).alias("value"), F.lit("link").alias("kind"))
+    parts = v.table("part").select((F.col("p_partkey") + PART_OFFSET).alias("file_id"), F.concat(F.lit("parts/part-"), "p_partkey", F.lit(".md")).alias("path"))
+    return G.property_targets(props, parts), parts
+
+
+@query(", pr AS (SELECT l_orderkey AS file_id, CASE WHEN l_linenumber % 2 = 1 THEN 'part' ELSE 'gift' END AS name, l_partkey FROM lineitem) SELECT file_id, name, p_partkey + 1000000000 AS target_file, count(*)::BIGINT AS n FROM pr LEFT JOIN part ON p_partkey = l_partkey GROUP BY ALL")
+def property_targets(v):
+    """The notes that link-valued properties name."""
+    return _part_props(v)[0].groupBy("file_id", "name", "target_file").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT DISTINCT l_orderkey AS file_id, 'links to' AS how FROM lineitem WHERE l_linenumber % 2 = 0 AND l_partkey = (SELECT min(l_partkey) FROM lineitem WHERE l_linenumber % 2 = 0)
+UNION ALL SELECT DISTINCT p_partkey + 1000000000, 'linked from' FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_linenumber % 2 = 1 AND l_orderkey = (SELECT min(l_orderkey) FROM lineitem)""")
+def scope_linked_property(v):
+    """links_to and linked_from through one named property."""
+    props, parts = _part_props(v)
+    lines = v.table("lineitem")
+    part = lines.where("l_linenumber % 2 = 0").agg(F.min("l_partkey")).first()[0] + PART_OFFSET
+    order = lines.agg(F.min("l_orderkey")).first()[0]
+    orders = v.table("orders").select(F.col("o_orderkey").alias("file_id"), F.concat(F.lit("orders/"), "o_orderkey", F.lit(".md")).alias("path"))
+    to = Scope.parse(property="gift", links_to=part).apply(orders, props=props)
+    of = Scope.parse(property="part", linked_from=order).apply(parts, props=props)
+    return to.select("file_id", F.lit("links to").alias("how")).unionByName(of.select("file_id", F.lit("linked from").alias("how")))

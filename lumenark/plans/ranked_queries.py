@@ -279,13 +279,15 @@ def degraded_interleave(v):
     return fusion.interleave(rows(a), rows(b)).select("file_id", "seq", F.col("position").cast("long").alias("position"))
 
 
-@query(""", r AS (SELECT file_id, seq, row_number() OVER (ORDER BY file_id, seq) AS rank, ceil(length(text) * 100 / 333.0)::BIGINT AS tokens FROM chunks ORDER BY file_id, seq LIMIT 200),
-o AS (SELECT *, sum(tokens + 50) OVER (ORDER BY rank) > 8192 AND rank > 1 AS o FROM r) SELECT file_id, seq, tokens, NOT bool_or(o) OVER (ORDER BY rank) AS admitted FROM o""")
+@query(_Q + """, r AS (SELECT file_id, seq, row_number() OVER (ORDER BY bm25 DESC, file_id, seq) AS rank, ceil(length(text) * 100 / 333.0)::BIGINT AS tokens FROM bl JOIN chunks USING (file_id, seq)),
+o AS (SELECT *, sum(tokens + 50) OVER (ORDER BY rank) > 2048 AND rank > 1 AS o FROM r) SELECT file_id, seq, rank::INTEGER AS rank, tokens, NOT bool_or(o) OVER (ORDER BY rank) AS admitted FROM o""")
 def token_budget(v):
-    """Greedy in rank order, stopping at the first that does not fit."""
-    rank = F.row_number().over(fusion.W.partitionBy(F.lit(0)).orderBy("file_id", "seq"))
-    top = v.chunks.orderBy("file_id", "seq").limit(200).select("file_id", "seq", rank.alias("rank"), T.packaging_tokens(F.col("text")).alias("tokens"))
-    return present.pack_budget(top).select("file_id", "seq", "tokens", "admitted")
+    """Greedy in rank order (here of the keyword lane), stopping at the first that does
+    not fit."""
+    lane = keyword.bm25(v.keyword, _words(v), COLUMNS).orderBy(F.desc("bm25"), "file_id", "seq").limit(60)
+    rank = F.row_number().over(fusion.W.partitionBy(F.lit(0)).orderBy(F.desc("bm25"), "file_id", "seq"))
+    top = lane.withColumn("rank", rank).join(v.chunks.select("file_id", "seq", "text"), ["file_id", "seq"]).select("file_id", "seq", "rank", T.packaging_tokens(F.col("text")).alias("tokens"))
+    return present.pack_budget(top, 2048).select("file_id", "seq", "rank", "tokens", "admitted")
 
 
 @query(r""", q AS (SELECT lower(text) AS q FROM chunks ORDER BY file_id, seq LIMIT 1), c AS (SELECT file_id, seq, lower(text) AS t FROM chunks),

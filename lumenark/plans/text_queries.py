@@ -126,7 +126,7 @@ def _markdown(v):
     return rows.select(F.col("conv_id").alias("file_id"), F.concat(F.lit("chat/"), "conv_id", F.lit(".md")).alias("path"), body.alias("content"))
 
 
-@query("SELECT DISTINCT conv_id AS file_id, 'rating' AS name, '5' AS value, 'number' AS kind, 'chat/log' AS tag FROM conversations WHERE turn < 3")
+@query("SELECT DISTINCT conv_id AS file_id, 'rating' AS name, '5' AS value, 'number' AS kind, 'chat/log' AS tag FROM conversations")
 def parse_notes(v):
     """Frontmatter, tags and properties of notes."""
     p = markdown.parse(_markdown(v)).select("file_id", F.inline("properties"), F.col("tags")[0]["folded"].alias("tag"))

@@ -96,3 +96,18 @@ def test_an_index_grows_by_its_changes(spark, tmp_path):
     # old parts go, the last versions stay readable
     assert index.vacuum(spark, store, keep=1, older_than=-1) >= 5 and Vault.open(spark, store, model=Flaky(None)).notes.count() == 30
     assert index.versions(spark, store) == [healed]
+
+
+def test_scope_by_a_named_link(spark, tmp_path):
+    """A property whose value is a link leads to its note, both ways; other kinds, links of
+    other names and links to no note lead nowhere."""
+    notes = {"a.md": "---\nrelated: [[b]]\nother: [[c]]\n---\n# A\n\n[[c]]\n", "sub/b.md": "# B\n", "c.md": "---\nrelated:\n  - [[sub/b|the b]]\n  - [[none]]\n  - b\n---\n# C\n"}
+    (tmp_path / "sub").mkdir()
+    for path, text in notes.items():
+        (tmp_path / path).write_text(text)
+    v = Vault(read_vault(spark, str(tmp_path)))
+    ids = {r.path: r.file_id for r in v.notes.collect()}
+    paths = lambda **scope: sorted(r.path for r in v.scoped(**scope).collect())
+    assert paths(property="related", links_to=ids["sub/b.md"]) == ["a.md", "c.md"]
+    assert paths(property="other", links_to=ids["sub/b.md"]) == [] and paths(property="other", links_to=ids["c.md"]) == ["a.md"]
+    assert paths(property="related", linked_from=ids["c.md"]) == ["sub/b.md"] and paths(links_to=ids["c.md"]) == ["a.md"]
