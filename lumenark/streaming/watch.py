@@ -46,9 +46,22 @@ def detect_moves(ops: DataFrame, stored: DataFrame) -> DataFrame:
     return a.join(b, ["content_hash", "n"]).select("from_path", "to_path")
 
 
+def echoes(ops: DataFrame, own_writes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``ops`` without those that our own writes (path, mtime, and ``writes`` if a row
+    stands for several) caused, and (path, mtime, used): the writes that this took. A write
+    takes one change with its time, the first; a second such change is another's."""
+    times = F.sum("writes") if "writes" in own_writes.columns else F.count(F.lit(1))
+    log = own_writes.groupBy("path", "mtime").agg(times.alias("_writes")).where(F.col("_writes") > 0)
+    nth = F.row_number().over(W.partitionBy("path", "mtime").orderBy("event_id"))
+    met = ops.join(log, ["path", "mtime"]).withColumn("_nth", nth)  # only what has a write
+    used = met.where(F.col("_nth") <= F.col("_writes")).groupBy("path", "mtime").agg(F.count(F.lit(1)).alias("used"))
+    rest = ops.join(log.select("path", "mtime"), ["path", "mtime"], "left_anti").select(ops.columns)
+    return rest.unionByName(met.where(F.col("_nth") > F.col("_writes")).select(ops.columns)), used
+
+
 def drop_echoes(ops: DataFrame, own_writes: DataFrame) -> DataFrame:
-    """Without changes that our own writes (path, mtime) caused."""
-    return ops.join(own_writes.select("path", "mtime"), ["path", "mtime"], "left_anti")
+    """Without changes that our own writes caused, one for each write."""
+    return echoes(ops, own_writes)[0]
 
 
 def apply_batch(stored: DataFrame, ops: DataFrame) -> DataFrame:
@@ -121,6 +134,24 @@ class Store:
         rows.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/v{version}")
         self.forget(version)
 
+    def taken(self, version: int) -> DataFrame:
+        """(path, mtime, taken): own writes whose echo has come, up to a version."""
+        fields = "path string, mtime long, taken long"
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/echoes/v{version}")
+        there = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+        return self.spark.read.schema(fields).parquet(str(at)) if there else self.spark.createDataFrame([], fields)
+
+    def without_echoes(self, ops: DataFrame, own_writes: DataFrame, version: int) -> DataFrame:
+        """The operations of the batch that makes ``version``, without echoes of writes that
+        no batch before has taken; notes which this one takes. What left the log is
+        forgotten, and a batch that runs again finds the same."""
+        log = own_writes.groupBy("path", "mtime").agg(F.count(F.lit(1)).alias("writes"))
+        known = log.join(self.taken(version - 1), ["path", "mtime"], "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
+        rest, used = echoes(ops, known.withColumn("writes", F.col("writes") - F.col("taken")))
+        now = known.join(used, ["path", "mtime"], "left").select("path", "mtime", (F.col("taken") + F.coalesce("used", F.lit(0).cast("long"))).alias("taken"))
+        now.where("taken > 0").write.mode("overwrite").parquet(f"{self.root}/echoes/v{version}")
+        return rest
+
     def forget(self, version: int) -> None:
         """Delete versions of notes that neither this manifest nor the one before needs."""
         needed = {*self.manifest(version).values(), *self.manifest(version - 1).values(), version}
@@ -133,12 +164,14 @@ class Store:
                 fs.delete(status.getPath(), True)
         for old in range(max(1, version - 3), version - 1):
             fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest/v{old}"), True)
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.root}/echoes/v{old}"), True)
 
 
 @dataclass
 class Follower:
     """One batch after another into a store. ``scan`` lists all files, ``own_writes``
-    (path, mtime) gives the changes that were our own, ``on_change`` is told once per
+    (path, mtime) is the log of our own writes, each of which takes one change away, once;
+    ``on_change`` is told once per
     batch which paths changed and what was there before and after: the place to
     reconcile links (``graph.reconcile``)."""
 
@@ -155,7 +188,7 @@ class Follower:
         try:
             ops = classify(events, self.exclude)
             if self.own_writes is not None:
-                ops = drop_echoes(ops, self.own_writes())
+                ops = store.without_echoes(ops, self.own_writes(), version)
             whole = store.read(number)
             ops = settle(ops, self.scan, whole).withColumn("_bucket", store.bucket())
             touched = {r["_bucket"] for r in ops.select("_bucket").distinct().collect()}  # at most ``buckets``
