@@ -7,10 +7,10 @@ up to 5 are discounted by Good-Turing with Katz's correction; what a context lea
 to the words it was not seen with, in proportion to the model of the next lower order;
 the unigram model's own remainder belongs to one unknown word. Backoff weights divide by
 one minus the seen words' mass in the lower order, so each context's probabilities sum to
-exactly one. A context whose continuations all keep their counts counts once more, so
-that it leaves something; so does, whatever its continuations, one of more than 5
-occurrences whose last word has ``FREQUENT`` or more (its continuations are spread over
-tasks, none of which sees them all).
+exactly one. Counts above 5 are not discounted, so a context of more than 5 occurrences
+might leave nothing: each of them counts one occurrence more, which goes to the words it
+was not seen with. The rule looks at a context's own count alone, so the same counts give
+the same probabilities in a corpus of any size.
 
 Nothing global is broadcast or collected but counts of counts. Texts become chunks of
 about ``CHUNK_TOKENS`` tokens (distinct word hashes and indexes into them), written
@@ -59,8 +59,6 @@ from lumenark.llm.common import mix64, parts, shared_dir, utf8, word_hashes
 CHUNK_TOKENS = 1 << 20
 #: Entries for one task of an exchange.
 BUCKET_ENTRIES = 1_000_000
-#: Occurrences from which a word's contexts count once more and may be spread.
-FREQUENT = 100_000
 #: Counts up to which Good-Turing discounts.
 DISCOUNTED = 5
 _END = np.uint64(0x5EED0F7E47A11E4D)
@@ -144,15 +142,19 @@ class Unigrams:
         return np.where(counts > 0, p, self.left)
 
 
-def context_weights(c: np.ndarray, often: np.ndarray, numbers: np.ndarray, own: Discounts, lower: Discounts, scale: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
-    """For contexts of count c (``often``: their last word has FREQUENT occurrences) and
-    numbers as in ``_NUMBERS``, where a word of lower count x has the lower-order
-    probability x * factor * scale: the divisor of discounted counts and the backoff
-    weight."""
+def divisors(c: np.ndarray) -> np.ndarray:
+    """What discounted counts are divided by in contexts of count c."""
+    return (c + (c > DISCOUNTED)).astype(np.float64)
+
+
+def context_weights(c: np.ndarray, numbers: np.ndarray, own: Discounts, lower: Discounts, scale: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
+    """For contexts of count c and numbers as in ``_NUMBERS``, where a word of lower count
+    x has the lower-order probability x * factor * scale: the divisor of discounted counts
+    and the backoff weight."""
     r = np.arange(1, DISCOUNTED + 1)
     left = numbers[:, :DISCOUNTED] @ (r * (1 - np.array(own.factors)))
-    more = (left <= 0) | (often & (c > DISCOUNTED))
-    divisor = np.where(more, c + 1, c).astype(np.float64)
+    more = c > DISCOUNTED
+    divisor = divisors(c)
     mass = (numbers[:, DISCOUNTED:-1] @ (r * np.array(lower.factors)) + numbers[:, -1]) * scale
     return divisor, (left + more) / np.maximum(divisor, 1) / np.maximum(1 - mass, 1e-300)
 
@@ -254,7 +256,7 @@ def _word_requests(buckets: int):
 
 #: An answer to a chunk (kind 0), or a bucket's sums (kind 1): types, tokens and numbers
 #: of types seen 1 to DISCOUNTED + 1 times, of words or of pairs and trigrams.
-_ANSWER = "kind int, bucket long, chunk long, one binary, two binary, three binary, four binary, five binary, sums array<long>"
+_ANSWER = "kind int, bucket long, chunk long, one binary, two binary, three binary, four binary, sums array<long>"
 
 
 def _answers(rows: list[tuple]) -> pd.DataFrame:
@@ -278,8 +280,8 @@ def _count_words(buckets: int):
         for chunk, w in zip(pdf["chunk"], words):
             own = at[lo : lo + len(w)]
             lo += len(w)
-            out.append((0, bucket, int(chunk), pack(number[own]), pack(total[own]), b"", b"", b"", []))
-        out.append((1, bucket, -1, b"", b"", b"", b"", b"", [int((total > 0).sum()), int(total.sum()), *_of_counts(total)]))
+            out.append((0, bucket, int(chunk), pack(number[own]), pack(total[own]), b"", b"", []))
+        out.append((1, bucket, -1, b"", b"", b"", b"", [int((total > 0).sum()), int(total.sum()), *_of_counts(total)]))
         return _answers(out)
 
     return run
@@ -295,7 +297,7 @@ class Plan:
     order: int
     pair_buckets: int
     texts: int  # training texts: the count of the start and of the end
-    spread: int  # occurrences of a first word for one bucket, FREQUENT at least
+    spread: int  # occurrences of a first word for one bucket
 
 
 class Requests:
@@ -437,8 +439,6 @@ def _count_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
     context, of_context = np.unique((pv[of_pair].astype(np.uint64) << _SHIFT) | u, return_inverse=True)
     seen3 = total3 > 0
     numbers3 = _sums(of_context[seen3], len(context), total3[seen3], total[of_pair[seen3]])
-    # a trigram's context leaves nothing; asked for only where its own count is kept
-    full = (numbers3[:, :DISCOUNTED].sum(1) == 0)[of_context] & (total3 > DISCOUNTED)
 
     bucket, e, k, t, out = int(pdf["bucket"].iloc[0]), 0, 0, 0, []
     for chunk, x, y, z, needed, n_context, asked in zip(pdf["chunk"], vs, ws, us, pdf["needed"], pdf["k"], pdf["context"]):
@@ -448,9 +448,9 @@ def _count_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         at = np.minimum(np.searchsorted(context, wanted), max(len(context) - 1, 0))
         told = np.where((context[at] == wanted)[:, None], numbers3[at], np.uint64(0)) if len(context) else np.zeros((len(wanted), _NUMBERS), np.uint64)
         entries = numbers[mine[unpack(needed, np.uint8).astype(bool)]]
-        out.append((0, bucket, int(chunk), pack(total[pairs]), pack(entries.T.ravel()), pack(total3[trigrams]), pack(full[trigrams].astype(np.uint8)), pack(told.T.ravel()), []))
+        out.append((0, bucket, int(chunk), pack(total[pairs]), pack(entries.T.ravel()), pack(total3[trigrams]), pack(told.T.ravel()), []))
     sums = [int(seen.sum()), int(total.sum()), *_of_counts(total), int(seen3.sum()), int(total3.sum()), *_of_counts(total3)]
-    out.append((1, bucket, -1, b"", b"", b"", b"", b"", sums))
+    out.append((1, bucket, -1, b"", b"", b"", b"", sums))
     return _answers(out)
 
 
@@ -464,30 +464,28 @@ def _score(plan: Plan, unigrams: Unigrams, bigrams: Discounts, trigrams: Discoun
             c = Chunk(row)
             r = Requests(c, words, plan)
             got = {int(x.bucket): x for x in pairs.itertuples()}
-            two, three, full = np.zeros(len(r.v), np.uint64), np.zeros(len(r.u), np.uint64), np.zeros(len(r.u), bool)
+            two, three = np.zeros(len(r.v), np.uint64), np.zeros(len(r.u), np.uint64)
             n1, n2 = np.zeros((len(r.count), _NUMBERS)), np.zeros((r.contexts, _NUMBERS))
             for b, e, p, t, x in r.slices():
                 told = got[b]
-                two[p], three[t], full[t] = unpack(told.one, np.uint64), unpack(told.three, np.uint64), unpack(told.four, np.uint8).astype(bool)
+                two[p], three[t] = unpack(told.one, np.uint64), unpack(told.three, np.uint64)
                 n1[r.entry_v[e][r.needed[e]]] += numbers(told.two)
-                n2[r.sent_context[x]] += numbers(told.five)
+                n2[r.sent_context[x]] += numbers(told.four)
             times, count = two[r.pair], r.count[c.tokens]
-            often = r.count >= FREQUENT
             with np.errstate(divide="ignore", invalid="ignore"):
                 # recursively, from the word alone upwards
                 score = np.log10(unigrams.probability(r.count))[c.tokens]
-                divisor, weight = context_weights(r.count.astype(np.float64), often, n1, bigrams, unigrams.discounts, unigrams.scale)
+                divisor, weight = context_weights(r.count.astype(np.float64), n1, bigrams, unigrams.discounts, unigrams.scale)
                 back = np.where(r.count > 0, np.log10(weight), 0.0)[r.first] + score
                 score = np.where(times > 0, np.log10(bigrams.of(times) * times / divisor[r.first]), back)
                 if len(r.inner):
                     seen, context = three[r.trigram], two[r.pair[r.inner - 1]].astype(np.float64)
-                    more = full[r.trigram] | (often[r.first[r.inner]] & (context > DISCOUNTED))
-                    direct = np.log10(trigrams.of(seen) * seen / (context + more))
+                    direct = np.log10(trigrams.of(seen) * seen / divisors(context))
                     back = score[r.inner].copy()
                     if len(r.asking):
                         at = r.inner[r.asking]
                         v, c2 = r.first[at], context[r.asking]
-                        _, weight = context_weights(c2, often[v], n2[r.context], trigrams, bigrams, 1 / np.maximum(divisor[v], 1))
+                        _, weight = context_weights(c2, n2[r.context], trigrams, bigrams, 1 / np.maximum(divisor[v], 1))
                         back[r.asking] += np.where(c2 > 0, np.log10(weight), 0.0)
                     score[r.inner] = np.where(seen > 0, direct, back)
             base = np.log10((count + 0.1) / (unigrams.tokens + 0.1 * (unigrams.types + 1)))
@@ -539,7 +537,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     words = stored(asked.groupBy("bucket").applyInPandas(_count_words(word_buckets), _ANSWER), "words")
     types, tokens, *n = _totals(words, DISCOUNTED + 3)
     unigrams = Unigrams.fit(tokens, types, n)
-    plan = Plan(order, pair_buckets, _training_texts(docs, id_col, modulus), max(FREQUENT, BUCKET_ENTRIES // 4))
+    plan = Plan(order, pair_buckets, _training_texts(docs, id_col, modulus), max(1, BUCKET_ENTRIES // 4))
     _tidy(spark)
     told = words.where("kind = 0").select("chunk", "bucket", "one", "two")
     asked = own.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(_pair_requests(plan), _REQUEST)
@@ -547,7 +545,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     n = _totals(pairs, 2 * (DISCOUNTED + 3))
     bigrams, trigrams = Discounts.fit(n[2 : DISCOUNTED + 3]), Discounts.fit(n[DISCOUNTED + 5 :])
     _tidy(spark)
-    columns = ["chunk", "bucket", "one", "two", "three", "four", "five"]
+    columns = ["chunk", "bucket", "one", "two", "three", "four"]
     told = words.where("kind = 0").select(F.lit(0).alias("table"), *columns).union(pairs.where("kind = 0").select(F.lit(1), *columns))
     out = own.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(_score(plan, unigrams, bigrams, trigrams), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("doc_id", id_col)
