@@ -123,13 +123,14 @@ class Vault:
 
     # reading
     def search(self, question: str, o: search.Options = search.Options(), now: dt.datetime | None = None, reranker: search.RerankModel | None = None, **scope) -> DataFrame:
-        """Blocks that answer the question. A date phrase in it (with ``now``) promotes
-        notes of that time and hides none; postings and vectors are the stored ones."""
+        """Blocks that answer the question, with their notes' properties. A date phrase in
+        it (with ``now``) promotes notes of that time and hides none; postings and vectors
+        are the stored ones."""
         notes = self.scoped(**scope)
         when = dates.parse_range(question, now) if now else None
         dated = search.Dated(notes.select("file_id", "note_date"), *when) if when else None
         if not notes.limit(1).count():
-            return search.ranked_search(self.chunks.limit(0), None, question, None, o)
+            return search.ranked_search(self.chunks.limit(0), None, question, None, o, properties=self.props)
         mine = self.chunks.join(notes.select("file_id"), "file_id", "left_semi")
         vectors, query = None, None
         if self.model:
@@ -139,7 +140,7 @@ class Vault:
         found, index = None, self.keyword
         if index is not None and index.shape.covers(o.columns):
             found = keyword.bm25(index, question, o.columns, notes)
-        return search.ranked_search(mine, vectors, question, query, o, self.edges, self.chunks, dated, reranker, found)
+        return search.ranked_search(mine, vectors, question, query, o, self.edges, self.chunks, dated, reranker, found, self.props)
 
     def match(self, pattern: str, limit: int = 50, case_sensitive: bool = False, word: bool = False, part: str = "all", **scope) -> tuple[DataFrame, DataFrame]:
         """(counts, first lines)."""

@@ -83,12 +83,26 @@ def probability(cosine: Column, bm25: Column, c: Calibration = Calibration()) ->
     return 1 / (1 + F.exp(-(c.cosine * x + c.bm25 * F.coalesce(bm25, F.lit(0.0)) + c.bias)))
 
 
+def mark_answers(pool: DataFrame, floor: float, score: str = "score") -> DataFrame:
+    """``pool`` with ``answer``: whether the row reaches the floor. A floor of 0 or less
+    keeps all; unscored rows are kept."""
+    keep = F.lit(True) if floor <= 0 else F.col(score).isNull() | (F.col(score) >= floor)
+    return pool.withColumn("answer", keep)
+
+
 def split_at_floor(pool: DataFrame, floor: float, score: str = "score") -> tuple[DataFrame, DataFrame]:
-    """Answers and the rest. A floor of 0 or less keeps all; unscored rows are kept."""
-    if floor <= 0:
-        return pool, pool.limit(0)
-    keep = F.col(score).isNull() | (F.col(score) >= floor)
-    return pool.where(keep), pool.where(~keep)
+    """Answers and the rest, as ``mark_answers`` has them."""
+    marked = mark_answers(pool, floor, score)
+    return marked.where("answer").drop("answer"), marked.where("not answer").drop("answer")
+
+
+def cap_answers(rows: DataFrame, cap: int) -> DataFrame:
+    """At most ``cap`` answers a file (0: any), the best by score; what is no answer
+    stays."""
+    if cap <= 0:
+        return rows
+    place = F.row_number().over(W.partitionBy("file_id", "answer").orderBy(F.desc("score"), F.asc("seq")))
+    return rows.withColumn("_r", place).where(~F.col("answer") | (F.col("_r") <= cap)).drop("_r")
 
 
 def build_pool(content: DataFrame, graph: DataFrame, temporal: DataFrame, budget: int = 32, graph_reserve: int = 8, temporal_reserve: int = 4) -> DataFrame:

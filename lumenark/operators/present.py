@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lumenark.functions import text as T
 
@@ -48,22 +49,61 @@ def blocks(rows: list[dict]) -> list[list[dict]]:
 
 def coalesce_adjacent(shortlist: DataFrame) -> DataFrame:
     """(file_id, seq, score, rank, heading_path, text) of a shortlist as blocks named
-    by their first chunk: best score and rank, texts joined. Files are independent."""
+    by their first chunk: best score and rank, texts joined. Files are independent.
+    Rows whose ``answer`` is false, if there is such a column, stay single."""
+    if "answer" not in shortlist.columns:
+        shortlist = shortlist.withColumn("answer", F.lit(True))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = blocks(pdf.sort_values(["rank", "seq"]).to_dict("records"))
+        rows = pdf.sort_values(["rank", "seq"]).to_dict("records")
+        found = blocks([r for r in rows if r["answer"]]) + [[r] for r in rows if not r["answer"]]
         return pd.DataFrame(
             [
-                {"file_id": b[0]["file_id"], "seq": b[0]["seq"], "n_chunks": len(b), "score": max(r["score"] for r in b), "rank": min(r["rank"] for r in b), "heading_path": b[0]["heading_path"], "text": "\n\n".join(r["text"] or "" for r in b)}
+                {"file_id": b[0]["file_id"], "seq": b[0]["seq"], "n_chunks": len(b), "score": max(r["score"] for r in b), "rank": min(r["rank"] for r in b), "heading_path": b[0]["heading_path"], "text": "\n\n".join(r["text"] or "" for r in b), "answer": b[0]["answer"]}
                 for b in found
             ],
-            columns=["file_id", "seq", "n_chunks", "score", "rank", "heading_path", "text"],
+            columns=["file_id", "seq", "n_chunks", "score", "rank", "heading_path", "text", "answer"],
         )
 
-    fields = "file_id long, seq long, n_chunks long, score double, rank long, heading_path string, text string"
+    fields = "file_id long, seq long, n_chunks long, score double, rank long, heading_path string, text string, answer boolean"
     return shortlist.groupBy("file_id").applyInPandas(run, fields).withColumn("tokens", T.packaging_tokens(F.col("text")))
 
 
+def admit(shortlist: DataFrame, top_n: int) -> DataFrame:
+    """The rows of a shortlist (with ``answer``) in rank order up to the first that makes
+    the answers ``top_n`` blocks; rows that are no answers stay. Each file says how many
+    blocks each of its rows adds (fewer than none, where a row joins two blocks), so the
+    count over all files is a running sum."""
+    wanted = shortlist.select("file_id", "seq", "score", F.col("rank").cast("long").alias("rank"), "heading_path", "text", "answer")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["rank", "seq"])
+        rows = pdf.to_dict("records")
+        counts = [len(blocks([r for r in rows[:k] if r["answer"]])) for k in range(len(rows) + 1)]
+        return pdf.assign(added=[b - a for a, b in zip(counts, counts[1:])])
+
+    order = W.partitionBy(F.lit(0)).orderBy("rank", "file_id", "seq")
+    counted = wanted.groupBy("file_id").applyInPandas(run, StructType([*wanted.schema.fields, StructField("added", LongType())]))
+    counted = counted.withColumn("blocks", F.sum("added").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    most = F.coalesce(F.max("blocks").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return counted.withColumn("most", most).where(~F.col("answer") | (F.col("most") < top_n)).drop("added", "blocks", "most")
+
+
+def fill(results: DataFrame, top_n: int) -> DataFrame:
+    """``top_n`` rows: the answers, then, in what they leave free, the best others."""
+    place = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("answer"), "rank", "file_id", "seq"))
+    return results.withColumn("_place", place).where(F.col("_place") <= top_n).drop("_place")
+
+
+def with_properties(results: DataFrame, properties: DataFrame) -> DataFrame:
+    """The results with their notes' ``properties`` (name, value), by name and value; of
+    ``properties`` (file_id, name, value) only rows of the notes shown are gathered."""
+    ids = F.broadcast(results.select("file_id").distinct())  # as few as the results
+    held = properties.join(ids, "file_id", "left_semi").groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("name", "value"))).alias("properties"))
+    none = F.array().cast("array<struct<name:string,value:string>>")
+    return results.join(F.broadcast(held), "file_id", "left").withColumn("properties", F.coalesce("properties", none))
+
+
 def pack_budget(results: DataFrame, budget: int = 8192, full: bool = False) -> DataFrame:
     """``results`` (rank, tokens) with ``admitted``: in rank order until the first that
     does not fit; the first always. ``full`` admits all."""

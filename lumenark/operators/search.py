@@ -36,6 +36,8 @@ class Options:
     #: "degraded" (nothing: content and reserves interleave, scores are null).
     scorer: str = "calibrated"
     rerank_chars: int = 0
+    #: Show what the floor rejected in the places that answers leave free.
+    less_relevant: bool = False
     walk: G.Walk = G.Walk()
 
 
@@ -102,9 +104,12 @@ def shortlist(chunks: DataFrame, vectors: DataFrame | None, query: str, query_ve
     return out.withColumn("score", fusion.probability(F.col("cosine"), F.col("bm25n"), o.calibration))
 
 
-def ranked_search(chunks: DataFrame, vectors: DataFrame | None, query: str, query_vector: list[float] | None = None, o: Options = Options(), edges: DataFrame | None = None, corpus: DataFrame | None = None, dated: Dated | None = None, model: RerankModel | None = None, keyword: DataFrame | None = None) -> DataFrame:
-    """The answers as blocks with ``admitted`` by the token budget; none if nothing
-    reaches the floor."""
+def ranked_search(chunks: DataFrame, vectors: DataFrame | None, query: str, query_vector: list[float] | None = None, o: Options = Options(), edges: DataFrame | None = None, corpus: DataFrame | None = None, dated: Dated | None = None, model: RerankModel | None = None, keyword: DataFrame | None = None, properties: DataFrame | None = None) -> DataFrame:
+    """At most ``top_n`` answers as blocks, with ``admitted`` by the token budget; none
+    if nothing reaches the floor. Chunks are taken in rank order until they make so many
+    blocks. With ``o.less_relevant`` the best of what the floor rejected follows as single
+    chunks, ``answer`` false and never admitted. ``properties`` (file_id, name, value):
+    those of the notes shown come along."""
     scored = shortlist(chunks, vectors, query, query_vector, o, edges, corpus, dated, keyword)
     if o.scorer == "rerank":
         read = scored.join(chunks.select("file_id", "seq", "text"), ["file_id", "seq"], "left")
@@ -112,16 +117,19 @@ def ranked_search(chunks: DataFrame, vectors: DataFrame | None, query: str, quer
     elif o.scorer == "degraded":
         scored = degraded(scored)
     by = ("position",) if o.scorer == "degraded" else (F.desc_nulls_last("score"), F.asc_nulls_last("rrf_rank"))
-    order = fusion.W.partitionBy(F.lit(0)).orderBy(*by, "file_id", "seq")
-    answers, _ = fusion.split_at_floor(scored, o.calibration.floor)
-    answers = fusion.cap_per_file(answers, o.per_note_cap, [F.desc("score"), F.asc("seq")]).withColumn("rank", F.row_number().over(order))
-    shown = answers.join(chunks.select("file_id", "seq", "heading_path", "text"), ["file_id", "seq"], "left")
+    order = fusion.W.partitionBy(F.lit(0)).orderBy(F.desc("answer"), *by, "file_id", "seq")
+    ranked = fusion.mark_answers(scored, o.calibration.floor)
+    if not o.less_relevant:
+        ranked = ranked.where("answer")
+    ranked = fusion.cap_answers(ranked, o.per_note_cap).withColumn("rank", F.row_number().over(order))
+    shown = ranked.join(chunks.select("file_id", "seq", "heading_path", "text"), ["file_id", "seq"], "left")
     if o.coalesce:
-        shown = present.coalesce_adjacent(shown)
+        shown = present.coalesce_adjacent(present.admit(shown, o.top_n))
     else:
         shown = shown.withColumns({"n_chunks": F.lit(1).cast("long"), "tokens": present.T.packaging_tokens(F.col("text"))})
-    top = shown.orderBy("rank", "file_id", "seq").limit(o.top_n)
-    return present.pack_budget(top, o.budget_tokens)
+    top = present.fill(shown, o.top_n) if o.less_relevant else shown.orderBy("rank", "file_id", "seq").limit(o.top_n)
+    out = present.pack_budget(top, o.budget_tokens).withColumn("admitted", F.col("admitted") & F.col("answer"))
+    return out if properties is None else present.with_properties(out, properties)
 
 
 def degraded(pool: DataFrame) -> DataFrame:

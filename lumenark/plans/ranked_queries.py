@@ -330,3 +330,25 @@ def ranked_search(v):
     o = Options(top_n=10, coalesce=False, weights={"fts": 1.0}, calibration=fusion.Calibration(floor=0.5), budget_tokens=10**9)
     found = S.ranked_search(v.chunks, None, _words(v), None, o, keyword=keyword.bm25(v.keyword, _words(v), COLUMNS))
     return found.select("file_id", "seq", F.round("score", 6).alias("score"), "tokens")
+
+
+@query(_Q + """, c2 AS (SELECT file_id, seq, bm25, bound, row_number() OVER (PARTITION BY file_id ORDER BY bm25 DESC, seq) AS r FROM bl), pl AS (SELECT * FROM c2 WHERE r <= 8 ORDER BY bm25 DESC, file_id, seq LIMIT 32),
+sc AS (SELECT file_id, seq, 1 / (1 + exp(-(13.377 * bm25 / bound - 8.762))) AS score, row_number() OVER (ORDER BY bm25 DESC, file_id, seq) AS k FROM pl),
+rk AS (SELECT sc.*, score >= 0.001 AS answer, row_number() OVER (ORDER BY score >= 0.001 DESC, score DESC, k, file_id, seq) AS rank FROM sc),
+ad AS (SELECT a.*, CASE WHEN a.answer THEN 1 - (SELECT count(*) FROM rk b WHERE b.answer AND b.file_id = a.file_id AND abs(b.seq - a.seq) = 1 AND b.rank < a.rank) ELSE 0 END AS added FROM rk a),
+su AS (SELECT *, sum(added) OVER (ORDER BY rank) AS blocks FROM ad),
+mo AS (SELECT *, coalesce(max(blocks) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS most FROM su),
+tk2 AS (SELECT * FROM mo WHERE NOT answer OR most < 8),
+ig AS (SELECT *, CASE WHEN answer THEN seq - row_number() OVER (PARTITION BY file_id, answer ORDER BY seq) ELSE -1 - rank END AS island FROM tk2),
+bk AS (SELECT file_id, min(ig.seq) AS seq, count(*) AS n_chunks, max(score) AS score, min(rank) AS rank, answer FROM ig GROUP BY file_id, answer, island),
+sh AS (SELECT *, row_number() OVER (ORDER BY answer DESC, rank) AS place FROM bk),
+pr AS (SELECT file_id, string_agg(name || '=' || value, ';' ORDER BY name, value) AS properties FROM props GROUP BY file_id)
+SELECT sh.file_id, sh.seq, n_chunks::BIGINT AS n_chunks, round(score, 6) AS score, rank::BIGINT AS rank, answer, coalesce(properties, '') AS properties FROM sh LEFT JOIN pr USING (file_id) WHERE place <= 8""")
+def ranked_blocks(v):
+    """Eight places: answers taken until they make eight blocks (a note's
+    turns are one section here), then what the floor rejected, with the notes' properties."""
+    o = Options(top_n=8, weights={"fts": 1.0}, calibration=fusion.Calibration(floor=0.001), budget_tokens=10**9, less_relevant=True)
+    chunks = v.chunks.withColumn("heading_path", F.lit(""))
+    found = S.ranked_search(chunks, None, _words(v), None, o, keyword=keyword.bm25(v.keyword, _words(v), COLUMNS), properties=v.props)
+    named = F.array_join(F.transform("properties", lambda p: F.concat(p["name"], F.lit("="), p["value"])), ";")
+    return found.select("file_id", "seq", "n_chunks", F.round("score", 6).alias("score"), "rank", "answer", named.alias("properties"))

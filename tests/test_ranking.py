@@ -56,6 +56,48 @@ def test_blocks():
     assert [[r["seq"] for r in b] for b in found] == [[2, 3, 4], [9], [5], [1]]
 
 
+def _admitted(rows, top_n):
+    """Brute force: the shortest prefix of the answers that makes ``top_n`` blocks."""
+    rows = sorted(rows, key=lambda r: r["rank"])
+    out = []
+    for r in rows:
+        out.append(r)
+        if len({(f, i) for f in {x["file_id"] for x in out} for i in range(len(present.blocks([x for x in out if x["file_id"] == f])))}) >= top_n:
+            break
+    return out
+
+
+def test_chunks_are_admitted_until_the_blocks_are_enough(spark):
+    rng = random.Random(4)
+    for top_n in (1, 3, 5, 50):
+        keys = rng.sample([(f, s) for f in range(3) for s in range(10)], 20)
+        rows = [{"file_id": f, "seq": s, "score": 1 - k / 100, "rank": k + 1, "heading_path": rng.choice(["A", "A > B", "A > C", "", None]), "text": "t", "answer": True} for k, (f, s) in enumerate(keys)]
+        others = [{**rows[0], "seq": 90 + k, "rank": 30 + k, "answer": False} for k in range(2)]
+        df = spark.createDataFrame(rows + others, "file_id long, seq long, score double, rank int, heading_path string, text string, answer boolean").repartition(3)
+        got = present.admit(df, top_n)
+        assert sorted(r.rank for r in got.collect()) == [*(r["rank"] for r in _admitted(rows, top_n)), 30, 31]
+        shown = present.coalesce_adjacent(got).collect()
+        assert sum(r.answer for r in shown) <= top_n and sorted(r.seq for r in shown if not r.answer) == [90, 91]
+        assert [r.n_chunks for r in shown if not r.answer] == [1, 1]
+
+
+def test_a_chunk_that_joins_two_blocks_takes_one_away(spark):
+    row = lambda seq, rank: (1, seq, 0.9, rank, "A", None, True)
+    df = spark.createDataFrame([row(1, 1), row(3, 2), row(2, 3), row(9, 4), row(7, 5), row(5, 6)], "file_id long, seq long, score double, rank int, heading_path string, text string, answer boolean")
+    assert sorted(r.seq for r in present.admit(df, 3).collect()) == [1, 2, 3, 7, 9]
+    assert sorted(r.seq for r in present.admit(df, 2).collect()) == [1, 3]
+    assert present.admit(df.limit(0), 3).count() == 0
+
+
+def test_free_places_and_properties(spark):
+    fields = "file_id long, seq long, score double, rank int, answer boolean, tokens long"
+    df = spark.createDataFrame([(1, 0, 0.9, 1, True, 5), (2, 0, 0.3, 2, False, 5), (2, 1, 0.2, 3, False, 5)], fields)
+    assert [(r.file_id, r.seq) for r in present.fill(df, 2).orderBy("rank").collect()] == [(1, 0), (2, 0)]
+    props = spark.createDataFrame([(1, "b", "2"), (1, "a", None), (1, "a", "1"), (7, "x", "y")], "file_id long, name string, value string")
+    got = {r.seq + 10 * r.file_id: [tuple(p) for p in r.properties] for r in present.with_properties(df, props).collect()}
+    assert got == {10: [("a", None), ("a", "1"), ("b", "2")], 20: [], 21: []}
+
+
 def test_budget_stops_at_first_overflow(spark):
     rows = spark.createDataFrame([(1, 9000), (2, 10), (3, 10)], "rank int, tokens long")
     assert [r.admitted for r in present.pack_budget(rows, 100).orderBy("rank").collect()] == [True, False, False]
