@@ -20,6 +20,8 @@ class Walk:
     off_chunk: float = 0.5
     limit: int = 20
     cap: int = 3
+    #: Chunks that a further hop starts from, those of the largest mass.
+    frontier: int = 2000
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -31,9 +33,9 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 def hop(frontier: DataFrame, edges: DataFrame, chunks: DataFrame, w: Walk = Walk(), first: bool = False) -> DataFrame:
     """Mass (file_id, seq, mass) that one hop sends on. The frontier is a shortlist (the
-    seeds of a search: at most the lanes' widths, and in later hops what they reach), so
-    only edges that touch its files take part: a first hop's is broadcast and the edges
-    are filtered where they are read. A whole-note end spreads over all of the note's
+    seeds of a search: at most the lanes' widths, and in later hops the walk's
+    ``frontier``), so only edges that touch its files take part: a small one (``first``)
+    is broadcast and the edges are filtered where they are read. A whole-note end spreads over all of the note's
     chunks."""
     touching = both_ways(edges).join(F.broadcast(frontier) if first else frontier, "file_id").where("far_file <> file_id")
     weight = F.when((F.col("near_seq") == F.col("seq")) | (F.col("near_seq") == -1), 1.0).otherwise(w.off_chunk)
@@ -54,9 +56,11 @@ def expand(seeds: DataFrame, edges: DataFrame, chunks: DataFrame, w: Walk = Walk
     frontier = seeds.groupBy("file_id", "seq").agg(F.sum("score").alias("mass"))
     out = None
     for i in range(w.iterations):
-        frontier = hop(frontier, edges, chunks, w, i == 0 and few)
+        frontier = hop(frontier, edges, chunks, w, few if i == 0 else 0 < w.frontier <= 2000)
         x = frontier.select("file_id", "seq", (F.col("mass") * w.alpha ** (i + 1)).alias("mass"))
         out = x if out is None else out.unionByName(x)
+        if i + 1 < w.iterations and w.frontier > 0:
+            frontier = frontier.orderBy(F.desc("mass"), "file_id", "seq").limit(w.frontier)
     total = out.groupBy("file_id", "seq").agg(F.sum("mass").alias("score"))
     if scoped is not None:
         total = total.join(scoped.select("file_id"), "file_id", "left_semi")

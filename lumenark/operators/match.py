@@ -27,7 +27,8 @@ class Match:
             raise ValueError("a pattern is one non-empty line")
 
     def in_text(self, text: Column) -> Column:
-        return self._holds(text) | self._holds(T.render_wikilinks(text))
+        # only a line with a link reads otherwise when rendered
+        return self._holds(text) | (F.contains(text, F.lit("[[")) & self._holds(T.render_wikilinks(text)))
 
     def _holds(self, text: Column) -> Column:
         needle, text = (self.pattern, text) if self.case_sensitive else (self.pattern.lower(), F.lower(text))
@@ -38,7 +39,8 @@ class Match:
         left = r"(?<![\p{L}\p{N}_])" if inner(self.pattern[0]) else ""
         right = r"(?![\p{L}\p{N}_])" if inner(self.pattern[-1]) else ""
         quoted = re.sub(r"([^\w\s])", r"\\\1", needle)
-        return text.rlike(left + quoted + right)
+        # the plain test is cheap and most lines fail it
+        return F.contains(text, F.lit(needle)) & text.rlike(left + quoted + right)
 
 
 def lines(chunks: DataFrame, frontmatter: DataFrame | None = None, part: str = "all") -> DataFrame:

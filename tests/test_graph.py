@@ -33,6 +33,13 @@ def test_out_degree(spark):
     assert got[10, 0] == round(1 / 3, 6)
 
 
+def test_a_further_hop_starts_from_the_largest_masses(spark):
+    e = edges(spark, [(1, 0, 2, 0), (1, 0, 2, 0), (1, 0, 3, 0), (2, 0, 20, 0), (3, 0, 30, 0)])
+    s, c = seeds(spark, [(1, 0, 0.9)]), chunks(spark, {})
+    far = lambda n: {k[0] for k in walked(G.expand(s, e, c, G.Walk(iterations=2, frontier=n)))}
+    assert far(2) == far(0) == {1, 2, 3, 20, 30} and far(1) == {1, 2, 3, 20}
+
+
 def test_whole_note_spreads(spark):
     e = edges(spark, [(1, 0, 10, -1), (1, 0, 11, -1)])
     got = walked(G.expand(seeds(spark, [(1, 0, 1.0)]), e, chunks(spark, {10: 4, 11: 1}), G.Walk(alpha=1.0, spread=1.0)))
