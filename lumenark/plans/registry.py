@@ -13,9 +13,9 @@ ORACLES: dict[str, str] = {}
 FLAGSHIP = "search_shortlist"
 
 
-def query(oracle: str | None = None):
+def query(oracle: str | None = None, recursive: bool = False):
     """Register ``f(views) -> DataFrame`` under its name; ``oracle`` is a DuckDB
-    SELECT over the tables and the views of ``PRELUDE``."""
+    SELECT over the tables and the views of ``PRELUDE``, whose parts may be ``recursive``."""
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def query(oracle: str | None = None):
         run.__name__, run.__doc__ = f.__name__, f.__doc__
         QUERIES[f.__name__] = run
         if oracle is not None:
-            ORACLES[f.__name__] = PRELUDE + oracle
+            ORACLES[f.__name__] = (PRELUDE.replace("WITH", "WITH RECURSIVE", 1) if recursive else PRELUDE) + oracle
         return f
 
     return add

@@ -133,7 +133,49 @@ def parse_notes(v):
     return p.where("name = 'rating'")
 
 
-@query()
+#: Chunks of more than 512 tokens (2048 bytes) are cut at sentence ends: a part is a range of sentences (a, b) with as many
+#: as fit; the next one opens with those last ones that make 50 tokens at most and leave room for the sentence that follows.
+_PIECES = r""",
+big AS (SELECT file_id, n, heading_path, regexp_extract_all(text, '(?s).+?(?:\. |\n|\z)') AS ss FROM made WHERE strlen(text) > 2048),
+ends AS (SELECT *, len(ss) AS m, [list_sum([strlen(x) FOR x IN ss[:j]]) FOR j IN range(0, len(ss) + 1)] AS c0 FROM big),
+sums AS (SELECT * EXCLUDE (c0), [coalesce(x, 0)::BIGINT FOR x IN c0] AS c FROM ends),
+parts AS (SELECT file_id, n, 0 AS part, 1::BIGINT AS a, (1 + len([j FOR j IN range(2, m + 1) IF c[j + 1] <= 2048]))::BIGINT AS b FROM sums
+    UNION ALL SELECT file_id, n, part + 1, a, (b + len([j FOR j IN range(b + 1, m + 1) IF c[j + 1] - c[a] <= 2048]))::BIGINT
+        FROM (SELECT p.file_id, p.n, part, m, c, b + 1 - len([j FOR j IN range(a, b + 1) IF c[b + 1] - c[j] <= 200 AND c[b + 2] - c[j] <= 2048]) AS a, b + 1 AS b
+            FROM parts p JOIN sums s ON s.file_id = p.file_id AND s.n = p.n WHERE b < m)),
+pieces AS (SELECT file_id, n, 0 AS part, heading_path, text FROM made WHERE strlen(text) <= 2048
+    UNION ALL SELECT p.file_id, p.n, part, heading_path, regexp_replace(array_to_string(ss[a:b], ''), '^\s+|\s+$', '', 'g') FROM parts p JOIN sums s ON s.file_id = p.file_id AND s.n = p.n)
+SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY n, part) - 1 AS seq, heading_path, ceil(strlen(text) / 4.0)::BIGINT AS token_count, md5(text) AS text_md5 FROM pieces"""
+#: Sections of a conversation in order: one under 120 bytes joins the chunk before, if there is room; a heading without a
+#: body goes to the next section. (The texts have no blank lines, so a section is one paragraph.)
+_SECTIONS = r"""
+, turns AS (SELECT conv_id AS file_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS k, role || ' ' || turn AS head, trim(coalesce(text, ''), chr(10) || ' ') AS t FROM conversations),
+grown AS (SELECT DISTINCT file_id, 0::BIGINT AS k, 0 AS n, '' AS path, '' AS text, '' AS lead FROM turns
+    UNION ALL SELECT file_id, k, CASE WHEN t = '' OR joins THEN n ELSE n + 1 END, CASE WHEN t = '' OR joins THEN path ELSE 'Conversation ' || file_id || ' > ' || head END,
+        CASE WHEN t = '' THEN text WHEN joins THEN text || chr(10) || chr(10) || whole ELSE whole END, CASE WHEN t = '' THEN lead || '## ' || head || chr(10) ELSE '' END
+        FROM (SELECT *, n > 0 AND strlen(t) < 120 AND ceil(strlen(text) / 4.0) + ceil(strlen(whole) / 4.0) <= 542 AS joins
+            FROM (SELECT g.file_id, x.k, n, path, text, lead, head, t, lead || '## ' || head || chr(10) || t AS whole FROM grown g JOIN turns x ON x.file_id = g.file_id AND x.k = g.k + 1))),
+last AS (SELECT file_id, n, path AS heading_path, text, lead, row_number() OVER (PARTITION BY file_id ORDER BY k DESC) AS back, row_number() OVER (PARTITION BY file_id, n ORDER BY k DESC) AS newest FROM grown),
+made AS (SELECT file_id, n, heading_path, CASE WHEN back > 1 OR lead = '' THEN text WHEN n = 0 THEN rtrim(lead, chr(10)) ELSE text || chr(10) || chr(10) || rtrim(lead, chr(10)) END AS text
+    FROM last WHERE newest = 1 AND (n > 0 OR back = 1))"""
+
+
+@query(_SECTIONS + _PIECES.replace(", md5(text) AS text_md5", ""), recursive=True)
 def chunk_notes(v):
     """Notes as chunks under their heading paths."""
     return markdown.chunk(_markdown(v)).select("file_id", "seq", "heading_path", "token_count")
+
+
+@query(_SECTIONS + _PIECES, recursive=True)
+def chunk_texts(v):
+    """The chunks' texts, by digest."""
+    return markdown.chunk(_markdown(v)).select("file_id", "seq", "heading_path", "token_count", F.md5("text").alias("text_md5"))
+
+
+@query(", made AS (SELECT doc_id AS file_id, 1 AS n, CASE WHEN trim(coalesce(text, '')) = '' THEN '' ELSE 'Note ' || doc_id END AS heading_path, '# Note ' || doc_id || CASE WHEN trim(coalesce(text, '')) = '' THEN '' ELSE chr(10) || text END AS text FROM documents)" + _PIECES, recursive=True)
+def split_notes(v):
+    """Sections of any length cut at sentence ends, with what they share."""
+    d = v.table("documents")
+    content = F.concat(F.lit("# Note "), "doc_id", F.lit("\n"), F.coalesce("text", F.lit("")))
+    chunks = markdown.chunk(d.select(F.col("doc_id").alias("file_id"), F.lit("").alias("path"), content.alias("content")))
+    return chunks.select("file_id", "seq", "heading_path", "token_count", F.md5("text").alias("text_md5"))
