@@ -9,8 +9,11 @@ text whose two nearest codewords are within ``AMBIGUOUS`` is flagged.
 
 The classifiers are fitted on the driver on a bounded sample: about ``Fit.rows``
 labelled rows over all languages (chosen by hash of the id, as many of each language) and
-never more than ``Fit.most``, whose whole texts are reduced to n-gram counts by the
-executors. Prediction reads whole texts, in slices, and needs no shuffle.
+never more than ``Fit.most``, whose whole texts are reduced to n-gram counts where they
+are read; only counts reach the driver. Of more than ``Fit.labels`` labels the most
+frequent are learned (of equally frequent ones the first in alphabetic order), as the
+sample would hold too few rows of each. Prediction reads whole texts, in slices, and
+needs no shuffle.
 
 Defined results: null text or one without a letter is ``und`` with score 0; with no
 labelled row every text is ``und``; with one language every text with a letter is in
@@ -47,6 +50,8 @@ class Fit:
     #: the bound (ids that repeat share a hash).
     rows: int = 2400
     most: int = 4800
+    #: The most labels that are learned.
+    labels: int = 400
     steps: int = 150
     rate: float = 4.0
     decay: float = 1e-4
@@ -141,24 +146,27 @@ def fold_of(id_col: str, folds: int):
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", how: Fit = Fit(), held_out: tuple[int, int] = (3, 1)) -> Model:
     """Fit on labelled rows outside the held-out fold (modulus, remainder)."""
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("id").isNotNull() & F.col("text").isNotNull() & (fold_of("id", held_out[0]) != held_out[1]))
-    per = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    per = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(how.labels).collect()}
     languages = sorted(per)
     model = Model(languages)
     if len(languages) < 2:
         return model
     each = max(1, how.rows // len(languages))
     shares = F.create_map(*(x for k in languages for x in (F.lit(k), F.lit(int(min(1.0, each / per[k]) * 2**31)))))
-    chosen = labelled.where(F.pmod(F.xxhash64("id"), F.lit(2**31)) < shares[F.col("lang")]).limit(how.most)
+    chosen = labelled.where(F.pmod(F.xxhash64("id"), F.lit(2**31)) < shares[F.col("lang")])
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        room = how.most  # of a task's rows (of one repeated id) no more can be taken
         for batch in batches:
+            batch, room = batch.slice(0, room), max(room - len(batch), 0)
             every = [counts(t) for t in batch.column(1).to_pylist()]
             found = [np.flatnonzero(c) for c in every]
             rows = [c[at] for c, at in zip(every, found)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([a.astype("<u2").tobytes() for a in found], pa.binary()), pa.array([r.astype("<f4").tobytes() for r in rows], pa.binary())], names=["id", "lang", "at", "n"])
 
     id_type = labelled.schema["id"].dataType.simpleString()
-    sample = chosen.mapInArrow(returning(reduce), f"id {id_type}, lang string, at binary, n binary").collect()
+    reduced = chosen.mapInArrow(returning(reduce), f"id {id_type}, lang string, at binary, n binary")
+    sample = reduced.orderBy(F.xxhash64("id"), "lang", F.xxhash64("at", "n")).limit(how.most).collect()
     sample.sort(key=lambda r: (r["lang"], str(r["id"]), bytes(r["at"]), bytes(r["n"])))
     x = np.zeros((len(sample), DIM), np.float32)
     for i, r in enumerate(sample):

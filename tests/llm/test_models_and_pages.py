@@ -137,6 +137,20 @@ def test_languages_of_odd_tables(spark):
     assert {r.lang_pred for r in language_id.identify(df, language_id.train(none)).collect()} == {"und"} and language_id.identify(none, language_id.train(none)).count() == 0
 
 
+def test_the_sample_is_reduced_where_it_is_read_and_bounded(spark):
+    rows = [(7 if i % 3 else i, f"{'der die das' if i % 2 else 'the of and'} {i}", "de" if i % 2 else "en") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    how = language_id.Fit(rows=300, most=120, steps=20)
+    sizes, fit = [], language_id.Model.fit
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(language_id.Model, "fit", lambda self, x, y, how: sizes.append(len(y)) or fit(self, x, y, how))
+        model = language_id.train(df, how=how)
+    assert 2 <= sizes[0] <= 120
+    assert language_id.identify(df.limit(1), model).count() == 1
+    more = df.union(spark.createDataFrame([(9, "le la", "fr")], df.schema))
+    assert language_id.train(more, how=language_id.Fit(labels=2)).languages == ["de", "en"]
+
+
 @pytest.mark.parametrize("n", [2, 4, 6, 30])
 def test_codewords_are_apart(n):
     code = language_id.codewords(n)
