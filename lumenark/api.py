@@ -160,6 +160,10 @@ class Vault:
             raise LookupError(f"no section {section!r} in {path}")
         return "\n".join(body.split("\n")[at[0] : at[1]])
 
+    def sections(self, section: str, **scope) -> DataFrame:
+        """One section (a heading, or a path ``A > B``) of every note in scope that has it."""
+        return markdown.sections(self.scoped(**scope).select("file_id", "path").join(self.notes.select("path", "content"), "path"), section)
+
     def list(self, order: str = "path", after: str | None = None, limit: int = 100, outline: bool = False, **scope) -> DataFrame:
         """A page of notes with their aliases and properties and, with ``outline``, the
         headings; these are joined to the page's rows only."""

@@ -313,6 +313,42 @@ def chunk(notes: DataFrame, o: ChunkOptions = ChunkOptions()) -> DataFrame:
     return notes.select("file_id", "path", "content").mapInArrow(run, "file_id long, path string, seq long, heading string, heading_path string, text string, token_count long")
 
 
+def outline(notes: DataFrame, promote_bold: bool = True) -> DataFrame:
+    """A row for each heading of the notes (file_id, path, content): line (from 1, in the
+    whole note), level and heading."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i, p, t in zip(*(b.column(k).to_pylist() for k in range(3))):
+                body = split_frontmatter(t or "")[1]
+                skip = (t or "").count("\n") - body.count("\n")
+                rows += [(i, p, h.line + skip + 1, h.level, h.text) for h in headings(body, promote_bold)]
+            columns = list(zip(*rows)) if rows else [[]] * 5
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["file_id", "path", "line", "level", "heading"])
+
+    return notes.select("file_id", "path", "content").mapInArrow(run, "file_id long, path string, line long, level long, heading string")
+
+
+def sections(notes: DataFrame, wanted: str) -> DataFrame:
+    """The section ``wanted`` (a heading, or a path ``A > B``) of each note (file_id, path,
+    content) that has one, with its heading: file_id, path, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i, p, t in zip(*(b.column(k).to_pylist() for k in range(3))):
+                body = split_frontmatter(t or "")[1]
+                at = find_section(body, wanted)
+                if at is not None:
+                    rows.append((i, p, "\n".join(body.split("\n")[at[0] : at[1]])))
+            columns = list(zip(*rows)) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], names=["file_id", "path", "text"])
+
+    return notes.select("file_id", "path", "content").mapInArrow(run, "file_id long, path string, text string")
+
+
 def digest(notes: DataFrame, o: ChunkOptions = ChunkOptions()) -> DataFrame:
     """What ``parse`` and ``chunk`` make of each note (file_id, path, content), in one row,
     with ``chunks`` and ``error``: a note that cannot be made has the error and nothing

@@ -179,3 +179,62 @@ def split_notes(v):
     content = F.concat(F.lit("# Note "), "doc_id", F.lit("\n"), F.coalesce("text", F.lit("")))
     chunks = markdown.chunk(d.select(F.col("doc_id").alias("file_id"), F.lit("").alias("path"), content.alias("content")))
     return chunks.select("file_id", "seq", "heading_path", "token_count", F.md5("text").alias("text_md5"))
+
+
+#: Expressions that Spark and the oracle read alike: notes of conversations with tags, aliases, fields and bold headings.
+_META = """'---' || chr(10) || 'tags: ' || CASE conv_id % 3 WHEN 0 THEN '[One, two/Three]' WHEN 1 THEN 'One, two' ELSE chr(10) || '  - One' || chr(10) || '  - 2024' END
+    || chr(10) || 'aliases: ' || CASE conv_id % 2 WHEN 0 THEN '[The Talk, the talk, Talk ' || conv_id || ']' ELSE 'Talk ' || conv_id END || chr(10) || '---' || chr(10) || '# Conversation ' || conv_id"""
+_SAID = """CASE turn % 2 WHEN 0 THEN '## ' || role || chr(10) ELSE '' END || CASE turn % 3
+    WHEN 0 THEN '#' || role || '/' || turn || ' said' || chr(10) || 'speaker:: [[' || role || ']] and [[note ' || turn || ']]'
+    WHEN 1 THEN 'length:: ' || length(t) || chr(10) || '`#code` and (mood:: calm)'
+    ELSE '```' || chr(10) || '#fenced' || chr(10) || '# fenced' || chr(10) || 'fenced:: x' || chr(10) || '```' || chr(10) || '- done:: true' END
+    || chr(10) || '**Turn ' || turn || ':**' || chr(10) || t"""
+_NOTED = f""", c AS (SELECT conv_id, turn, role, coalesce(text, '') AS t FROM conversations),
+ids AS (SELECT DISTINCT conv_id AS file_id FROM c),
+md AS (SELECT conv_id AS file_id, {_META} || chr(10) || string_agg(s, chr(10) ORDER BY turn, s) AS content FROM (SELECT conv_id, turn, {_SAID} AS s FROM c) GROUP BY conv_id)"""
+_OUTLINE = _NOTED + r""", l AS (SELECT file_id, generate_subscripts(string_split(content, chr(10)), 1) AS line, unnest(string_split(content, chr(10))) AS x FROM md),
+f AS (SELECT *, sum(starts_with(x, '```')::INT) OVER (PARTITION BY file_id ORDER BY line) % 2 = 1 AS fenced FROM l),
+h AS (SELECT file_id, line, CASE WHEN starts_with(x, '#') THEN length(regexp_extract(x, '^#+')) ELSE 255 END AS level, CASE WHEN starts_with(x, '#') THEN regexp_extract(x, '^#+ (.*)$', 1) ELSE regexp_extract(x, '^\*\*(.*?):?\*\*$', 1) END AS heading
+    FROM f WHERE NOT fenced AND regexp_matches(x, '^(#{1,6} |\*\*.*\*\*$)'))"""
+
+
+def _noted(v):
+    turns = v.table("conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("t")).select("conv_id", F.struct("turn", F.expr(_SAID).alias("s")).alias("x"))
+    notes = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("x"))["s"].alias("s"))
+    return notes.select(F.col("conv_id").alias("file_id"), F.concat(F.lit("chat/"), "conv_id", F.lit(".md")).alias("path"), F.concat(F.expr(_META), F.lit("\n"), F.array_join("s", "\n")).alias("content"))
+
+
+@query(_OUTLINE + "SELECT file_id, line, level, heading FROM h")
+def note_headings(v):
+    """Headings outside fences, and bold lines as headings."""
+    return markdown.outline(_noted(v)).select("file_id", "line", "level", "heading")
+
+
+@query(_OUTLINE + """, p AS (SELECT *, lead(line) OVER w AS until, last_value(CASE WHEN level < 255 THEN heading END IGNORE NULLS) OVER w AS above FROM h WINDOW w AS (PARTITION BY file_id ORDER BY line)),
+spot AS (SELECT file_id, min(line) AS line, arg_min(until, line) AS until FROM p WHERE level = 255 AND above = 'user' AND heading = 'Turn 2' GROUP BY file_id)
+SELECT l.file_id, string_agg(x, chr(10) ORDER BY l.line) AS text FROM l JOIN spot USING (file_id) WHERE l.line >= spot.line AND (until IS NULL OR l.line < until) GROUP BY l.file_id""")
+def note_sections(v):
+    """A section by its path, over all notes."""
+    return markdown.sections(_noted(v), "user > Turn 2").select("file_id", "text")
+
+
+@query(_NOTED + """SELECT DISTINCT file_id, lower(tag) AS folded, tag AS display FROM (
+    SELECT file_id, unnest(CASE file_id % 3 WHEN 0 THEN ['One', 'two/Three'] WHEN 1 THEN ['One', 'two'] ELSE ['One'] END) AS tag FROM ids UNION ALL SELECT conv_id, role || '/' || turn FROM c WHERE turn % 3 = 0)""")
+def note_tags_found(v):
+    """Tags of the frontmatter in three forms, and of the body outside code."""
+    return markdown.parse(_noted(v)).select("file_id", F.inline("tags"))
+
+
+@query(_NOTED + "SELECT file_id, lower(a) AS folded, a AS display FROM (SELECT file_id, unnest(CASE file_id % 2 WHEN 0 THEN ['The Talk', 'Talk ' || file_id] ELSE ['Talk ' || file_id] END) AS a FROM ids)")
+def note_aliases(v):
+    """P10: aliases as a list or a scalar, folded and without repeats."""
+    return markdown.parse(_noted(v)).select("file_id", F.inline("aliases"))
+
+
+@query(_NOTED + """SELECT conv_id AS file_id, name, value, kind, count(*) AS n FROM (
+    SELECT conv_id, 'speaker' AS name, unnest(['[[' || role || ']]', '[[note ' || turn || ']]']) AS value, 'link' AS kind FROM c WHERE turn % 3 = 0
+    UNION ALL SELECT conv_id, 'length', length(t)::VARCHAR, 'number' FROM c WHERE turn % 3 = 1 UNION ALL SELECT conv_id, 'mood', 'calm', 'text' FROM c WHERE turn % 3 = 1
+    UNION ALL SELECT conv_id, 'done', 'true', 'checkbox' FROM c WHERE turn % 3 = 2) GROUP BY ALL""")
+def note_fields(v):
+    """Inline fields of lines and in brackets, links one by one."""
+    return markdown.parse(_noted(v)).select("file_id", F.inline("properties")).groupBy("file_id", "name", "value", "kind").agg(F.count(F.lit(1)).alias("n"))
