@@ -414,3 +414,23 @@ def test_status_profile_and_trash(spark, vault):
     gone = vault.delete("silence.md", hard=False)
     assert gone.notes.where("path = '.trash/silence.md'").count() == 1 and gone.undelete("silence.md").notes.where("path = 'silence.md'").count() == 1
     assert {(r.finding, r.detail) for r in vault.health(inbox="lore/").collect()} == {("broken-link", "nowhere"), ("inbox-pending", "lore/dragon.md")}
+
+
+def test_outlines_and_sections_of_all_notes(spark):
+    rows = [
+        (1, "a.md", "---\nx: 1\n---\n# A\n\n## Part ##\n**Point:**\none\n\n**Other**\ntwo\n```\n# no\n```\n## Part (cont.)\nthree"),
+        (2, "sub/b.md", "no heading"),
+        (3, "sub/c.md", "## Part\n\n### Deep\n\nfour\n\n# C"),
+        (4, "d.md", ""),
+        (5, "e.md", None),
+    ]
+    notes = spark.createDataFrame(rows, "file_id long, path string, content string").repartition(3)
+    heads = [(r.path, r.line, r.level, r.heading) for r in M.outline(notes).orderBy("path", "line").collect()]
+    assert heads == [("a.md", 4, 1, "A"), ("a.md", 6, 2, "Part"), ("a.md", 7, 255, "Point"), ("a.md", 10, 255, "Other"), ("a.md", 15, 2, "Part (cont.)"), ("sub/c.md", 1, 2, "Part"), ("sub/c.md", 3, 3, "Deep"), ("sub/c.md", 7, 1, "C")]
+    assert M.outline(notes, False).where("level = 255").count() == 0
+    found = lambda wanted: {r.path: r.text for r in M.sections(notes, wanted).collect()}
+    assert found("part > point") == {"a.md": "**Point:**\none\n"} and found("Part")["sub/c.md"] == "## Part\n\n### Deep\n\nfour\n"
+    assert found("nothing") == {} and found("# Deep") == {"sub/c.md": "### Deep\n\nfour\n"}
+    v = Vault(notes.where("content > ''"))
+    assert {r.path for r in v.sections("Part").collect()} == {"a.md", "sub/c.md"}
+    assert [r.path for r in v.sections("Part", all=("sub/",)).collect()] == ["sub/c.md"]
