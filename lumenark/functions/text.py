@@ -111,15 +111,26 @@ def normalized_levenshtein(a: Column, b: Column) -> Column:
 
 
 def shingles(text: Column, n: int = 4) -> Column:
-    """Distinct n-character windows of the lower-cased text."""
-    t = F.lower(text)
-    return F.when(F.char_length(t) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))))
+    """Distinct n-character windows of the lower-cased text. The text is cut into its
+    characters once: a substring by place would walk from the text's start each time."""
+    chars = F.array_remove(F.split(F.lower(text), "", -1), "")
+
+    def windows(c: Column) -> Column:
+        return F.when(F.size(c) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), lambda i: F.concat(*(F.get(c, i + (k - 1)) for k in range(n)))))
+
+    # one element, so that the characters are made once
+    return F.array_distinct(F.element_at(F.transform(F.array(chars), windows), 1))
 
 
 def shingle_jaccard(a: Column, b: Column) -> Column:
-    """Two arrays of shingles; 0.5 if both are empty."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, 0.5).otherwise(F.size(F.array_intersect(a, b)) / union)
+    """Two arrays of shingles, each without repeats; 0.5 if both are empty."""
+
+    def score(s: Column) -> Column:
+        both = F.size(F.array_intersect(s["a"], s["b"]))
+        union = F.size(s["a"]) + F.size(s["b"]) - both
+        return F.when(s["a"].isNull() | s["b"].isNull(), F.lit(None).cast("double")).when(union == 0, 0.5).otherwise(both / union)
+
+    return F.element_at(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), score), 1)
 
 
 def fold(name: Column) -> Column:

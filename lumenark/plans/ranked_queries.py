@@ -295,8 +295,9 @@ s AS (SELECT file_id, seq, list_distinct([substr(t, i, 4) FOR i IN range(1, grea
 SELECT file_id, seq, round(CASE WHEN len(list_distinct(a || b)) = 0 THEN 0.5 ELSE len(list_intersect(a, b)) / len(list_distinct(a || b)) END, 6) AS score FROM s""")
 def mock_rerank(v):
     """The deterministic reranker, four-character shingles."""
-    q = v.chunks.orderBy("file_id", "seq").first()["text"]
-    return v.chunks.select("file_id", "seq", F.round(T.shingle_jaccard(T.shingles(F.col("text")), T.shingles(F.lit(q))), 6).alias("score"))
+    first = v.chunks.orderBy("file_id", "seq").limit(1)
+    q = F.lit(first.select(T.shingles(F.col("text")).alias("q")).first()["q"]).cast("array<string>")  # of one chunk, made once
+    return v.chunks.select("file_id", "seq", F.round(T.shingle_jaccard(T.shingles(F.col("text")), q), 6).alias("score"))
 
 
 @query(_Q + """, v1 AS (SELECT seq AS file_id, 0::BIGINT AS seq, vector FROM vectors),
