@@ -1,9 +1,9 @@
 """Discovery of link opportunities in prose, and writing them in.
 
 The index of names (paths' stems and aliases) is small text per note; it is broadcast
-while it is within ``BROADCAST_NAMES`` names. Beyond it, each note gets by equi joins the
-names that one of its windows equals or resembles, and the first names that it has; the
-result is the same. Resemblance is found exactly, either way: a name that k edits can reach
+while it is within ``BROADCAST_NAMES`` names. Beyond it, the distinct windows of all notes
+say by equi joins which names any of them equals or resembles; if those are so few, they
+are broadcast instead, else each note gets its own by joins. The result is the same. Resemblance is found exactly, either way: a name that k edits can reach
 is cut into k + 1 segments, one of which a window within k edits holds near its place, so
 a window meets only names that share a segment with it.
 
@@ -13,6 +13,7 @@ are those of its notes only; each name is found by resemblance once in a note.""
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,8 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenark.operators.markdown import prose_lines, split_frontmatter
+from lumenark.session import shared_dir
 
 BROADCAST_NAMES = 200_000
+#: Windows whose resemblances an index remembers at most.
+REMEMBERED = 100_000
 FUZZY = 0.92
 #: The folder of notes on people.
 PEOPLE = "People"
@@ -85,6 +89,7 @@ class NameIndex:
         self._cut()
 
     def _cut(self) -> None:
+        self._met: dict[tuple[str, int], set[str]] = {}
         self.by_segment: dict[tuple[int, int, int, str], list[str]] = {}
         for key, (target, _) in self.by_fold.items():
             words = len(key.split())
@@ -102,8 +107,12 @@ class NameIndex:
 
     def near(self, text: str, words: int) -> set[str]:
         """The names of as many words that resemble a folded window."""
-        met = {key for probe in probes(text) for key in self.by_segment.get((words, *probe), ())}
-        return {key for key in met if similarity(key, text) >= FUZZY}
+        if (text, words) not in self._met:
+            if len(self._met) >= REMEMBERED:
+                self._met.clear()
+            met = {key for probe in probes(text) for key in self.by_segment.get((words, *probe), ())}
+            self._met[text, words] = {key for key in met if similarity(key, text) >= FUZZY}
+        return self._met[text, words]
 
 
 def free_spans(content: str) -> list[tuple[int, int]]:
@@ -202,25 +211,44 @@ def discover_links(notes: DataFrame, aliases: DataFrame | None = None, people: s
 
         return notes.select("path", "content").mapInArrow(run, fields)
     keyed = names.mapInArrow(_keyed, "key string, words int, target string, kind string")
-    best = keyed.groupBy("key", "words").agg(F.min(F.struct((F.col("kind") != "exact").alias("o"), "target", "kind")).alias("m")).select("key", "words", "m.target", "m.kind")
+    best = _stored(keyed.groupBy("key", "words").agg(F.min(F.struct((F.col("kind") != "exact").alias("o"), "target", "kind")).alias("m")).select("key", "words", "m.target", "m.kind"))
     longest = best.agg(F.max("words")).first()[0] or 0
     person = F.lit(False) if people is None else F.col("target").startswith(people.rstrip("/") + "/")
     two = best.where((F.col("words") > 1) & person).groupBy(F.split("key", " ")[0].alias("text")).agg(F.min("target").alias("first"), F.count(F.lit(1)).alias("n"))
-    firsts = two.where("n = 1").drop("n")
 
-    def spoken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found = list({(fold(c[x:y]), n) for x, y, n in windows_of(c or "", longest)})
-                yield pa.RecordBatch.from_arrays([pa.array([p] * len(found), pa.string()), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int32())], names=["path", "text", "words"])
+    def spoken(of_notes: bool):
+        """The windows of each note, or of a batch of notes together."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = dict.fromkeys((p if of_notes else None, fold(c[x:y]), n) for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if c for x, y, n in windows_of(c, longest))
+                columns = list(zip(*found)) if found else [[]] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32())], names=["path", "text", "words"])
+
+        return run
 
-    windows = notes.select("path", "content").mapInArrow(spoken, "path string, text string, words int")
-    texts = windows.select("text", "words").distinct().mapInArrow(_pieces(False), "text string, words int, size int, i int, piece string")
+    said = notes.select("path", "content").mapInArrow(spoken(False), "path string, text string, words int")
+    texts = _stored(said.select("text", "words").distinct())
+    probed = texts.mapInArrow(_pieces(False), "text string, words int, size int, i int, piece string")
     cuts = best.where((F.col("words") > 1) | person).select("key", "words").mapInArrow(_pieces(True), "key string, words int, size int, i int, piece string")
     longer = F.greatest(F.length("key"), F.length("text"))
-    alike = texts.join(cuts, ["words", "size", "i", "piece"]).where((F.abs(F.length("key") - F.length("text")) <= 0.08 * longer) & (1 - F.levenshtein("key", "text") / longer >= FUZZY)).select("text", "words", "key").distinct()
-    near = windows.join(alike, ["text", "words"]).select("path", "key").union(windows.select("path", F.col("text").alias("key"))).distinct()
-    near = near.join(best, "key").groupBy("path").agg(F.collect_set(F.struct("key", "target", "kind")).alias("names"))
+    alike = probed.join(cuts, ["words", "size", "i", "piece"]).where((F.abs(F.length("key") - F.length("text")) <= 0.08 * longer) & (1 - F.levenshtein("key", "text") / longer >= FUZZY)).select("text", "words", "key")
+    pairs = alike.unionByName(texts.select("text", "words", F.col("text").alias("key"))).distinct()
+    pairs = _stored(pairs.join(best.select("key", "target", "kind"), "key"))
+    firsts = _stored(two.where("n = 1").drop("n").join(texts.where("words = 1").select("text"), "text", "left_semi"))
+    met = pairs.select("key", "target", "kind").distinct()
+    if met.limit(BROADCAST_NAMES + 1).count() + firsts.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES:
+        known = {r["key"]: (r["target"], r["kind"]) for r in met.collect()}, {r["text"]: r["first"] for r in firsts.collect()}
+        sent = notes.sparkSession.sparkContext.broadcast(known)
+
+        def those(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = NameIndex.part(*sent.value, longest, people)
+            for b in batches:
+                yield rows(b, lambda _: index)
+
+        return notes.select("path", "content").mapInArrow(those, fields)
+    windows = notes.select("path", "content").mapInArrow(spoken(True), "path string, text string, words int")
+    near = windows.join(pairs, ["text", "words"]).select("path", "key", "target", "kind").distinct().groupBy("path").agg(F.collect_set(F.struct("key", "target", "kind")).alias("names"))
     named = windows.where("words = 1").join(firsts, "text").groupBy("path").agg(F.collect_set(F.struct("text", "first")).alias("firsts"))
 
     def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,6 +259,13 @@ def discover_links(notes: DataFrame, aliases: DataFrame | None = None, people: s
     return notes.join(near, "path", "left").join(named, "path", "left").select("path", "content", "names", "firsts").mapInArrow(few, fields)
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """``df`` read back from the shared folder: made once, however often it is read."""
+    path = f"{shared_dir(df.sparkSession)}/lumenark/names-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, words, target, kind) of (name, target, kind)."""
     for b in batches:

@@ -376,6 +376,35 @@ def test_discovery_beyond_the_broadcast_is_the_same(spark, monkeypatch):
     assert sum(k == "fuzzy" for _, k in kinds) > 30
 
 
+def test_discovery_with_many_names_but_few_spoken(spark, monkeypatch):
+    """Names that no window meets are not sent to the notes; neither way reads them."""
+    rows = [(f"n/Nobody Number {i}.md", None) for i in range(40)] + [("n/Ada Lovelace.md", "Grace Hopper wrote"), ("n/Grace Hopper.md", "Ada Lovelase and Ada, Grace Hopper"), ("x/hen.md", "Hen met Grace")]
+    notes = spark.createDataFrame(rows, "path string, content string").repartition(3)
+    found = lambda: sorted(map(tuple, links.discover_links(notes, None, "n").collect()))
+    whole = found()
+    monkeypatch.setattr(links, "BROADCAST_NAMES", 10)
+    assert found() == whole
+    plan = links.discover_links(notes, None, "n")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    monkeypatch.setattr(links, "BROADCAST_NAMES", 1)
+    assert found() == whole
+
+
+def test_shingles_of_a_long_text_take_linear_time(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from lumenark.functions import text as T
+
+    text = "Ab\U0001f600cd\u00e9 " * 60_000
+    began = time.time()
+    got = spark.createDataFrame([(text,)], "t string").select(T.shingles(F.col("t")).alias("s")).first()["s"]
+    low = text.lower()
+    assert got == list(dict.fromkeys(low[i : i + 4] for i in range(len(low) - 3)))
+    assert time.time() - began < 30
+
+
 def test_names_that_are_not_of_people():
     """Single words resemble nothing and have no first name outside the people's folder."""
     rows = [("Constantinople", "Places/Constantinople.md", "exact"), ("Winter Market", "Events/Winter Market.md", "exact"), ("Steve Barbera", "People/Steve Barbera.md", "exact"), ("Marie", "People/Marie.md", "exact"), ("Anna Bly", "People/Anna Bly.md", "exact"), ("Anna Kay", "People/Anna Kay.md", "exact"), ("Internationale", "People/Internationale.md", "exact")]
