@@ -141,6 +141,12 @@ _RNG = np.random.default_rng(20250611)
 _SUMS = [(_RNG.integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1), _RNG.integers(0, 2**64, dtype=np.uint64) | np.uint64(1)) for _ in range(2)]
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df``, never to be broadcast. Spark takes a stored table, even spread into its rows'
+    patterns, for as large as its compressed files and would send it through the driver."""
+    return df.hint("merge")
+
+
 def _best(n: Column, word: Column) -> Column:
     """The smaller, the better."""
     return F.struct((-n).alias("less"), word.alias("word"))
@@ -157,7 +163,7 @@ def _near_short(words: DataFrame) -> DataFrame:
     replaced = member.where("size > 1").select("word", (F.col("size") - 1).alias("n_near"), F.when(F.col("first.word") == F.col("word"), F.col("second")).otherwise(F.col("first")).alias("best"))
     # deletions: what is left meets the vocabulary, once for both directions
     left = short.select(F.col("word").alias("long"), F.col("n").alias("long_n"), F.explode(F.array_distinct(_pieces(""))).alias("word"))
-    met = left.join(short, "word")
+    met = left.join(shuffled(short), "word")
     longer = met.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(_best(F.col("long_n"), F.col("long"))).alias("best"))
     shorter = met.groupBy(F.col("long").alias("word")).agg(F.count(F.lit(1)).alias("n_near"), F.min(mine).alias("best"))
     return replaced.unionByName(longer).unionByName(shorter)
@@ -173,17 +179,17 @@ def _near_long(words: DataFrame) -> DataFrame:
     member = rows.where("at >= 0").withColumns({"size": F.count(F.lit(1)).over(group), "first": F.first(mine).over(order), "second": F.nth_value(mine, 2).over(order)})
     other = F.when(F.col("first") == mine, F.col("second")).otherwise(F.col("first"))
     replaced = member.where("size > 1").select("a", "b", (F.col("size") - 1).alias("n_near"), other.alias("other"))
-    met = rows.where("at < 0").select("a", "b", "x", "y").join(names.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"])
+    met = rows.where("at < 0").select("a", "b", "x", "y").join(shuffled(names.select(F.col("a").alias("x"), F.col("b").alias("y"))), ["x", "y"])
     one = F.lit(1).cast("long").alias("n_near")
     both = met.select("a", "b", one, F.struct(F.col("x").alias("a"), F.col("y").alias("b")).alias("other")).unionByName(met.select(F.col("x").alias("a"), F.col("y").alias("b"), one, mine.alias("other")))
     known = names.select(F.struct("a", "b").alias("other"), _best(F.col("n"), F.col("word")).alias("best"))
-    return replaced.unionByName(both).join(known, "other").join(names.select("a", "b", "word"), ["a", "b"]).select("word", "n_near", "best")
+    return replaced.unionByName(both).join(shuffled(known), "other").join(shuffled(names.select("a", "b", "word")), ["a", "b"]).select("word", "n_near", "best")
 
 
 def near(words: DataFrame) -> DataFrame:
     """``words`` (word, n) with ``n_near`` and the best near word as ``best`` (n, word)."""
     found = _near_short(words).unionByName(_near_long(words)).groupBy("word").agg(F.sum("n_near").alias("n_near"), F.min("best").alias("best"))
-    return words.join(found, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.struct((-F.col("best.less")).alias("n"), F.col("best.word").alias("word")).alias("best"))
+    return words.join(shuffled(found), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.struct((-F.col("best.less")).alias("n"), F.col("best.word").alias("word")).alias("best"))
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -192,7 +198,7 @@ def roots(forms: DataFrame) -> DataFrame:
     at = cut(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         on = at.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        moved = cut(at.join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        moved = cut(at.join(shuffled(on), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         at = moved.select("word", "root")
         if not moved.where("moved").limit(1).count():
             return at
@@ -205,4 +211,4 @@ def variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     ok = F.col("best.n") >= ratio * F.col("n")
     judged = cut(found.select("word", "n", "n_near", F.when(ok, F.col("best.word")).alias("form"), F.when(ok, F.col("best.n")).alias("form_n")), "forms")
     ends = roots(judged.where(F.col("form").isNotNull()))
-    return judged.join(ends, "word", "left").withColumn("root", F.coalesce("root", "word")).select("word", "n", "n_near", "form", "form_n", "root")
+    return judged.join(shuffled(ends), "word", "left").withColumn("root", F.coalesce("root", "word")).select("word", "n", "n_near", "form", "form_n", "root")

@@ -121,3 +121,13 @@ def test_vocabulary_of_odd_tables(spark):
 def test_op13_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
     assert sorted(map(tuple, queries.QUERIES["op13_spelling_variants"](spark, "/root/testdata/sf0.001").select("word", "n", "n_near", "form", "form_n", "root").collect())) == by_patterns(counted(docs))
+
+
+def test_no_vocabulary_goes_through_the_driver(spark, tmp_path):
+    """Stored words are small in their files; what is made of them is not."""
+    spark.createDataFrame([("hallo", 9), ("halo", 3), ("w" * 70, 4)], "word string, n long").write.parquet(str(tmp_path / "w"))
+    words = spark.read.parquet(str(tmp_path / "w"))
+    plan = spelling.near(words)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") >= 5
+    plan = spelling.variants(words)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
