@@ -124,9 +124,14 @@ def property_targets(props: DataFrame, notes: DataFrame) -> DataFrame:
     """``props`` (file_id, name, value, kind) with ``target_file``: the note that a property
     whose value is a link names, resolved as links in texts are; null for other kinds and
     for links to no note."""
-    asked = props.withColumn("_target", F.when(F.col("kind") == "link", T.link_note(F.get(T.wikilinks(F.col("value")), F.lit(0)))))
-    found = resolve(asked.where("_target <> ''").select(F.col("_target").alias("target")), notes)
-    return asked.join(found.select(F.col("target").alias("_target"), F.col("file_id").alias("target_file")), "_target", "left").drop("_target")
+    link = F.col("kind").eqNullSafe("link") & F.col("value").isNotNull()
+    # links are read once for each distinct value; counted, so that no filter on what is read sinks below
+    values = props.where(link).groupBy("value").agg(F.count(F.lit(1)).alias("_n"))
+    values = values.select("value", F.when(F.col("_n") > 0, T.link_note(F.get(T.wikilinks(F.col("value")), F.lit(0)))).alias("target")).where("target <> ''")
+    found = values.join(resolve(values, notes), "target").select("value", F.col("file_id").alias("target_file"))
+    # a row a value is hashed and the properties stream by unsorted; what is no link takes no part
+    named = props.where(link).join(found.hint("shuffle_hash"), "value", "left").select(*props.columns, "target_file")
+    return named.unionByName(props.where(~link).withColumn("target_file", F.lit(None).cast(named.schema["target_file"].dataType)))
 
 
 def reconcile(unresolved: DataFrame, notes: DataFrame) -> DataFrame:

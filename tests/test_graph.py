@@ -104,3 +104,34 @@ def test_orphans_for_any_keys(spark, tmp_path):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{at}/{t}.parquet/*.parquet')")
         want = con.execute("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%') AND c_nationkey <> 3").fetchall()
         assert sorted(map(str, (r.file_id for r in registry.QUERIES["orphans"](spark, str(at)).collect()))) == sorted(str(w[0]) for w in want), i
+
+
+def test_property_targets_of_any_values(spark):
+    """Links to notes, to none, repeated, within text, and values that are no links or null."""
+    rows = [(1, "a", "[[n1]]", "link"), (2, "a", "[[n1]]", "link"), (2, "b", "[[folder/n2#part|shown]]", "link"), (3, "a", "[[gone]]", "link"), (3, "b", "[[ | ]]", "link"), (4, "a", None, "link"), (4, "b", "[[n1]]", "text"), (5, "a", "n1", None), (5, "b", None, "empty")]
+    props = spark.createDataFrame(rows, "file_id long, name string, value string, kind string")
+    notes = spark.createDataFrame([(11, "x/n1.md"), (12, "folder/n2.md")], "file_id long, path string")
+    want = [(*r, {"[[n1]]": 11, "[[folder/n2#part|shown]]": 12}.get(r[2]) if r[3] == "link" else None) for r in rows]
+    got = G.property_targets(props, notes)
+    assert got.columns == ["file_id", "name", "value", "kind", "target_file"]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_property_targets_deals_out_no_nulls(spark):
+    """Properties that are no links do not meet in one task, and links are not sorted for the join."""
+    import pyspark.sql.functions as F
+
+    props = spark.range(0, 4000, 1, 8).select(F.col("id").alias("file_id"), F.lit("a").alias("name"), F.when(F.col("id") % 4 == 0, F.format_string("[[n%s]]", F.col("id") % 40)).otherwise("x").alias("value"), F.when(F.col("id") % 4 == 0, "link").otherwise("text").alias("kind"))
+    notes = spark.createDataFrame([(10_000 + i, f"x/n{i}.md") for i in range(40)], "file_id long, path string")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = G.property_targets(props, notes)
+        task = got.where("target_file is null").groupBy(F.spark_partition_id().alias("p")).count()
+        most = max(r["count"] for r in task.collect())
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, x in old.items():
+            spark.conf.set(k, x)
+    assert most <= 1000 and "LeftOuter, BuildRight" in plan and "ShuffledHashJoin" in plan
