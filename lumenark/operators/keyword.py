@@ -111,12 +111,26 @@ def counted(rows: DataFrame, shape: Shape = Shape()) -> Counts:
     return Counts(row["rows"], tuple(row[f"w{j}"] or 0 for j in range(n)))
 
 
+def _places(words: Column) -> Column:
+    """(term, positions) of each different word of a text's words, in one pass over them as
+    sorted."""
+
+    def runs(at: Column) -> Column:
+        n = F.size(at)
+        begins = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(at, i)["term"] != F.get(at, i - 1)["term"]))
+        # one element, so that the runs' beginnings are found once
+        return F.element_at(F.transform(F.array(begins), lambda b: F.transform(b, lambda i, k: F.struct(F.get(at, i)["term"].alias("term"), F.slice(at, i + 1, F.coalesce(F.get(b, k + 1), n) - i)["at"].alias("positions")))), 1)
+
+    placed = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("at"))))
+    return F.element_at(F.transform(F.array(placed), runs), 1)
+
+
 def postings(chunks: DataFrame, shape: Shape = Shape()) -> DataFrame:
-    """(term, file_id, seq, field, lengths, positions); places that a word has in a chunk
-    meet before the shuffle."""
+    """(term, file_id, seq, field, lengths, positions); a chunk is one row, in which the
+    places of each of its words meet, so that nothing is shuffled for it."""
     each = F.array(*(F.struct(F.lit(j).alias("field"), F.col(f"_t{j}").alias("words")) for j in range(len(shape.fields))))
-    words = _fields(chunks, shape).select("file_id", "seq", "lengths", F.inline(each)).select("file_id", "seq", "lengths", "field", F.posexplode("words").alias("at", "term"))
-    return words.groupBy("term", "file_id", "seq", "field").agg(F.first("lengths").alias("lengths"), F.array_sort(F.collect_list("at")).alias("positions"))
+    texts = _fields(chunks, shape).select("file_id", "seq", "lengths", F.inline(each)).where(F.size("words") > 0)
+    return texts.select("file_id", "seq", "field", "lengths", F.inline(_places(F.col("words")))).select("term", "file_id", "seq", "field", "lengths", "positions")
 
 
 ORDER = ("term", "file_id", "seq", "field")

@@ -129,3 +129,19 @@ def test_snippets_by_hand(spark, texts, size):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
     got = {r.i: r.s for r in df.select("i", keyword.snippet(F.col("text"), "dragon wake-LOUD", size=size).alias("s")).collect()}
     assert got == {i: snippet_by_hand(t, {"dragon", "wake", "loud"}, size) for i, t in enumerate(texts)}
+
+
+def test_postings_are_made_within_rows(spark):
+    """Each word's places, whatever its text, and no shuffle to bring them together."""
+    texts = [("b a b, A-b", "h b"), ("", "x"), (None, None), ("one", ""), ("  ,. ", "a a a"), ("é É 1 a " * 40, "z")]
+    chunks = spark.createDataFrame([(i // 2, i % 2, *t) for i, t in enumerate(texts)], "file_id long, seq long, text string, heading_path string")
+    want = {}
+    for i, both in enumerate(texts):
+        words = [[w for w in re.split(r"[\W_]+", (t or "").lower()) if w] for t in both]
+        for j, ws in enumerate(words):
+            for at, w in enumerate(ws):
+                want.setdefault((w, i // 2, i % 2, j, tuple(map(len, words))), []).append(at)
+    made = keyword.postings(chunks)
+    got = {(r.term, r.file_id, r.seq, r.field, tuple(r.lengths)): r.positions for r in made.collect()}
+    assert made.count() == len(want) and got == want
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
